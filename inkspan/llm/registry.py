@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .sentencepiece_codec import op1_sentencepiece
+from .simhash import op2_simhash
 from .warc import OP5_SQL, op5_warc_revisits
+from .weighted_sampling import op4_weighted_sampling
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_simhash": op2_simhash,
+    "op4_weighted_sampling": op4_weighted_sampling,
     "op5_warc_revisits": op5_warc_revisits,
     "op8_exact_dedup": op8_exact_dedup,
 }
