@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .packing import op3_packing
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op2_simhash
 from .warc import OP5_SQL, op5_warc_revisits
@@ -11,6 +12,7 @@ from .weighted_sampling import op4_weighted_sampling
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_warc_revisits": op5_warc_revisits,
     "op8_exact_dedup": op8_exact_dedup,
