@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .language_id import op6_language
 from .packing import op3_packing
+from .quality import op9_quality
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op2_simhash
 from .warc import OP5_SQL, op5_warc_revisits
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_warc_revisits": op5_warc_revisits,
+    "op6_language": op6_language,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
 }
 SQL = {"op5_warc_revisits": OP5_SQL, "op8_exact_dedup": OP8_SQL}
