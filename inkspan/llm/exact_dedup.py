@@ -66,6 +66,14 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that stay; a row repeated with id and text stays once."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_of", F.sha2(F.regexp_replace(whole_text(), SPACES, " "), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_sha"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_of"]).drop("_of")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "chain")
 

@@ -135,6 +135,17 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, all columns, that a language is found for."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.predict(t.as_py())[0] != UNKNOWN for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op6_language
 from .packing import op3_packing
+from .pii import op10_pii
 from .quality import op9_quality
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op2_simhash
@@ -20,5 +21,6 @@ QUERIES = {
     "op6_language": op6_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
 }
 SQL = {"op5_warc_revisits": OP5_SQL, "op8_exact_dedup": OP8_SQL}

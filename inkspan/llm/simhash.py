@@ -197,6 +197,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, shard
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, whose id names their group: one of each group of near-duplicates."""
+    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
