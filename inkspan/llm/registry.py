@@ -9,6 +9,7 @@ from .pii import op10_pii
 from .quality import op9_quality
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op2_simhash
+from .suffix_dedup import op7_suffix_dedup
 from .warc import OP5_SQL, op5_warc_revisits
 from .weighted_sampling import op4_weighted_sampling
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_warc_revisits": op5_warc_revisits,
     "op6_language": op6_language,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
