@@ -30,7 +30,7 @@ SHARD, ISLANDS, ROUNDS, POPULATION, OFFSPRING = 16_384, 2, 2, 4, 12
 #: Memoised words per Python worker; the memo starts afresh when full.
 MEMO = 400_000
 #: White space other than 0x09-0x0D and 0x20: libraries differ on it, so such texts are encoded in one call.
-RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
+RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 class WordTokenizer:
