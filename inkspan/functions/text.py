@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-SPACE = r"[\s   -     　﻿]"
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def normalize_value(c: Column) -> Column:
