@@ -1,29 +1,472 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries and the SQL that gives the same rows. Tables of orders, lines and events stand in where the shapes
+are those of documents, redactions and processing events."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.functions import checksums
+from inkspan.functions import checksums, fixed
+from inkspan.functions import text as tx
+from inkspan.operators import detectors, redact, reports, rules, scoring, spans
+from inkspan.sources import formats, markup
+from inkspan.sources import text as txt
+from inkspan.streaming import events as ev
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rows_sql(rows: list[tuple]) -> str:
+    """Rows as SQL VALUES."""
+    one = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
+
+c = F.col
 CARD = r"(?<![A-Za-z0-9_])(?:[0-9][ -]*?){13,19}(?![A-Za-z0-9_])"
+_LUHN = """list_sum(list_transform(range(1, CAST(length(d) + 1 AS BIGINT)), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(d, CAST(length(d) + 1 - i AS BIGINT), 1) AS INT)
+    ELSE (CAST(substr(d, CAST(length(d) + 1 - i AS BIGINT), 1) AS INT) * 2) // 10 + (CAST(substr(d, CAST(length(d) + 1 - i AS BIGINT), 1) AS INT) * 2) % 10 END)) % 10 = 0"""
+
+
+@query(rf"""
+WITH h AS (SELECT lang, regexp_replace(unnest(regexp_extract_all(text, '\b(?:[0-9][ -]*?){{13,19}}\b')), '[^0-9]', '', 'g') AS d FROM documents)
+SELECT lang, count(*) AS cards FROM h WHERE length(d) BETWEEN 13 AND 19 AND {_LUHN} GROUP BY lang""")
+def cards_by_language(spark, d):
+    hits = table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(CARD), F.lit(0))).alias("hit"))
+    return hits.where(checksums.luhn_valid(c("hit"))).groupBy("lang").agg(F.count("*").alias("cards"))
+
+
+@query(r"SELECT doc_id, hit, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}')) AS hit FROM documents) GROUP BY 1, 2")
+def emails_by_document(spark, d):
+    """The span detector, narrowed to one kind."""
+    pages = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return detectors.detect(pages, ["email-address"]).groupBy("doc_id", c("text").alias("hit")).agg(F.count("*").alias("n"))
+
+
+CHECKED = [
+    ("luhn", "4111 1111 1111 1111", True), ("luhn", "4111 1111 1111 1112", False), ("luhn", "18", False), ("ssn", "123-45-6789", True), ("ssn", "666-45-6789", False), ("ssn", "123-00-6789", False),
+    ("iban", "GB29NWBK60161331926819", True), ("iban", "DE89 3704 0044 0532 0130 00", True), ("iban", "GB29NWBK60161331926818", False), ("dni", "12345678Z", True), ("dni", "X1234567-L", True), ("dni", "12345678A", False),
+    ("nir", "1 85 05 78 006 084 91", True), ("nir", "1 85 05 78 006 084 36", False), ("tax", "49 782 584 941", True), ("tax", "49 782 584 942", False),
+]
+_CHECK = {"luhn": checksums.luhn_valid, "ssn": checksums.ssn_plausible, "iban": checksums.iban_valid, "dni": checksums.dni_valid, "nir": checksums.nir_valid, "tax": checksums.steuer_id_valid}
+_CHECKED_SQL = [r for r in CHECKED if r[0] in ("ssn", "iban", "dni")]
+
+
+@query(f"""
+WITH v(kind, s) AS (VALUES {rows_sql([r[:2] for r in _CHECKED_SQL])}),
+ k AS (SELECT kind, s, regexp_replace(upper(s), '[ -]', '', 'g') AS d FROM v),
+ e AS (SELECT *, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(substr(d, 5) || substr(d, 1, 4), ''), lambda x: CAST(ascii(x) AS HUGEINT))), lambda a, x: CASE WHEN x >= 65 THEN (a * 100 + x - 55) % 97 ELSE (a * 10 + x - 48) % 97 END) AS m FROM k)
+SELECT kind, s, CASE kind WHEN 'iban' THEN m = 1
+  WHEN 'ssn' THEN substr(d, 1, 3) NOT IN ('000', '666') AND substr(d, 1, 3) < '900' AND substr(d, 4, 2) <> '00' AND substr(d, 6) <> '0000'
+  ELSE substr('{checksums.DNI_LETTERS}', CAST(CAST(translate(substr(d, 1, 8), 'XYZ', '012') AS BIGINT) % 23 + 1 AS BIGINT), 1) = substr(d, 9, 1) END AS ok FROM e""")
+def check_digits(spark, d):
+    df = spark.createDataFrame([r[:2] for r in _CHECKED_SQL], "kind string, s string")
+    ok = F.coalesce(*(F.when(c("kind") == k, f(c("s"))) for k, f in _CHECK.items() if k in ("ssn", "iban", "dni")))
+    return df.select("kind", "s", ok.alias("ok"))
+
+
+@query("SELECT regexp_replace(regexp_replace(lower(c_name), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS normalized, count(*) AS n, min(c_name) AS value FROM customer GROUP BY 1")
+def normalized_values(spark, d):
+    return table(spark, d, "customer").groupBy(tx.normalize_value(c("c_name")).alias("normalized")).agg(F.count("*").alias("n"), F.min("c_name").alias("value"))
+
+
+_COUNT = ", ".join(f"len(list_filter(w, lambda x: list_contains({m.split()!r}, x))) AS {k}" for k, m in fixed.MARKERS.items())
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 20000)), '\p{{L}}+') AS w FROM documents), n AS (SELECT doc_id, {_COUNT} FROM t),
+ r AS (SELECT doc_id, unnest([{{'k': 'en', 'n': en, 'o': 0}}, {{'k': 'de', 'n': de, 'o': 1}}, {{'k': 'fr', 'n': fr, 'o': 2}}, {{'k': 'es', 'n': es, 'o': 3}}], recursive := true) FROM n),
+ o AS (SELECT doc_id, k, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) AS i FROM r),
+ p AS (SELECT doc_id, max(CASE WHEN i = 1 THEN k END) AS k, max(CASE WHEN i = 1 THEN n END) AS a, max(CASE WHEN i = 2 THEN n END) AS b FROM o GROUP BY doc_id)
+SELECT doc_id, CASE WHEN a >= 5 AND a >= 2 * b THEN k ELSE 'en' END AS language, a >= 5 AND a >= 2 * b AS detected FROM p""")
+def language_guess(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.guess_language(c("text")).alias("g")).select("doc_id", "g.*")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+SELECT doc_id, CAST(i AS BIGINT) AS line, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, sha256(t) AS sha
+FROM l QUALIFY NOT (t = '' AND i = max(i) OVER (PARTITION BY doc_id))""")
+def lines_with_offsets(spark, d):
+    return txt.split_lines(table(spark, d, "documents")).select("doc_id", c("line").cast("long").alias("line"), c("start").cast("long").alias("start"), F.sha2("text", 256).alias("sha"))
+
+
+@query()
+def pages_of_text(spark, d):
+    return txt.paginate(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+
+
+def _line_spans(spark, d):
+    """Spans from order lines: a document for each order, categories from the return flag."""
+    flag = F.when(c("l_returnflag") == "A", "email").when(c("l_returnflag") == "N", "phone").otherwise("person")
+    start = (c("l_partkey") % 400).cast("int")
+    return table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), flag.alias("category"), start.alias("start"), (start + c("l_quantity").cast("int")).alias("end"), F.round(c("l_discount") * 10, 2).alias("confidence"), c("l_linenumber").alias("seq"))
+
+
+_SPANS = """s AS (SELECT l_orderkey AS doc_id, 1 AS page, CASE l_returnflag WHEN 'A' THEN 'email' WHEN 'N' THEN 'phone' ELSE 'person' END AS category,
+ CAST(l_partkey % 400 AS INT) AS start, CAST(l_partkey % 400 AS INT) + CAST(l_quantity AS INT) AS "end", round(l_discount * 10, 2) AS confidence, l_linenumber AS seq FROM lineitem)"""
+
+
+@query(f"""WITH {_SPANS}, f AS (SELECT *, CASE WHEN max("end") OVER w >= start THEN 0 ELSE 1 END AS new FROM s WHERE "end" > start WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT doc_id, min(start) AS start, max("end") AS "end" FROM r GROUP BY doc_id, run""")
+def merged_ranges(spark, d):
+    return spans.merge_ranges(_line_spans(spark, d), ["doc_id"])
+
+
+@query(f"""WITH {_SPANS} SELECT doc_id, category, start, "end", seq FROM s
+QUALIFY coalesce("end" > max("end") OVER (PARTITION BY doc_id, category ORDER BY start, "end" DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)""")
+def folded_spans(spark, d):
+    return spans.fold_contained(_line_spans(spark, d), ["doc_id", "category"], [c("seq")]).select("doc_id", "category", "start", "end", "seq")
+
+
+@query(f"""WITH {_SPANS}, k AS (SELECT *, start // 100 AS place FROM s)
+SELECT doc_id, CAST(place AS BIGINT) AS place, category, confidence, seq FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, place, category ORDER BY confidence DESC, seq) = 1""")
+def collapsed_duplicates(spark, d):
+    rows = _line_spans(spark, d).withColumn("place", F.expr("start div 100"))
+    return spans.collapse_duplicates(rows, ["doc_id", "place", "category"]).select("doc_id", "place", "category", "confidence", "seq")
+
+
+@query(f"""WITH {_SPANS}, g AS (SELECT doc_id, start AS gs, "end" AS ge FROM s WHERE seq = 1)
+SELECT s.doc_id, seq, start, gs, least("end", ge) - greatest(start, gs) AS shared FROM s JOIN g ON s.doc_id = g.doc_id AND start < ge AND gs < "end" WHERE seq > 1""")
+def overlapping_spans(spark, d):
+    s = _line_spans(spark, d).drop("page")
+    both = spans.overlap_join(s.where("seq > 1"), s.where("seq = 1").select("doc_id", "start", "end"), ["doc_id"])
+    return both.select("doc_id", "seq", "start", c("r_start").alias("gs"), (F.least("end", "r_end") - F.greatest("start", "r_start")).alias("shared"))
+
+
+@query(f"""WITH {_SPANS}, g AS (SELECT doc_id, start AS gs, "end" AS ge FROM s WHERE seq = 1)
+SELECT s.doc_id, seq FROM s WHERE seq > 1 AND NOT EXISTS (SELECT 1 FROM g WHERE s.doc_id = g.doc_id AND start < ge AND gs < "end")""")
+def uncovered_spans(spark, d):
+    s = _line_spans(spark, d).drop("page")
+    return spans.overlap_join(s.where("seq > 1"), s.where("seq = 1").select("doc_id", "start", "end"), ["doc_id"], "left_anti").select("doc_id", "seq")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS seq, lower(o_orderpriority) AS k, o_orderpriority AS v, o_orderstatus AS cat, o_totalprice AS conf FROM orders)
+SELECT k AS normalized, arg_min(v, seq) AS value, count(*) AS occurrences, max(conf) AS confidence, (array_agg(cat ORDER BY conf DESC, seq))[1] AS category, bool_or(cat = 'O') AS everywhere FROM t GROUP BY k""")
+def entities(spark, d):
+    t = table(spark, d, "orders").select(c("o_orderkey").alias("seq"), c("o_orderpriority").alias("text"), c("o_orderstatus").alias("category"), c("o_totalprice").alias("confidence"), (c("o_orderstatus") == "O").alias("everywhere"))
+    return spans.build_entities(t)
+
+
+TOKENS = [("x john@example.com", 2, 6), ("ajohn b", 1, 5), ("john's", 0, 4), ("john7", 0, 4), ("a.john", 2, 6), (". john", 2, 6), ("john-b", 0, 4), ("john- b", 0, 4), ("john", 0, 4)]
+
+
+@query(rf"""WITH v(t, s, e) AS (VALUES {rows_sql(TOKENS)})
+SELECT t, NOT regexp_matches(substr(t, 1, CAST(s AS BIGINT)), '[\p{{L}}\p{{N}}]$|[\p{{L}}\p{{N}}][.@_+-]$') AND NOT regexp_matches(substr(t, CAST(e + 1 AS BIGINT)), '^\p{{N}}|^[.@_+-][\p{{L}}\p{{N}}]') AS alone FROM v""")
+def standing_alone(spark, d):
+    df = spark.createDataFrame(TOKENS, "t string, s int, e int")
+    return df.select("t", tx.stands_alone(c("t"), c("s"), c("e")).alias("alone"))
+
+
+@query(f"""WITH {_SPANS} SELECT CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS band, category, count(*) AS n FROM s WHERE category IN ('person', 'email', 'phone') AND confidence <= 0.75 GROUP BY 1, 2""")
+def shaky_by_band(spark, d):
+    rows = _line_spans(spark, d).withColumn("detector", F.lit("phone-number"))
+    shaky, _ = detectors.split_by_confidence(detectors.narrow(rows, "names-and-contact-details"))
+    return shaky.groupBy(tx.confidence_band(c("confidence")).alias("band"), "category").agg(F.count("*").alias("n"))
+
+
+RULES = [("r1", "literal", "the and", False, False, "other"), ("r2", "regex", "token = \"[0-9a-f]{40}\"", True, False, "api-key"), ("r3", "literal", "und", False, True, "person"), ("r4", "regex", "\\+1 \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}", True, False, "phone")]
+_RULES = "rule_id string, kind string, pattern string, match_case boolean, whole_word boolean, category string"
+
+
+def _rule_matches(spark, d):
+    pages = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return rules.find_matches(spark.createDataFrame(RULES, _RULES), pages)[0], pages
+
+
+@query(r"""WITH r(rule_id, p) AS (VALUES ('r1', '(?i)the and'), ('r2', 'token = "[0-9a-f]{40}"'), ('r4', '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}'))
+SELECT rule_id, doc_id, CAST(len(regexp_extract_all(text, p)) AS BIGINT) AS hits FROM documents, r WHERE len(regexp_extract_all(text, p)) > 0""")
+def rule_matches(spark, d):
+    return _rule_matches(spark, d)[0].where("rule_id != 'r3'").groupBy("rule_id", "doc_id").agg(F.count("*").alias("hits"))
+
+
+@query()
+def rule_redactions(spark, d):
+    return rules.to_redactions(_rule_matches(spark, d)[0])
+
+
+@query(r"""WITH m AS (SELECT doc_id, text, position('token = "' IN text) - 1 AS s FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')), k AS (SELECT *, s + 50 AS e FROM m)
+SELECT doc_id, CAST(s AS BIGINT) AS start, CASE WHEN s > 40 THEN '…' ELSE '' END || ltrim(regexp_replace(substr(text, CAST(greatest(s - 40, 0) + 1 AS BIGINT), CAST(s - greatest(s - 40, 0) AS BIGINT)), '\s+', ' ', 'g')) AS before, substr(text, CAST(s + 1 AS BIGINT), 50) AS match,
+ rtrim(regexp_replace(substr(text, CAST(e + 1 AS BIGINT), 40), '\s+', ' ', 'g')) || CASE WHEN e + 40 < length(text) THEN '…' ELSE '' END AS after FROM k""")
+def search_samples(spark, d):
+    matches, pages = _rule_matches(spark, d)
+    _, samples = rules.search_summary(matches.where("rule_id = 'r2'"), pages, samples=1)
+    return samples.select("doc_id", c("start").cast("long").alias("start"), "before", "match", "after")
+
+
+@query("""SELECT 'r' || o_orderstatus AS rule_id, o_orderkey AS doc_id FROM orders WHERE o_orderstatus IN ('F', 'O') AND NOT (o_orderkey % 3 = 0 AND o_orderstatus = 'F')""")
+def carried_rules(spark, d):
+    docs = table(spark, d, "orders").select(c("o_orderkey").alias("doc_id"), c("o_orderstatus").alias("owner_id"), F.lit(None).cast("string").alias("batch_id"))
+    made = spark.createDataFrame([("rF", "owner", "F", True, 1), ("rO", "owner", "O", True, 2), ("rP", "owner", "P", False, 3)], "rule_id string, scope string, scope_key string, enabled boolean, created int")
+    done = docs.where("doc_id % 3 = 0 and owner_id = 'F'").select(F.lit("rF").alias("rule_id"), "doc_id")
+    return rules.carry_rules(made, docs, done).select("rule_id", "doc_id")
+
+
+@query("""WITH r(rule_id) AS (VALUES ('A'), ('N'), ('R'), ('unused')), n AS (SELECT l_returnflag AS rule_id, count(*) AS total, count(DISTINCT l_orderkey) AS documents FROM lineitem GROUP BY 1)
+SELECT r.rule_id, coalesce(total, 0) AS total, coalesce(documents, 0) AS documents FROM r LEFT JOIN n USING (rule_id)""")
+def rule_listing(spark, d):
+    every = spark.createDataFrame([("A",), ("N",), ("R",), ("unused",)], "rule_id string")
+    used = table(spark, d, "lineitem").groupBy(c("l_returnflag").alias("rule_id")).agg(F.count("*").alias("total"), F.count_distinct("l_orderkey").alias("documents"))
+    return every.join(used, "rule_id", "left").fillna(0)
+
+
+ASKED = [("person", "tokenize", "text", "Jo Smith"), ("person", "encrypt", "row", "Jo Smith"), ("health", "tokenize", "text", "flu"), ("nonsense", "pseudonymize", "text", "abc"), ("address", "encrypt", "text", "1 A St"), ("email", None, "text", "a@b.c"), ("phone", "tokenize", "text", "1"), ("url", "pseudonymize", "face", "http")]
+
+
+@query(f"""WITH v(category, method, kind, text) AS (VALUES {rows_sql(ASKED)}), a(category, method) AS (VALUES {rows_sql([(k, m) for k, v in fixed.CATEGORIES.items() for m in v[0].split()])})
+SELECT v.*, CASE WHEN a.method IS NOT NULL AND kind NOT IN ('face', 'row', 'column') AND length(trim(text)) >= 2 THEN v.method ELSE 'mask' END AS resolved FROM v LEFT JOIN a ON a.category = v.category AND a.method = v.method""")
+def resolved_methods(spark, d):
+    df = spark.createDataFrame(ASKED, "category string, method string, kind string, text string")
+    return df.withColumn("resolved", redact.resolve_method(c("category"), c("method"), c("kind"), c("text")))
+
+
+def _redactions(spark, d):
+    """Redactions from customers: a document for each nation."""
+    cust = table(spark, d, "customer")
+    k = c("c_custkey") % 4
+    category = F.when(k == 0, "person").when(k == 1, "email").when(k == 2, "address").otherwise("bank-account")
+    method = F.when(c("c_custkey") % 3 == 0, "tokenize").when(c("c_custkey") % 3 == 1, "pseudonymize").otherwise("mask")
+    return cust.select(c("c_nationkey").cast("long").alias("doc_id"), c("c_custkey").alias("seq"), F.lit("text").alias("type"), c("c_name").alias("text"), category.alias("category"), method.alias("method"), F.when(c("c_acctbal") > 0, "accepted").otherwise("suggested").alias("status"), F.when(k == 0, "rule").when(k == 1, "ai").otherwise("user").alias("source"))
+
+
+_RED = """r AS (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_custkey AS seq, c_name AS text, CASE c_custkey % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'email' WHEN 2 THEN 'address' ELSE 'bank-account' END AS category,
+ CASE c_custkey % 3 WHEN 0 THEN 'tokenize' WHEN 1 THEN 'pseudonymize' ELSE 'mask' END AS method, c_acctbal > 0 AS accepted, CASE c_custkey % 4 WHEN 0 THEN 'rule' WHEN 1 THEN 'ai' ELSE 'user' END AS source FROM customer)"""
+
+
+@query(f"""WITH {_RED}, m AS (SELECT *, CASE WHEN category IN ('person', 'email') THEN method ELSE 'mask' END AS eff, lower(trim(text)) AS n FROM r WHERE accepted),
+ v AS (SELECT doc_id, n AS normalized, arg_min(text, seq) AS value, arg_min(category, seq) AS category, arg_min(eff, CASE eff WHEN 'mask' THEN 0 WHEN 'pseudonymize' THEN 1 ELSE 3 END) AS method FROM m GROUP BY 1, 2),
+ t AS (SELECT *, CASE category WHEN 'person' THEN 'PERSON' ELSE 'EMAIL' END AS stem FROM v WHERE method <> 'mask'),
+ k AS (SELECT doc_id, normalized, stem || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, stem ORDER BY normalized) AS VARCHAR), 3, '0') AS surrogate FROM t)
+SELECT v.*, k.surrogate FROM v LEFT JOIN k USING (doc_id, normalized)""")
+def surrogate_names(spark, d):
+    return redact.surrogates(_redactions(spark, d)).select("doc_id", "normalized", "value", "category", "method", "surrogate")
+
+
+@query(f"""WITH {_RED}, n AS (SELECT doc_id, category, count(*) AS n, count(*) FILTER (WHERE source = 'rule') AS by_rule, count(*) FILTER (WHERE source = 'ai') AS by_detector, count(*) FILTER (WHERE source = 'user') AS by_user FROM r WHERE accepted GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, category) AS rank FROM n""")
+def export_report(spark, d):
+    return reports.export_report(_redactions(spark, d)).withColumn("rank", c("rank").cast("long"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[REDACTED]', 'g')) AS sha FROM documents""")
+def redacted_documents(spark, d):
+    """Detected addresses cut out of the text by their offsets."""
+    pages = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    ranges = detectors.detect(pages, ["email-address"]).select("doc_id", "start", "end", F.lit(None).cast("string").alias("replacement"))
+    return redact.cut_text(pages, ranges, ["doc_id"]).select("doc_id", F.sha2("redacted_text", 256).alias("sha"))
+
+
+@query("""WITH v AS (SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'thth' WHEN 'de' THEN 'schei' ELSE 'eau' END AS value FROM documents)
+SELECT doc_id, value FROM documents JOIN v USING (lang) WHERE contains(lower(text), value) AND length(value) >= 4""")
+def leaked_values(spark, d):
+    docs = table(spark, d, "documents")
+    values = docs.select("doc_id", F.when(c("lang") == "en", "thth").when(c("lang") == "de", "schei").otherwise("eau").alias("value"))
+    return redact.verify(docs, values)
+
+
+@query(f"""WITH {_RED} SELECT doc_id, sum(n) AS entries FROM (SELECT doc_id, count(DISTINCT lower(text)) AS n FROM r WHERE accepted AND method = 'tokenize' AND category IN ('person', 'email') GROUP BY doc_id) GROUP BY doc_id""".replace("sum(n)", "CAST(sum(n) AS BIGINT)"))
+def vault_sizes(spark, d):
+    v = redact.vault(redact.surrogates(_redactions(spark, d)))
+    return v.select("doc_id", F.size(F.from_json("vault", "struct<entries:array<struct<surrogate:string>>>")["entries"]).cast("long").alias("entries"))
+
+
+@query()
+def restored_texts(spark, d):
+    named = redact.surrogates(_redactions(spark, d))
+    out = named.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.coalesce("surrogate", F.lit(fixed.LABEL)))), " ").alias("text"))
+    return redact.restore(out, redact.vault(named)).select("doc_id", "restored_text", "outcome")
+
+
+@query("""SELECT o_custkey AS doc_id, o_orderkey AS seq, o_orderpriority || CASE WHEN row_number() OVER w > 1 THEN '-' || CAST(row_number() OVER w AS VARCHAR) ELSE '' END || '.pdf' AS file_name FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey)""")
+def variant_names(spark, d):
+    v = table(spark, d, "orders").select(c("o_custkey").alias("doc_id"), c("o_orderkey").alias("seq"), c("o_orderpriority").alias("base"), F.lit("pdf").alias("extension"))
+    return redact.variant_names(v).select("doc_id", "seq", "file_name")
+
+
+_GOLD = f"""{_SPANS}, g AS (SELECT * FROM s WHERE seq % 2 = 1), q AS (SELECT * FROM s WHERE seq % 2 = 0 AND confidence >= 0.5),
+ k AS (SELECT * FROM q QUALIFY coalesce("end" > max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, confidence DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)),
+ l AS (SELECT g.doc_id, g.start, g."end", g.category, count(k.seq) > 0 AS o, coalesce(bool_or(g.start = k.start AND g."end" = k."end"), false) AS x FROM g LEFT JOIN k ON g.doc_id = k.doc_id AND g.start < k."end" AND k.start < g."end" GROUP BY g.doc_id, g.start, g."end", g.category, g.seq),
+ f AS (SELECT k.doc_id, k.category, count(g.seq) > 0 AS correct FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.start < k."end" AND k.start < g."end" GROUP BY k.doc_id, k.start, k."end", k.category, k.seq)"""
+
+
+def _scored(spark, d):
+    s = _line_spans(spark, d)
+    pages = s.select("doc_id", F.lit("x" * 460).alias("text")).distinct()
+    gold = s.where("seq % 2 = 1").select("doc_id", "start", "end", "category")
+    return scoring.score_documents(pages, gold, s.where("seq % 2 = 0").select("doc_id", "start", "end", "category", "confidence"), 0.5)
+
+
+@query(f"""WITH {_GOLD}, a AS (SELECT category, count(*) AS labels, count(*) FILTER (WHERE o) AS overlap, count(*) FILTER (WHERE x) AS exact, grouping(category) AS z FROM l GROUP BY GROUPING SETS ((category), ())),
+ b AS (SELECT category, count(*) AS detections, count(*) FILTER (WHERE correct) AS correct, grouping(category) AS z FROM f GROUP BY GROUPING SETS ((category), ()))
+SELECT a.category, labels, overlap, exact, detections, correct, round(correct / detections, 4) AS "precision", round(overlap / labels, 4) AS overlap_recall FROM a JOIN b ON a.z = b.z AND a.category IS NOT DISTINCT FROM b.category""")
+def detection_quality(spark, d):
+    return scoring.aggregate(*_scored(spark, d)).select("category", "labels", "overlap", "exact", "detections", "correct", "precision", "overlap_recall")
+
+
+@query()
+def missed_cost(spark, d):
+    return scoring.weighted_cost(*_scored(spark, d))
+
+
+@query("""WITH p AS (SELECT CAST(quality AS VARCHAR) AS a, CAST(toxic AS VARCHAR) AS b FROM labels), k AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) AS s FROM k),
+ e AS (SELECT sum(x * y) AS xy FROM (SELECT a, sum(n) AS x FROM k GROUP BY a) JOIN (SELECT b, sum(n) AS y FROM k GROUP BY b) ON a = b)
+SELECT CAST(n AS BIGINT) AS n, round(s / n, 4) AS observed, round((s / n - xy / (n * n)) / (1 - xy / (n * n)), 4) AS kappa FROM t, e""")
+def label_agreement(spark, d):
+    return scoring.agreement(table(spark, d, "labels").select(c("quality").cast("string").alias("quality"), c("toxic").cast("string").alias("toxic")), "quality", "toxic")
+
+
+@query()
+def recall_interval(spark, d):
+    per = table(spark, d, "labels").select("doc_id", c("quality").alias("hit"), F.lit(1).alias("total"))
+    return scoring.bootstrap(per, "hit", "total", rounds=200)
+
+
+@query("""WITH n AS (SELECT o_orderpriority AS stratum, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT stratum, n * 100.0 / sum(n) OVER () AS e FROM n), f AS (SELECT stratum, floor(e) AS f, row_number() OVER (ORDER BY e - floor(e) DESC, stratum) AS o, 100 - sum(floor(e)) OVER () AS rest FROM e)
+SELECT stratum, CAST(f + CASE WHEN o <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f""")
+def sample_quota(spark, d):
+    return scoring.stratified_quota(table(spark, d, "orders").select(c("o_orderpriority").alias("stratum")), "stratum", 100)
+
+
+@query("""SELECT event_type AS model, CAST(user_id % 3 AS BIGINT) AS phase, count(*) AS calls, round(sum(value), 2) AS tokens, 2 - grouping(event_type) - grouping(user_id % 3) AS level FROM events GROUP BY ROLLUP (event_type, user_id % 3)""")
+def spend_rollup(spark, d):
+    e = table(spark, d, "events").select(c("event_type").alias("model"), (c("user_id") % 3).alias("phase"), "value")
+    return reports.rollup(e, ["model", "phase"], F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens"))
+
+
+PRICES = [("view", 3.0), ("click", 15.0)]
+
+
+@query(f"""WITH p(model, usd) AS (VALUES {rows_sql(PRICES)}) SELECT user_id, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS tokens, CASE WHEN count(*) FILTER (WHERE usd IS NULL) = 0 THEN round(sum((event_id % 1000) * usd / 1e6), 6) END AS usd FROM events LEFT JOIN p ON event_type = model GROUP BY user_id""")
+def usage_cost(spark, d):
+    e = table(spark, d, "events").select("user_id", c("event_type").alias("model"), (c("event_id") % 1000).alias("tokens"))
+    return reports.usage_cost(e, spark.createDataFrame(PRICES, "model string, usd_per_million double"), ["user_id"]).withColumn("usd", F.round("usd", 6))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS f FROM events WHERE event_type = 'click' GROUP BY 1) SELECT e.user_id, event_id, event_type FROM events e JOIN l ON e.user_id = l.user_id AND ts >= f""")
+def newest_run(spark, d):
+    return reports.newest_run(table(spark, d, "events"), "user_id", "ts", "event_type", "click").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_type AS status, epoch_us(ts) AS at_us FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_state(spark, d):
+    return ev.latest_state(table(spark, d, "events")).select("user_id", "status", F.unix_micros(c("at").cast("timestamp")).alias("at_us"))
+
+
+@query("SELECT o_custkey AS owner, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS turn FROM orders WHERE o_orderstatus = 'O' QUALIFY turn <= 3")
+def fair_admission(spark, d):
+    q = reports.fair_rotation(table(spark, d, "orders").where("o_orderstatus = 'O'").withColumn("owner", c("o_custkey")), "owner", "o_orderdate", "o_orderkey", room=3)
+    return q.select("owner", "o_orderkey", c("turn").cast("long").alias("turn"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def newest_documents(spark, d):
+    return table(spark, d, "orders").orderBy(c("o_orderdate").desc(), c("o_orderkey").desc()).limit(50).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER w AS position, lag(o_orderkey) OVER w AS previous_id, lead(o_orderkey) OVER w AS next_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def neighbours(spark, d):
+    n = reports.neighbours(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderdate", "o_orderkey")
+    return n.select("o_custkey", "o_orderkey", c("position").cast("long").alias("position"), "previous_id", "next_id")
+
+
+@query("SELECT l_orderkey, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'O') AS n_O, count(*) FILTER (WHERE l_linestatus = 'F') AS n_F FROM lineitem GROUP BY 1")
+def status_counts(spark, d):
+    return reports.status_pivot(table(spark, d, "lineitem"), "l_orderkey", "l_linestatus", ["O", "F"])
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE value > 50) AS waiting, CAST(floor(min(epoch(ts)) FILTER (WHERE value > 50)) AS BIGINT) AS oldest FROM events GROUP BY 1")
+def queue_gauge(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count_if(c("value") > 50).alias("waiting"), F.min(F.when(c("value") > 50, F.unix_timestamp("ts"))).alias("oldest"))
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 2) AS quantity FROM events GROUP BY 1, 2")
+def usage_by_day(spark, d):
+    return table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("quantity"))
+
+
+@query("SELECT CAST(i AS INT) AS slot FROM range(1, 41) t(i) WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = i AND n_regionkey > 1)")
+def free_slots(spark, d):
+    leases = table(spark, d, "nation").select(c("n_nationkey").alias("slot"), c("n_regionkey").alias("expires"))
+    return reports.free_slots(leases, 40, F.lit(1))
+
+
+@query("SELECT event_type, value AS p95 FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 = least(floor(count(*) OVER (PARTITION BY event_type) * 0.95), count(*) OVER (PARTITION BY event_type) - 1)")
+def nearest_rank(spark, d):
+    return reports.nearest_rank(table(spark, d, "events"), ["event_type"], "value", 0.95)
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def event_payloads(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+NAMES = ["a.PDF", "b.tar.gz", "c", "d.JPEG", "e.mime", "dir.x/f", "g.Tab"]
+
+
+@query(f"""WITH v(name) AS (VALUES {rows_sql([(n,) for n in NAMES])}), k(e, kind) AS (VALUES {rows_sql([(e, f[0]) for f in fixed.FORMATS for e in f[4].split()])}), x AS (SELECT name, lower(regexp_extract(name, '\\.([^./]+)$', 1)) AS ext FROM v) SELECT name, ext, kind FROM x LEFT JOIN k ON e = ext""")
+def kinds_by_name(spark, d):
+    df = spark.createDataFrame([(n,) for n in NAMES], "name string").withColumn("ext", formats.extension_of(c("name")))
+    return df.withColumn("kind", formats.kind_for_extension(c("ext")))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '[",\\r\\n]') OR p_size > 25 THEN '"' || replace(p_name, '"', '""') || '"' ELSE p_name END AS field FROM part""")
+def written_fields(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.quote_field(c("p_name"), ",", c("p_size") > 25).alias("field"))
+
+
+@query()
+def visible_html(spark, d):
+    t = table(spark, d, "pages").select("page_id", markup.html_to_text("html").alias("t"))
+    return t.select("page_id", F.length("t.text").alias("chars"), F.size("t.attributes").alias("attributes"), F.sha2("t.text", 256).alias("sha"))
+
+
+@query()
+def detections(spark, d):
+    """All detectors over pages of text, occurrences of what is global, without repeats."""
+    pages = txt.paginate(table(spark, d, "documents"))
+    found = detectors.detect(pages).select("doc_id", "page", "category", "confidence", "start", "end", "text", "reason", "everywhere", "seq")
+    more = spans.expand_occurrences(found, pages).withColumn("seq", F.lit(1 << 20))
+    return spans.dedupe(found.unionByName(more)).drop("seq")
+
+
+@query()
+def token_buckets(spark, d):
+    return ev.token_buckets(table(spark, d, "events"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def hourly_events(spark, d):
+    w = ev.tumbling_counts(table(spark, d, "events"))
+    return w.select(F.unix_micros(c("window_start").cast("timestamp")).alias("window_us"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM r GROUP BY user_id, run""")
+def user_sessions(spark, d):
+    return ev.sessions(table(spark, d, "events")).select("user_id", F.unix_micros(c("session_start").cast("timestamp")).alias("start_us"), "n")
 
 
-def cards_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hits = docs.select("lang", F.explode(F.regexp_extract_all("text", F.lit(CARD), F.lit(0))).alias("hit"))
-    return hits.where(checksums.luhn_valid(F.col("hit"))).groupBy("lang").agg(F.count("*").alias("cards"))
+NODES = [(1, None, "box.mbox"), (2, 1, "msg-1"), (3, 1, "msg-2"), (4, 3, "a.pdf"), (5, None, "b.txt")]
 
 
-QUERIES = {"cards_by_language": cards_by_language}
-SQL = {
-    "cards_by_language": r"""
-WITH h AS (SELECT lang, regexp_replace(unnest(regexp_extract_all(text, '\b(?:[0-9][ -]*?){13,19}\b')), '[^0-9]', '', 'g') AS d FROM documents),
-     s AS (SELECT lang, list_sum(list_transform(range(1, CAST(length(d) + 1 AS BIGINT)), lambda i:
-             CASE WHEN i % 2 = 1 THEN CAST(substr(d, CAST(length(d) + 1 - i AS BIGINT), 1) AS INT)
-                  ELSE (CAST(substr(d, CAST(length(d) + 1 - i AS BIGINT), 1) AS INT) * 2) // 10 + (CAST(substr(d, CAST(length(d) + 1 - i AS BIGINT), 1) AS INT) * 2) % 10 END)) AS t,
-             length(d) AS n FROM h)
-SELECT lang, count(*) AS cards FROM s WHERE n BETWEEN 13 AND 19 AND t % 10 = 0 GROUP BY lang
-""",
-}
+@query(f"""WITH RECURSIVE n(id, parent, name) AS (VALUES {rows_sql(NODES)}), t AS (SELECT id, name AS path, 0 AS level FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.path || '/' || n.name, level + 1 FROM n JOIN t ON n.parent = t.id) SELECT CAST(id AS BIGINT) AS id, path, level FROM t""")
+def provenance_paths(spark, d):
+    return reports.tree_paths(spark.createDataFrame(NODES, "id long, parent long, name string"))
