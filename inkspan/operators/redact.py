@@ -90,8 +90,9 @@ def redact_cells(cells: DataFrame, orders: DataFrame, values: DataFrame, label:
     whole = cells.join(o, "doc_id").where(hit).select("doc_id", "row", "col").distinct().withColumn("_all", F.lit(True))
     lists = values.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("_vs"))
     rows = cells.join(whole, ["doc_id", "row", "col"], "left").join(lists, "doc_id", "left")
-    escaped = r"'(?iu)' || regexp_replace(v.value, '([\\\\^$.|?*+()\\[\\]{}])', '\\\\\\\\$1')"
-    swept = F.expr(f"aggregate(coalesce(_vs, array()), value, (s, v) -> regexp_replace(s, {escaped}, '{label}'))")
+    quoted = lambda v: F.concat(F.lit("(?iu)\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    none = F.array().cast("array<struct<n:int,value:string>>")
+    swept = F.aggregate(F.coalesce("_vs", none), F.col("value"), lambda s, v: F.regexp_replace(s, quoted(v["value"]), F.lit(label)))
     return rows.withColumn("redacted", F.when(F.length(F.coalesce("value", F.lit(""))) == 0, F.col("value")).when(F.col("_all"), F.lit(label)).otherwise(swept)).drop("_all", "_vs")
 
 
