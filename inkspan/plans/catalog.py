@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import checksums, fixed
 from inkspan.functions import text as tx
-from inkspan.operators import detectors, redact, reports, rules, scoring, spans
+from inkspan.operators import detectors, redact, reports, review, rules, scoring, spans
 from inkspan.sources import formats, markup
 from inkspan.sources import text as txt
 from inkspan.streaming import events as ev
@@ -348,7 +348,7 @@ def sample_quota(spark, d):
 @query("""SELECT event_type AS model, CAST(user_id % 3 AS BIGINT) AS phase, count(*) AS calls, round(sum(value), 2) AS tokens, 2 - grouping(event_type) - grouping(user_id % 3) AS level FROM events GROUP BY ROLLUP (event_type, user_id % 3)""")
 def spend_rollup(spark, d):
     e = table(spark, d, "events").select(c("event_type").alias("model"), (c("user_id") % 3).alias("phase"), "value")
-    return reports.rollup(e, ["model", "phase"], F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens"))
+    return reports.rollup(e, ["model", "phase"], F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens")).withColumn("level", c("level").cast("long"))
 
 
 PRICES = [("view", 3.0), ("click", 15.0)]
@@ -470,3 +470,60 @@ NODES = [(1, None, "box.mbox"), (2, 1, "msg-1"), (3, 1, "msg-2"), (4, 3, "a.pdf"
 @query(f"""WITH RECURSIVE n(id, parent, name) AS (VALUES {rows_sql(NODES)}), t AS (SELECT id, name AS path, 0 AS level FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.path || '/' || n.name, level + 1 FROM n JOIN t ON n.parent = t.id) SELECT CAST(id AS BIGINT) AS id, path, level FROM t""")
 def provenance_paths(spark, d):
     return reports.tree_paths(spark.createDataFrame(NODES, "id long, parent long, name string"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)the and')) AS BIGINT) AS hits FROM documents")
+def batch_search(spark, d):
+    """Hits in every document of a batch, none too."""
+    hits, pages = _rule_matches(spark, d)
+    n = hits.where("rule_id = 'r1'").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return pages.select("doc_id").join(n, "doc_id", "left").fillna(0, ["hits"])
+
+
+@query("""SELECT coalesce(category, 'total') AS category, count(*) AS documents, CAST(sum(n) AS BIGINT) AS redactions FROM (SELECT o_custkey, o_orderstatus AS category, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY ROLLUP (category)""")
+def batch_report(spark, d):
+    per = table(spark, d, "orders").groupBy("o_custkey", c("o_orderstatus").alias("category")).agg(F.count("*").alias("n"))
+    out = reports.rollup(per, ["category"], F.count("*").alias("documents"), F.sum("n").alias("redactions"))
+    return out.select(F.coalesce("category", F.lit("total")).alias("category"), "documents", "redactions")
+
+
+@query("""WITH n AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT CASE WHEN n = 1 THEN '1' WHEN n < 5 THEN '2-4' WHEN n < 10 THEN '5-9' ELSE '10+' END AS bucket, count(*) AS "values", CAST(sum(n) AS BIGINT) AS hits FROM n GROUP BY 1""")
+def values_by_repeat(spark, d):
+    return review.expansion_by_repeat(table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("occurrences")))
+
+
+@query("""SELECT event_type, count(DISTINCT user_id) AS documents, count(*) AS calls, (list_sort(array_agg(event_id)))[CAST(least(floor(count(*) * 0.95), count(*) - 1) + 1 AS BIGINT)] AS p95_ms FROM events GROUP BY 1""")
+def call_throughput(spark, d):
+    calls = table(spark, d, "events").select("event_type", c("user_id").alias("doc_id"), c("ts").alias("at"), c("event_id").alias("ms"), c("value").alias("tokens"))
+    return review.throughput(calls, ["event_type"]).select("event_type", "documents", "calls", "p95_ms")
+
+
+@query("""SELECT o_custkey AS owner, count(*) AS live, count(*) > 8 AS full FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL '1500 days' GROUP BY 1""")
+def live_rules(spark, d):
+    """Rules used within their idle time, and owners at their limit."""
+    o = table(spark, d, "orders")
+    newest = o.agg(F.max("o_orderdate").alias("now"))
+    live = o.where("o_orderstatus != 'P'").join(F.broadcast(newest), F.expr("o_orderdate >= now - INTERVAL '1500' DAY"))
+    return live.groupBy(c("o_custkey").alias("owner")).agg(F.count("*").alias("live"), (F.count("*") > 8).alias("full"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, epoch(o_orderdate) AS created, (o_orderkey % 5) * 24 * 3600 AS asked FROM orders)
+SELECT o_orderkey, CASE WHEN asked NOT IN (86400, 172800, 259200) THEN 'unsupported-window' WHEN asked <= 86400 THEN 'not-an-extension' ELSE 'ok' END AS outcome FROM v""")
+def retention_requests(spark, d):
+    made = c("o_orderdate").cast("timestamp")
+    day = F.expr("INTERVAL '1' DAY")
+    got = review.extend_retention(made, made + day, ((c("o_orderkey") % 5) * 86400).cast("int"), made + day, [86400, 172800, 259200])
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(got["reason"], F.lit("ok")).alias("outcome"))
+
+
+@query('''SELECT n_nationkey AS doc_id, n_name || ',' || n_regionkey || ',"a ""q"""' AS line FROM nation''')
+def rewritten_rows(spark, d):
+    """Delimited rows parsed into cells and written back."""
+    rows = table(spark, d, "nation").select(c("n_nationkey").alias("doc_id"), F.concat(c("n_name"), F.lit(","), c("n_regionkey").cast("string"), F.lit(',"a ""q"""')).alias("text"))
+    return txt.write_rows(txt.delimited_cells(rows)).select(c("doc_id").cast("int").alias("doc_id"), "line")
+
+
+@query(f"""WITH {_SPANS} SELECT doc_id, start, "end", arg_max(src, i) AS source FROM (SELECT doc_id, start, "end", category, 0 AS i, 'expansion' AS src FROM s UNION ALL SELECT doc_id, start, "end", category, 1, 'patterns' FROM s WHERE seq <= 2) GROUP BY doc_id, start, "end", category""")
+def named_sources(spark, d):
+    s = _line_spans(spark, d)
+    return review.with_sources(("expansion", s), ("patterns", s.where("seq <= 2"))).select("doc_id", "start", "end", "source")
