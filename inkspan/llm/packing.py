@@ -28,7 +28,9 @@ CAPACITY, END = 2048, 0
 #: Pieces of a shard, islands of a shard, rounds with migration between them, chromosomes of an island, offspring a round.
 SHARD, ISLANDS, ROUNDS, POPULATION, OFFSPRING = 16_384, 2, 2, 4, 12
 #: Memoised words per Python worker; the memo starts afresh when full.
-MEMO = 400_000
+MEMO = 500_000
+#: A word of letters whose lower case and composition do not depend on what is around them, with a stop or comma.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
 #: White space other than 0x09-0x0D and 0x20: libraries differ on it, so such texts are encoded in one call.
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
@@ -43,10 +45,29 @@ class WordTokenizer:
         spec = self.tk.to_str()
         self.by_word = '{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "}' in spec and '[^\\\\s\\\\p{L}\\\\p{N}]+"},"behavior":"Removed","invert":true}' in spec
         self.memo: dict[str, bytes] = {}
+        self.core: dict[str, bytes] = {}  # by lower-case letters alone
+        # a byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.alphabet = {c: chr(i) for c, i in ((c, c if c in set(own) else next(rest)) for c in range(256))}
+        self.stops = {"": b""} | {x: self.library(x) for x in ".,"}
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def plain(self, letters: str) -> bytes:
+        """Ids of one lower-case word of Latin-1 letters, from the tokenizer's merges alone."""
+        ids = self.core.get(letters)
+        if ids is None:
+            if len(self.core) >= MEMO:
+                self.core.clear()
+            word = "".join(map(self.alphabet.__getitem__, letters.encode()))
+            ids = self.core[letters] = np.array([t.id for t in self.tk.model.tokenize(word)], "<u4").tobytes()
+        return ids
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word or (not text.isascii() or not text.isprintable()) and RARE_SPACE.search(text):
-            return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.library(text)
         words = text.split()
         memo = self.memo
         got = list(map(memo.get, words))
@@ -55,7 +76,13 @@ class WordTokenizer:
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.tk.encode_batch(new, add_special_tokens=False), strict=True):
+            odd = []
+            for w in new:
+                if m := PLAIN.fullmatch(w):
+                    memo[w] = self.plain(m[1].lower()) + self.stops[m[2]]
+                else:
+                    odd.append(w)
+            for w, e in zip(odd, self.tk.encode_batch(odd, add_special_tokens=False), strict=True):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
             got = [memo[w] for w in words]
         return b"".join(got)

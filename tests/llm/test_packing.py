@@ -15,7 +15,7 @@ def test_ids_equal_the_library():
     assert mine.by_word
     rng = random.Random(1)
     odd = ["", " \n", "It's ÉCOLE", "a\x1cb", "x\x85y z\xa0w", "<|endoftext|> a<|startoftext|>b", "é Å", "１２ ½ 日本", "ΑΣ ΟΔΟΣ.", "İx", "​q﻿r", "word\x0bword\x0cx"]
-    for t in odd + ["".join(rng.choices("abÉ '́s12½.,\n\t　\x1f<|>e", k=rng.randrange(40))) for _ in range(2000)]:
+    for t in odd + ["".join(rng.choices("abÉ '́s12½.,\n\t　\x1f<|>e", k=rng.randrange(40))) for _ in range(2000)] + ["".join(rng.choices("abtheßÀöÿÏÝnrS.,", k=rng.randrange(1, 12))) for _ in range(4000)]:
         assert np.frombuffer(mine(t), "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
 
 
