@@ -11,9 +11,9 @@ id, or same document and earlier start) are covered by removed bytes; hashes onl
 
 Documents equal to an earlier one as a whole are told by SHA-256 beforehand: all their bytes go (from ``LENGTH`` up).
 
-Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; a null id sorts first; rows that share
-an id are taken for one document, their spans clipped to each text; an empty table gives an empty result; extra columns
-do not pass.
+Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; a null id sorts first (the least long is
+read as null); rows that share an id are taken for one document, their spans clipped to each text; an empty table gives
+an empty result; extra columns do not pass.
 """
 
 from __future__ import annotations
@@ -243,11 +243,12 @@ def _packed(kinds: dict[str, str]) -> str:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """key (the id, null as the least long), doc_id, n_bytes, spans (array of start, end), kept (binary)."""
+    """doc_id, n_bytes, starts and ends of the removed spans, kept (binary)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    texts = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    # the same two columns wherever texts are joined: Spark then deals them out by key once and reuses that
+    texts = docs.select(key.alias("key"), whole_text().alias("text"))
     whole = texts.select("key", F.sha2("text", 256).alias("sha"))
     first = whole.groupBy("sha").agg(F.min("key").alias("first"))
     copies = whole.join(first, "sha").where("key > first").select("key").distinct().withColumn("copy", F.lit(True))
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 4 * BLOCK):
             starts, stops, sizes, kept = [], [], [], []
-            for t, copy, items in zip(b.column(2), b.column(3).to_pylist(), b.column(4), strict=True):
+            for t, copy, items in zip(b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
                 raw = t.as_buffer().to_pybytes()
                 s = e = np.zeros(0, np.int64)
                 if copy and len(raw) >= LENGTH:
@@ -319,15 +320,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 starts.append(s)
                 stops.append(e)
                 sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), lists(starts, pa.int64()), lists(stops, pa.int64()), pa.array(kept, pa.binary())], names=["key", "doc_id", "n_bytes", "starts", "ends", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), lists(starts, pa.int64()), lists(stops, pa.int64()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "starts", "ends", "kept"])
 
     found = single.mapInArrow(find, _packed(ANCHOR)).repartition(n, "bucket").mapInArrow(repeated, "key long, at long, h long")
     found = found.groupBy("key").agg(F.collect_list(F.struct("at", "h")).alias("items"))
     around = single.join(found.hint("shuffle_hash"), "key").select("key", "text", "items").mapInArrow(contexts, _packed(CONTEXT))
     spans = around.repartition(n, "bucket").mapInArrow(order, "key long, start long, end long")
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("items"))
-    rows = marked.join(spans.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "copy", "items")
-    return rows.mapInArrow(cut, "key long, doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    rows = marked.join(spans.hint("shuffle_hash"), "key", "left").select("key", "text", "copy", "items")
+    rows = rows.mapInArrow(cut, "key long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return rows.select(F.when(F.col("key") != -(1 << 63), F.col("key")).alias("doc_id"), "n_bytes", "starts", "ends", "kept")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
