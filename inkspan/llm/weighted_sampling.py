@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import chunks, table, whole_text
 
 WORDS, SAMPLES, SEED = 5, 128, 42
 POOL = 1 << 16
@@ -121,14 +121,15 @@ def in_order(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     keys = docs.select(F.col("doc_id").cast("double").alias("k"))
-    bounds = sorted({int(x) for x in keys.approxQuantile("k", [i / (3 * n) for i in range(1, 3 * n)], 0.1 / n)})
+    bounds = sorted({int(x) for x in keys.approxQuantile("k", [i / (2 * n) for i in range(1, 2 * n)], 0.1 / n)})
     part = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= _key))") if bounds else F.lit(0)
     own = own.withColumn("_part", part)
     first = sorted((r[0], r[1]) for r in own.groupBy("_part").agg(F.min("_key")).collect())  # a row for each range
-    to = {key: first[i - 1][0] for i, (_, key) in enumerate(first)}
-    copies = own.where(F.col("_key").isin(list(to) or [0]))
-    if to:
-        copies = copies.withColumn("_part", F.coalesce(*(F.when(F.col("_key") == k, F.lit(p)) for k, p in to.items())))
+    # looked up by position: a branch for each range would make generated code that takes much memory to compile
+    before = [0] * (len(bounds) + 1)
+    for i, (p, _) in enumerate(first):
+        before[p] = first[i - 1][0]
+    copies = own.where(F.col("_key").isin([key for _, key in first] or [0])).withColumn("_part", F.expr(f"array({', '.join(map(str, before))})[_part]"))
     rows = own.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
     return rows.repartition(n, "_part").sortWithinPartitions("_part", "copy", "_key", "text").select("_part", "copy", "doc_id", "text")
 
@@ -140,7 +141,7 @@ def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, last = Sampler(), None
         kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-        for b in batches:
+        for b in chunks(batches, "text"):
             rows = []
             for part, copy, doc, text in zip(*(b.column(i) for i in range(4)), strict=True):
                 part, copy, text = part.as_py(), copy.as_py(), text.as_py()
