@@ -50,6 +50,11 @@ _CHECKS = {
 }
 
 
+_DIGIT = re.compile("[0-9]")
+#: What a text must hold for a pattern to match at all; every other detector needs a digit.
+_NEEDS = {"email-address": ("@",), "link-with-token": ("://",), "credential": ("_", "-", "AKIA", "AIza")}
+
+
 def resolve_overlaps(spans: list[tuple]) -> list[tuple]:
     """Greedy: by confidence, length and order of discovery; what overlaps a kept span goes. spans: (start, end,
     confidence, order, ...); the result is ordered by start."""
@@ -63,9 +68,12 @@ def resolve_overlaps(spans: list[tuple]) -> list[tuple]:
 def detect_text(text: str, languages: Sequence[str] = ("en",), detectors: Sequence[str] | None = None) -> list[dict]:
     """Detections of one text, without overlaps."""
     found: list[tuple] = []
+    digit = bool(_DIGIT.search(text))
     for name, category, confidence, everywhere, only, label, reason in fixed.DETECTORS:
         if detectors is not None and name not in detectors or only and only not in languages:
             continue
+        if not (any(x in text for x in _NEEDS[name]) if name in _NEEDS else digit):
+            continue
         sources = [fixed.PATTERNS[name]]
         if name == "street-address":
             sources += [fixed.STREETS[k] for k in languages if k in fixed.STREETS]
