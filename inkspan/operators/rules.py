@@ -1,8 +1,8 @@
 """User patterns: validation, matching, search summaries, previews, comparison, and rules carried to documents.
 
 Patterns are literals or regular expressions of a linear-time subset: no lookaround, no backreference, and no repeated
-group that itself repeats. They run in Arrow batches under a time limit for each text; a rule that exceeds a document's
-budget of matches or time fails for that document as a whole, never in part.
+group that itself repeats. They run in Arrow batches and give all matches; a budget of matches or time is an option, and a
+rule that exceeds it fails for that document as a whole, never in part.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql.window import Window
 
 from inkspan.functions.text import sample_around
 
-MAX_LENGTH, MAX_MATCHES, SECONDS = 500, 10_000, 5.0
+MAX_LENGTH = 500
 #: Rules at once: every task compiles all of them.
 MAX_RULES = 200
+#: Matches handed on at once.
+ROWS = 10_000
 
 
 class PatternError(ValueError):
@@ -53,9 +55,11 @@ def stored_pattern(pattern: str, kind: str) -> str:
     return " ".join(pattern.split()) if kind == "literal" else pattern
 
 
-def find_matches(rules: DataFrame, pages: DataFrame, max_matches: int = MAX_MATCHES, seconds: float = SECONDS) -> tuple[DataFrame, DataFrame]:
+def find_matches(rules: DataFrame, pages: DataFrame, max_matches: int | None = None, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, failures) of rules (rule_id, kind, pattern, match_case, whole_word, category) over pages (doc_id, page,
-    text): rule_id, doc_id, page, start, end, text, category; and rule_id, doc_id, reason. Rules that do not compile raise."""
+    text): rule_id, doc_id, page, start, end, text, category; and rule_id, doc_id, reason. Rules that do not compile raise.
+    All matches, unless a budget is given: of matches in a document, or of seconds for a text. A rule over its budget has
+    no matches in that document and a row among the failures, so whoever sets one must read both."""
     rows = rules.select("rule_id", "kind", "pattern", "match_case", "whole_word", "category").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise PatternError(f"over {MAX_RULES} rules")
@@ -63,7 +67,10 @@ def find_matches(rules: DataFrame, pages: DataFrame, max_matches: int = MAX_MATC
     for _, _, *spec in specs:
         compile_pattern(*spec)
     shared = pages.sparkSession.sparkContext.broadcast(specs)
-    kinds = pa.schema([("rule_id", pa.string()), ("doc_id", pa.int64()), ("page", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("category", pa.string()), ("failed", pa.bool_()), ("n", pa.int64())])
+    kinds = pa.schema([("rule_id", pa.string()), ("doc_id", pa.int64()), ("page", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("category", pa.string()), ("failed", pa.bool_())])
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [(rule, category, compile_pattern(*spec)) for rule, category, *spec in shared.value]
@@ -71,25 +78,29 @@ def find_matches(rules: DataFrame, pages: DataFrame, max_matches: int = MAX_MATC
             out = []
             for doc, page, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for rule, category, p in made:
-                    got = []
+                    n = 0
                     try:
                         for m in p.finditer(text or "", timeout=seconds):
                             if m.end() > m.start():
-                                got.append((str(rule), doc, page, m.start(), m.end(), m[0], category, False, 1))
-                            if len(got) > max_matches:
+                                out.append((str(rule), doc, page, m.start(), m.end(), m[0], category, False))
+                                n += 1
+                                if len(out) >= ROWS and seconds is None:  # handing rows on would count as time
+                                    yield batch(out)
+                                    out = []
+                            if max_matches is not None and n > max_matches:
                                 break
                     except TimeoutError:
-                        got = [(str(rule), doc, page, None, None, None, category, True, 0)]
-                    if len(got) > max_matches:
-                        got = [(str(rule), doc, page, None, None, None, category, False, len(got))]
-                    out += got
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], schema=kinds)
-
-    hits = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text").mapInArrow(run, "rule_id string, doc_id long, page int, start int, end int, text string, category string, failed boolean, n long")
-    spent = hits.groupBy("rule_id", "doc_id").agg(F.sum("n").alias("n"), F.bool_or("failed").alias("failed"))
-    bad = spent.where(F.col("failed") | (F.col("n") > max_matches))
+                        out.append((str(rule), doc, page, None, None, None, category, True))
+            yield batch(out)
+
+    hits = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text").mapInArrow(run, "rule_id string, doc_id long, page int, start int, end int, text string, category string, failed boolean")
+    spent = hits.groupBy("rule_id", "doc_id").agg(F.count_if(~F.col("failed")).alias("n"), F.bool_or("failed").alias("failed"))
+    bad = spent.where(F.col("failed") if max_matches is None else F.col("failed") | (F.col("n") > max_matches))
     failures = bad.select("rule_id", "doc_id", F.when(F.col("failed"), "time").otherwise("matches").alias("reason"))
-    return hits.drop("failed", "n").join(bad.select("rule_id", "doc_id"), ["rule_id", "doc_id"], "left_anti"), failures
+    if max_matches is None and seconds is None:
+        return hits.drop("failed"), failures
+    same = hits["rule_id"].eqNullSafe(F.col("_rule")) & hits["doc_id"].eqNullSafe(F.col("_doc"))
+    return hits.join(bad.select(F.col("rule_id").alias("_rule"), F.col("doc_id").alias("_doc")), same, "left_anti").drop("failed"), failures
 
 
 def to_redactions(matches: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
 from inkspan.operators import detectors, redact, reports, rules, scoring
+from inkspan.plans import catalog
 from inkspan.streaming import events as ev
 
 RULE = "rule_id string, kind string, pattern string, match_case boolean, whole_word boolean, category string"
@@ -31,6 +32,23 @@ def test_matches_and_budgets(spark):
     assert {(r.start, r.change) for r in diff.collect()} == {(12, "lost"), (26, "lost")}
 
 
+def test_queries_give_all_matches(spark, tmp_path):
+    """More hits than 10,000 in a document; a time limit only where it is asked for, and then with its row."""
+    text = "the and und " * 10_001 + 'token = "' + "a" * 40 + '"'
+    spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q, d = catalog.QUERIES, str(tmp_path)
+    assert {tuple(r) for r in q["batch_search"](spark, d).collect()} == {(1, 10_001), (2, 0)}
+    assert {tuple(r) for r in q["rule_matches"](spark, d).collect()} == {("r1", 1, 10_001), ("r2", 1, 1)}
+    assert {tuple(r) for r in q["rule_redactions"](spark, d).groupBy("rule_id").count().collect()} == {("r1", 10_001), ("r2", 1), ("r3", 10_001)}
+    assert [(r.doc_id, r.start) for r in q["search_samples"](spark, d).collect()] == [(1, 120_012)]
+    pages = spark.createDataFrame([(1, 1, "a" * 27 + "!")], "doc_id long, page int, text string")
+    slow = spark.createDataFrame([("slow", "regex", "(a|aa)+$|!", True, False, "other")], RULE)
+    hits, failed = rules.find_matches(slow, pages)
+    assert [(r.start, r.end) for r in hits.collect()] == [(27, 28)] and failed.count() == 0
+    hits, failed = rules.find_matches(slow, pages, seconds=0.001)
+    assert hits.count() == 0 and [(r.rule_id, r.reason) for r in failed.collect()] == [("slow", "time")]
+
+
 def test_learning_a_shape(spark):
     df = spark.createDataFrame([("KD-1", "customer-id"), ("KD-22", "customer-id"), ("AB-333", "other"), ("x", "other")], "value string, category string")
     assert rules.learn_pattern(df).collect() == [("A-9", "^[A-Z]+-[0-9]+$", "customer-id", 3)]
