@@ -9,11 +9,11 @@ compare once with the leaf they reach. First the contexts are ordered, so that c
 then, where an anchor has several contexts, the suffixes that start in them. All that equal an earlier suffix (smaller
 id, or same document and earlier start) are covered by removed bytes; hashes only ever choose what is compared.
 
-Documents equal to an earlier one as a whole are told by SHA-256 beforehand: all their bytes go (from ``LENGTH`` up).
+Documents equal to one of a smaller id as a whole are told by SHA-256 beforehand: all their bytes go (from ``LENGTH`` up).
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; a null id sorts first (the least long is
-read as null); rows that share an id are taken for one document, their spans clipped to each text; an empty table gives
-an empty result; extra columns do not pass.
+read as null); each row is a document of its own, and of rows that share an id only a smaller start is earlier, so strings
+that start at one place of one id all stay; an empty table gives an empty result; extra columns do not pass.
 """
 
 from __future__ import annotations
@@ -152,17 +152,23 @@ def deep_shallow(start: np.ndarray, group: np.ndarray, data: np.ndarray, length:
     return out
 
 
-def earlier(classes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """True for all but the first (by doc, place) of each class."""
+def earlier(classes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(again, order, first, ties): again is True for all that come after the first (by doc, place) of their class; the
+    first and its equals are the ``ties`` entries of ``order`` from ``first`` on."""
     order = np.lexsort((place, doc, classes))
+    c, d, p = classes[order], doc[order], place[order]
+    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
+    lead = np.repeat(first, np.diff(np.r_[first, len(c)]))
+    after = (d != d[lead]) | (p != p[lead])
     again = np.zeros(len(classes), bool)
-    again[order[1:]] = classes[order[1:]] == classes[order[:-1]]
-    return again
+    again[order] = after
+    return again, order, first, np.add.reduceat(~after, first, dtype=np.int64) if len(first) else first
 
 
-def covered(h: np.ndarray, doc: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(doc, start, end) of bytes to remove, for all occurrences of some anchors. context: one row of WIDTH bytes each."""
-    n = len(h)
+def covered(h: np.ndarray, doc: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: np.ndarray, row: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, start, end) of bytes to remove, for all occurrences of some anchors. context: one row of WIDTH bytes each;
+    row: which document it is, where ids (doc) are not enough."""
+    n, row = len(h), doc if row is None else row
     column = np.arange(WIDTH)
     data = np.zeros((n, 16 + WIDTH), np.uint8)
     data[:, 16:] = np.where((column >= (SPAN - hi)[:, None]) & (column < (WIDTH - lo)[:, None]), context, 0)
@@ -170,10 +176,12 @@ def covered(h: np.ndarray, doc: np.ndarray, place: np.ndarray, lo: np.ndarray, h
     data[:, 8], data[:, 9] = lo, hi
     data = np.append(data.ravel(), np.zeros(8, np.uint8))
     start = np.arange(n) * (16 + WIDTH)
-    again = earlier(deep_shallow(start, np.zeros(n, np.int64), data, 16 + WIDTH), doc, place)
-    docs, starts, ends = [doc[again]], [(place - hi)[again]], [(place - lo + LENGTH)[again]]
+    again, order, first, ties = earlier(deep_shallow(start, np.zeros(n, np.int64), data, 16 + WIDTH), doc, place)
+    rows, starts, ends = [row[again]], [(place - hi)[again]], [(place - lo + LENGTH)[again]]
+    at_order, n_ties = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of a first: it stands for its ties
+    at_order[order[first]], n_ties[order[first]] = first, ties
     # anchors with several contexts: their suffixes
-    rest = np.flatnonzero(~again)
+    rest = order[first]
     rest = rest[np.argsort(h[rest], kind="stable")]
     edge = np.flatnonzero(np.r_[True, h[rest][1:] != h[rest][:-1]]) if len(rest) else np.zeros(0, np.int64)
     size = np.diff(np.r_[edge, len(rest)])
@@ -196,12 +204,15 @@ def covered(h: np.ndarray, doc: np.ndarray, place: np.ndarray, lo: np.ndarray, h
                 back = np.full(len(who), offsets)
             own = r[who]
             begin = start[own] + 16 + SPAN - back
-            dup = earlier(deep_shallow(begin, num[who] * (SPAN + 1) + back, data, LENGTH), doc[own], place[own])
-            docs.append(doc[own][dup])
-            starts.append((place[own] - back)[dup])
-            ends.append((place[own] - back)[dup] + LENGTH)
+            dup = earlier(deep_shallow(begin, num[who] * (SPAN + 1) + back, data, LENGTH), doc[own], place[own])[0]
+            own, back = own[dup], back[dup]
+            times = n_ties[own]
+            tied = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(at_order[own], times)
+            rows.append(row[order[tied]])
+            starts.append(np.repeat(place[own] - back, times))
+            ends.append(np.repeat(place[own] - back, times) + LENGTH)
         at = stop
-    return merge(np.concatenate(docs), np.concatenate(starts), np.concatenate(ends))
+    return merge(np.concatenate(rows), np.concatenate(starts), np.concatenate(ends))
 
 
 def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -234,8 +245,8 @@ def _unpack(batches: list[pa.RecordBatch], kinds: dict[str, str]) -> list[np.nda
     return [np.frombuffer(b"".join(x.as_buffer().to_pybytes() if (x := v).is_valid else b"" for b in batches for v in b.column(b.schema.get_field_index(k))), t) for k, t in kinds.items()]
 
 
-ANCHOR = {"h": "<u8", "doc": "<i8", "place": "<i8", "lo": "u1", "hi": "u1"}
-CONTEXT = {**ANCHOR, "context": "u1"}
+ANCHOR = {"h": "<u8", "row": "<i8", "place": "<i8", "lo": "u1", "hi": "u1"}
+CONTEXT = {**ANCHOR, "doc": "<i8", "context": "u1"}
 
 
 def _packed(kinds: dict[str, str]) -> str:
@@ -247,23 +258,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    # the same two columns wherever texts are joined: Spark then deals them out by key once and reuses that
-    texts = docs.select(key.alias("key"), whole_text().alias("text"))
-    whole = texts.select("key", F.sha2("text", 256).alias("sha"))
+    # each row has its own number; the same three columns wherever texts are joined: Spark then deals them out by number
+    # once and reuses that
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("key"), whole_text().alias("text")).repartition(n, "row")
+    whole = texts.select("row", "key", F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha"))  # never null: no filter gets below the deal
     first = whole.groupBy("sha").agg(F.min("key").alias("first"))
-    copies = whole.join(first, "sha").where("key > first").select("key").distinct().withColumn("copy", F.lit(True))
-    marked = texts.join(copies.hint("shuffle_hash"), "key", "left")
-    single = marked.where("copy is null").select("key", "text")
+    copies = whole.join(first, "sha").where("key > first").select("row", F.lit(True).alias("copy"))
+    marked = texts.join(copies.hint("shuffle_hash"), "row", "left")
+    single = marked.where("copy is null").select("row", "key", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 8 * BLOCK):
-            parts = [(np.full(len(h), k), h, p, lo, hi) for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for h, p, lo, hi in document_anchors(t.as_buffer().to_pybytes())]
+            parts = [(np.full(len(h), r), h, p, lo, hi) for r, t in zip(b.column(0).to_pylist(), b.column(2), strict=True) for h, p, lo, hi in document_anchors(t.as_buffer().to_pybytes())]
             if parts:
-                doc, h, place, lo, hi = map(np.concatenate, zip(*parts, strict=True))
-                yield _pack((h % np.uint64(buckets)).astype(np.int64), {"h": h, "doc": doc, "place": place, "lo": lo.astype(np.uint8), "hi": hi.astype(np.uint8)})
+                row, h, place, lo, hi = map(np.concatenate, zip(*parts, strict=True))
+                yield _pack((h % np.uint64(buckets)).astype(np.int64), {"h": h, "row": row, "place": place, "lo": lo.astype(np.uint8), "hi": hi.astype(np.uint8)})
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, doc, place, lo, hi = _unpack(list(batches), ANCHOR)
+        h, row, place, lo, hi = _unpack(list(batches), ANCHOR)
         order = np.argsort(h)
         s = h[order]
         same = np.r_[False, s[1:] == s[:-1]] if len(s) else np.zeros(0, bool)
@@ -271,24 +283,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         packed = place[keep] << 16 | lo[keep].astype(np.int64) << 8 | hi[keep]
         for i in range(0, len(keep), 100_000):
             at = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep[at]]), pa.array(packed[at]), pa.array(h[keep[at]].view(np.int64))], names=["key", "at", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[keep[at]]), pa.array(packed[at]), pa.array(h[keep[at]].view(np.int64))], names=["row", "at", "h"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 2 * BLOCK):
             parts = []
-            for k, t, items in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for r, k, t, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 raw = np.frombuffer(t.as_buffer().to_pybytes(), np.uint8)
                 rows = items.values
                 at, h = rows.field("at").to_numpy(zero_copy_only=False), rows.field("h").to_numpy(zero_copy_only=False)
                 place = at >> 16
-                fits = place - (at & 255) + LENGTH <= len(raw)  # rows that share an id may be shorter
-                at, h, place = at[fits], h[fits], place[fits]
                 where = place[:, None] + np.arange(-SPAN, GRAM + SPAN)
                 body = np.where((where >= 0) & (where < len(raw)), raw[np.clip(where, 0, len(raw) - 1)], 0).astype(np.uint8)
-                parts.append((h.view(np.uint64), np.full(len(h), k), place, (at >> 8 & 255).astype(np.uint8), (at & 255).astype(np.uint8), body))
-            h, doc, place, lo, hi, body = map(np.concatenate, zip(*parts, strict=True))
+                parts.append((h.view(np.uint64), np.full(len(h), r), np.full(len(h), k), place, (at >> 8 & 255).astype(np.uint8), (at & 255).astype(np.uint8), body))
+            h, row, doc, place, lo, hi, body = map(np.concatenate, zip(*parts, strict=True))
             if len(h):
-                yield _pack((h % np.uint64(buckets)).astype(np.int64), {"h": h, "doc": doc, "place": place, "lo": lo, "hi": hi, "context": body})
+                yield _pack((h % np.uint64(buckets)).astype(np.int64), {"h": h, "row": row, "place": place, "lo": lo, "hi": hi, "doc": doc, "context": body})
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -296,38 +306,36 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         one = pa.Table.from_batches(held) if held else None
         for k in np.unique(number):
             own = one.take(np.flatnonzero(number == k)).to_batches()
-            h, doc, place, lo, hi, body = _unpack(own, CONTEXT)
-            d, s, e = covered(h, doc, place, lo.astype(np.int64), hi.astype(np.int64), body.reshape(len(h), WIDTH))
-            for i in range(0, len(d), 100_000):
+            h, row, place, lo, hi, doc, body = _unpack(own, CONTEXT)
+            r, s, e = covered(h, doc, place, lo.astype(np.int64), hi.astype(np.int64), body.reshape(len(h), WIDTH), row)
+            for i in range(0, len(r), 100_000):
                 at = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(s[at]), pa.array(e[at])], names=["key", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.array(s[at]), pa.array(e[at])], names=["row", "start", "end"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 4 * BLOCK):
             starts, stops, sizes, kept = [], [], [], []
-            for t, copy, items in zip(b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
+            for t, copy, items in zip(b.column(2), b.column(3).to_pylist(), b.column(4), strict=True):
                 raw = t.as_buffer().to_pybytes()
                 s = e = np.zeros(0, np.int64)
                 if copy and len(raw) >= LENGTH:
                     s, e = np.zeros(1, np.int64), np.full(1, len(raw))
                 elif items.is_valid:
                     s, e = items.values.field("start").to_numpy(zero_copy_only=False), items.values.field("end").to_numpy(zero_copy_only=False)
-                    s, e = np.minimum(s, len(raw)), np.minimum(e, len(raw))
-                    s, e = s[e > s], e[e > s]
                     _, s, e = merge(np.zeros(len(s), np.int64), s, e)
                 edges = [0, *(x for pair in zip(s.tolist(), e.tolist(), strict=True) for x in pair), len(raw)]
                 kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                 starts.append(s)
                 stops.append(e)
                 sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), lists(starts, pa.int64()), lists(stops, pa.int64()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "starts", "ends", "kept"])
-
-    found = single.mapInArrow(find, _packed(ANCHOR)).repartition(n, "bucket").mapInArrow(repeated, "key long, at long, h long")
-    found = found.groupBy("key").agg(F.collect_list(F.struct("at", "h")).alias("items"))
-    around = single.join(found.hint("shuffle_hash"), "key").select("key", "text", "items").mapInArrow(contexts, _packed(CONTEXT))
-    spans = around.repartition(n, "bucket").mapInArrow(order, "key long, start long, end long")
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("items"))
-    rows = marked.join(spans.hint("shuffle_hash"), "key", "left").select("key", "text", "copy", "items")
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int64()), lists(starts, pa.int64()), lists(stops, pa.int64()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "starts", "ends", "kept"])
+
+    found = single.mapInArrow(find, _packed(ANCHOR)).repartition(n, "bucket").mapInArrow(repeated, "row long, at long, h long")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("at", "h")).alias("items"))
+    around = single.join(found.hint("shuffle_hash"), "row").select("row", "key", "text", "items").mapInArrow(contexts, _packed(CONTEXT))
+    spans = around.repartition(n, "bucket").mapInArrow(order, "row long, start long, end long")
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("items"))
+    rows = marked.join(spans.hint("shuffle_hash"), "row", "left").select("row", "key", "text", "copy", "items")
     rows = rows.mapInArrow(cut, "key long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     return rows.select(F.when(F.col("key") != -(1 << 63), F.col("key")).alias("doc_id"), "n_bytes", "starts", "ends", "kept")
 

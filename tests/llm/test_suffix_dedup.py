@@ -88,6 +88,25 @@ def test_query_against_brute_force(spark, sf):
     assert {d for d in want if want[d] != got.get(d)} == set() and len(got) == len(want)
 
 
+def test_rows_that_share_an_id(spark, tmp_path):
+    rng = random.Random(7)
+    part = ["".join(rng.choices("abcdefgh ", k=150)) for _ in range(5)]
+    kinds = [part[0], part[0] + part[1], "x" * 7 + part[0], part[2] + part[0], part[1] + part[3], part[3], part[2] + part[2], part[4]]
+    rows = [(d, rng.choice(kinds)) for d in (None, 1, 2, 2, 3, None, None, 1, 1, 4, 5, 5)] + [(6, part[4]), (6, part[4]), (7, part[4]), (7, part[4] + part[1]), (7, kinds[2]), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    least = {}
+    texts = [(-(1 << 63) if d is None else d, (t or "").encode()) for d, t in rows]
+    for d, b in texts:
+        for i in range(len(b) - 99):
+            least[b[i : i + 100]] = min(least.get(b[i : i + 100], (d, i)), (d, i))
+    want = []
+    for (d, _), (k, b) in zip(rows, texts):
+        gone = {j for i in range(len(b) - 99) if least[b[i : i + 100]] < (k, i) for j in range(i, i + 100)}
+        want.append((d, len(b), len(gone), sum(j - 1 not in gone for j in gone), sd.hashlib.sha256(bytes(x for j, x in enumerate(b) if j not in gone)).hexdigest()))
+    got = sd.op7_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_defined_cases(spark, tmp_path):
     t = "0123456789" * 10
     spark.createDataFrame([(None, t), (1, t + "x"), (1, t + "x"), (2, None), (3, "short"), (4, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
