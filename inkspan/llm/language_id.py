@@ -136,12 +136,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns, that a language is found for."""
+    """The documents, all columns, that a language is found for; with a model that has learnt none, all that hold a letter."""
     at = docs.columns.index("text")
 
+    def found(text: str | None) -> bool:
+        return model.predict(text)[0] != UNKNOWN if model.langs else any(map(str.isalpha, text or ""))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([model.predict(t.as_py())[0] != UNKNOWN for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([found(t.as_py()) for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -22,6 +22,13 @@ def test_families_come_first():
     assert m.predict("the thing and the")[0] == "en" and m.predict("la eau le")[0] == "fr"
 
 
+def test_accept_without_labels(spark):
+    """No label outside the held-out fold: nothing is learnt, and texts with a letter stay."""
+    rows = [(i, t, None) for i, t in enumerate(["hello there", None, "12 --", "", "das ist"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in li.accept(docs, li.train(docs)).collect()) == [0, 4]
+
+
 def test_defined_cases(spark):
     rows = [(1, "hello there", "en", 1), (2, None, "en", 1), (3, "12 ½ ² --", None, 1), (4, "", "de", 1), (None, "das ist", "de", 1), (3, "x" * 3_000_000, "en", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
