@@ -336,7 +336,7 @@ def label_agreement(spark, d):
 @query()
 def recall_interval(spark, d):
     per = table(spark, d, "labels").select("doc_id", c("quality").alias("hit"), F.lit(1).alias("total"))
-    return scoring.bootstrap(per, "hit", "total", rounds=200)
+    return scoring.bootstrap(per, "hit", "total")
 
 
 @query("""WITH n AS (SELECT o_orderpriority AS stratum, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT stratum, n * 100.0 / sum(n) OVER () AS e FROM n), f AS (SELECT stratum, floor(e) AS f, row_number() OVER (ORDER BY e - floor(e) DESC, stratum) AS o, 100 - sum(floor(e)) OVER () AS rest FROM e)

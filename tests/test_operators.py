@@ -49,6 +49,12 @@ def test_queries_give_all_matches(spark, tmp_path):
     assert hits.count() == 0 and [(r.rule_id, r.reason) for r in failed.collect()] == [("slow", "time")]
 
 
+def test_recall_interval_has_all_rounds(spark, sf):
+    per = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("hit"), F.lit(1).alias("total"))
+    want, few = (scoring.bootstrap(per, "hit", "total", rounds=n).first() for n in (2000, 200))
+    assert catalog.QUERIES["recall_interval"](spark, sf).first() == want != few
+
+
 def test_learning_a_shape(spark):
     df = spark.createDataFrame([("KD-1", "customer-id"), ("KD-22", "customer-id"), ("AB-333", "other"), ("x", "other")], "value string, category string")
     assert rules.learn_pattern(df).collect() == [("A-9", "^[A-Z]+-[0-9]+$", "customer-id", 3)]
