@@ -79,11 +79,12 @@ def free_slots(leases: DataFrame, slots: int, now: Column) -> DataFrame:
     return every.join(leases.where(F.col("expires") > now).select("slot"), "slot", "left_anti")
 
 
-def tree_paths(nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """id, path, level of a forest (id, parent, name) of bounded depth; siblings are named as they are."""
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """id, path, level of a forest (id, parent, name), level by level until one is empty; siblings are named as they are."""
     level = nodes.where("parent is null").select("id", F.col("name").alias("path"), F.lit(0).alias("level"))
-    out = level
-    for i in range(1, depth + 1):
+    out, i = level, 0
+    while not level.isEmpty():
+        i += 1
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("_p"))
         level = nodes.join(up, "parent").select("id", F.concat("_p", F.lit("/"), "name").alias("path"), F.lit(i).alias("level"))
         out = out.unionByName(level)

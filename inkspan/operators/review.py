@@ -185,9 +185,11 @@ def import_rules(spark, path: str, existing: DataFrame, cap: int = 200) -> DataF
 
 
 def export_rules(rules: DataFrame) -> DataFrame:
-    """One row: the rules as the JSON that import_rules reads (200 at most)."""
+    """One row: the rules as the JSON that import_rules reads; over 200 are refused."""
     r = F.struct("pattern", "kind", "match_case", "whole_word", "category")
-    return rules.limit(200).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.sort_array(F.collect_list(r)).alias("rules"))).alias("value"))
+    if rules.limit(201).count() > 200:
+        raise ValueError("over 200 rules")
+    return rules.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.sort_array(F.collect_list(r)).alias("rules"))).alias("value"))
 
 
 def text_boxes(spans: DataFrame, words: DataFrame, pad: float = 1.5) -> DataFrame:

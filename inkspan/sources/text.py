@@ -120,8 +120,8 @@ def parse_delimited_text(text: str, delimiter: str = ",") -> list[list[tuple[str
 
 
 def delimited_cells(docs: DataFrame, delimiter: str = ",") -> DataFrame:
-    """doc_id, row, col (from 1), value, quoted: the filled cells of delimited texts. Over 200,000 rows are refused, columns
-    past 2,048 left out."""
+    """doc_id, row, col (from 1), value, quoted: the filled cells of delimited texts. Over 200,000 rows or a
+    filled cell past column 2,048 are refused."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
@@ -131,7 +131,9 @@ def delimited_cells(docs: DataFrame, delimiter: str = ",") -> DataFrame:
                 grid = parse_delimited_text((text or "").removeprefix("\ufeff"), delimiter)
                 if len(grid) > MAX_ROWS:
                     raise ValueError(f"document {doc} has over {MAX_ROWS} rows")
-                out += [(doc, r + 1, c + 1, v, q) for r, row in enumerate(grid) for c, (v, q) in enumerate(row[:MAX_COLUMNS]) if v]
+                if any(v for row in grid for v, _ in row[MAX_COLUMNS:]):
+                    raise ValueError(f"document {doc} has over {MAX_COLUMNS} columns")
+                out += [(doc, r + 1, c + 1, v, q) for r, row in enumerate(grid) for c, (v, q) in enumerate(row) if v]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "row", "col", "value", "quoted"])
 

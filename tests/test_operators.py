@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
-from inkspan.operators import detectors, redact, reports, rules, scoring
+from inkspan.operators import detectors, redact, reports, review, rules, scoring
 from inkspan.plans import catalog
+from inkspan.sources.text import delimited_cells
 from inkspan.streaming import events as ev
 
 RULE = "rule_id string, kind string, pattern string, match_case boolean, whole_word boolean, category string"
@@ -49,6 +50,16 @@ def test_queries_give_all_matches(spark, tmp_path):
     assert hits.count() == 0 and [(r.rule_id, r.reason) for r in failed.collect()] == [("slow", "time")]
 
 
+def test_limits_are_not_silent(spark):
+    chain = spark.createDataFrame([(i, i - 1 or None, str(i)) for i in range(1, 7)], "id long, parent long, name string")
+    assert sorted((r.level, r.path) for r in reports.tree_paths(chain).collect()) == [(i, "/".join(map(str, range(1, i + 2)))) for i in range(6)]
+    many = spark.createDataFrame([(str(i), "literal", False, False, "other") for i in range(201)], "pattern string, kind string, match_case boolean, whole_word boolean, category string")
+    with pytest.raises(ValueError, match="200"):
+        review.export_rules(many)
+    with pytest.raises(Exception, match="over 2048 columns"):
+        delimited_cells(spark.createDataFrame([(1, "," * 2048 + "x")], "doc_id long, text string")).collect()
+
+
 def test_recall_interval_has_all_rounds(spark, sf):
     per = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("hit"), F.lit(1).alias("total"))
     want, few = (scoring.bootstrap(per, "hit", "total", rounds=n).first() for n in (2000, 200))
