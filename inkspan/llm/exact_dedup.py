@@ -1,77 +1,119 @@
 """Exact deduplication through an extendible-hash index on shared files; DataFrame functions only.
 
-A text's key is its XXH64. Chain entries (one per distinct byte string under a key) come out of an aggregation that
-groups by key and bytes, so equality is decided by the bytes and copies are combined before the shuffle. The directory
-starts at depth 0 and doubles: a bucket whose entries exceed ``capacity`` splits on the next bit of the key, up to
-``max_depth``; what still collides stays chained in its bucket. Owner tasks hold ranges of keys: they number the chains
-and write the buckets as files in the shared folder. Documents then probe the index by key and, along the chain, by
-the SHA-256 of the bytes.
+A text's key is its XXH64. The directory maps the leading bits of a key to a bucket: it starts as one bucket and doubles
+while a bucket holds more than ``capacity`` entries, each overfull bucket splitting in two by its next bit, up to
+``max_depth`` bits; what then still collides stays in its bucket. Chain entries (one for each distinct byte string under
+a key) come out of an aggregation by key and bytes, so copies are combined before the shuffle and equality is decided
+by comparing bytes. Owner tasks take ranges of (bucket, key), number the chains and write the buckets as files in the
+shared folder; an entry of a chain of several holds its bytes.
+
+A document probes by the directory cell of its key: the cell names the bucket, and bucket and key find the chain. A
+chain of one entry is the document's own, as every probed text was indexed; a longer one is walked by comparing bytes.
 
 Defined cases: a null text is the empty text; a null id is never the smallest unless all ids of a group are null;
-rows repeated with the same id all carry that id's verdict; an empty table gives an empty result; extra columns pass.
+rows repeated with the same id all carry that id's verdict; an empty table gives an empty result; extra columns do not
+pass ``exact_dedup``, all columns pass ``drop_copies``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, table, whole_text
 
-#: Entries that a bucket holds before it splits, and bits of the directory at most (65,536 cells).
-CAPACITY, MAX_DEPTH = 50_000, 16
-SPACES = "[\\x20\\x09-\\x0D]+"
+#: Entries that a bucket holds before it splits, and bits of the directory at most (1,048,576 cells: what is
+#: broadcast of it has 20 MB at most, whatever the corpus).
+CAPACITY, MAX_DEPTH = 20_000, 20
+#: Colliding keys that are broadcast at most; more are joined by a shuffle. 64 bits collide once in 10**9 texts or so.
+BROADCAST_KEYS = 1_000_000
+#: Runs of white space that are not one plain space already: far fewer matches than all runs, the same result.
+SPACES = "[\\x20\\x09-\\x0D]{2,}|[\\x09-\\x0D]"
+
+
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(text, SPACES, " ")
 
 
 def _keyed(docs: DataFrame, key_bits: int) -> DataFrame:
-    norm = F.regexp_replace(whole_text(), SPACES, " ")
+    norm = normalised(whole_text())
     key = F.xxhash64(norm)
     if key_bits < 64:  # fewer bits make collisions, for tests
         key = F.shiftleft(key, 64 - key_bits)
     return docs.select("doc_id", norm.alias("_norm"), key.alias("_key"))
 
 
+def _cell(max_depth: int) -> Column:
+    return F.shiftrightunsigned("_key", 64 - max_depth)
+
+
 def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(cell, depth, bucket): the local depth of each directory cell, at most 2**max_depth rows.
-
-    A cell is the first ``max_depth`` bits of a key. For each depth d the entries under a prefix of d bits are summed;
-    a cell's local depth is the first d at which its bucket is not overfull.
-    """
-    cells = entries.groupBy(F.shiftrightunsigned("_key", 64 - max_depth).alias("cell")).agg(F.count("*").alias("n"))
-    depths = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    depths = depths.withColumn("prefix", F.expr(f"shiftright(cell, {max_depth} - depth)"))
-    full = depths.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    ok = depths.join(full, ["depth", "prefix"]).where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    local = ok.groupBy("cell").agg(F.min("depth").alias("depth"))
-    return local.select("cell", "depth", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)").alias("bucket"))
-
-
-def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key_bits: int = 64) -> DataFrame:
-    """The index as read back from its files: bucket, depth, _key, chain, text_sha256, keep_id, group_size."""
+    """(cell, depth, bucket) for the cells in use, 2**max_depth at most: a cell is the first ``max_depth`` bits of a key, a
+    bucket the cell where it starts, depth the bits that its keys share. One doubling a round, until nothing is overfull."""
+    cells = entries.groupBy(_cell(max_depth).alias("cell")).agg(F.count("*").alias("n"))
+    now = materialize(cells.select("cell", "n", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket")), "directory")
+    for depth in range(max_depth):
+        held = now.where(F.col("depth") == depth).groupBy("bucket").agg(F.sum("n").alias("held"))
+        over = held.where(F.col("held") > capacity).select("bucket", F.lit(True).alias("_over"))
+        if over.isEmpty():
+            break
+        bit = 1 << (max_depth - depth - 1)
+        split = now.join(F.broadcast(over), "bucket", "left")  # 2**max_depth rows at most
+        upper = F.when(F.col("_over") & (F.col("cell").bitwiseAND(F.lit(bit)) != 0), F.lit(bit)).otherwise(0)
+        now = materialize(split.select("cell", "n", F.when(F.col("_over"), depth + 1).otherwise(F.col("depth")).alias("depth"), (F.col("bucket") + upper).cast("long").alias("bucket")), "directory")
+    return now.select("cell", "depth", "bucket")
+
+
+class Index:
+    """A built index: ``cells`` (the directory) and ``buckets`` (its files, read back: bucket, depth, _key, chain, length,
+    body, text_sha256, keep_id, group_size; length is the number of entries of a chain, body null where that is one)."""
+
+    def __init__(self, cells: DataFrame, buckets: DataFrame, collided: DataFrame, max_depth: int, key_bits: int):
+        self.cells, self.buckets, self.collided, self.max_depth, self.key_bits = cells, buckets, collided, max_depth, key_bits
+
+    def probe(self, docs: DataFrame) -> DataFrame:
+        """Each of the indexed documents with the entry of its text."""
+        rows = _keyed(docs, self.key_bits).join(self.collided, "_key", "left")
+        body = F.when(F.col("_many"), F.col("_norm"))  # bytes travel only where there is something to compare
+        rows = rows.select("doc_id", "_key", _cell(self.max_depth).alias("cell"), body.alias("_body"))
+        rows = rows.join(F.broadcast(self.cells.select("cell", "bucket")), "cell").drop("cell")
+        return rows.join(self.buckets, ["bucket", "_key"]).where(F.col("_body").eqNullSafe(F.col("body"))).drop("_body", "body")
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key_bits: int = 64) -> Index:
     entries = _keyed(docs, key_bits).groupBy("_key", "_norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = materialize(entries.select("_key", F.sha2("_norm", 256).alias("text_sha256"), "keep_id", "group_size"), "entries")
-    cells = F.broadcast(directory(entries, capacity, max_depth))  # 2**max_depth rows at most
-    owned = entries.withColumn("cell", F.shiftrightunsigned("_key", 64 - max_depth)).join(cells, "cell")
+    collided = materialize(entries.groupBy("_key").agg(F.count("*").cast("int").alias("length")).where("length > 1").withColumn("_many", F.lit(True)), "collided")
+    n = collided.count()
+    known = F.broadcast(collided) if n <= BROADCAST_KEYS else collided
+    cells = directory(entries, capacity, max_depth)
+    owned = entries.withColumn("cell", _cell(max_depth)).join(F.broadcast(cells), "cell").drop("cell")
+    owned = owned.join(known.drop("_many"), "_key", "left").withColumn("length", F.coalesce("length", F.lit(1)))
+    if n:  # the bytes of chains that have something to compare
+        bodies = _keyed(docs, key_bits).join(known, "_key", "left_semi").select("_key", F.col("_norm").alias("body"), F.sha2("_norm", 256).alias("text_sha256")).distinct()
+        owned = owned.join(bodies, ["_key", "text_sha256"], "left")
+    else:
+        owned = owned.withColumn("body", F.lit(None).cast("string"))
     chain = F.row_number().over(Window.partitionBy("bucket", "_key").orderBy("keep_id", "text_sha256")) - 1
     owned = owned.repartitionByRange("bucket", "_key").withColumn("chain", chain)
-    return materialize(owned.select("bucket", "depth", "_key", "chain", "text_sha256", "keep_id", "group_size"), "index")
+    buckets = materialize(owned.select("bucket", "depth", "_key", "chain", "length", "body", "text_sha256", "keep_id", "group_size"), "buckets")
+    return Index(cells, buckets, known.select("_key", "_many"), max_depth, key_bits)
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain."""
-    index = build_index(docs, capacity, max_depth, key_bits).drop("depth")
-    probes = _keyed(docs, key_bits).select("doc_id", "_key", F.sha2("_norm", 256).alias("text_sha256"))
-    found = probes.join(index, ["_key", "text_sha256"])
+    found = build_index(docs, capacity, max_depth, key_bits).probe(docs)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that stay; a row repeated with id and text stays once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_of", F.sha2(F.regexp_replace(whole_text(), SPACES, " "), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_sha"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_of"]).drop("_of")
+    """The documents, all columns, that stay; a row repeated with id and text stays once. Rows meet the index by id and
+    digest, so a large group of copies does not meet in one task."""
+    at = F.coalesce(F.col("keep_id").cast("string"), F.lit(""))
+    kept = build_index(docs).buckets.select(at.alias("_at"), F.col("text_sha256").alias("_of"))
+    rows = docs.withColumns({"_at": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_of": F.sha2(normalised(whole_text()), 256)})
+    return rows.join(kept, ["_at", "_of"], "left_semi").dropDuplicates(["_at", "_of"]).drop("_at", "_of")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Documents are cut only where they exceed a sequence. Full pieces are sequences o
 random into shards of about ``SHARD`` pieces, so that memory and time of a task do not follow the corpus. For each shard
 several islands evolve: a chromosome is a grouping of the shard's pieces into sequences; crossover injects whole
 well-filled sequences of the mate, drops the sequences that hold copies of the injected pieces, and best-fits the
-displaced pieces. Between rounds each island's elite also moves to the next island. The shard's best grouping wins.
+displaced pieces. Between rounds each island's elite also moves to the next island. The shard's best grouping wins: the
+one of fewer sequences; of equally many, the one whose fill is spread furthest, so that what is free gathers in few
+sequences. Every round has all its offspring, also where the seeds already meet the bound of tokens / capacity.
 
 Defined cases: a null text has the end id only; repeated rows are packed as often as they occur; a null id passes;
 pieces of equal length are interchangeable and ordered by their row; an empty table gives an empty result.
@@ -190,38 +192,33 @@ def crossover(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, rng: np.random.
     return compact(child)
 
 
-STATE = "shard long, island int, lengths binary, genome binary, bins int, worth double"
+#: born: crossovers of the island so far; won: how many of its children displaced a grouping of the pool.
+STATE = "shard long, island int, lengths binary, genome binary, bins int, worth double, born long, won long"
 
 
-def _rows(shard, island, lengths, pool, capacity) -> pd.DataFrame:
+def _rows(shard, island, lengths, pool, capacity, born=0, won=0) -> pd.DataFrame:
     kept = sorted(((fitness(lengths, g, capacity), g.tobytes()) for g in pool))
     seen = list({g: f for f, g in kept}.items())[:POPULATION]
-    return pd.DataFrame({"shard": shard, "island": island, "lengths": lengths.astype("<i4").tobytes(), "genome": [g for g, _ in seen], "bins": [f[0] for _, f in seen], "worth": [f[1] for _, f in seen]})
+    return pd.DataFrame({"shard": shard, "island": island, "lengths": lengths.astype("<i4").tobytes(), "genome": [g for g, _ in seen], "bins": [f[0] for _, f in seen], "worth": [f[1] for _, f in seen], "born": born, "won": won})
 
 
-def evolve(shard: int, island: int, lengths: np.ndarray, pool: list[np.ndarray], seed: int, capacity: int = CAPACITY, offspring: int = OFFSPRING) -> list[np.ndarray]:
-    """The pool after some generations; the worst gives way to a better child."""
+def evolve(shard: int, island: int, lengths: np.ndarray, pool: list[np.ndarray], seed: int, capacity: int = CAPACITY, offspring: int = OFFSPRING) -> tuple[list[np.ndarray], int, int]:
+    """(the pool after ``offspring`` crossovers, crossovers, children that displaced the worst of the pool)."""
     rng = np.random.Generator(np.random.PCG64([abs(shard), island, seed]))
-    least = -(-int(lengths.sum()) // capacity)
     marked = sorted(((fitness(lengths, g, capacity), i, g) for i, g in enumerate(pool)), key=lambda x: x[:2])
-    for k in range(offspring):
-        if marked[0][0][0] <= least or len(marked) < 2:
-            break
-        i, j = rng.choice(len(marked), 2, replace=False)
+    born = won = 0
+    for k in range(offspring if len(lengths) else 0):
+        i, j = rng.choice(len(marked), 2, replace=len(marked) < 2)
         child = crossover(lengths, marked[min(i, j)][2], marked[max(i, j)][2], rng, capacity)
         marked.append((fitness(lengths, child, capacity), len(pool) + k, child))
-        marked = sorted(marked, key=lambda x: x[:2])[:POPULATION]
-    return [g for _, _, g in marked]
+        marked = sorted(marked, key=lambda x: x[:2])[: max(POPULATION, len(pool))]
+        born += 1
+        won += any(m[1] == len(pool) + k for m in marked)
+    return [g for _, _, g in marked], born, won
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
-    """The pieces (any columns, with length from 1 to capacity) with sequence_id and offset."""
-    pieces = pieces.drop("sequence_id", "offset")
-    own = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    full = own.where(F.col("length") == capacity).withColumn("sequence_id", -F.col("_row") - 1).withColumn("offset", F.lit(0).cast("long")).drop("_row")
-    rest = own.where((F.col("length") < capacity) & (F.col("length") > 0))
-    shards = max(1, -(-rest.count() // shard))
-    rest = rest.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
+def evolved(rest: DataFrame, capacity: int, islands: int, rounds: int) -> DataFrame:
+    """The islands' pools (``STATE``) after all rounds, for pieces (_shard, length) of less than the capacity."""
 
     def seed(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = np.sort(pdf["length"].to_numpy())[::-1].astype(np.int64)
@@ -236,11 +233,31 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             at, i = int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
             lengths = np.frombuffer(pdf["lengths"].iloc[0], "<i4").astype(np.int64)
-            pool = [np.frombuffer(g, np.int32) for g in sorted(pdf["genome"])]
-            return _rows(at, i, lengths, evolve(at, i, lengths, pool, turn, capacity), capacity)
+            pool, born, won = evolve(at, i, lengths, [np.frombuffer(g, np.int32) for g in sorted(pdf["genome"])], turn, capacity)
+            return _rows(at, i, lengths, pool, capacity, int(pdf["born"].max()) + born, int(pdf["won"].max()) + won)
 
         return run
 
+    state = rest.select("_shard", "length").groupBy("_shard").applyInPandas(seed, STATE)
+    best_first = F.struct("bins", "worth", "genome")
+    for turn in range(rounds):
+        if turn:  # the elite also goes to the next island of its shard
+            elite = state.groupBy("shard", "island", "lengths").agg(F.min(best_first).alias("e"))
+            moved = elite.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), "lengths", F.col("e.genome").alias("genome"), F.col("e.bins").alias("bins"), F.col("e.worth").alias("worth"), F.lit(0).cast("long").alias("born"), F.lit(0).cast("long").alias("won"))
+            state = state.unionByName(moved)
+        state = materialize(state.groupBy("shard", "island").applyInPandas(step(turn), STATE), "islands")
+    return state
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
+    """The pieces (any columns, with length from 1 to capacity) with sequence_id and offset."""
+    pieces = pieces.drop("sequence_id", "offset")
+    own = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    full = own.where(F.col("length") == capacity).withColumn("sequence_id", -F.col("_row") - 1).withColumn("offset", F.lit(0).cast("long")).drop("_row")
+    rest = own.where((F.col("length") < capacity) & (F.col("length") > 0))
+    shards = max(1, -(-rest.count() // shard))
+    rest = rest.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
+
     def place(pdf: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "_row"], ascending=[False, True], kind="stable").reset_index(drop=True)
         bins = np.frombuffer(best["genome"].iloc[0], np.int32).astype(np.int64)
@@ -253,14 +270,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
         offset[order] = starts - np.maximum.accumulate(np.where(first, starts, 0))
         return pdf.drop(columns=["_row", "_shard"]).assign(sequence_id=pdf["_shard"] * (1 << 24) + bins, offset=offset)
 
-    state = rest.select("_shard", "length").groupBy("_shard").applyInPandas(seed, STATE)
-    best_first = F.struct("bins", "worth", "genome")
-    for turn in range(rounds):
-        if turn:  # the elite also goes to the next island of its shard
-            elite = state.groupBy("shard", "island", "lengths").agg(F.min(best_first).alias("e"))
-            state = state.unionByName(elite.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), "lengths", F.col("e.genome").alias("genome"), F.col("e.bins").alias("bins"), F.col("e.worth").alias("worth")))
-        state = materialize(state.groupBy("shard", "island").applyInPandas(step(turn), STATE), "islands")
-    best = state.groupBy("shard").agg(F.min(best_first)["genome"].alias("genome"))
+    state = evolved(rest, capacity, islands, rounds)
+    best = state.groupBy("shard").agg(F.min(F.struct("bins", "worth", "genome"))["genome"].alias("genome"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     packed = rest.groupBy("_shard").cogroup(best.groupBy("shard")).applyInPandas(place, schema)
     return packed.unionByName(full)

@@ -17,9 +17,36 @@ def test_collisions_chain_and_directory_doubles(spark):
     got = xd.exact_dedup(docs, capacity=4, max_depth=6, key_bits=3).collect()
     assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, i % 40, 3) for i in range(120)}
     assert max(r.chain for r in got) > 0
-    wide = xd.build_index(docs, capacity=4, max_depth=6)
+    index = xd.build_index(docs, capacity=4, max_depth=6)
+    wide, cells = index.buckets, index.cells
     assert wide.select("bucket").distinct().count() > 4
     assert wide.groupBy("bucket").count().where("count > 4").count() == 0 or wide.agg({"depth": "max"}).first()[0] == 6
+    own = {(r.cell >> (6 - r.depth)) << (6 - r.depth) == r.bucket for r in cells.collect()}
+    assert own == {True}
+    assert wide.where(f"shiftrightunsigned(_key, {64 - 6}) < bucket or shiftrightunsigned(_key, {64 - 6}) >= bucket + shiftleft(1, 6 - depth)").count() == 0
+
+
+def test_probes_need_the_directory_and_compare_bytes(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(120)], "doc_id long, text string")
+    index = xd.build_index(docs, capacity=4, max_depth=6, key_bits=3)
+    assert index.probe(docs).count() == 120 and index.buckets.where("length > 1 and body is null").count() == 0
+    index.cells = index.cells.withColumn("bucket", xd.F.col("bucket") + 64)  # a wrong directory leads nowhere
+    assert index.probe(docs).count() == 0
+    index = xd.build_index(docs, capacity=4, max_depth=6, key_bits=3)
+    index.buckets = index.buckets.withColumn("body", xd.F.lit("other"))
+    assert index.probe(docs).count() == 0
+
+
+def test_a_bucket_splits_only_when_overfull(spark):
+    keys = [(k << 58) - (1 << 63) for k in [*range(0, 20), 40, 60]]
+    entries = spark.createDataFrame([(k,) for k in keys], "_key long")
+    got = {(r.bucket, r.depth) for r in xd.directory(entries, capacity=8, max_depth=6).collect()}
+    by = {}
+    for k in keys:
+        cell = (k + (1 << 64) if k < 0 else k) >> 58
+        b, d = next((b, d) for b, d in got if b <= cell < b + (1 << (6 - d)))
+        by.setdefault((b, d), []).append(k)
+    assert all(len(v) <= 8 for v in by.values()) and set(by) == got and len({d for _, d in got}) > 1
 
 
 def test_defined_cases(spark):
@@ -27,3 +54,9 @@ def test_defined_cases(spark):
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in xd.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, keep_id string")).collect()}
     assert got == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 3, True), (4, 3, 3, False), (None, None, 1, True), (7, 7, 1, True)}
     assert xd.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_kept_rows(spark):
+    rows = [(1, "a  b", "x"), (2, "a b", "y"), (2, "a b", "y"), (3, None, "z"), (4, "c", "z"), (4, "c", "z"), (None, "d", None), (5, "", "q")]
+    kept = xd.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, text_sha256 string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a  b", "x"), (3, None, "z"), (4, "c", "z"), (None, "d", None)], key=str)

@@ -39,7 +39,8 @@ def test_crossover_keeps_all_items_and_capacity():
     for _ in range(20):
         a, b = b, pk.crossover(lengths, a, b, rng, 100)
         assert np.bincount(b, weights=lengths).max() <= 100 and len(b) == 500 and b.min() == 0
-    pool = pk.evolve(0, 0, lengths, [a, b], 1, 100, 40)
+    pool, born, won = pk.evolve(0, 0, lengths, [a, b], 1, 100, 40)
+    assert born == 40 and won > 0
     assert pk.fitness(lengths, pool[0], 100) <= min(pk.fitness(lengths, g, 100) for g in (a, b))
 
 
@@ -67,3 +68,31 @@ def test_shards_and_defined_cases(spark):
     assert pk.pack(df.limit(0)).count() == 0
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b")], "doc_id long, text string")
     assert sorted(r.length for r in pk.cut_documents(docs, PATH).collect()) == [1, 1, 3]
+
+
+def test_every_island_of_the_query_crosses_over_and_gains(spark, sf, monkeypatch):
+    """Also where the seeds meet the bound: all offspring are made, some win, and the elite that migrates is found next door."""
+    states = []
+    evolved = pk.evolved
+    monkeypatch.setattr(pk, "evolved", lambda *a: states.append(evolved(*a)) or states[-1])
+    rows = pk.op3_packing(spark, sf)
+    assert rows.count() and len(states) == 1
+    got = states[0].groupBy("shard", "island").agg({"born": "max", "won": "max"}).collect()
+    assert len(got) == pk.ISLANDS and all(r["max(born)"] == pk.ROUNDS * pk.OFFSPRING and r["max(won)"] > 0 for r in got)
+    own = {}
+    for r in states[0].collect():
+        own.setdefault(r.island, set()).add(bytes(r.genome))
+    lengths = np.frombuffer(states[0].first().lengths, "<i4").astype(np.int64)
+    seeds = [pk.first_fits(lengths, np.random.Generator(np.random.PCG64([0, 0])), pk.CAPACITY, 0.0)]
+    best = min(pk.fitness(lengths, np.frombuffer(g, np.int32), pk.CAPACITY) for s in own.values() for g in s)
+    assert best < min(pk.fitness(lengths, g, pk.CAPACITY) for g in seeds)
+
+
+def test_crossover_saves_sequences_where_best_fit_does_not():
+    """Hard shards, triplets that fill a sequence exactly: the evolved pool needs fewer sequences than its seeds."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    a, b = rng.integers(20, 40, 120), rng.integers(20, 40, 120)
+    lengths = np.sort(np.concatenate([a, b, 100 - a - b]))[::-1].astype(np.int64)
+    pool = [pk.first_fits(lengths, rng, 100, 0.02 * k) for k in range(pk.POPULATION)]
+    after, _, _ = pk.evolve(0, 0, lengths, pool, 1, 100, 400)
+    assert pk.fitness(lengths, after[0], 100)[0] < min(pk.fitness(lengths, g, 100)[0] for g in pool)
