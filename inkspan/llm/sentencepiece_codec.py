@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding with byte offsets into the original text.
 
-The normaliser walks the compiled character map (a double-array trie) and takes the longest prefix at every place; it
-records, for each normalised byte, the source byte it came from. Segments of the normalised text go through the
-library; every piece is projected back over the recorded alignment to a [begin, end) span of the original's UTF-8.
+The normaliser walks the compiled character map (a double-array trie), from all places of a text at once, a byte deeper
+each step, and takes the longest prefix at every place; it records, for each normalised byte, the source byte it came
+from. A model without a map has an empty trie: the same walk, in which every character stands for itself. The library
+segments the text; every piece is projected back over the recorded alignment to a [begin, end) span of the original's
+UTF-8, whatever the model. The library decodes.
 
 Segmentation may be cut where no piece of the vocabulary crosses: if no piece has a word mark after another character,
 each run of marks with what follows is segmented on its own, and a bounded memo keeps the results.
@@ -38,7 +40,7 @@ class Normalizer:
         self.trie, self.blob = np.zeros(0, np.uint32), b""
         if charsmap:
             n = struct.unpack_from("<I", charsmap)[0]
-            self.trie = np.frombuffer(charsmap, "<u4", n // 4, 4).tolist()
+            self.trie = np.frombuffer(charsmap, "<u4", n // 4, 4)
             self.blob = charsmap[4 + n :]
 
     @property
@@ -46,55 +48,64 @@ class Normalizer:
         """No mapping and no stripping: only spaces become marks."""
         return not len(self.trie) and not self.strip and self.escape
 
-    def prefix(self, b: bytes, at: int) -> tuple[bytes, int]:
-        """(replacement, source bytes consumed) of the longest mapped prefix at a place, else of one character."""
-        if len(self.trie):
-            trie, best, unit = self.trie, None, self.trie[0]
-            node = (unit >> 10) << ((unit & 512) >> 6)
-            for i in range(at, len(b)):
-                node ^= b[i]
-                unit = trie[node]
-                if unit & 0x800000FF != b[i]:
-                    break
-                node ^= (unit >> 10) << ((unit & 512) >> 6)
-                if unit >> 8 & 1:
-                    best = (trie[node] & 0x7FFFFFFF, i + 1 - at)
-            if best:
-                return self.blob[best[0] : self.blob.index(b"\0", best[0])], best[1]
-        lead = b[at]
-        n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-        return b[at : at + n], n
-
-    def __call__(self, text: str) -> tuple[bytes, list[int]]:
+    def prefixes(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every byte: the length of the longest mapped prefix there (0: none), and where its replacement is."""
+        size, value, trie = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32), self.trie
+        if not len(trie):
+            return size, value
+        below = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        at, depth = np.arange(len(b)), 0
+        node = np.full(len(b), below(trie[0]), np.uint32)
+        while len(at):
+            byte = b[at + depth].astype(np.uint32)
+            node = node ^ byte
+            unit = trie[node]
+            hit = (unit & 0x800000FF) == byte
+            at, node, unit, depth = at[hit], node[hit], unit[hit], depth + 1
+            node = node ^ below(unit)
+            leaf = (unit >> 8 & 1).astype(bool)
+            size[at[leaf]], value[at[leaf]] = depth, trie[node[leaf]] & 0x7FFFFFFF
+            more = at + depth < len(b)
+            at, node = at[more], node[more]
+        return size, value
+
+    def mapped(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes after the map, source byte of each)."""
+        size, value = self.prefixes(b)
+        place = np.arange(len(b), dtype=np.int32)
+        starts = np.flatnonzero((size > 0) & ((b & 0xC0) != 0x80))  # prefixes begin at characters
+        if not len(starts):
+            return b, place
+        out, align, at = [], [], 0
+        for i in starts.tolist():
+            if i < at:
+                continue  # inside a longer prefix
+            v = int(value[i])
+            new = self.blob[v : self.blob.index(b"\0", v)]
+            out += [b[at:i], np.frombuffer(new, np.uint8)]
+            align += [place[at:i], np.full(len(new), i, np.int32)]
+            at = i + int(size[i])
+        return np.concatenate([*out, b[at:]]), np.concatenate([*align, place[at:]])
+
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
         """(normalised UTF-8, source byte of each normalised byte and of the end)."""
-        b, out, align, at = text.encode(), bytearray(), [], 0
-        space = MARK.encode() if self.escape else b" "
+        raw = text.encode()
+        b, align = self.mapped(np.frombuffer(raw, np.uint8))
+        end, space = len(raw), MARK.encode() if self.escape else b" "
         if self.strip:
-            while at < len(b) and (p := self.prefix(b, at))[0] == b" ":
-                at += p[1]
-        if at >= len(b):
-            return b"", [at]
-        if self.dummy:
-            out += space
-            align += [at] * len(space)
-        after_space = self.strip
-        while at < len(b):
-            got, n = self.prefix(b, at)
-            while after_space and got.startswith(b" "):
-                got = got[1:]
-            if got:
-                new = got.replace(b" ", space)
-                out += new
-                align += [at] * len(new)
-                after_space = self.strip and got.endswith(b" ")
-            at += n
-        end = len(b)
-        if self.strip:
-            while out.endswith(space):
-                end = align[-len(space)]
-                del out[-len(space) :], align[-len(space) :]
-        align.append(end)
-        return bytes(out), align
+            blank = b == 32
+            keep = ~(blank & np.r_[True, blank[:-1]]) if len(b) else blank
+            b, align = b[keep], align[keep]
+            if len(b) and b[-1] == 32:
+                end, b, align = int(align[-1]), b[:-1], align[:-1]
+        if not len(b):
+            return b"", np.array([len(raw)], np.int32)
+        out = b.tobytes()
+        if len(space) > 1:  # all bytes of a mark come from its space
+            out = out.replace(b" ", space)
+            align = np.repeat(align, (b == 32) * np.uint8(len(space) - 1) + np.uint8(1))
+        first = [align[0]] * len(space) if self.dummy else []
+        return space * self.dummy + out, np.concatenate((first, align, [end]), dtype=np.int32, casting="unsafe")
 
 
 class Codec:
@@ -109,13 +120,8 @@ class Codec:
         self.normalizer = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         self.end = self.sp.eos_id()
         names = [p.piece for p in pieces]
-        self.byte_ids = np.array([p.type == 6 for p in pieces])
         plain = [p.type in (1, 4) for p in pieces]
         self.norm_len = np.array([1 if p.type == 6 else len(p.piece.encode()) if ok else 0 for p, ok in zip(pieces, plain, strict=True)], np.int32)
-        self.src_len = np.array([1 if p.type == 6 else len(p.piece.replace(MARK, " ").encode()) if ok else 0 for p, ok in zip(pieces, plain, strict=True)], np.int32)
-        self.surface = [bytes([int(n[3:5], 16)]) if p.type == 6 else n.replace(MARK, " ").encode() if ok else b" \xe2\x81\x87 " if p.type == 2 else b"" for n, p, ok in zip(names, pieces, plain, strict=True)]
-        self.first_mark = [n.startswith(MARK) and ok for n, ok in zip(names, plain, strict=True)]
-        self.control = [p.type == 3 for p in pieces]
         self.cuts = proto.trainer_spec.byte_fallback and self.normalizer.identity and self.normalizer.dummy and not any(re.search(f"[^{MARK}]{MARK}", n) for n, ok in zip(names, plain, strict=True) if ok) and not any(p.type == 4 for p in pieces)
         self.memo: dict[str, bytes] = {}
 
@@ -141,54 +147,19 @@ class Codec:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids with the end id, begins, ends): spans are bytes of the original's UTF-8; the end id's span is empty."""
         ids = self.segment(text) if text else np.zeros(0, np.int32)
-        if not self.normalizer.identity or MARK in text:
-            norm, align = self.normalizer(text)
-            lengths = self.norm_len[ids]
-            # an unknown character has no piece of its own: its length is what the known pieces leave
-            if (ids == self.sp.unk_id()).any():
-                pieces, at = self.sp.encode(text, out_type="immutable_proto").pieces, 0
-                lengths = np.array([len(p.piece.encode()) for p in pieces], np.int32)
-            stops = np.cumsum(lengths)
-            if len(ids) and stops[-1] != len(norm):
-                raise ValueError("pieces do not cover the normalised text")
-            align = np.array(align, np.int32)
-            begins, ends = align[stops - lengths], align[stops]
-        else:
-            ends = np.cumsum(self.src_len[ids], dtype=np.int32) - (1 if self.normalizer.dummy else 0)
-            begins = np.maximum(ends - self.src_len[ids], 0)
-        size = np.int32(len(text.encode()) if not text.isascii() else len(text))
-        return np.append(ids, np.int32(self.end)), np.append(begins, size).astype(np.int32), np.append(ends, size).astype(np.int32)
+        norm, align = self.normalizer(text)
+        lengths = self.norm_len[ids]
+        if (ids == self.sp.unk_id()).any():
+            # an unknown character has no piece of its own: the library says how long it is
+            lengths = np.array([len(p.piece.encode()) for p in self.sp.encode(text, out_type="immutable_proto").pieces], np.int32)
+        stops = np.cumsum(lengths)
+        if len(ids) and stops[-1] != len(norm):
+            raise ValueError("pieces do not cover the normalised text")
+        size = np.int32(len(text) if text.isascii() else len(text.encode()))
+        return np.append(ids, np.int32(self.end)), np.append(align[stops - lengths], size).astype(np.int32), np.append(align[stops], size).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        """The library's text of the ids: a first mark is dropped, each byte that is not UTF-8 becomes U+FFFD."""
-        row = ids.tolist()
-        parts = list(map(self.surface.__getitem__, row))
-        for i, k in enumerate(row):
-            if self.control[k]:
-                continue
-            if self.normalizer.dummy and self.first_mark[k]:
-                parts[i] = parts[i][1:]
-            break
-        try:
-            return b"".join(parts).decode()
-        except UnicodeDecodeError:
-            return _lenient(b"".join(parts))
-
-
-def _lenient(b: bytes) -> str:
-    out, at = [], 0
-    while at < len(b):
-        for n in (1, 2, 3, 4):
-            try:
-                out.append(b[at : at + n].decode())
-                at += n
-                break
-            except UnicodeDecodeError:
-                continue
-        else:
-            out.append("�")
-            at += 1
-    return "".join(out)
+        return self.sp.decode(ids.tolist())
 
 
 _CODECS: dict[str, Codec] = {}

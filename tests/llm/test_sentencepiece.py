@@ -48,9 +48,68 @@ def test_normaliser_walks_a_compiled_map_like_the_library():
     for t in ["ﬁne ①②  ｆｕｌｌ", "  lead", "trail  ", "é Å ㌔", "", "  ", "a​b　c"] + ["".join(rng.choices("a ́ﬁｶﾞ①é　\n", k=rng.randrange(30))) for _ in range(500)]:
         out, align = mine(t)
         assert out.decode() == lib.normalize(t), repr(t)
+        align = align.tolist()
         assert len(align) == len(out) + 1 and align == sorted(align) and align[-1] <= len(t.encode())
 
 
+class Walk:
+    """The map a byte at a time, for comparison."""
+
+    def __init__(self, n):
+        self.trie, self.blob = n.trie.tolist(), n.blob
+
+    def prefix(self, b, at):
+        trie, best, unit = self.trie, None, self.trie[0]
+        node = (unit >> 10) << ((unit & 512) >> 6)
+        for i in range(at, len(b)):
+            node ^= b[i]
+            unit = trie[node]
+            if unit & 0x800000FF != b[i]:
+                break
+            node ^= (unit >> 10) << ((unit & 512) >> 6)
+            if unit >> 8 & 1:
+                best = (trie[node] & 0x7FFFFFFF, i + 1 - at)
+        return best
+
+
+def test_all_prefixes_at_once_equal_a_walk_by_bytes():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(spm.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    mine = sc.Normalizer(proto.normalizer_spec.precompiled_charsmap, True, True, True)
+    walk, rng = Walk(mine), random.Random(9)
+    for _ in range(300):
+        b = "".join(rng.choices("ab ́ﬁｶﾞ①é　\n가각ﷺ", k=rng.randrange(40))).encode()
+        size, value = mine.prefixes(np.frombuffer(b, np.uint8))
+        assert [(int(v), int(n)) if n else None for n, v in zip(size, value)] == [walk.prefix(b, i) for i in range(len(b))]
+
+
+def test_a_model_with_a_map_is_projected_to_the_original():
+    """The query's model has no map, so one is grafted on: ids of the library, spans over the recorded alignment."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    lib, proto = pb.ModelProto(), pb.ModelProto()
+    lib.ParseFromString(spm.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.ParseFromString(open(PATH, "rb").read())
+    proto.normalizer_spec.precompiled_charsmap = lib.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    c = sc.Codec(proto.SerializeToString())
+    sp = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    assert not c.cuts
+    rng = random.Random(13)
+    for t in ["", "  ", "ﬁne  ｆｕｌｌ ①② ", "é Å ㌔"] + ["".join(rng.choices("ab  \ńﬁｶﾞ①é　the", k=rng.randrange(40))) for _ in range(400)]:
+        ids, begins, ends = c.encode(t)
+        raw = t.encode()
+        assert ids.tolist() == sp.encode(t, add_eos=True), repr(t)
+        assert all(0 <= a <= b <= len(raw) for a, b in zip(begins, ends)) and begins.tolist() == sorted(begins)
+        for i, a, b in zip(ids.tolist(), begins, ends):
+            if a < b and not sp.is_byte(i) and raw[a:b].isascii():
+                assert raw[a:b].decode().strip().replace(" ", "▁") in sp.id_to_piece(i) or raw[a:b].isspace()
+    ids, begins, ends = c.encode("ﬁ①")
+    assert {("ﬁ①".encode()[a:b]).decode() for a, b in zip(begins, ends) if a < b} <= {"ﬁ", "①", "ﬁ①"}
+
+
 def test_documents(spark, sf):
     rows = [(1, "Hello  world"), (2, None), (3, ""), (3, ""), (None, "x")]
     got = sc.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
