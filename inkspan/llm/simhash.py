@@ -1,12 +1,18 @@
 """SimHash near-duplicates through BK-trees.
 
-Fingerprints are made from word shingles and reduced to distinct values. Two values within ``radius`` bits agree on at
-least one of radius + 1 blocks of bits, so each value goes to one shard for each block. A shard's distinct values form
-a BK-tree (children keyed by their Hamming distance to the parent); its queries descend only along edges within the
-radius of their own distance. Shards of more than ``SHARD`` values are split: each part is a tree of bounded size, and
-all the shard's values are streamed past every part. A task emits a spanning forest of the links that it finds, never
-all pairs; connected components then give the groups. Trees are built by whoever owns the shard rather than sent to
-every machine, since what all of them would hold grows with the corpus.
+Fingerprints are made from word shingles and reduced to distinct values, one or more words of 64 bits each. Values meet
+in shards: by tables of bit positions, a value goes to one shard for each table, named by its bits there. For 64 bits and
+a small radius the tables are exact: of m blocks, two values within the radius agree on m - radius at least, and there is
+a table for each choice of so many blocks; m grows with the number of values, so that a shard does not. For wide values
+(near copies by similarity) positions are drawn, and as many tables as find a pair at the threshold with ``FOUND``.
+
+A shard's distinct values form a BK-tree (children keyed by their integer Hamming distance to the parent); its queries
+descend only along edges within the radius of their own distance. What a pivot links already needs no search of its own:
+only values outside of a shard's largest component are queries, so that a group of thousands of near copies is not
+compared pair by pair. Shards of more than ``SHARD`` values are split: each part is a tree of bounded size, and the
+values that the shard's pivot does not reach are streamed past every part. A task emits a spanning forest of the links
+that it finds, never all pairs; connected components then give the groups. Trees are built by whoever owns the shard
+rather than sent to every machine, since what all of them would hold grows with the corpus.
 
 Defined cases: null texts are empty; texts without words have fingerprint 0 and link like any other; texts are never
 cut; a null id never names a group unless all its ids are null; repeated rows share their group; an empty table gives
@@ -15,67 +21,106 @@ an empty result; extra columns do not pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+import math
+from collections.abc import Iterator, Sequence
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table, whole_text
+from .common import components, lists, materialize, table, whole_text
 
 WORDS, RADIUS, SEED = 3, 3, 42
-#: Values of one BK-tree at most, about; and (query, node) pairs that a search holds at once.
+#: Near copies by similarity: shingles of five words, eight words of 64 bits. Texts of Jaccard similarity 0.8 and equal
+#: length differ in 78 of 512 bits on average, with a deviation of 8; the radius adds one deviation.
+NEAR_WORDS, PARTS, SIMILARITY, NEAR_RADIUS = 5, 8, 0.8, 86
+#: How likely a pair at the threshold is to meet in a shard.
+FOUND = 0.97
+#: Values of one BK-tree at most, about; and (query, node) pairs that a search holds at once, by words of a value.
 SHARD, FRONTIER = 20_000, 1 << 20
+#: Split shards whose pivots are broadcast at most; more are joined by a shuffle.
+BROADCAST_SHARDS = 65_536
 #: Rows gathered before a forest of small trees is searched.
 BUFFER = 1 << 16
-
-
-def simhash(text: str, words: int = WORDS) -> int:
-    """64 bits; a bit is set if it is set in over half of the shingles' XXH64."""
+_MIX = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each row of a matrix, (k, n) to (k, 64): three columns at a time are added
+    to a sum and a carry of double weight, until few are left."""
+    out, todo = np.zeros((len(h), 64), np.int64), [(h, 1)]
+    while todo:
+        a, weight = todo.pop()
+        m = a.shape[1] // 3
+        if m < 24:
+            bits = np.unpackbits(np.ascontiguousarray(a).view(np.uint8), axis=1, bitorder="little")
+            out += weight * bits.reshape(len(h), -1, 64).sum(axis=1, dtype=np.int64)
+            continue
+        x, y, z = a[:, :m], a[:, m : 2 * m], a[:, 2 * m : 3 * m]
+        xy = x ^ y
+        todo += [(xy ^ z, weight), ((x & y) | (xy & z), 2 * weight)]
+        if a.shape[1] > 3 * m:
+            todo.append((a[:, 3 * m :], weight))
+    return out
+
+
+def simhash(text: str, words: int = WORDS, parts: int = 1) -> np.ndarray:
+    """``parts`` words of 64 bits; a bit is set if it is set in over half of the shingles' XXH64 (further words: of hashes
+    made from it)."""
     from xxhash import xxh64_intdigest
 
     own = text.encode().lower().split()  # bytes: A-Z only, split at 0x20 and 0x09-0x0D
     if not own:
-        return 0
+        return np.zeros(parts, np.uint64)
     n = max(1, len(own) - words + 1)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((parts, 64), np.int64)
     for i in range(0, n, 8192):
         part = own[i : i + 8192 + words - 1]
         shingles = map(b" ".join, zip(*(part[j:] for j in range(words)), strict=False)) if len(own) >= words else [b" ".join(own)]
-        h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)[None]
+        if parts > 1:
+            h = np.concatenate([h, (h ^ (h >> np.uint64(31))) * _MIX[1:parts, None]])
+            h[1:] ^= h[1:] >> np.uint64(29)
+            h[1:] *= _MIX[0]
+            h[1:] ^= h[1:] >> np.uint64(32)
+        ones += bit_counts(h)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, parts: int = 1) -> DataFrame:
+    """doc_id, fp (the words of 64 bits as signed longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = [simhash(t.as_py(), words, parts).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(fp, pa.int64())], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of the rows of two matrices of words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class BKForest:
     """BK-trees over groups of distinct values, in flat arrays; built and searched a level at a time."""
 
     def __init__(self, values: np.ndarray, group: np.ndarray):
-        """group: non-decreasing; the first value of each group is its root."""
-        self.values = values
+        """values: a row of words each; group: non-decreasing; the first value of each group is its root."""
+        self.values, self.base = values, 64 * values.shape[1] + 1
         n = len(values)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
-        self.root = dict(zip(group[starts].tolist(), starts.tolist(), strict=True))
+        self.group, self.starts = group[starts], starts
         keys, kids = [], []
         lone = np.ones(n, bool)
         lone[starts] = False
         item = np.flatnonzero(lone)
         at = np.repeat(starts, np.diff(np.r_[starts, n]))[item]
         while len(item):
-            key = at * 65 + np.bitwise_count(values[item] ^ values[at]).astype(np.int64)
+            key = at * self.base + distance(values[item], values[at])
             uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             keys.append(uniq)
             kids.append(item[first])
@@ -87,122 +132,204 @@ class BKForest:
         order = np.argsort(self.keys)
         self.keys, self.kids = self.keys[order], self.kids[order]
 
+    def root(self, group: np.ndarray) -> np.ndarray:
+        return self.starts[np.searchsorted(self.group, group)]
+
     def search(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query index, node) arrays of all nodes within the radius, in bounded pieces."""
+        most = FRONTIER // self.values.shape[1]
         stack = [(np.arange(len(queries)), roots)]
         while stack:
             q, at = stack.pop()
-            if len(q) > FRONTIER:
+            if len(q) > most:
                 half = len(q) // 2
                 stack += [(q[:half], at[:half]), (q[half:], at[half:])]
                 continue
-            d = np.bitwise_count(queries[q] ^ self.values[at]).astype(np.int64)
+            d = distance(queries[q], self.values[at])
             if (hit := d <= radius).any():
                 yield q[hit], at[hit]
-            lo = np.searchsorted(self.keys, at * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.keys, at * 65 + np.minimum(d + radius, 64), "right") - lo
-            for some in np.array_split(np.arange(len(q)), max(1, int(n.sum()) // FRONTIER + 1)) if n.any() else []:
+            lo = np.searchsorted(self.keys, at * self.base + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.keys, at * self.base + np.minimum(d + radius, self.base - 1), "right") - lo
+            for some in np.array_split(np.arange(len(q)), max(1, int(n.sum()) // most + 1)) if n.any() else []:
                 m = n[some]
                 if total := int(m.sum()):
                     stack.append((np.repeat(q[some], m), self.kids[np.repeat(lo[some] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(total)]))
 
 
-def forest_links(member: np.ndarray, member_group: np.ndarray, query: np.ndarray, query_group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between queries and members of their group: (value, value of its root)."""
+def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components (labels are the least index) of all pairs."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (up := label[label] != label).any():
+            label[up] = label[label[up]]
+
+
+def forest_links(member: np.ndarray, member_group: np.ndarray, query: np.ndarray, query_group: np.ndarray, radius: int, done: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the members of each group and between queries and members: indices into both,
+    members first, and of their components' first. Groups are non-decreasing; a query with a group of no members is left.
+    done: members whose links to one another are known from before."""
+    n = len(member)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     tree = BKForest(member, member_group)
-    held = np.isin(query_group, member_group)  # a part may hold no value of its own
-    query, query_group = query[held], query_group[held]
-    names = np.r_[member, query]
-    label = np.arange(len(names))
-    for q, at in tree.search(query, np.array([tree.root[g] for g in query_group.tolist()], np.int64), radius):
-        a, b = q + len(member), at
-        while True:
-            x, y = label[a], label[b]
-            if (x == y).all():
-                break
-            low = np.minimum(x, y)
-            np.minimum.at(label, np.maximum(x, y), low)
-            while (up := label[label] != label).any():
-                label[up] = label[label[up]]
-    far = label != np.arange(len(names))
-    a, b = names[far], names[label[far]]
-    return a[a != b], b[a != b]
-
-
-def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(a, b): links that connect all distinct values (column fp) within the radius; not all pairs."""
-    blocks = radius + 1
-    width = 64 // blocks
-    at = [(i * width, 64 - i * width if i == blocks - 1 else width) for i in range(blocks)]
-    keys = [f"{i}L * 4294967296L + (shiftrightunsigned(fp, {s}) & {(1 << min(w, 31)) - 1}L)" for i, (s, w) in enumerate(at)]
-    routed = values.select("fp", F.explode(F.array(*map(F.expr, keys))).alias("route"))
-    sizes = routed.groupBy("route").agg(F.count("*").alias("n"))
-    big = sizes.where(F.col("n") > shard).select("route", F.ceil(F.col("n") / shard).cast("int").alias("parts"))
-    big = F.broadcast(big) if width <= 16 else big  # blocks * 2**width rows at most
-    many = sizes.where((F.col("n") > 1)).select("route")
-    rows = routed.join(many, "route", "left_semi").join(big, "route", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    rows = rows.select("route", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "own", "fp").withColumn("query", (F.col("part") != F.col("own")).cast("int"))
-    rows = rows.repartition("route", "part").sortWithinPartitions("route", "part", "query", "fp").select("route", "part", "query", "fp")
+    held = np.flatnonzero(np.isin(query_group, member_group))  # a part may hold no value of its own
+    label, every = np.arange(n + len(query)), np.arange(n)
+    start = np.repeat(tree.starts, np.diff(np.r_[tree.starts, n]))
+    # pivots: what one links at once needs no search of its own
+    tried = np.zeros(n, bool)
+    for _ in range(3):
+        free = np.flatnonzero((label[:n] == every) & ~tried)
+        pivot = np.full(n, n)
+        np.minimum.at(pivot, start[free], free)
+        tried[pivot[pivot < n]] = True
+        pivot = pivot[start]
+        some = np.flatnonzero((pivot < n) & (pivot != every))
+        some = some[distance(member[some], member[pivot[some]]) <= radius]
+        _union(label, some, pivot[some])
+    size = np.bincount(label[:n], minlength=n)
+    largest, top = np.zeros(n, np.int64), np.full(n, n)
+    np.maximum.at(largest, start, size[label[:n]])
+    heads = np.flatnonzero((size > 0) & (size == largest[start]))
+    np.minimum.at(top, start[heads], heads)
+    own = np.flatnonzero((label[:n] != top[start]) & (True if done is None else ~done))
+    index = np.r_[own, n + held]
+    values, groups = np.concatenate([member[own], query[held]]), np.r_[member_group[own], query_group[held]]
+    for q, at in tree.search(values, tree.root(groups), radius):
+        _union(label, index[q], at)
+    far = np.flatnonzero(label != np.arange(len(label)))
+    return far, label[far]
+
+
+def exact_tables(n: int, radius: int = RADIUS, most: int = SHARD // 8) -> list[list[int]]:
+    """Tables for 64 bits: all choices of m - radius of m blocks, with the least m that leaves about ``most`` of n random
+    values in a shard."""
+    for m in range(radius + 1, 17):
+        bits = (64 // m) * (m - radius)
+        if n <= most << bits:
+            break
+    blocks = [list(range(i * 64 // m, (i + 1) * 64 // m)) for i in range(m)]
+    return [sum((blocks[i] for i in some), []) for some in combinations(range(m), m - radius)]
+
+
+def drawn_tables(n: int, bits: int = 64 * PARTS, similarity: float = SIMILARITY, found: float = FOUND) -> list[list[int]]:
+    """Tables for wide values: positions drawn by a fixed seed, more of them the more values there are, and so many tables
+    that a pair whose texts have the Jaccard similarity meets in one of them with the probability ``found``."""
+    width = max(16, math.ceil(math.log2(max(n, 2))) - 2)
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
+    rng = np.random.Generator(np.random.PCG64([SEED, width]))
+    return [rng.choice(bits, width, replace=False).tolist() for _ in range(math.ceil(math.log(1 - found) / math.log(1 - agree)))]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def routes(values: np.ndarray, tables: Sequence[Sequence[int]]) -> np.ndarray:
+    """(values, tables): a name for the bits of each value at the positions of each table."""
+    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8), axis=1, bitorder="little")
+    out = np.zeros((len(values), len(tables)), np.uint64)
+    for k, positions in enumerate(tables):
+        own = np.packbits(bits[:, positions], axis=1, bitorder="little")
+        own = np.pad(own, ((0, 0), (0, 8 - own.shape[1]))) if own.shape[1] < 8 else own
+        out[:, k] = (np.ascontiguousarray(own).view(np.uint64)[:, 0] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    return out.view(np.int64)
+
+
+def links(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard: int = SHARD) -> DataFrame:
+    """(a, b): links that connect all distinct values (node long, fp array of longs) that lie within the radius and share
+    the bits of a table; not all pairs."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                own = b.slice(i, 4096)
+                yield pa.RecordBatch.from_arrays([*own.columns, lists(list(routes(_matrix(own.column(1)), tables)), pa.int64())], names=["node", "fp", "routes"])
+
+    routed = values.select("node", "fp").mapInArrow(name, "node long, fp array<long>, routes array<long>").select("node", "fp", F.explode("routes").alias("route"))
+    big = routed.groupBy("route").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where(F.col("n") > shard)
+    big = materialize(big.select("route", F.ceil(F.col("n") / shard).cast("int").alias("parts"), "pivot"), "shards")
+    big = F.broadcast(big) if big.count() <= BROADCAST_SHARDS else big
+    rows = routed.join(big, "route", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    apart = F.expr("aggregate(zip_with(fp, pivot, (x, y) -> bit_count(x ^ y)), 0, (s, d) -> s + d)")
+    # what the shard's pivot reaches is linked through it and stays in its own part; the pivot is known to every part
+    at = F.when((F.col("parts") > 1) & ((apart > radius) | (apart == 0)), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    rows = rows.withColumn("own", own).withColumn("part", F.explode(at)).withColumn("query", (F.col("part") != F.col("own")).cast("int"))
+    rows = rows.select("route", "part", "query", "node", "fp").repartition("route", "part").sortWithinPartitions("route", "part", "query", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(route, part, query, node, fp, done) -> pa.RecordBatch:
+            group = np.cumsum(np.r_[False, (route[1:] != route[:-1]) | (part[1:] != part[:-1])])
+            m = query == 0
+            names = np.r_[node[m], node[~m]]
+            a, b = forest_links(fp[m], group[m], fp[~m], group[~m], radius, done[m])
+            return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
+
         held: list[tuple[np.ndarray, ...]] = []
 
-        def out(*found) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["a", "b"])
-
-        def solve(cols: tuple[np.ndarray, ...], last: bool) -> tuple[list, list]:
-            """Search the complete trees; of the last, unfinished one keep what later rows need."""
-            route, part, query, fp, done = cols
-            edge = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (part[1:] != part[:-1])])
-            group = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(route)]))
-            keep = np.zeros(len(route), bool)
-            if not last:
-                tail = group == group[-1]
-                if query[-1]:  # its members are all here: search now, hold the members
-                    keep = tail & (query == 0)
-                else:
-                    keep = tail
-            ask = ~done & ~(keep & (query == 0) & (query[-1] == 0))
-            got = []
-            m = query == 0
-            if not last and not query[-1]:
-                m = m & ~keep
-            if ask.any() and m.any():
-                got.append(out(*forest_links(fp[m], group[m], fp[ask], group[ask], radius)))
-            if keep.any() and query[-1]:
-                done = np.ones(len(done), bool)
-            return got, [tuple(x[keep] for x in (route, part, query, fp, done))] if keep.any() else []
+        def gathered() -> tuple[np.ndarray, ...]:
+            return tuple(map(np.concatenate, zip(*held, strict=True)))
 
         for b in batches:
-            route, part, query, fp = (b.column(i).to_numpy() for i in range(4))
-            held.append((route, part, query, fp.view(np.uint64), np.zeros(len(route), bool)))
-            if sum(len(x[0]) for x in held) >= BUFFER:
-                got, held = solve(tuple(map(np.concatenate, zip(*held, strict=True))), False)
-                yield from got
+            route, part, query, node = (b.column(i).to_numpy() for i in range(4))
+            held.append((route, part, query, node, _matrix(b.column(4)), np.zeros(len(route), bool)))
+            if sum(len(x[0]) for x in held) < BUFFER:
+                continue
+            now = gathered()
+            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])  # this part may go on
+            if not last.all():
+                yield solve(*(x[~last] for x in now))
+            tail = tuple(x[last] for x in now)
+            if tail[2][-1]:  # its members are all here: search what has come, hold the members
+                yield solve(*tail)
+                own = tail[2] == 0
+                tail = (*(x[own] for x in tail[:5]), np.ones(int(own.sum()), bool))
+            held = [tail] if len(tail[0]) else []
         if held:
-            yield from solve(tuple(map(np.concatenate, zip(*held, strict=True))), True)[0]
+            yield solve(*gathered())
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _groups(own: DataFrame, radius: int, tables, shard: int) -> DataFrame:
+    """doc_id, fp, component_id for documents (doc_id, fp) with the tables for a number of values."""
+    values = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "values")
+    nodes = components(links(values, radius, tables(values.count()), shard))
+    named = nodes.join(values.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    reach = nodes.join(named, "component").select("node", "component_id")
+    # a table: the join of all documents below can then be split where one value has very many
+    classes = materialize(values.join(reach, "node", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
+    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp, component_id: the smallest id of the documents that links reach."""
+    """doc_id, fp (64 bits), component_id: the smallest id of the documents that links reach; no link is missed."""
     own = materialize(fingerprints(docs, words), "simhash")
-    values = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = components(links(values.select("fp"), radius, shard)).withColumnRenamed("node", "fp")
-    named = nodes.join(values, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
-    reach = nodes.join(named, "component").select("fp", "component_id")
-    classes = values.join(reach, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _groups(own, radius, lambda n: exact_tables(n, radius), shard)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose id names their group: one of each group of near-duplicates."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+def similar_groups(docs: DataFrame, words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, parts: int = PARTS, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+    """doc_id, fp (``parts`` words), component_id, for near copies by similarity of their shingles."""
+    own = materialize(fingerprints(docs, words, parts), "simhash")
+    return _groups(own, radius, lambda n: drawn_tables(n, 64 * parts, similarity), shard)
+
+
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The documents, all columns, whose id names their group: one of each group of near copies (five-word shingles,
+    similarity of 0.8, unless groups are given)."""
+    groups = similar_groups(docs) if groups is None else groups
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
 
 
+def hex_of(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_groups(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.select("doc_id", hex_of(F.col("fp")[0]).alias("fingerprint"), "component_id")

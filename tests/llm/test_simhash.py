@@ -49,21 +49,21 @@ def crowd(n, seed):
 
 def test_fingerprint():
     for t in ["", " \t", "one", "One two", "a b c d É é É", "x " * 9000, "a b", "A\x0bB c\xa0d e"]:
-        assert sh.simhash(t) == brute(t), t
+        assert int(sh.simhash(t)[0]) == brute(t) == int(sh.simhash(t, parts=3)[0]), t
 
 
 def test_tree_finds_what_a_scan_finds():
-    v = np.array(crowd(300, 1), np.uint64)
+    v = np.array(crowd(300, 1), np.uint64)[:, None]
     tree = sh.BKForest(v, np.zeros(len(v), np.int64))
     assert len(tree.kids) == len(v) - 1
     got = {(int(q), int(m)) for a, b in tree.search(v, np.zeros(len(v), np.int64), 3) for q, m in zip(a, b)}
-    assert got == {(i, j) for i in range(len(v)) for j in range(len(v)) if (int(v[i]) ^ int(v[j])).bit_count() <= 3}
+    assert got == {(i, j) for i in range(len(v)) for j in range(len(v)) if (int(v[i, 0]) ^ int(v[j, 0])).bit_count() <= 3}
 
 
-def check_links(spark, values, shard):
+def check_links(spark, values, shard, tables=sh.exact_tables(1)):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(v,) for v in signed], "fp long")
-    rows = sh.components(sh.links(df, shard=shard)).collect()
+    df = spark.createDataFrame([(v, [v]) for v in signed], "node long, fp array<long>")
+    rows = sh.components(sh.links(df, 3, tables, shard)).collect()
     found = {}
     for r in rows:
         found.setdefault(r.component, set()).add(r.node % (1 << 64))
@@ -77,6 +77,79 @@ def test_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(sh, "BUFFER", 40)
     hot = sorted({(v & ~0xFFFF) | 0x1234 for v in values})
     check_links(spark, hot, 50)
+    # a group of near copies of one value, and some strangers: what the pivot reaches is not compared again
+    base = random.Random(4).getrandbits(64)
+    close = sorted({base ^ (1 << i) ^ (1 << j) for i in range(24) for j in range(i)} | set(hot[:40]))
+    check_links(spark, close, 60)
+    check_links(spark, values, 20000, sh.exact_tables(1 << 40))
+
+
+def test_counts_of_bits():
+    rng = np.random.Generator(np.random.PCG64(5))
+    for n in (0, 1, 71, 72, 73, 1000, 4097):
+        h = rng.integers(0, 1 << 63, (3, n), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (3, n), dtype=np.uint64)
+        want = [[sum(int(x) >> i & 1 for x in row) for i in range(64)] for row in h[:, :1000]]
+        assert sh.bit_counts(h[:, :1000]).tolist() == want
+        assert (sh.bit_counts(h) == np.unpackbits(np.ascontiguousarray(h).view(np.uint8), axis=1, bitorder="little").reshape(3, -1, 64).sum(axis=1, dtype=np.int64)).all()
+
+
+def test_tables_are_exact_for_any_number_of_values():
+    rng = random.Random(6)
+    for n in (1, 10**8, 10**9, 10**11, 10**13):
+        tables = sh.exact_tables(n)
+        assert n <= (sh.SHARD // 8) << min(map(len, tables))
+        for _ in range(200):
+            apart = set(rng.sample(range(64), 3))
+            assert any(not apart & set(t) for t in tables)
+
+
+def test_near_copies_by_similarity(spark):
+    """All pairs of Jaccard 0.85 or more of five-word shingles link, nearly all from 0.8; texts below 0.6 do not."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randrange(60, 400))
+        texts.append(base)
+        for share in (0.01, 0.02, 0.03, 0.06, 0.12):
+            own = list(base)
+            for i in rng.sample(range(len(own)), max(1, int(share * len(own)))):
+                own[i] = rng.choice(words)
+            texts.append(own)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in sh.similar_groups(docs).collect()}
+    found = {True: [], False: []}
+    for i in range(len(texts)):
+        for j in range(i - i % 6, i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if s >= 0.8:
+                found[s >= 0.85].append(got[i] == got[j])
+    assert len(found[True]) > 30 and all(found[True]) and sum(found[False]) >= 0.8 * len(found[False])
+    assert all(got[i] // 6 == i // 6 for i in got)
+    assert len({got[i] for i in range(5, 360, 6)} & {got[i] for i in range(0, 360, 6)}) < 6
+    kept = {r.doc_id for r in sh.keep_one(docs).collect()}
+    assert kept == {i for i in got if got[i] == i}
+
+
+def test_wide_links_equal_brute_force(spark):
+    rng = random.Random(12)
+    values = []
+    for _ in range(60):
+        base = rng.getrandbits(512)
+        for _ in range(rng.choice([1, 1, 2, 6])):
+            v = base
+            for i in rng.sample(range(512), rng.choice([0, 20, 60, 120])):
+                v ^= 1 << i
+            values.append(v)
+    values = sorted(set(values))
+    split = lambda v: [(x - (1 << 64) if x >> 63 else x) for x in ((v >> (64 * k)) & ((1 << 64) - 1) for k in range(8))]
+    df = spark.createDataFrame([(i, split(v)) for i, v in enumerate(values)], "node long, fp array<long>")
+    for shard in (20000, 5):
+        found = {}
+        for r in sh.components(sh.links(df, sh.NEAR_RADIUS, sh.drawn_tables(len(values)), shard)).collect():
+            found.setdefault(r.component, set()).add(values[r.node])
+        assert {frozenset(g) for g in found.values()} == groups(values, sh.NEAR_RADIUS)
 
 
 def test_query_against_brute_force(spark, sf):
