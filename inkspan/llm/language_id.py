@@ -25,6 +25,9 @@ from .common import held_out, table
 #: Labelled rows to train on, over all languages together (an expected number; 20 a language at least).
 SAMPLE = 3200
 DIM, UNKNOWN = 2048, "und"
+#: What ``accept`` asks of the score of a text of so many letters or more: texts in a language or script that nothing was
+#: learnt of stay below it. Shorter ones give too little to judge by.
+LEAST, LETTERS = 0.45, 100
 #: Closely related languages; a language in no family is one of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -135,16 +138,26 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns, that a language is found for; with a model that has learnt none, all that hold a letter."""
+def accept(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The documents, all columns, in a language that was learnt: those with a letter whose prediction has a score of
+    ``least`` or more, or that have under ``LETTERS`` letters; where the language (a column lang) is null, the prediction becomes it. With a model that has learnt
+    none, all that hold a letter, as they are."""
     at = docs.columns.index("text")
-
-    def found(text: str | None) -> bool:
-        return model.predict(text)[0] != UNKNOWN if model.langs else any(map(str.isalpha, text or ""))
+    named = docs.columns.index("lang") if "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([found(t.as_py()) for t in b.column(at)], pa.bool_()))
+            texts = [t.as_py() for t in b.column(at)]
+            cols = list(b.columns)
+            if model.langs:
+                found = [model.predict(t) for t in texts]
+                keep = [k != UNKNOWN and (s >= least or sum(map(str.isalpha, t)) < LETTERS) for t, (k, s) in zip(texts, found, strict=True)]
+                if named is not None:
+                    lang = cols[named].to_pylist()
+                    cols[named] = pa.array([own if own is not None or k == UNKNOWN else k for own, (k, _) in zip(lang, found, strict=True)], b.schema.field(named).type)
+            else:
+                keep = [any(map(str.isalpha, t or "")) for t in texts]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -6,29 +6,39 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from inkspan.llm import pii
+from inkspan.llm import language_id, pii, simhash
 
 from .test_packing import check
-from .test_simhash import brute, groups
+from .test_simhash import groups
 
 
 def test_against_brute_force(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = [(9001, None, "en", "s", 0), (9002, "12 34", None, "s", 5), (9003, "", "en", "s", 0), (9004, "a b\nc mail x.y@z.org", "en", None, 20), (9005, "a  b c mail x.y@z.org", "en", "s", 21), (9005, "a  b c mail x.y@z.org", "en", "s", 21)]
+    prose = rows.where("lang = 'en' and n_chars > 1500").orderBy("n_chars").first().text
+    extra += [(9007, prose[:900] + " mail x.y@z.org", None, "s", 915), (9008, prose[:900] + " mail x.y@z.org  now", None, None, 919)]
     rows.unionByName(spark.createDataFrame(extra, rows.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     docs = dict(sorted({r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}.items()))
-    docs = {d: t for d, t in docs.items() if t and any(c.isalpha() for c in t)}
+    model = language_id.train(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    found = {d: model.predict(t) for d, t in docs.items()}
+    docs = {d: t for d, t in docs.items() if t and any(c.isalpha() for c in t) and (found[d][1] >= language_id.LEAST or sum(c.isalpha() for c in t) < language_id.LETTERS)}
     seen = {}
     for d, t in docs.items():
         seen.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), d)
     docs = {d: docs[d] for d in seen.values()}
+    # near copies: five-word shingles, 512 bits, every pair of fingerprints compared
     by = {}
     for d, t in docs.items():
-        by.setdefault(brute(t), []).append(d)
-    drop = {d for own in by.values() for d in own if d != min(own)}
-    for g in groups(list(by), 3):
-        own = [d for f in g for d in by[f]]
-        drop |= set(own) - {min(own)}
+        by.setdefault(int.from_bytes(simhash.simhash(t, 5, 8).tobytes(), "little"), []).append(d)
+    classes = [own for f, own in by.items()]
+    for g in groups(list(by), simhash.NEAR_RADIUS):
+        classes.append([d for f in g for d in by[f]])
+    drop = {d for own in classes for d in own if d != min(own)}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in docs.items() if (w := t.lower().split())}
+    for d in sets:  # and so by the exact similarity
+        for e in sets:
+            if e < d and len(sets[d] & sets[e]) >= 0.85 * len(sets[d] | sets[e]):
+                assert any(d in own and e in own for own in classes)
     docs = {d: t for d, t in docs.items() if d not in drop}
 
     staged = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -37,7 +47,7 @@ def test_against_brute_force(spark, tmp_path):
         staged = f(spark, staged, str(tmp_path))
         assert staged.columns == before.names
     masked = {r.doc_id: r for r in staged.collect()}
-    assert set(masked) == set(docs) and 9004 in docs and staged.count() == len(docs)
+    assert set(masked) == set(docs) and 9007 in docs and 9008 not in docs and masked[9007].lang == "en" and staged.count() == len(docs)
     for d, r in masked.items():
         assert not [s for s in pii.base_spans(r.text) if s[0] == "email"] and r.n_chars == len(r.text)
         if not pii.base_spans(docs[d]) and not pii.candidates(docs[d], []):
