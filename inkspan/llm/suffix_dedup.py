@@ -3,11 +3,16 @@
 Only suffixes that can have an equal are ordered. Every window of ``LENGTH`` bytes has an anchor: its leftmost least
 hashed ``GRAM``; equal windows have equal anchors at equal places. Anchors are shuffled by hash (packed, a few bytes
 each); those that occur once in the corpus settle their windows. For the others the bytes around the anchor go to the
-owner of the hash, who orders them deep-shallow: multikey sorting, a word at a time and ternary by value, down to
-``SHALLOW`` words; the groups that still share this prefix go to blind tries, which descend by branching bytes only and
-compare once with the leaf they reach. First the contexts are ordered, so that copies of one context need no more work;
-then, where an anchor has several contexts, the suffixes that start in them. All that equal an earlier suffix (smaller
-id, or same document and earlier start) are covered by removed bytes; hashes only ever choose what is compared.
+owner of the hash, who orders them deep-shallow: multikey quicksort, ternary around a pivot word of eight bytes, down to
+``SHALLOW`` words; the groups that still share this prefix go to blind tries, which descend by branching bytes only,
+compare once with the leaf they reach, and give their leaves back in order. First the contexts are ordered, so that
+copies of one context need no more work; then, where an anchor has several contexts, the suffixes that start in them.
+Neighbours in the order that are equal have one rank; all but the earliest of a rank (smaller id, or same document and
+earlier start) are covered by removed bytes. Hashes only ever choose what is compared.
+
+A hash or context that a large share of all documents hold never meets in one task: a task that sees a hash again knows
+that it is repeated and sends one of each chunk to the owner, the others anywhere; a task that sees a context again, later
+than one it has sent, removes it on the spot. The number of partitions follows the bytes of text.
 
 Documents equal to one of a smaller id as a whole are told by SHA-256 beforehand: all their bytes go (from ``LENGTH`` up).
 
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,26 +87,26 @@ def document_anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 class BlindTrie:
-    """Strings of one length: inner nodes hold a depth and branch by the byte there; leaves hold a string and a class."""
+    """Strings of one length: inner nodes hold a depth and branch by the byte there; leaves hold a string and its items."""
 
-    __slots__ = ("classes", "root")
+    __slots__ = ("root",)
 
     def __init__(self):
-        self.root, self.classes = None, 0
+        self.root = None
 
-    def insert(self, s: bytes) -> int:
-        """The class of the string: equal strings have one class, in order of arrival."""
+    def insert(self, s: bytes, item: int) -> None:
         if self.root is None:
-            self.root, self.classes = (s, 0), 1
-            return 0
+            self.root = (s, [item])
+            return
         node = self.root
         while type(node) is list:  # blind: bytes between branches are not looked at
             node = node[1].get(s[node[0]]) or next(iter(node[1].values()))
         leaf = node[0]
         if leaf == s:
-            return node[1]
+            node[1].append(item)
+            return
         n = len(s) - 1 - ((int.from_bytes(s) ^ int.from_bytes(leaf)).bit_length() - 1) // 8
-        new, self.classes = (s, self.classes), self.classes + 1
+        new = (s, [item])
         above, node = None, self.root
         while type(node) is list and node[0] < n:
             above, node = node, node[1][s[node[0]]]
@@ -112,43 +118,91 @@ class BlindTrie:
                 self.root = branch
             else:
                 above[1][s[above[0]]] = branch
-        return new[1]
+
+    def leaves(self) -> Iterator[list[int]]:
+        """The items of each distinct string, in the order of the strings."""
+        stack = [self.root] if self.root else []
+        while stack:
+            node = stack.pop()
+            if type(node) is list:
+                stack += [node[1][k] for k in sorted(node[1], reverse=True)]
+            else:
+                yield node[1]
+
+
+def multikey_quicksort(start: np.ndarray, group: np.ndarray, words: np.ndarray, offsets: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first, open): the strings in order of their group and of the words at the offsets; first marks where a new
+    (group, words) begins; open: those of which there are several. All segments are split around their pivots (the median
+    of three) at once: less and greater stay at their word, equal goes to the next."""
+    n = len(start)
+    item = np.argsort(group, kind="stable")
+    first = np.r_[True, group[item][1:] != group[item][:-1]] if n else np.zeros(0, bool)
+    depth = np.zeros(n, np.int8)  # by position, of its segment
+    at = np.arange(n)  # positions of open segments
+    last = len(offsets)
+    place = np.array([*offsets, 0])
+    while True:
+        new = first[at]
+        alone = new & np.r_[new[1:], True] if len(at) else new
+        at = at[~alone & (depth[at] < last)]
+        if not len(at):
+            break
+        new = np.flatnonzero(first[at])
+        size = np.diff(np.r_[new, len(at)])
+        own = np.repeat(np.arange(len(new)), size)
+        w = words[start[item[at]] + place[depth[at]]]
+        a, b, c = w[new], w[new + size // 2], w[new + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[own]
+        less, same = w < pivot, w == pivot
+        n_less, n_same = np.add.reduceat(less, new, dtype=np.int64), np.add.reduceat(same, new, dtype=np.int64)
+        rank = np.empty(len(at), np.int64)
+        for mask, before in ((less, new), (same, new + n_less), (~(less | same), new + n_less + n_same)):
+            k = np.cumsum(mask)
+            rank[mask] = (before[own] + k - 1 - (k[new] - mask[new])[own])[mask]
+        moved = np.empty(len(at), np.int64)
+        moved[rank] = item[at]
+        item[at] = moved
+        for edge in (new + n_less, new + n_less + n_same):
+            inside = edge < new + size
+            first[at[edge[inside]]] = True
+        deeper = np.zeros(len(at), bool)
+        deeper[rank[same]] = True
+        depth[at] += deeper
+    several = ~(first & np.r_[first[1:], True]) if n else first
+    return item, first, several
 
 
 def deep_shallow(start: np.ndarray, group: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
-    """Classes (int64) of the strings data[start : start + length]: the same for two strings just if they share their
-    group and their bytes. data must have 8 bytes after the last string."""
+    """Ranks of the strings data[start : start + length] in the order of (group, bytes): equal strings of a group share
+    theirs. data must have 8 bytes after the last string."""
     n = len(start)
     words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
     offsets = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-    out, item = np.arange(n), np.argsort(group, kind="stable")
-    g = group[item]
-    for k, o in enumerate(offsets[:SHALLOW]):
-        w = words[start[item] + o].astype(np.uint64)
-        order = np.lexsort((w, g))
-        item, g, w = item[order], g[order], w[order]
-        new = np.r_[True, (g[1:] != g[:-1]) | (w[1:] != w[:-1])] if len(item) else np.zeros(0, bool)
-        g = np.cumsum(new)
-        alone = new & np.r_[new[1:], True] if len(new) else new
-        item, g = item[~alone], g[~alone]
-    if not len(item):
-        return out
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    leader = np.repeat(item[first], np.diff(np.r_[first, len(item)]))
-    same = np.ones(len(item), bool)
-    for o in offsets[SHALLOW:]:
-        same &= words[start[item] + o] == words[start[leader] + o]
-    out[item[same]] = leader[same]
-    trie, own, named = None, -1, {}
-    raw = data.tobytes() if not same.all() else b""
-    for i, lead in zip(item[~same].tolist(), leader[~same].tolist(), strict=True):
-        if lead != own:
-            trie, own = BlindTrie(), lead
-            a = int(start[lead])
-            trie.insert(raw[a : a + length])
-            named = {0: lead}
-        a = int(start[i])
-        out[i] = named.setdefault(trie.insert(raw[a : a + length]), i)
+    item, first, several = multikey_quicksort(start, group, words, offsets[:SHALLOW])
+    deep = np.flatnonzero(several)
+    if len(deep):
+        heads = deep[first[deep]]
+        leader = np.repeat(item[heads], np.diff(np.r_[np.flatnonzero(first[deep]), len(deep)]))
+        same = np.ones(len(deep), bool)
+        for o in offsets[SHALLOW:]:
+            same &= words[start[item[deep]] + o] == words[start[leader] + o]
+        mixed = np.logical_and.reduceat(same, np.flatnonzero(first[deep]))  # else a trie of one leaf: in order as it is
+        stops = np.r_[heads[1:], 0]
+        stops[-1] = deep[-1] + 1
+        raw = data.tobytes() if not mixed.all() else b""
+        sizes = np.diff(np.r_[np.flatnonzero(first[deep]), len(deep)])
+        for h, size in zip(heads[~mixed].tolist(), sizes[~mixed].tolist(), strict=True):
+            trie = BlindTrie()
+            own = item[h : h + size]
+            for i, a in zip(own.tolist(), start[own].tolist(), strict=True):
+                trie.insert(raw[a : a + length], i)
+            at = h
+            for leaf in trie.leaves():
+                item[at : at + len(leaf)] = leaf
+                first[at] = True
+                at += len(leaf)
+    out = np.empty(n, np.int64)
+    out[item] = np.cumsum(first) - 1
     return out
 
 
@@ -165,16 +219,21 @@ def earlier(classes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np
     return again, order, first, np.add.reduceat(~after, first, dtype=np.int64) if len(first) else first
 
 
+def strings(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """What stands for an anchor with its context: 16 bytes of hash and bounds, then the context within the bounds."""
+    column = np.arange(WIDTH)
+    data = np.zeros((len(h), 16 + WIDTH), np.uint8)
+    data[:, 16:] = np.where((column >= (SPAN - hi)[:, None]) & (column < (WIDTH - lo)[:, None]), context, 0)
+    data[:, :8] = h.view(np.uint8).reshape(len(h), 8)
+    data[:, 8], data[:, 9] = lo, hi
+    return data
+
+
 def covered(h: np.ndarray, doc: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: np.ndarray, row: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(row, start, end) of bytes to remove, for all occurrences of some anchors. context: one row of WIDTH bytes each;
     row: which document it is, where ids (doc) are not enough."""
     n, row = len(h), doc if row is None else row
-    column = np.arange(WIDTH)
-    data = np.zeros((n, 16 + WIDTH), np.uint8)
-    data[:, 16:] = np.where((column >= (SPAN - hi)[:, None]) & (column < (WIDTH - lo)[:, None]), context, 0)
-    data[:, :8] = h.view(np.uint8).reshape(n, 8)
-    data[:, 8], data[:, 9] = lo, hi
-    data = np.append(data.ravel(), np.zeros(8, np.uint8))
+    data = np.append(strings(h, lo, hi, context).ravel(), np.zeros(8, np.uint8))
     start = np.arange(n) * (16 + WIDTH)
     again, order, first, ties = earlier(deep_shallow(start, np.zeros(n, np.int64), data, 16 + WIDTH), doc, place)
     rows, starts, ends = [row[again]], [(place - hi)[again]], [(place - lo + LENGTH)[again]]
@@ -245,8 +304,30 @@ def _unpack(batches: list[pa.RecordBatch], kinds: dict[str, str]) -> list[np.nda
     return [np.frombuffer(b"".join(x.as_buffer().to_pybytes() if (x := v).is_valid else b"" for b in batches for v in b.column(b.schema.get_field_index(k))), t) for k, t in kinds.items()]
 
 
-ANCHOR = {"h": "<u8", "row": "<i8", "place": "<i8", "lo": "u1", "hi": "u1"}
-CONTEXT = {**ANCHOR, "doc": "<i8", "context": "u1"}
+ANCHOR = {"h": "<u8", "row": "<i8", "place": "<i8", "lo": "u1", "hi": "u1", "known": "u1"}
+#: An item without a context has its bytes removed; it goes to any owner.
+CONTEXT = {"h": "<u8", "row": "<i8", "place": "<i8", "lo": "u1", "hi": "u1", "doc": "<i8", "context": "u1"}
+#: Bytes of text for a partition, partitions at most, parts of the rows of one digest, contexts that a task remembers.
+PART, PARTS, SALT, SEEN = 1 << 25, 100_000, 16, 100_000
+
+
+def _spread(row: np.ndarray, place: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (row.astype(np.uint64) * _K[0] + place.astype(np.uint64)) * _K[1]
+    return ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def seen_again(seen: dict[bytes, tuple[int, int]], keys: Iterator[bytes], doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which contexts come later than one with the same key that was met before (and is not marked itself)."""
+    again = np.zeros(len(doc), bool)
+    for i, (k, at) in enumerate(zip(keys, zip(doc.tolist(), place.tolist(), strict=True), strict=True)):
+        before = seen.get(k)
+        if before is None or at < before:
+            if before is None and len(seen) >= SEEN:
+                seen.clear()
+            seen[k] = at
+        elif at > before:
+            again[i] = True
+    return again
 
 
 def _packed(kinds: dict[str, str]) -> str:
@@ -255,15 +336,17 @@ def _packed(kinds: dict[str, str]) -> str:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed spans, kept (binary)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(whole_text())), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(PARTS, size // PART))
     buckets = 4 * n
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     # each row has its own number; the same three columns wherever texts are joined: Spark then deals them out by number
     # once and reuses that
     texts = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("key"), whole_text().alias("text")).repartition(n, "row")
     whole = texts.select("row", "key", F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha"))  # never null: no filter gets below the deal
-    first = whole.groupBy("sha").agg(F.min("key").alias("first"))
-    copies = whole.join(first, "sha").where("key > first").select("row", F.lit(True).alias("copy"))
+    first = whole.groupBy("sha").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
+    first = first.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    copies = whole.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(first, ["sha", "salt"]).where("key > first").select("row", F.lit(True).alias("copy"))
     marked = texts.join(copies.hint("shuffle_hash"), "row", "left")
     single = marked.where("copy is null").select("row", "key", "text")
 
@@ -272,20 +355,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             parts = [(np.full(len(h), r), h, p, lo, hi) for r, t in zip(b.column(0).to_pylist(), b.column(2), strict=True) for h, p, lo, hi in document_anchors(t.as_buffer().to_pybytes())]
             if parts:
                 row, h, place, lo, hi = map(np.concatenate, zip(*parts, strict=True))
-                yield _pack((h % np.uint64(buckets)).astype(np.int64), {"h": h, "row": row, "place": place, "lo": lo.astype(np.uint8), "hi": hi.astype(np.uint8)})
+                order = np.argsort(h, kind="stable")
+                same = np.r_[False, h[order][1:] == h[order][:-1]]
+                known, bucket = np.zeros(len(h), np.uint8), (h % np.uint64(buckets)).astype(np.int64)
+                known[order] = same | np.r_[same[1:], False]
+                other = order[same]  # one of each hash goes to the owner, who learns from it that the hash is repeated
+                bucket[other] = _spread(row[other], place[other], buckets)
+                yield _pack(bucket, {"h": h, "row": row, "place": place, "lo": lo.astype(np.uint8), "hi": hi.astype(np.uint8), "known": known})
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, row, place, lo, hi = _unpack(list(batches), ANCHOR)
+        h, row, place, lo, hi, known = _unpack(list(batches), ANCHOR)
         order = np.argsort(h)
         s = h[order]
         same = np.r_[False, s[1:] == s[:-1]] if len(s) else np.zeros(0, bool)
-        keep = order[same | np.r_[same[1:], False]] if len(s) else order
+        keep = order[same | np.r_[same[1:], False] | (known[order] > 0)] if len(s) else order
         packed = place[keep] << 16 | lo[keep].astype(np.int64) << 8 | hi[keep]
         for i in range(0, len(keep), 100_000):
             at = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(row[keep[at]]), pa.array(packed[at]), pa.array(h[keep[at]].view(np.int64))], names=["row", "at", "h"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int]] = {}
         for b in chunks(batches, "text", 2 * BLOCK):
             parts = []
             for r, k, t, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
@@ -298,7 +388,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 parts.append((h.view(np.uint64), np.full(len(h), r), np.full(len(h), k), place, (at >> 8 & 255).astype(np.uint8), (at & 255).astype(np.uint8), body))
             h, row, doc, place, lo, hi, body = map(np.concatenate, zip(*parts, strict=True))
             if len(h):
-                yield _pack((h % np.uint64(buckets)).astype(np.int64), {"h": h, "row": row, "place": place, "lo": lo, "hi": hi, "doc": doc, "context": body})
+                data = strings(h, lo.astype(np.int64), hi.astype(np.int64), body)
+                again = seen_again(seen, (x.tobytes() for x in data), doc, place)
+                cols = {"h": h, "row": row, "place": place, "lo": lo, "hi": hi, "doc": doc, "context": body}
+                yield _pack((h[~again] % np.uint64(buckets)).astype(np.int64), {k: v[~again] for k, v in cols.items()})
+                if again.any():
+                    yield _pack(_spread(row[again], place[again], buckets), {k: v[again] if k != "context" else body[again][:, :0] for k, v in cols.items()})
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -306,8 +401,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         one = pa.Table.from_batches(held) if held else None
         for k in np.unique(number):
             own = one.take(np.flatnonzero(number == k)).to_batches()
-            h, row, place, lo, hi, doc, body = _unpack(own, CONTEXT)
-            r, s, e = covered(h, doc, place, lo.astype(np.int64), hi.astype(np.int64), body.reshape(len(h), WIDTH), row)
+            sure = np.array([n == 0 for b in own for n in pc.binary_length(b.column(b.num_columns - 1)).to_pylist()], bool)
+            parts = []
+            for batch, kind in ((pa.Table.from_batches(own).filter(pa.array(m)), m is sure) for m in (sure, ~sure)):
+                h, row, place, lo, hi, doc, body = _unpack(batch.to_batches(), CONTEXT)
+                lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+                parts.append((row, place - hi, place - lo + LENGTH) if kind else covered(h, doc, place, lo, hi, body.reshape(len(h), WIDTH), row))
+            r, s, e = merge(*map(np.concatenate, zip(*parts, strict=True)))
             for i in range(0, len(r), 100_000):
                 at = slice(i, i + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.array(s[at]), pa.array(e[at])], names=["row", "start", "end"])

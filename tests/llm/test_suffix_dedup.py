@@ -15,12 +15,38 @@ def test_trie_and_order_agree_with_equality():
         n = rng.randrange(1, 60)
         strings = ["".join(rng.choices("ab", k=rng.choice([3, 40]))).encode().ljust(40, rng.choice([b"a", b"b"])) for _ in range(n)]
         trie = sd.BlindTrie()
-        ids = [trie.insert(s) for s in strings]
-        assert len(set(ids)) == len(set(strings)) and len(set(zip(ids, strings))) == len(set(strings))
+        for i, t in enumerate(strings):
+            trie.insert(t, i)
+        assert [[strings[i] for i in leaf] for leaf in trie.leaves()] == [[t] * strings.count(t) for t in sorted(set(strings))]
         data = np.frombuffer(b"".join(strings) + b"\0" * 8, np.uint8)
         group = np.array([rng.randrange(2) for _ in strings])
         got = sd.deep_shallow(np.arange(n) * 40, group, data, 40)
-        assert len(set(got.tolist())) == len(set(zip(group.tolist(), strings))) == len(set(zip(got.tolist(), group.tolist(), strings)))
+        rank = {k: i for i, k in enumerate(sorted(set(zip(group.tolist(), strings))))}
+        assert got.tolist() == [rank[k] for k in zip(group.tolist(), strings)]
+
+
+def test_suffix_order_of_a_text():
+    rng = random.Random(4)
+    for text in (rng.choices(range(256), k=3000), [*rng.choices(b"ab", k=700)] * 3, [7] * 500):
+        text = bytes(text)
+        data = np.frombuffer(text + b"\0" * 120, np.uint8)
+        got = sd.deep_shallow(np.arange(len(text)), np.zeros(len(text), np.int64), data, 100)
+        padded = text + b"\0" * 100
+        rank = {k: i for i, k in enumerate(sorted({padded[i : i + 100] for i in range(len(text))}))}
+        assert got.tolist() == [rank[padded[i : i + 100]] for i in range(len(text))]
+
+
+def test_a_context_seen_before_is_marked_only_when_later(monkeypatch):
+    monkeypatch.setattr(sd, "SEEN", 3)
+    rng, seen = random.Random(6), {}
+    items = [(bytes([rng.randrange(5)]), rng.randrange(30), rng.randrange(3)) for _ in range(400)]
+    again = sd.seen_again(seen, (k for k, _, _ in items), np.array([d for _, d, _ in items]), np.array([p for _, _, p in items]))
+    assert len(seen) <= 3 and again.any()
+    for i, (k, d, p) in enumerate(items):
+        if again[i]:
+            assert any(items[j][0] == k and items[j][1:] < (d, p) and not again[j] for j in range(i))
+    least = {k: min(x[1:] for x in items if x[0] == k) for k, _, _ in items}
+    assert all(not again[i] for i, (k, *at) in enumerate(items) if tuple(at) == least[k])
 
 
 def test_every_window_has_one_anchor_set_by_content():
