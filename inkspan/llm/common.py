@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, which all executors share; a local one only where that is unset."""
+    """A fresh path below ``spark.checkpoint.dir``, which all executors share; where that is unset, a local one, but only
+    for a local master: on a cluster the executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="inkspan-"))
             atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -38,12 +41,18 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; it outlives any executor."""
+def table_of(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """(the rows read back from a Parquet table in the shared folder, its path)."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; it outlives any executor. Results are lazy and may read
+    it at any time: whoever owns ``spark.checkpoint.dir`` clears it after the job."""
+    return table_of(df, what)[0]
 
 
 def whole_text(c: str = "text") -> Column:
@@ -80,16 +89,33 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
             yield b.slice(start)
 
 
+#: Parts that the rows of one key are dealt to where a key may hold a large share of them.
+SALT = 16
+
+
+def join_salted(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", by: str | None = None) -> DataFrame:
+    """rows joined to ``few``, which has a key once: few's rows are copied ``SALT`` times and the rows of a key are dealt
+    to as many tasks, by the column ``by`` (or all columns)."""
+    salt = F.pmod(F.xxhash64(by or F.struct(*rows.columns)), F.lit(SALT)).cast("int")
+    copied = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", salt).join(copied, [key, "_salt"], how).drop("_salt")
+
+
+def _star(df: DataFrame) -> DataFrame:
+    """(u, m): every node with the least of itself and its neighbours; minima are combined before the shuffle."""
+    return df.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for undirected edges of comparable ids; component is the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014); every round's edges are a table in
-    the shared folder. Minima are combined on the map side, so a hub never meets its neighbours in one task's memory.
-    Self-loops and nulls are dropped; an empty input gives an empty result.
+    the shared folder, and those of the round before are deleted. Minima are combined on the map side, so a hub never
+    meets its neighbours in one task's memory. Self-loops and nulls are dropped; an empty input gives an empty result.
     """
     spark = edges.sparkSession
     x, y = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
-    now = materialize(edges.where(F.col(a) != F.col(b)).select(y, x).distinct(), "edges")  # u > v
+    now, path = table_of(edges.where(F.col(a) != F.col(b)).select(y, x).distinct(), "edges")  # u > v
 
     def mark(df: DataFrame) -> tuple:
         r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -98,11 +124,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct()
-        now = materialize(small, "edges")
+        pair = F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))
+        small = large.join(low, "u").select(F.explode(pair).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct()
+        old = path
+        now, path = table_of(small, "edges")
+        discard(spark, old)
         last, seen = seen, mark(now)
         if seen == last:
             break

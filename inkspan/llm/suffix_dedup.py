@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lists, table, whole_text
+from .common import chunks, join_salted, lists, table, whole_text
 
 LENGTH, GRAM = 100, 40
 SPAN = LENGTH - GRAM  # an anchor starts at most so far after its window
@@ -307,8 +307,8 @@ def _unpack(batches: list[pa.RecordBatch], kinds: dict[str, str]) -> list[np.nda
 ANCHOR = {"h": "<u8", "row": "<i8", "place": "<i8", "lo": "u1", "hi": "u1", "known": "u1"}
 #: An item without a context has its bytes removed; it goes to any owner.
 CONTEXT = {"h": "<u8", "row": "<i8", "place": "<i8", "lo": "u1", "hi": "u1", "doc": "<i8", "context": "u1"}
-#: Bytes of text for a partition, partitions at most, parts of the rows of one digest, contexts that a task remembers.
-PART, PARTS, SALT, SEEN = 1 << 25, 100_000, 16, 100_000
+#: Bytes of text for a partition, partitions at most, contexts that a task remembers.
+PART, PARTS, SEEN = 1 << 25, 100_000, 100_000
 
 
 def _spread(row: np.ndarray, place: np.ndarray, buckets: int) -> np.ndarray:
@@ -345,8 +345,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("key"), whole_text().alias("text")).repartition(n, "row")
     whole = texts.select("row", "key", F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha"))  # never null: no filter gets below the deal
     first = whole.groupBy("sha").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
-    first = first.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    copies = whole.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(first, ["sha", "salt"]).where("key > first").select("row", F.lit(True).alias("copy"))
+    copies = join_salted(whole, first.select("sha", "first"), "sha", by="row").where("key > first").select("row", F.lit(True).alias("copy"))
     marked = texts.join(copies.hint("shuffle_hash"), "row", "left")
     single = marked.where("copy is null").select("row", "key", "text")
 

@@ -2,8 +2,11 @@
 
 Headers (page id, payload digest, size) are shuffled by digest, never payloads; the smallest page id of a digest is the
 original. Archives hold one record per page with fresh headers: ``response`` records carry the payload, ``revisit``
-records only refer to it. They are written by Spark's text sink (gzip) in the shared folder, so any store works, and
-read back as binary files, record by record through Content-Length. Revisits are then joined to the originals.
+records only refer to it. Pages learn from a broadcast which of them are revisits as long as those are few enough
+(``BROADCAST_REVISITS``); beyond that they are joined by id and digest, which shuffles payloads. Each record is a gzip
+member of its own, so that any record can be read from its offset alone; files have about ``FILE_BYTES``, or one record.
+They are written by Spark's text sink in the shared folder, so any store works, and read back as binary files, record by
+record through Content-Length. What was read is kept as a narrow table, and revisits are joined to the originals there.
 
 Defined cases: a null payload is empty; a null URL is written as ``urn:page:<id>``; line breaks in URLs are
 percent-encoded; a null id is written without its header and read back as null; repeated rows give repeated records,
@@ -19,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import join_salted, materialize, scratch, table
 
 #: Payloads below this many bytes are always written whole.
 LEAST_BYTES = 100
-#: Records in one archive file at most.
-RECORDS_PER_FILE = 4096
+#: Compressed bytes handed to the sink at once, and of a file, about; revisits that are broadcast at most.
+PIECE_BYTES, FILE_BYTES, BROADCAST_REVISITS = 1 << 24, 1 << 26, 500_000
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to_id string, record_id string"
 
@@ -40,15 +43,42 @@ def _record_id(page, digest) -> F.Column:
 
 def resolve_revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(page_id, digest, original): the pages that repeat an earlier payload, from headers (page_id, digest, size)."""
-    first = headers.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("original"))
-    return headers.where(F.col("size") >= least_bytes).join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("original"))).select("page_id", "digest", "original").distinct()
+    own = headers.where(F.col("size") >= least_bytes)
+    first = own.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
+    return join_salted(own, first, "digest", by="page_id").where(~F.col("page_id").eqNullSafe(F.col("original"))).select("page_id", "digest", "original").distinct()
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is 0: that is what the sink puts after each piece. The byte is the
+    highest of the size, so a record of 16 MB or more is followed by an empty member."""
+    out = b""
+    for part in (record,) if len(record) < 1 << 24 else (record, b""):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += packer.compress(part) + packer.flush()
+    return out[:-1]
+
+
+def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (one string column) to pieces of whole gzip members, joined by the byte that ``member`` leaves out."""
+    held, size = [], 0
+    for b in batches:
+        for r in b.column(0):
+            if size >= PIECE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"\0".join(held)], pa.binary())], names=["value"])
+                held, size = [], 0
+            held.append(member(r.as_buffer().to_pybytes()))
+            size += len(held[-1])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"\0".join(held)], pa.binary())], names=["value"])
 
 
 def write_archives(pages: DataFrame, path: str, payload: str = "html", least_bytes: int = LEAST_BYTES) -> None:
     """Write a record per row of (page_id, url, payload) below ``path``."""
     own = pages.select("page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")))), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(payload, F.lit("")).alias("body"))
     own = own.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body").cast("long"))
-    again = resolve_revisits(own.select("page_id", "digest", "size"), least_bytes)
+    headers = materialize(own.select("page_id", "digest", "size"), "headers")
+    again = materialize(resolve_revisits(headers, least_bytes), "revisits")
+    again = F.broadcast(again) if again.count() <= BROADCAST_REVISITS else again
     p, d, a = own.alias("p"), F.col("p.digest"), again.alias("a")
     rows = p.join(a, F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & (d == F.col("a.digest")), "left")
     is_again = F.col("a.digest").isNotNull()
@@ -64,9 +94,10 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", least_byt
         F.when(c("again"), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _record_id(c("original"), c("digest")))).otherwise(""),
         F.coalesce(F.concat(F.lit("\r\nX-Page-Id: "), c("page_id").cast("string")), F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"),
-        F.lit("\r\n\r\n"), c("block"), F.lit("\r\n"),
+        F.lit("\r\n\r\n"), c("block"), F.lit("\r\n\r\n"),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    packed = rows.select(record.alias("value")).mapInArrow(compress, "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_BYTES // PIECE_BYTES).text(path)
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -133,21 +164,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((page and int(page), head["WARC-Type"], size, digest, head.get("WARC-Refers-To"), head["WARC-Record-ID"]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], type=f.type) for f in kinds], schema=kinds)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, SCHEMA)
 
 
 def join_revisits(records: DataFrame) -> DataFrame:
     """Each record with its full payload's size and, for revisits, the page that holds the payload."""
     c = F.col
-    firsts = records.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("_page"), F.min("payload_bytes").alias("_bytes"))
-    rows = records.alias("r").join(firsts.alias("o"), c("r.refers_to_id") == c("o.record_id"), "left")
-    return rows.select(c("r.page_id").alias("page_id"), F.coalesce(c("r.payload_bytes"), c("o._bytes")).alias("payload_bytes"), c("r.payload_digest").alias("payload_digest"), c("r.record_type").alias("record_type"), c("o._page").alias("refers_to"))
+    firsts = records.where("record_type = 'response'").groupBy(c("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("_bytes"))
+    own = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    again = join_salted(records.where("refers_to_id is not null").drop("payload_bytes"), firsts, "refers_to_id", "left", "page_id").withColumnRenamed("_bytes", "payload_bytes")
+    return records.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long")).select(own).unionByName(again.select(own))
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return join_revisits(read_archives(spark, path))
+    return join_revisits(materialize(read_archives(spark, path), "records"))
 
 
 OP5_SQL = """

@@ -5,8 +5,9 @@ their count. For sample k a term of weight w draws r, c ~ Gamma(2, 1) and b ~ U(
 ln a = ln c - r (t - b) - r; the term with the least ln a gives the sample (term, t). Two documents agree on a sample
 with the probability of their generalised Jaccard similarity, sum of minima over sum of maxima.
 
-The draws come from a pool of 65,536 rows that a multiplicative hash of (term, k) picks from; equal draws are ordered
-by the term's hash, so sampling stays consistent for documents of any length.
+The draws come from two pools of 65,536 rows, one of c and one of (r, b), that two parts of a multiplicative hash of
+(term, k) pick from: 2**32 different draws, so that those of a long document's terms differ as well; what is equal even
+then is ordered by the term's hash.
 
 Defined cases: a null text is empty; a text without words has the all-zero fingerprint, likeness 1 to another such text
 and 0 to any other; texts are never cut; a null id sorts before all others; rows with the same id are ordered by text;
@@ -19,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,10 @@ from .common import chunks, table, whole_text
 
 WORDS, SAMPLES, SEED = 5, 128, 42
 POOL = 1 << 16
+#: Bytes of text for a range of ids, and ranges at most.
+PART, PARTS = 1 << 25, 50_000
 #: Terms handled at once, so that memory does not follow a text's length.
-BLOCK = 2048
+BLOCK = 256
 
 
 class Sampler:
@@ -38,7 +42,8 @@ class Sampler:
         self.r = -np.log((1 - rng.random(POOL)) * (1 - rng.random(POOL)))
         self.ln_c = np.log(-np.log((1 - rng.random(POOL)) * (1 - rng.random(POOL))))
         self.beta = rng.random(POOL)
-        self.at_one = (self.ln_c - self.r * (1 - self.beta)).astype(np.float32)  # t is 0 for weight 1
+        self.ln_c = self.ln_c.astype(np.float32)
+        self.at_one = (self.r * (1 - self.beta)).astype(np.float32)  # t is 0 for weight 1
         self.odd = (rng.integers(0, 1 << 63, samples, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
         self.code = (rng.integers(0, 1 << 63, samples, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
         self.step = rng.integers(0, 1 << 63, words, dtype=np.uint64) | np.uint64(1)
@@ -72,13 +77,16 @@ class Sampler:
             weights = None if light else np.log(counts[~one])
             for i in range(0, len(own), BLOCK):
                 h = own[i : i + BLOCK]
-                at = ((self.odd[:, None] * h[None, :]) >> np.uint64(48)).astype(np.intp)
+                picked = (self.odd[:, None] * h[None, :]) >> np.uint64(32)
+                a = self.ln_c.take((picked >> np.uint64(16)).view(np.intp))
+                at = (picked & np.uint64(0xFFFF)).view(np.intp)
                 if light:
-                    a, t = self.at_one.take(at), None
+                    t = None
+                    a -= self.at_one.take(at)
                 else:
                     r, b = self.r.take(at), self.beta.take(at)
                     t = np.floor(weights[None, i : i + BLOCK] / r + b)
-                    a = (self.ln_c.take(at) - r * (t - b) - r).astype(np.float32)
+                    a = (a - r * (t - b) - r).astype(np.float32)
                 j = a.argmin(axis=1)
                 low, who = a[rows, j], h[j]
                 won = (low < best) | ((low == best) & (who < term))
@@ -114,24 +122,33 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, words: int =
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text and what a task needs to meet each document's successor by id: ranges of ids, sorted, each followed
-    by a copy (``copy`` is 1) of the next range's first document. The driver sees the range bounds only."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+def in_order(docs: DataFrame, part_bytes: int = PART) -> DataFrame:
+    """doc_id, text and what a task needs to meet each document's successor by id: ranges of ids, sorted, each a partition
+    of its own of about ``part_bytes`` and followed by a copy (``copy`` is 1) of the next range's first document. The
+    driver sees the ranges' bounds only, two numbers a range."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    own = docs.select(key.alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    n_bytes = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = min(PARTS, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // part_bytes))
     keys = docs.select(F.col("doc_id").cast("double").alias("k"))
-    bounds = sorted({int(x) for x in keys.approxQuantile("k", [i / (2 * n) for i in range(1, 2 * n)], 0.1 / n)})
-    part = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= _key))") if bounds else F.lit(0)
-    own = own.withColumn("_part", part)
-    first = sorted((r[0], r[1]) for r in own.groupBy("_part").agg(F.min("_key")).collect())  # a row for each range
-    # looked up by position: a branch for each range would make generated code that takes much memory to compile
-    before = [0] * (len(bounds) + 1)
-    for i, (p, _) in enumerate(first):
-        before[p] = first[i - 1][0]
-    copies = own.where(F.col("_key").isin([key for _, key in first] or [0])).withColumn("_part", F.expr(f"array({', '.join(map(str, before))})[_part]"))
-    rows = own.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
-    return rows.repartition(n, "_part").sortWithinPartitions("_part", "copy", "_key", "text").select("_part", "copy", "doc_id", "text")
+    bounds = np.array(sorted({int(x) for x in keys.approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)}), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, k.to_numpy(np.int64), "right").astype(np.int32))
+
+    ranged = own.withColumn("_part", range_of("_key"))
+    least = own.select(range_of("_key").alias("_part"), "_key").groupBy("_part").agg(F.min("_key"))
+    first = sorted((r[0], r[1]) for r in least.collect())  # a row for each range
+    before = {k: first[i - 1][0] for i, (_, k) in enumerate(first)}  # a range's first key: the range before, for the last one's sake the last
+
+    @F.pandas_udf("int")
+    def range_before(k: pd.Series) -> pd.Series:
+        return pd.Series([before.get(x, -1) for x in k.tolist()], dtype=np.int32)
+
+    copies = own.withColumn("_part", range_before("_key")).where("_part >= 0")
+    rows = ranged.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
+    return rows.repartitionById(len(bounds) + 1, F.col("_part")).sortWithinPartitions("copy", "_key", "text").select("_part", "copy", "doc_id", "text")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

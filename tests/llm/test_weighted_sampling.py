@@ -23,6 +23,31 @@ def test_collision_rate_is_generalised_jaccard():
             assert abs(ws.likeness(s.sample(*ta), s.sample(*tb)) - jaccard(ta, tb)) < 0.05
 
 
+def test_collision_rate_with_more_terms_than_draws():
+    """Past the pool's 65,536 rows, with counts above 1, against all terms."""
+    rng, s = random.Random(2), ws.Sampler(samples=1024, words=1)
+    words = [f"w{i}" for i in range(150_000)]
+    for share in (0.3, 0.8):
+        b = [w if rng.random() < share else w + "x" for w in words]
+        ta, tb = s.terms(" ".join(words + words[:20_000])), s.terms(" ".join(b + b[:30_000]))
+        assert len(ta[0]) > 2 * ws.POOL
+        assert abs(ws.likeness(s.sample(*ta), s.sample(*tb)) - jaccard(ta, tb)) < 0.06
+
+
+def test_ranges_are_partitions_of_their_own(spark):
+    docs = spark.createDataFrame([(i % 97, "x" * (i % 50)) for i in range(400)], "doc_id long, text string")
+    parts = ws.in_order(docs, part_bytes=300).select(ws.F.spark_partition_id().alias("p"), "_part", "copy", "doc_id").collect()
+    of = {}
+    for r in parts:
+        of.setdefault(r.p, set()).add(r._part)
+    assert all(len(x) == 1 for x in of.values()) and len(of) > 20
+    assert sum(1 for r in parts if not r.copy) == 400
+    low = {r._part: min(x.doc_id for x in parts if x._part == r._part and not x.copy) for r in parts}
+    for p, n in low.items():
+        after = [low[q] for q in sorted(low) if low[q] > n] or [min(low.values())]
+        assert {r.doc_id for r in parts if r._part == p and r.copy} == {after[0]}
+
+
 def test_terms_are_five_word_shingles():
     s = ws.Sampler()
     assert len(s.terms("a b c")[0]) == 1 and len(s.terms("a b c d e f")[0]) == 2
