@@ -96,7 +96,8 @@ SALT = 16
 def join_salted(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", by: str | None = None) -> DataFrame:
     """rows joined to ``few``, which has a key once: few's rows are copied ``SALT`` times and the rows of a key are dealt
     to as many tasks, by the column ``by`` (or all columns)."""
-    salt = F.pmod(F.xxhash64(by or F.struct(*rows.columns)), F.lit(SALT)).cast("int")
+    # never null to the optimiser's knowledge: else it filters nulls below whatever deals the rows, which is then not reused
+    salt = F.coalesce(F.pmod(F.xxhash64(by or F.struct(*rows.columns)), F.lit(SALT)).cast("int"), F.lit(0))
     copied = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return rows.withColumn("_salt", salt).join(copied, [key, "_salt"], how).drop("_salt")
 
