@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 
 from .common import materialize, table, whole_text
 
-#: Entries that a bucket holds before it splits, and bits of the directory at most (1,048,576 cells: what is
-#: broadcast of it has 20 MB at most, whatever the corpus).
+#: Entries that a bucket holds before it splits, and bits of the directory at most. What is broadcast of it are the cells
+#: of its depth, twice as many as the buckets or so: entries / 10,000 rows, 1,048,576 at most.
 CAPACITY, MAX_DEPTH = 20_000, 20
 #: Colliding keys that are broadcast at most; more are joined by a shuffle. 64 bits collide once in 10**9 texts or so.
 BROADCAST_KEYS = 1_000_000
@@ -44,39 +44,43 @@ def _keyed(docs: DataFrame, key_bits: int) -> DataFrame:
     return docs.select("doc_id", norm.alias("_norm"), key.alias("_key"))
 
 
-def _cell(max_depth: int) -> Column:
-    return F.shiftrightunsigned("_key", 64 - max_depth)
+def _cell(depth: int) -> Column:
+    return F.shiftrightunsigned("_key", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(cell, depth, bucket) for the cells in use, 2**max_depth at most: a cell is the first ``max_depth`` bits of a key, a
-    bucket the cell where it starts, depth the bits that its keys share. One doubling a round, until nothing is overfull."""
-    cells = entries.groupBy(_cell(max_depth).alias("cell")).agg(F.count("*").alias("n"))
-    now = materialize(cells.select("cell", "n", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket")), "directory")
-    for depth in range(max_depth):
-        held = now.where(F.col("depth") == depth).groupBy("bucket").agg(F.sum("n").alias("held"))
+def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
+    """((cell, depth, bucket) for the cells in use, the directory's depth): a cell is the first bits, as many as the
+    directory is deep, of a key; a bucket is the cell where it starts, depth the bits that its keys share. It starts with
+    one cell and doubles, a bit a round, until no bucket is overfull or ``max_depth`` is reached."""
+    counts = materialize(entries.groupBy(_cell(max_depth).alias("prefix")).agg(F.count("*").alias("n")), "counts")
+    now = counts.select("prefix", "n", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket"))
+    deep = 0
+    while deep < max_depth:
+        held = now.where(F.col("depth") == deep).groupBy("bucket").agg(F.sum("n").alias("held"))
         over = held.where(F.col("held") > capacity).select("bucket", F.lit(True).alias("_over"))
         if over.isEmpty():
             break
-        bit = 1 << (max_depth - depth - 1)
-        split = now.join(F.broadcast(over), "bucket", "left")  # 2**max_depth rows at most
-        upper = F.when(F.col("_over") & (F.col("cell").bitwiseAND(F.lit(bit)) != 0), F.lit(bit)).otherwise(0)
-        now = materialize(split.select("cell", "n", F.when(F.col("_over"), depth + 1).otherwise(F.col("depth")).alias("depth"), (F.col("bucket") + upper).cast("long").alias("bucket")), "directory")
-    return now.select("cell", "depth", "bucket")
+        bit = 1 << (max_depth - deep - 1)
+        split = now.join(F.broadcast(over), "bucket", "left")  # as many rows as there are buckets, at most
+        upper = F.when(F.col("_over") & (F.col("prefix").bitwiseAND(F.lit(bit)) != 0), F.lit(bit)).otherwise(0)
+        deep += 1
+        now = materialize(split.select("prefix", "n", F.when(F.col("_over"), deep).otherwise(F.col("depth")).alias("depth"), (F.col("bucket") + upper).cast("long").alias("bucket")), "directory")
+    rest = max_depth - deep
+    return materialize(now.select(F.shiftright("prefix", rest).alias("cell"), "depth", F.shiftright("bucket", rest).alias("bucket")).distinct(), "cells"), deep
 
 
 class Index:
-    """A built index: ``cells`` (the directory) and ``buckets`` (its files, read back: bucket, depth, _key, chain, length,
+    """A built index: ``cells`` (the directory, ``deep`` bits) and ``buckets`` (its files, read back: bucket, depth, _key, chain, length,
     body, text_sha256, keep_id, group_size; length is the number of entries of a chain, body null where that is one)."""
 
-    def __init__(self, cells: DataFrame, buckets: DataFrame, collided: DataFrame, max_depth: int, key_bits: int):
-        self.cells, self.buckets, self.collided, self.max_depth, self.key_bits = cells, buckets, collided, max_depth, key_bits
+    def __init__(self, cells: DataFrame, buckets: DataFrame, collided: DataFrame, deep: int, key_bits: int):
+        self.cells, self.buckets, self.collided, self.deep, self.key_bits = cells, buckets, collided, deep, key_bits
 
     def probe(self, docs: DataFrame) -> DataFrame:
         """Each of the indexed documents with the entry of its text."""
         rows = _keyed(docs, self.key_bits).join(self.collided, "_key", "left")
         body = F.when(F.col("_many"), F.col("_norm"))  # bytes travel only where there is something to compare
-        rows = rows.select("doc_id", "_key", _cell(self.max_depth).alias("cell"), body.alias("_body"))
+        rows = rows.select("doc_id", "_key", _cell(self.deep).alias("cell"), body.alias("_body"))
         rows = rows.join(F.broadcast(self.cells.select("cell", "bucket")), "cell").drop("cell")
         return rows.join(self.buckets, ["bucket", "_key"]).where(F.col("_body").eqNullSafe(F.col("body"))).drop("_body", "body")
 
@@ -87,8 +91,8 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     collided = materialize(entries.groupBy("_key").agg(F.count("*").cast("int").alias("length")).where("length > 1").withColumn("_many", F.lit(True)), "collided")
     n = collided.count()
     known = F.broadcast(collided) if n <= BROADCAST_KEYS else collided
-    cells = directory(entries, capacity, max_depth)
-    owned = entries.withColumn("cell", _cell(max_depth)).join(F.broadcast(cells), "cell").drop("cell")
+    cells, deep = directory(entries, capacity, max_depth)
+    owned = entries.withColumn("cell", _cell(deep)).join(F.broadcast(cells), "cell").drop("cell")
     owned = owned.join(known.drop("_many"), "_key", "left").withColumn("length", F.coalesce("length", F.lit(1)))
     if n:  # the bytes of chains that have something to compare
         bodies = _keyed(docs, key_bits).join(known, "_key", "left_semi").select("_key", F.col("_norm").alias("body"), F.sha2("_norm", 256).alias("text_sha256")).distinct()
@@ -98,7 +102,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     chain = F.row_number().over(Window.partitionBy("bucket", "_key").orderBy("keep_id", "text_sha256")) - 1
     owned = owned.repartitionByRange("bucket", "_key").withColumn("chain", chain)
     buckets = materialize(owned.select("bucket", "depth", "_key", "chain", "length", "body", "text_sha256", "keep_id", "group_size"), "buckets")
-    return Index(cells, buckets, known.select("_key", "_many"), max_depth, key_bits)
+    return Index(cells, buckets, known.select("_key", "_many"), deep, key_bits)
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key_bits: int = 64) -> DataFrame:

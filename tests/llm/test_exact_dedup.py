@@ -21,9 +21,10 @@ def test_collisions_chain_and_directory_doubles(spark):
     wide, cells = index.buckets, index.cells
     assert wide.select("bucket").distinct().count() > 4
     assert wide.groupBy("bucket").count().where("count > 4").count() == 0 or wide.agg({"depth": "max"}).first()[0] == 6
-    own = {(r.cell >> (6 - r.depth)) << (6 - r.depth) == r.bucket for r in cells.collect()}
-    assert own == {True}
-    assert wide.where(f"shiftrightunsigned(_key, {64 - 6}) < bucket or shiftrightunsigned(_key, {64 - 6}) >= bucket + shiftleft(1, 6 - depth)").count() == 0
+    deep = index.deep
+    own = {(r.cell >> (deep - r.depth)) << (deep - r.depth) == r.bucket for r in cells.collect()}
+    assert own == {True} and deep > 2
+    assert wide.where(f"shiftrightunsigned(_key, {64 - deep}) < bucket or shiftrightunsigned(_key, {64 - deep}) >= bucket + shiftleft(1, {deep} - depth)").count() == 0
 
 
 def test_probes_need_the_directory_and_compare_bytes(spark):
@@ -40,7 +41,10 @@ def test_probes_need_the_directory_and_compare_bytes(spark):
 def test_a_bucket_splits_only_when_overfull(spark):
     keys = [(k << 58) - (1 << 63) for k in [*range(0, 20), 40, 60]]
     entries = spark.createDataFrame([(k,) for k in keys], "_key long")
-    got = {(r.bucket, r.depth) for r in xd.directory(entries, capacity=8, max_depth=6).collect()}
+    cells, deep = xd.directory(entries, capacity=8, max_depth=6)
+    got = {(r.bucket << (6 - deep), r.depth) for r in cells.collect()}
+    assert deep == max(d for _, d in got)
+    assert xd.directory(entries, capacity=80, max_depth=6)[1] == 0
     by = {}
     for k in keys:
         cell = (k + (1 << 64) if k < 0 else k) >> 58
