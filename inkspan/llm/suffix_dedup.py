@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed spans, kept (binary)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(whole_text())), F.lit(0))).first()[0]
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(PARTS, size // PART))
-    buckets = 4 * n
+    buckets = 2 * n
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     # each row has its own number; the same three columns wherever texts are joined: Spark then deals them out by number
     # once and reuses that
@@ -359,7 +359,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 known, bucket = np.zeros(len(h), np.uint8), (h % np.uint64(buckets)).astype(np.int64)
                 known[order] = same | np.r_[same[1:], False]
                 other = order[same]  # one of each hash goes to the owner, who learns from it that the hash is repeated
-                bucket[other] = _spread(row[other], place[other], buckets)
+                if len(other):  # the rest of the chunk's stay together, anywhere
+                    bucket[other] = _spread(row[other[:1]], place[other[:1]], buckets)
                 yield _pack(bucket, {"h": h, "row": row, "place": place, "lo": lo.astype(np.uint8), "hi": hi.astype(np.uint8), "known": known})
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +393,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 cols = {"h": h, "row": row, "place": place, "lo": lo, "hi": hi, "doc": doc, "context": body}
                 yield _pack((h[~again] % np.uint64(buckets)).astype(np.int64), {k: v[~again] for k, v in cols.items()})
                 if again.any():
-                    yield _pack(_spread(row[again], place[again], buckets), {k: v[again] if k != "context" else body[again][:, :0] for k, v in cols.items()})
+                    yield _pack(np.repeat(_spread(row[:1], place[:1], buckets), int(again.sum())), {k: v[again] if k != "context" else body[again][:, :0] for k, v in cols.items()})
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
