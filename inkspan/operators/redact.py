@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from inkspan.functions import fixed
 from inkspan.functions.text import known_category, normalize_value, ws_trim
 
-from .spans import merge_ranges
+from .spans import merged_runs
 
 
 def _map(pairs: dict) -> Column:
@@ -71,10 +71,8 @@ def cut_text(pages: DataFrame, ranges: DataFrame, keys: Sequence[str], label: st
     """pages with redacted_text: each merged range (keys, start, end, replacement) as its replacement. Where ranges merge,
     a mask (null replacement) beats surrogates, and two different surrogates give the label too."""
     k = list(keys)
-    merged = merge_ranges(ranges, k)
-    own = ranges.select(*k, F.col("start").alias("_a"), F.col("end").alias("_b"), "replacement")
-    parts = merged.join(own, k).where("_a < end and start < _b or (_a >= start and _b <= end)")
-    parts = parts.groupBy(*k, "start", "end").agg(F.when((F.count("*") == F.count("replacement")) & (F.count_distinct("replacement") == 1), F.first("replacement")).otherwise(label).alias("w"))
+    one = (F.count("*") == F.count("replacement")) & (F.count_distinct("replacement") == 1)
+    parts = merged_runs(ranges, k).groupBy(*k, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.when(one, F.first("replacement")).otherwise(label).alias("w"))
     lists = parts.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("start", "end", "w"))).alias("_cuts"))
     fold = """aggregate(_cuts, struct(cast(0 as int) as at, cast('' as string) as out),
         (s, c) -> struct(cast(least(c.end, length(text)) as int) as at, concat(s.out, substring(text, s.at + 1, greatest(least(c.start, length(text)) - s.at, 0)), c.w) as out),

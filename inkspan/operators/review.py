@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,40 +52,59 @@ def extend_retention(created: Column, expires: Column, seconds: Column, now: Col
     return F.struct(reason.alias("reason"), F.when(reason.isNull(), at).alias("expires"))
 
 
-_GROUP = re.compile(r"(?:[A-Z0-9]{1,4}|[0-9.-]*[0-9][0-9.-]*)\Z")
-_WORD = re.compile(r"\S+")
-_TRIM = ".,;:!?()[]{}<>\"'“”‘’«»"
+# What a token is made of, what it does not begin or end with, a group of a value written in groups, and the
+# longest such value.
+TOKEN = r"[\p{L}\p{N}\p{M}_@+\-'.]"
+EDGE = "@+-'."
+GROUP = r"(?:[A-Z0-9]{1,4}|[0-9.-]*[0-9][0-9.-]*)"
+MAX_RUN, WINDOW = 42, 256
 
+_TOKENS, _OUTSIDE, _GROUP = regex.compile(TOKEN + "+"), regex.compile(f"(?r)[^{TOKEN[1:]}"), re.compile(GROUP + r"\Z")
 
-def word_at(text: str, offset: int, most: int = 42) -> tuple[int, int] | None:
-    """The token under an offset; groups of a number written with spaces count as one, as does what a detector finds there."""
-    from .detectors import detect_text
 
-    def tokens():
-        for m in _WORD.finditer(text, max(0, offset - 256), offset + 256):
-            s = m[0]
-            a = m.start() + len(s) - len(s.lstrip(_TRIM))
-            b = m.end() - len(s) + len(s.rstrip(_TRIM))
-            if a < b:
-                yield a, b
+def _tokens(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    """The tokens, without joiners at their edges, that lie in or cross a window of the text."""
+    before = _OUTSIDE.search(text, 0, low)
+    out = []
+    for m in _TOKENS.finditer(text, before.end() if before else 0):
+        if m.start() > high:
+            break
+        body = m[0].strip(EDGE)
+        if body:
+            a = m.start() + len(m[0]) - len(m[0].lstrip(EDGE))
+            out.append((a, a + len(body)))
+    return out
+
 
-    every = list(tokens())
-    i = next((i for i, (a, b) in enumerate(every) if a <= offset <= b), None)
+def word_at(text: str, offset: int) -> tuple[int, int] | None:
+    """The token under an offset (or before it, at a token's end), widened to the number written in groups that it is part
+    of, and to what a detector finds there; None where there is none."""
+    from .detectors import detect_text
+
+    if not 0 <= offset <= len(text):
+        return None
+    at = next((i for i in (offset, offset - 1) if 0 <= i < len(text) and _TOKENS.match(text[i])), None)
+    if at is None:
+        return None
+    every = _tokens(text, max(0, at - WINDOW), at + WINDOW)
+    one = regex.search(f"(?r){TOKEN}*", text, pos=0, endpos=at).start(), _TOKENS.match(text, at).end()
+    i = next((i for i, (a, b) in enumerate(every) if one[0] <= a and b <= one[1]), None)
     if i is None:
         return None
     a, b = every[i]
-    if _GROUP.match(text[a:b]):
+    part = lambda j: text[slice(*every[j])]
+    if _GROUP.match(part(i)):
         lo = hi = i
-        while lo and text[every[lo - 1][1] : every[lo][0]] == " " and _GROUP.match(text[slice(*every[lo - 1])]):
+        while lo and text[every[lo - 1][1] : every[lo][0]] == " " and _GROUP.match(part(lo - 1)):
             lo -= 1
-        while hi + 1 < len(every) and text[every[hi][1] : every[hi + 1][0]] == " " and _GROUP.match(text[slice(*every[hi + 1])]):
+        while hi + 1 < len(every) and text[every[hi][1] : every[hi + 1][0]] == " " and _GROUP.match(part(hi + 1)):
             hi += 1
-        number = [j for j in range(lo, hi + 1) if re.search("[0-9]", text[slice(*every[j])])]
-        if len(number) > 1 and number[0] <= i <= number[-1] and every[number[-1]][1] - every[number[0]][0] <= most:
+        number = [j for j in range(lo, hi + 1) if re.search("[0-9]", part(j))]
+        if len(number) > 1 and number[0] <= i <= number[-1] and every[number[-1]][1] - every[number[0]][0] <= MAX_RUN:
             a, b = every[number[0]][0], every[number[-1]][1]
-    start = max(0, offset - 256)
-    for d in detect_text(text[start : offset + 256], fixed.LANGUAGES):
-        if d["start"] + start <= offset < d["end"] + start:
+    start = max(0, at - WINDOW)
+    for d in detect_text(text[start : at + WINDOW], fixed.LANGUAGES):
+        if d["start"] + start <= at < d["end"] + start:
             a, b = min(a, d["start"] + start), max(b, d["end"] + start)
             break
     return a, b
@@ -164,7 +184,10 @@ def throughput(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # Words that a preset's name may not hold.
-FORBIDDEN = "gdpr hipaa ccpa pci comply complian regulat certif anonymi guarantee".split()
+FORBIDDEN = [
+    "gdpr", "hipaa", "ccpa", "cpra", "pci", "dss", "sox", "ferpa", "glba", "soc 2", "soc2", "iso 27001", "nist", "compliant", "compliance",
+    "certified", "certification", "regulation", "regulatory", "lawful", "legally", "safe harbor", "safe harbour", "anonymized", "anonymised", "guarantee",
+]
 
 
 def preset_problems(presets: DataFrame) -> DataFrame:

@@ -50,14 +50,14 @@ def weighted_cost(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """n, observed and Cohen's kappa of two label columns, by counts of label pairs."""
+    """n, observed and Cohen's kappa of two label columns, by counts of label pairs; kappa is null where chance is 1."""
     cells = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).count()
     total = cells.agg(F.sum("count").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("count")).otherwise(0)).alias("same"))
     ra, rb = cells.groupBy("a").agg(F.sum("count").alias("x")), cells.groupBy("b").agg(F.sum("count").alias("y"))
     chance = ra.join(rb, ra["a"] == rb["b"]).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("xy"))
     both = total.join(F.broadcast(chance))  # one row each
     po, pe = F.col("same") / F.col("n"), F.col("xy") / (F.col("n") * F.col("n"))
-    return both.select("n", F.round(po, 4).alias("observed"), F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 4).alias("kappa"))
+    return both.select("n", F.round(po, 4).alias("observed"), F.round(F.when(pe != 1, (po - pe) / (1 - pe)), 4).alias("kappa"))
 
 
 def attribute(labels: DataFrame, detections: DataFrame, pages: DataFrame, sources: Sequence[str] = ("patterns", "model", "expansion")) -> DataFrame:

@@ -18,14 +18,17 @@ from inkspan.functions.text import normalize_value, stands_alone
 BROADCAST_VALUES = 100_000
 
 
-def merge_ranges(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Maximal ranges; touching ones merge, empty ones go. Columns: keys, start, end."""
-    k = list(keys)
-    w = Window.partitionBy(*k).orderBy("start", "end")
+def merged_runs(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The spans that are not empty with _run: spans of the same keys that overlap or touch share it."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.where("end > start").withColumn("_new", F.when(before >= F.col("start"), 0).otherwise(1))
-    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*k, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    return marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def merge_ranges(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Maximal ranges; touching ones merge, empty ones go. Columns: keys, start, end."""
+    return merged_runs(spans, keys).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def fold_contained(spans: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:

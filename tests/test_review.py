@@ -21,6 +21,24 @@ def test_word_under_the_cursor():
     at = lambda s: rv.word_at(t, t.index(s) + 1)
     assert t[slice(*at("1111 1111,"))] == "4111 1111 1111 1111" and t[slice(*at("see"))] == "see" and t[slice(*at("x@y"))] == "jo.x@y.org"
     assert rv.word_at("   ", 1) is None
+    word = lambda t, i: (r := rv.word_at(t, i)) and t[slice(*r)]
+    assert word("alpha/beta", 7) == "beta" and word("alpha/beta", 5) == "alpha" and word("x=secret;y", 4) == "secret"
+    assert word("see 'it'. now", 5) == "it" and word("IBAN GB82 WEST 1234 5698 7654 32 ok", 8) == "GB82 WEST 1234 5698 7654 32"
+    assert word("IBAN GB82 WEST", 1) == "IBAN" and word("a --", 3) is None and word("ab", 2) == "ab" and rv.word_at("ab", 3) is None
+    assert word("y" * 700, 350) == "y" * 700
+
+
+def test_preset_words_are_the_fixed_list(spark):
+    rows = [("a", "SOX pack", "finds NIST numbers in a lawful way"), ("b", "Comply", "certify, regulate"), ("c", "x", "ISO 27001")]
+    presets = spark.createDataFrame(rows, "id string, label string, summary string")
+    assert {tuple(r) for r in rv.preset_problems(presets).collect()} == {("a", "sox"), ("a", "nist"), ("a", "lawful"), ("c", "iso 27001")}
+
+
+def test_kappa_is_null_where_chance_is_certain(spark):
+    from inkspan.operators import scoring
+
+    same = spark.createDataFrame([("x", "x")] * 3, "a string, b string")
+    assert tuple(scoring.agreement(same, "a", "b").first()) == (3, 1.0, None)
 
 
 def test_columns_of_references(spark):
