@@ -45,15 +45,15 @@ def _keyed(docs: DataFrame, key_bits: int) -> DataFrame:
 
 
 def _cell(depth: int) -> Column:
-    return F.shiftrightunsigned("_key", 64 - depth) if depth else F.lit(0).cast("long")
+    return F.shiftrightunsigned(F.shiftrightunsigned("_key", 63 - depth), 1)  # in two steps: 64 bits at once are none
 
 
 def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
     """((cell, depth, bucket) for the cells in use, the directory's depth): a cell is the first bits, as many as the
     directory is deep, of a key; a bucket is the cell where it starts, depth the bits that its keys share. It starts with
     one cell and doubles, a bit a round, until no bucket is overfull or ``max_depth`` is reached."""
-    counts = materialize(entries.groupBy(_cell(max_depth).alias("prefix")).agg(F.count("*").alias("n")), "counts")
-    now = counts.select("prefix", "n", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket"))
+    counts = entries.groupBy(_cell(max_depth).alias("prefix")).agg(F.count("*").alias("n"))
+    now = materialize(counts.select("prefix", "n", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket")), "directory")
     deep = 0
     while deep < max_depth:
         held = now.where(F.col("depth") == deep).groupBy("bucket").agg(F.sum("n").alias("held"))
