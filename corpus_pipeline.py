@@ -1,7 +1,7 @@
 """The corpus pipeline: stages that each apply one operator to all that the one before kept.
 
-Documents without a language go; of equal texts the smallest id stays, of near-duplicate groups too; personal data is
-masked; what is left is packed into token sequences. Stages are Parquet tables to one another.
+Documents without a learnt language go and null languages are named; of equal texts the smallest id stays, of groups of
+near copies too; personal data is masked; what is left is packed into token sequences. Stages are Parquet tables to one another.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from inkspan.llm.common import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts that are null, or hold no letter."""
+    """Reject texts that are null, hold no letter, or are of 100 letters or more and in no learnt language by their score;
+    name null languages by the prediction. Without labels, all that hold a letter stay as they are."""
     return language_id.accept(docs, language_id.train(docs))
 
 
@@ -23,7 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups as the SimHash operator's own contract sets them: three-word shingles, three bits."""
+    """Near copies by similarity: five-word shingles, 0.8 or more."""
     return simhash.keep_one(docs)
 
 
