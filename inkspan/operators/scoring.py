@@ -8,37 +8,93 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import fixed
+from inkspan.functions.text import normalize_value
 
 from .spans import covered_labels, fold_contained, overlap_join
 
+#: The confidences that quality is also told at.
+CUTOFFS = (0.5, 0.7, 0.8, 0.9)
 
-def score_documents(pages: DataFrame, gold: DataFrame, detections: DataFrame, cutoff: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(labels with covered, overlap, strict; folded detections with correct, strict) for pages (doc_id, text), gold
-    (doc_id, start, end, category), detections (doc_id, start, end, category, confidence)."""
+
+def score_documents(pages: DataFrame, gold: DataFrame, detections: DataFrame, cutoff: float | None = None, negatives: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labels with overlap, covered, exact, strict; folded detections with value, correct, strict, negative) for pages
+    (doc_id, text), gold (doc_id, start, end, category), detections (doc_id, start, end, category, confidence), negatives
+    (doc_id, start, end: what only looks sensitive).
+
+    A label is covered if detections hide all but white space of it, strict if those of its own category do, exact if one
+    has its bounds. A detection is correct if it touches a label, strict if it touches one of its category, negative if it
+    touches a negative and no label. Detections without a category are not scored. With a cutoff only detections of that
+    confidence or more exist at all; ``by_cutoff`` folds first."""
+    detections = detections.where("category is not null")
     if cutoff is not None:
         detections = detections.where(F.coalesce("confidence", F.lit(0.0)) >= cutoff)
-    kept = fold_contained(detections, ["doc_id"], [F.col("confidence").desc_nulls_last(), F.col("category")])
-    labels = covered_labels(gold, kept.select("doc_id", "start", "end"), pages, ["doc_id"])
-    hit = overlap_join(kept, gold.select("doc_id", "start", "end"), ["doc_id"])
-    right = hit.groupBy("doc_id", "start", "end", "category").agg(F.bool_or((F.col("start") == F.col("r_start")) & (F.col("end") == F.col("r_end"))).alias("strict")).withColumn("correct", F.lit(True))
-    found = kept.join(right, ["doc_id", "start", "end", "category"], "left").fillna(False, ["strict", "correct"])
-    return labels, found
+    k = ["doc_id", "start", "end", "category"]
+    kept = _fold(detections)
+    labels = covered_labels(gold, kept.select("doc_id", "start", "end"), pages, ["doc_id"]).withColumnRenamed("strict", "exact")
+    own = covered_labels(gold.select(*k).distinct(), detections.select(*k), pages, ["doc_id"], ["category"])
+    own = own.select(*(F.col(c).alias(f"_{c}") for c in k), F.col("covered").alias("strict"))
+    labels = labels.join(own, [labels[c].eqNullSafe(own[f"_{c}"]) for c in k], "left").drop(*(f"_{c}" for c in k))
+    return labels, _found(pages, gold, kept, negatives)
+
+
+def _fold(detections: DataFrame) -> DataFrame:
+    return fold_contained(detections, ["doc_id"], [F.col("confidence").desc_nulls_last(), F.col("category")])
+
+
+def _found(pages: DataFrame, gold: DataFrame, kept: DataFrame, negatives: DataFrame | None) -> DataFrame:
+    k = ["doc_id", "start", "end", "category"]
+    hit = overlap_join(kept.select(*k), gold.select(*k), ["doc_id"])
+    right = hit.groupBy(*k).agg(F.bool_or(F.col("category").eqNullSafe(F.col("r_category"))).alias("strict")).withColumn("correct", F.lit(True))
+    found = kept.join(right, k, "left").fillna(False, ["strict", "correct"])
+    if negatives is None:
+        found = found.withColumn("negative", F.lit(False))
+    else:
+        lure = overlap_join(kept.select(*k), negatives.select("doc_id", "start", "end"), ["doc_id"]).select(*k).distinct().withColumn("_lure", F.lit(True))
+        found = found.join(lure, k, "left").withColumn("negative", ~F.col("correct") & F.coalesce("_lure", F.lit(False))).drop("_lure")
+    value = normalize_value(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")))
+    return found.join(pages.select("doc_id", F.col("text").alias("_text")), "doc_id", "left").withColumn("value", value).drop("_text")
+
+
+def by_cutoff(pages: DataFrame, gold: DataFrame, detections: DataFrame, cutoffs: Sequence[float] = CUTOFFS) -> DataFrame:
+    """cutoff, detections, precision, recall: detections are folded first, then those of a confidence count; a label is
+    covered by all of that confidence, folded or not. No rows if a confidence is missing."""
+    detections = detections.where("category is not null")
+    at = F.explode(F.array(*(F.lit(float(x)) for x in cutoffs))).alias("cutoff")
+    above = detections.select("*", at).where("confidence >= cutoff")
+    labels = covered_labels(gold.select("doc_id", "start", "end", at), above, pages, ["doc_id"], ["cutoff"])
+    found = _found(pages, gold, _fold(detections), None).select("correct", "confidence", at).where("confidence >= cutoff")
+    a = labels.groupBy("cutoff").agg(F.count("*").alias("labels"), F.count_if("covered").alias("covered"))
+    b = found.groupBy("cutoff").agg(F.count("*").alias("detections"), F.count_if("correct").alias("correct"))
+    sure = detections.agg((F.count_if(F.col("confidence").isNull()) == 0).alias("sure"))  # one row
+    every = detections.sparkSession.range(1).select(at)
+    out = every.join(a, "cutoff", "left").join(b, "cutoff", "left").join(F.broadcast(sure)).where("sure").fillna(0, ["labels", "covered", "detections", "correct"])
+    return out.select("cutoff", "detections", _share(F.col("correct"), F.col("detections")).alias("precision"), _share(F.col("covered"), F.col("labels")).alias("recall"))
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(part / whole, 4)).otherwise(0.0)
+    """Four decimals; null where there is nothing to share."""
+    return F.when(whole > 0, F.round(part / whole, 4))
 
 
 def aggregate(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """category (null: all), labels, detections, precision, recalls (covered, overlap, strict), f1; four decimals."""
-    sides = [("labels", labels, {"covered": "covered", "overlap": "overlap", "exact": "strict"}), ("detections", found, {"correct": "correct"})]
-    out = None
+    """category (null: all), labels, covered, overlap, exact, strict, detections, correct, strict_correct, negative_hits,
+    distinct, distinct_correct (by document, category and value), and precision, strict_precision, distinct_precision,
+    recall, overlap_recall, strict_recall and f1 of them; shares are null where nothing is counted."""
+    values = found.groupBy("doc_id", "category", "value").agg(F.bool_or("correct").alias("correct"))
+    sides = [
+        ("labels", labels, {"covered": "covered", "overlap": "overlap", "exact": "exact", "strict": "strict"}),
+        ("detections", found, {"correct": "correct", "strict_correct": "strict", "negative_hits": "negative"}),
+        ("distinct", values, {"distinct_correct": "correct"}),
+    ]
+    out, counts = None, []
     for name, df, flags in sides:
         df = df.groupingSets([("category",), ()], "category").agg(F.count("*").alias(name), *(F.count_if(F.col(c)).alias(k) for k, c in flags.items()), F.grouping("category").alias("_all"))
-        out = df if out is None else out.join(df, (out["category"].eqNullSafe(df["category"])) & (out["_all"] == df["_all"]), "full").select(F.coalesce(out["category"], df["category"]).alias("category"), F.coalesce(out["_all"], df["_all"]).alias("_all"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("labels", "covered", "overlap", "exact", "detections", "correct")))
-    p, r = _share(F.col("correct"), F.col("detections")), _share(F.col("covered"), F.col("labels"))
-    out = out.withColumns({"precision": p, "recall": r, "overlap_recall": _share(F.col("overlap"), F.col("labels")), "strict_recall": _share(F.col("exact"), F.col("labels"))})
-    return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 4)).otherwise(0.0)).drop("_all")
+        counts += [name, *flags]
+        out = df if out is None else out.join(df, (out["category"].eqNullSafe(df["category"])) & (out["_all"] == df["_all"]), "full").select(F.coalesce(out["category"], df["category"]).alias("category"), F.coalesce(out["_all"], df["_all"]).alias("_all"), *(c for c in counts))
+    out = out.fillna(0, counts)
+    shares = {"precision": ("correct", "detections"), "strict_precision": ("strict_correct", "detections"), "distinct_precision": ("distinct_correct", "distinct"), "recall": ("covered", "labels"), "overlap_recall": ("overlap", "labels"), "strict_recall": ("strict", "labels")}
+    out = out.withColumns({k: _share(F.col(a), F.col(b)) for k, (a, b) in shares.items()})
+    return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 4))).drop("_all")
 
 
 def weighted_cost(labels: DataFrame, found: DataFrame) -> DataFrame:

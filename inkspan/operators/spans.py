@@ -81,19 +81,22 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return hit if how == "left_semi" else left.join(hit, [left[c].eqNullSafe(hit[c]) for c in left.columns], "left_anti")
 
 
-def covered_labels(labels: DataFrame, detections: DataFrame, pages: DataFrame, keys: Sequence[str]) -> DataFrame:
+def covered_labels(labels: DataFrame, detections: DataFrame, pages: DataFrame, keys: Sequence[str], same: Sequence[str] = ()) -> DataFrame:
     """labels (keys, start, end) with overlap, strict and covered: whether detections touch, equal, or hide all but white
-    space of each."""
-    k = list(keys)
+    space of each. Only detections that agree in the columns ``same`` (null with null) count; pages have the keys alone."""
+    p, k = list(keys), [*keys, *same]
     pairs = overlap_join(labels.select(*k, "start", "end").distinct(), detections.select(*k, "start", "end"), k)
     cut = pairs.select(*k, F.col("start").alias("_s"), F.col("end").alias("_e"), F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), (F.col("start") == F.col("r_start")).alias("_a"), (F.col("end") == F.col("r_end")).alias("_b"))
     ranges = merge_ranges(cut.select(*k, "_s", "_e", "start", "end"), [*k, "_s", "_e"])
-    found = ranges.join(pages.select(*k, F.col("text").alias("_text")), k).groupBy(*k, "_s", "_e").agg(F.sum(F.length(F.regexp_replace(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")), r"\s", ""))).alias("_hid"))
+    text = pages.select(*p, F.col("text").alias("_text"))
+    found = ranges.join(text, p).groupBy(*k, "_s", "_e").agg(F.sum(F.length(F.regexp_replace(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")), r"\s", ""))).alias("_hid"))
     strict = cut.groupBy(*k, "_s", "_e").agg(F.bool_or(F.col("_a") & F.col("_b")).alias("strict"))
-    out = labels.join(pages.select(*k, F.col("text").alias("_text")), k, "left")
+    out = labels.join(text, p, "left")
     out = out.withColumn("_all", F.length(F.regexp_replace(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")), r"\s", ""))).drop("_text")
     for df in (found, strict):
-        out = out.join(df.withColumnsRenamed({"_s": "start", "_e": "end"}), [*k, "start", "end"], "left")
+        df = df.select(*(F.col(c).alias(f"_k_{c}") for c in k), "_s", "_e", *(c for c in ("_hid", "strict") if c in df.columns))
+        on = [out[c].eqNullSafe(df[f"_k_{c}"]) for c in k] + [out["start"] == df["_s"], out["end"] == df["_e"]]
+        out = out.join(df, on, "left").drop(*df.columns[: len(k) + 2])
     return out.select(*labels.columns, F.col("_hid").isNotNull().alias("overlap"), F.coalesce("strict", F.lit(False)).alias("strict"), (F.coalesce("_hid", F.lit(0)) >= F.coalesce("_all", F.lit(0))).alias("covered"))
 
 

@@ -326,6 +326,56 @@ def missed_cost(spark, d):
     return scoring.weighted_cost(*_scored(spark, d))
 
 
+# Labels, detections and negatives laid over the documents' own texts by arithmetic, ten, ten and three a document.
+_LAID = """x AS (SELECT doc_id, text, greatest(length(text) - 25, 1) AS m FROM documents WHERE length(text) > 0),
+ g AS (SELECT doc_id, k, text, (doc_id * 31 + k * 47) % m AS start, (doc_id * 31 + k * 47) % m + 5 + (k * 7) % 13 AS "end", ['person', 'email', 'address'][(doc_id + k) % 3 + 1] AS category FROM x, (SELECT unnest(range(10)) AS k)),
+ q AS (SELECT doc_id, k, text, (doc_id * 31 + k * 47) % m + k % 3 AS start, (doc_id * 31 + k * 47) % m + k % 3 + 3 + (k * 5 + doc_id) % 17 AS "end", ['person', 'email', 'address'][(doc_id + k * (1 + k % 2)) % 3 + 1] AS category, CAST(((k * 13 + doc_id) % 10) / 10.0 AS DOUBLE) AS confidence FROM x, (SELECT unnest(range(12)) AS k)),
+ w AS (SELECT doc_id, (doc_id * 17 + k * 101) % m AS start, (doc_id * 17 + k * 101) % m + 30 AS "end" FROM x, (SELECT unnest(range(3)) AS k)),
+ f AS (SELECT *, trim(regexp_replace(lower(substr(text, start + 1, "end" - start)), '\\s+', ' ', 'g')) AS value FROM q QUALIFY coalesce("end" > max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, confidence DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)),
+ chars AS (SELECT doc_id, k, category, unnest(range(start, "end")) AS p, text FROM g), vis AS (SELECT doc_id, k, category, p FROM chars WHERE trim(substr(text, p + 1, 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"""
+
+
+def _laid(spark, d):
+    x = table(spark, d, "documents").where("length(text) > 0").select("doc_id", "text", F.expr("greatest(length(text) - 25, 1) as m"))
+    over = lambda n, start, size: x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("*", F.expr(start).cast("int").alias("start")).withColumn("end", F.expr(f"start + {size}").cast("int"))
+    kind = lambda at: F.expr(f"array('person', 'email', 'address')[{at}]")
+    gold = over(10, "(doc_id * 31 + k * 47) % m", "5 + (k * 7) % 13").select("doc_id", "start", "end", kind("int((doc_id + k) % 3)").alias("category"))
+    found = over(12, "(doc_id * 31 + k * 47) % m + k % 3", "3 + (k * 5 + doc_id) % 17").select("doc_id", "start", "end", kind("int((doc_id + k * (1 + k % 2)) % 3)").alias("category"), F.expr("((k * 13 + doc_id) % 10) / 10.0D").alias("confidence"))
+    return x.select("doc_id", "text"), gold, found, over(3, "(doc_id * 17 + k * 101) % m", "30").select("doc_id", "start", "end")
+
+
+@query(f"""WITH {_LAID},
+ pc AS (SELECT vis.doc_id, vis.k, vis.category, p, count(q.k) > 0 AS hit, count(q.k) FILTER (WHERE q.category = vis.category) > 0 AS own FROM vis LEFT JOIN q ON q.doc_id = vis.doc_id AND q.start <= p AND p < q."end" GROUP BY 1, 2, 3, 4),
+ lc AS (SELECT doc_id, k, bool_and(hit) AS covered, bool_and(own) AS strict FROM pc GROUP BY 1, 2),
+ lo AS (SELECT g.doc_id, g.k, count(f.k) > 0 AS o, coalesce(bool_or(g.start = f.start AND g."end" = f."end"), false) AS x FROM g LEFT JOIN f ON f.doc_id = g.doc_id AND g.start < f."end" AND f.start < g."end" GROUP BY 1, 2),
+ l AS (SELECT g.category, coalesce(covered, true) AS covered, coalesce(strict, true) AS strict, o, x FROM g JOIN lo USING (doc_id, k) LEFT JOIN lc USING (doc_id, k)),
+ t AS (SELECT f.doc_id, f.k, f.category, f.value, count(g.k) > 0 AS correct, count(g.k) FILTER (WHERE g.category = f.category) > 0 AS own FROM f LEFT JOIN g ON f.doc_id = g.doc_id AND g.start < f."end" AND f.start < g."end" GROUP BY 1, 2, 3, 4),
+ u AS (SELECT t.*, NOT correct AND EXISTS (SELECT 1 FROM w JOIN f ON f.doc_id = t.doc_id AND f.k = t.k WHERE w.doc_id = t.doc_id AND w.start < f."end" AND f.start < w."end") AS negative FROM t),
+ v AS (SELECT doc_id, category, value, bool_or(correct) AS correct FROM t GROUP BY 1, 2, 3),
+ a AS (SELECT category, count(*) AS labels, count(*) FILTER (WHERE covered) AS covered, count(*) FILTER (WHERE o) AS overlap, count(*) FILTER (WHERE x) AS exact, count(*) FILTER (WHERE strict) AS strict FROM l GROUP BY GROUPING SETS ((category), ())),
+ b AS (SELECT category, count(*) AS detections, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE own) AS strict_correct, count(*) FILTER (WHERE negative) AS negative_hits FROM u GROUP BY GROUPING SETS ((category), ())),
+ e AS (SELECT category, count(*) AS "distinct", count(*) FILTER (WHERE correct) AS distinct_correct FROM v GROUP BY GROUPING SETS ((category), ()))
+SELECT a.*, detections, correct, strict_correct, negative_hits, "distinct", distinct_correct, round(correct / detections, 4) AS "precision", round(strict_correct / detections, 4) AS strict_precision, round(distinct_correct / "distinct", 4) AS distinct_precision,
+ round(covered / labels, 4) AS recall, round(overlap / labels, 4) AS overlap_recall, round(strict / labels, 4) AS strict_recall, round(2 * round(correct / detections, 4) * round(covered / labels, 4) / (round(correct / detections, 4) + round(covered / labels, 4)), 4) AS f1
+FROM a JOIN b ON a.category IS NOT DISTINCT FROM b.category JOIN e ON a.category IS NOT DISTINCT FROM e.category""")
+def category_quality(spark, d):
+    """All columns of the scores, by category and in all, over the documents' own texts."""
+    pages, gold, found, lures = _laid(spark, d)
+    return scoring.aggregate(*scoring.score_documents(pages, gold, found, negatives=lures))
+
+
+@query(f"""WITH {_LAID}, cuts AS (SELECT CAST(unnest([0.5, 0.7, 0.8, 0.9]) AS DOUBLE) AS cutoff),
+ pc AS (SELECT cutoff, vis.doc_id, vis.k, p, count(q.k) > 0 AS hit FROM vis, cuts LEFT JOIN q ON q.doc_id = vis.doc_id AND q.start <= p AND p < q."end" AND q.confidence >= cutoff GROUP BY 1, 2, 3, 4),
+ lc AS (SELECT cutoff, doc_id, k, bool_and(hit) AS covered FROM pc GROUP BY 1, 2, 3),
+ l AS (SELECT cuts.cutoff, count(*) AS labels, count(*) FILTER (WHERE coalesce(covered, true)) AS covered FROM g CROSS JOIN cuts LEFT JOIN lc ON lc.cutoff = cuts.cutoff AND lc.doc_id = g.doc_id AND lc.k = g.k GROUP BY 1),
+ t AS (SELECT f.doc_id, f.k, f.confidence, count(g.k) > 0 AS correct FROM f LEFT JOIN g ON f.doc_id = g.doc_id AND g.start < f."end" AND f.start < g."end" GROUP BY 1, 2, 3),
+ n AS (SELECT cutoff, count(*) AS detections, count(*) FILTER (WHERE correct) AS correct FROM t JOIN cuts ON confidence >= cutoff GROUP BY 1)
+SELECT cutoff, detections, round(correct / detections, 4) AS "precision", round(covered / labels, 4) AS recall FROM l JOIN n USING (cutoff)""")
+def quality_by_cutoff(spark, d):
+    pages, gold, found, _ = _laid(spark, d)
+    return scoring.by_cutoff(pages, gold, found)
+
+
 @query("""WITH p AS (SELECT CAST(quality AS VARCHAR) AS a, CAST(toxic AS VARCHAR) AS b FROM labels), k AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) AS s FROM k),
  e AS (SELECT sum(x * y) AS xy FROM (SELECT a, sum(n) AS x FROM k GROUP BY a) JOIN (SELECT b, sum(n) AS y FROM k GROUP BY b) ON a = b)
 SELECT CAST(n AS BIGINT) AS n, round(s / n, 4) AS observed, round((s / n - xy / (n * n)) / (1 - xy / (n * n)), 4) AS kappa FROM t, e""")
