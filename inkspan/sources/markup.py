@@ -187,6 +187,26 @@ def eml_to_sections(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: eml_sections(bytes(b or b"")))
 
 
+def _outcome(run, *args):
+    """(what a parser gives, null), or (null, why it refuses)."""
+    try:
+        return run(*args), None
+    except ValueError as e:
+        return None, str(e)
+
+
+@F.pandas_udf(T.StructType([T.StructField("sections", _SECTION), T.StructField("reason", T.StringType())]))
+def eml_outcome(raw: pd.Series) -> pd.DataFrame:
+    """Sections of a message, or the reason of its refusal: the other messages go on."""
+    return pd.DataFrame([_outcome(eml_sections, bytes(b or b"")) for b in raw], columns=["sections", "reason"], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())]))
+def rtf_outcome(source: pd.Series) -> pd.DataFrame:
+    """Text of an RTF document, or the reason of its refusal; null for null."""
+    return pd.DataFrame([(None, None) if s is None else _outcome(rtf_text, s) for s in source], columns=["text", "reason"], dtype=object)
+
+
 def attachment_plan(attachments: DataFrame, most: int = 25 << 20, together: int = 64 << 20, depth: int = 3, children: int = 200) -> DataFrame:
     """attachments (parent_id, seq, name, kind, claimed_kind, size, depth) with decision: carry (unknown type), expand, or
     the reason of refusal; totals run in order within the parent."""
@@ -231,7 +251,18 @@ def mailbox_messages(text: pd.Series) -> pd.Series:
     return text.map(lambda t: split_mailbox(t or ""))
 
 
+@F.pandas_udf(T.StructType([T.StructField("messages", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType())]))
+def mailbox_outcome(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_outcome(split_mailbox, t or "") for t in text], columns=["messages", "reason"], dtype=object)
+
+
+def refused_mailboxes(boxes: DataFrame) -> DataFrame:
+    """parent_id, reason of mailboxes that ``expand_mailboxes`` leaves out."""
+    return boxes.select("parent_id", mailbox_outcome("text")["reason"].alias("reason")).where("reason is not null")
+
+
 def expand_mailboxes(boxes: DataFrame, known: DataFrame) -> DataFrame:
-    """parent_id, part_path (msg-1, ...), text: messages of mailboxes (parent_id, text) that are not children yet."""
-    rows = boxes.select("parent_id", F.posexplode(mailbox_messages("text")).alias("_i", "text")).select("parent_id", F.concat(F.lit("msg-"), (F.col("_i") + 1).cast("string")).alias("part_path"), "text")
+    """parent_id, part_path (msg-1, ...), text: messages of mailboxes (parent_id, text) that are not children yet. Those of
+    over 1,000 messages have none: ``refused_mailboxes`` names them."""
+    rows = boxes.select("parent_id", F.posexplode(mailbox_outcome("text")["messages"]).alias("_i", "text")).select("parent_id", F.concat(F.lit("msg-"), (F.col("_i") + 1).cast("string")).alias("part_path"), "text")
     return rows.join(known.select("parent_id", "part_path"), ["parent_id", "part_path"], "left_anti")

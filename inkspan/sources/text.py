@@ -119,25 +119,53 @@ def parse_delimited_text(text: str, delimiter: str = ",") -> list[list[tuple[str
     return rows
 
 
-def delimited_cells(docs: DataFrame, delimiter: str = ",") -> DataFrame:
-    """doc_id, row, col (from 1), value, quoted: the filled cells of delimited texts. Over 200,000 rows or a
-    filled cell past column 2,048 are refused."""
+def _cells(text: str | None, delimiter: str) -> list[tuple]:
+    """(row, col, value, quoted) of a text's filled cells; ValueError where it is refused."""
+    grid = parse_delimited_text((text or "").removeprefix("\ufeff"), delimiter)
+    if len(grid) > MAX_ROWS:
+        raise ValueError(f"over {MAX_ROWS} rows")
+    if any(v for row in grid for v, _ in row[MAX_COLUMNS:]):
+        raise ValueError(f"over {MAX_COLUMNS} columns")
+    return [(r + 1, c + 1, v, q) for r, row in enumerate(grid) for c, (v, q) in enumerate(row) if v]
+
+
+def _grids(docs: DataFrame, delimiter: str, strict: bool) -> DataFrame:
+    """Cells with a null reason; a refused document is a row with a reason, or an error if strict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string())
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                grid = parse_delimited_text((text or "").removeprefix("\ufeff"), delimiter)
-                if len(grid) > MAX_ROWS:
-                    raise ValueError(f"document {doc} has over {MAX_ROWS} rows")
-                if any(v for row in grid for v, _ in row[MAX_COLUMNS:]):
-                    raise ValueError(f"document {doc} has over {MAX_COLUMNS} columns")
-                out += [(doc, r + 1, c + 1, v, q) for r, row in enumerate(grid) for c, (v, q) in enumerate(row) if v]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "row", "col", "value", "quoted"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, row int, col int, value string, quoted boolean")
+                try:
+                    out += [(doc, *cell, None) for cell in _cells(text, delimiter)]
+                except ValueError as e:
+                    if strict:
+                        raise ValueError(f"document {doc}: {e}") from None
+                    out.append((doc, None, None, None, None, str(e)))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "row", "col", "value", "quoted", "reason"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, row int, col int, value string, quoted boolean, reason string")
+
+
+def delimited_cells(docs: DataFrame, delimiter: str = ",") -> DataFrame:
+    """doc_id, row, col (from 1), value, quoted: the filled cells of delimited texts. Over 200,000 rows, a filled cell past
+    column 2,048 or an open quote end the job; ``read_grids`` sets such documents aside instead."""
+    return _grids(docs, delimiter, True).drop("reason")
+
+
+def read_grids(docs: DataFrame, delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
+    """(cells, refused): cells as of ``delimited_cells``; refused documents, which have no cells, as doc_id, reason. Each
+    side parses the texts when it is read."""
+    rows = _grids(docs, delimiter, False)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("doc_id", "reason")
+
+
+def read_pages(docs: DataFrame, most: int = PAGE_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(pages, refused): pages as of ``paginate``; documents over its limit as doc_id, reason."""
+    long = F.coalesce(F.length("text"), F.lit(0)) > MAX_CHARS
+    return paginate(docs.where(~long), most), docs.where(long).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(f"over {MAX_CHARS} characters").alias("reason"))
 
 
 def write_rows(cells: DataFrame, delimiter: str = ",", value: str = "value") -> DataFrame:

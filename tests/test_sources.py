@@ -69,3 +69,23 @@ def test_mailboxes(spark):
 def test_recognised_words(spark):
     words = spark.createDataFrame([(1, 1, 0, " ab ", 0.9, 1.0, 2.0, 3.0, 4.0), (1, 1, 1, "no", 0.1, 1.0, 2.0, 3.0, 4.0), (1, 1, 2, "c", 0.9, 1.0, 2.0, 3.0, 4.0)], "doc_id long, page int, seq int, text string, confidence double, x double, y double, width double, height double")
     assert [(r.text, r.start, r.end, r.x) for r in text.ocr_spans(words, scale=2.0).orderBy("seq").collect()] == [("ab", 0, 2, 2.0), ("c", 3, 4, 2.0)]
+
+
+def test_one_bad_document_leaves_the_others(spark):
+    docs = spark.createDataFrame([(1, "a,b\n"), (2, 'x,"open'), (3, "," * 2048 + "x"), (4, None), (5, 'c,""')], "doc_id long, text string")
+    cells, refused = text.read_grids(docs)
+    assert sorted((r.doc_id, r.row, r.col, r.value) for r in cells.collect()) == [(1, 1, 1, "a"), (1, 1, 2, "b"), (5, 1, 1, "c")]
+    assert {r.doc_id: r.reason for r in refused.collect()} == {2: "a quoted field is never closed", 3: "over 2048 columns"}
+    pages, refused = text.read_pages(docs.withColumn("text", F.when(F.col("doc_id") == 1, F.repeat(F.lit("y"), text.MAX_CHARS + 1)).otherwise(F.col("text"))))
+    assert {r.doc_id for r in pages.collect()} == {2, 3, 4, 5} and refused.collect() == [(1, f"over {text.MAX_CHARS} characters")]
+    deep = "{" * (markup.RTF_DEPTH + 1) + "x"
+    got = spark.createDataFrame([(1, deep), (2, "{ok}"), (3, None)], "i int, s string").select("i", markup.rtf_outcome("s").alias("o")).select("i", "o.*").collect()
+    assert {r.i: (r.text, bool(r.reason)) for r in got} == {1: (None, True), 2: ("ok", False), 3: (None, False)}
+    nest = b"".join(b"Content-Type: message/rfc822\n\n" for _ in range(markup.MAX_NESTED + 2)) + b"Subject: in\n\nx"
+    got = spark.createDataFrame([(1, bytearray(nest)), (2, bytearray(b"Subject: s\n\nbody"))], "i int, raw binary").select("i", markup.eml_outcome("raw").alias("o")).select("i", "o.*").collect()
+    assert {r.i: (r.sections is not None, r.reason) for r in got} == {1: (False, "messages are nested too deeply"), 2: (True, None)}
+    many = markup.join_mailbox(["Subject: a\n\nb\n"] * (markup.MAX_MESSAGES + 1))
+    boxes = spark.createDataFrame([(1, many), (2, markup.join_mailbox(["Subject: a\n\nb\n"]))], "parent_id long, text string")
+    known = spark.createDataFrame([], "parent_id long, part_path string")
+    assert [(r.parent_id, r.part_path) for r in markup.expand_mailboxes(boxes, known).collect()] == [(2, "msg-1")]
+    assert [(r.parent_id, r.reason) for r in markup.refused_mailboxes(boxes).collect()] == [(1, f"over {markup.MAX_MESSAGES} messages")]
