@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkspan.functions.text import sample_around
+from inkspan.functions.text import SPACE, sample_around, ws_trim
 
 MAX_LENGTH = 500
 #: Rules at once: every task compiles all of them.
@@ -136,7 +136,8 @@ def diff_matches(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def learn_pattern(values: DataFrame, least: int = 3) -> DataFrame:
     """owner keys, signature, pattern, category, support: expressions generalised from at least ``least`` distinct values
-    of one shape (letters, digits and separators by run), with the most common category (the first by name on ties)."""
+    of one shape (letters, digits and separators by run), with the most common category (the first by name on ties). Looser
+    than ``learn_shapes``, which keeps what never varies."""
     v = F.trim("value")
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\p{Nd}", "9")
     signature = F.regexp_replace(F.regexp_replace(F.regexp_replace(runs, "A+", "A"), "a+", "a"), "9+", "9")
@@ -146,3 +147,54 @@ def learn_pattern(values: DataFrame, least: int = 3) -> DataFrame:
     shape = F.regexp_replace(F.col("signature"), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(shape, "A", "[A-Z]+"), r"(?<![\[A-Z-])a(?![-z])", "[a-z]+"), "9", "[0-9]+")
     return best.where(F.col("support") >= least).select("signature", F.concat(F.lit("^"), pattern, F.lit("$")).alias("pattern"), "category", "support")
+
+
+def _escaped(c: Column) -> Column:
+    return F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def _times(low: Column, high: Column) -> Column:
+    """How often a class stands: nothing for once, {n}, or {low,high}."""
+    return F.when((low == high) & (low == 1), "").when(low == high, F.format_string("{%d}", low)).otherwise(F.format_string("{%d,%d}", low, high))
+
+
+def learn_shapes(redactions: DataFrame, least: int = 3, known: DataFrame | None = None) -> DataFrame:
+    """signature, pattern, category, support, display: case-sensitive whole-word expressions that ``least`` or more distinct
+    values of one shape share, from redactions (seq, type, source, status, text, category) made by hand.
+
+    A value is cut into runs of digits, letters and white space and single symbols; values of the same sequence of those are
+    of one shape. What never varies stays as it is, digits keep their common beginning, and the rest becomes a class with its
+    run lengths. A shape is left out unless two characters of letters or digits are common to all, or it has digits and six
+    characters at least; so are digits beyond 0-9 where they vary, patterns of over 500 characters, and those in ``known``
+    (pattern). Only texts of 3 to 80 characters that were not rejected count, each with the category it had first; the most
+    common category wins, the earlier on ties. Rows without a text are no values."""
+    c = F.col
+    v = redactions.where("source = 'user' and type = 'text' and status <> 'rejected'").select("seq", "category", ws_trim(c("text")).alias("value"))
+    v = v.where(F.length("value").between(3, 80)).groupBy("value").agg(F.min("seq").alias("seq"), F.min_by("category", "seq").alias("category"))
+    v = v.withColumn("_t", F.regexp_extract_all("value", F.lit(rf"(?s)\p{{Nd}}+|\p{{L}}+|{SPACE}+|."), F.lit(0)))
+    kind = lambda t: F.when(t.rlike(r"^\p{Nd}"), "d").when(t.rlike(r"^\p{L}"), "l").when(t.rlike(f"^{SPACE}"), "s").otherwise(F.concat(F.lit("s:"), t))
+    v = v.withColumn("signature", F.array_join(F.transform("_t", kind), "|"))
+    votes = v.groupBy("signature", "category").agg(F.count("*").alias("n"), F.min("seq").alias("seq"), F.min_by("value", "seq").alias("value"))
+    best = votes.groupBy("signature").agg(F.max_by("category", F.struct("n", (-c("seq")).alias("s"))).alias("category"), F.sum("n").alias("support"), F.min_by("value", "seq").alias("first")).where(c("support") >= max(least, 2))
+    runs = v.select("signature", F.posexplode("_t").alias("at", "t"))
+    every = lambda rule: F.bool_and(c("t").rlike(rule))
+    runs = runs.groupBy("signature", "at").agg(
+        F.min("t").alias("a"), F.max("t").alias("z"), F.min(F.length("t")).alias("low"), F.max(F.length("t")).alias("high"), every("^[0-9]+$").alias("plain"), every("^[A-Za-z]+$").alias("ascii"), every("^[A-Z]+$").alias("upper"), every("^[a-z]+$").alias("lower"),
+    ).withColumn("cls", kind(c("a")))
+    same, digits, letters = c("a") == c("z"), c("cls") == "d", c("cls") == "l"
+    # the beginning that the first and the last in order share is shared by all
+    common = F.size(F.filter(F.sequence(F.lit(1), c("high")), lambda n: (n <= c("low")) & (F.substring(c("a"), F.lit(1), n) == F.substring(c("z"), F.lit(1), n))))
+    runs = runs.withColumn("head", F.substring(c("a"), F.lit(1), common)).withColumn("_c", F.length("head"))
+    letter = F.when(~c("ascii"), r"\p{L}").when(c("upper"), "[A-Z]").when(c("lower"), "[a-z]").otherwise("[A-Za-z]")
+    part = F.when(c("cls") == "s", r"\s+").when(digits & ~same, F.concat("head", F.lit(r"\d"), _times(c("low") - c("_c"), c("high") - c("_c")))).when(letters & ~same, F.concat(letter, _times(c("low"), c("high")))).otherwise(_escaped(c("a")))
+    shown = F.when(c("cls") == "s", " ").when(digits & ~same, F.concat("head", F.repeat(F.lit("x"), F.greatest(F.lit(1), c("low") - c("_c"))))).otherwise(c("a"))
+    fixed_length = F.when((digits | letters) & same, F.length("a")).when(digits, c("_c")).otherwise(0)
+    shapes = runs.groupBy("signature").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", part.alias("p")))), lambda x: x["p"]), "").alias("pattern"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", shown.alias("p")))), lambda x: x["p"]), "").alias("display"),
+        F.sum(fixed_length).alias("literal"), F.bool_or(digits).alias("digits"), F.sum("low").alias("least"), F.bool_or(letters & ~same).alias("vary"), F.bool_or(digits & ~same & ~c("plain")).alias("odd"),
+    )
+    out = best.join(shapes, "signature").where(((c("literal") >= 2) | (c("digits") & (c("least") >= 6))) & ~c("odd") & (F.length("pattern") <= MAX_LENGTH))
+    if known is not None:
+        out = out.join(known.select("pattern"), "pattern", "left_anti")
+    return out.select("signature", "pattern", "category", "support", F.when(c("vary"), c("first")).otherwise(c("display")).alias("display"))

@@ -79,7 +79,7 @@ def _share(part: Column, whole: Column) -> Column:
 def aggregate(labels: DataFrame, found: DataFrame) -> DataFrame:
     """category (null: all), labels, covered, overlap, exact, strict, detections, correct, strict_correct, negative_hits,
     distinct, distinct_correct (by document, category and value), and precision, strict_precision, distinct_precision,
-    recall, overlap_recall, strict_recall and f1 of them; shares are null where nothing is counted."""
+    recall, overlap_recall, strict_recall and f1 of them; shares are null where nothing is counted, and empty tables give no rows."""
     values = found.groupBy("doc_id", "category", "value").agg(F.bool_or("correct").alias("correct"))
     sides = [
         ("labels", labels, {"covered": "covered", "overlap": "overlap", "exact": "exact", "strict": "strict"}),

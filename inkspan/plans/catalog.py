@@ -314,6 +314,32 @@ def _scored(spark, d):
     return scoring.score_documents(pages, gold, s.where("seq % 2 = 0").select("doc_id", "start", "end", "category", "confidence"), 0.5)
 
 
+# Values as redacted by hand: names, keys with and without leading zeros, dates, and some that must not count.
+_BY_HAND = """SELECT c_custkey * 10 AS seq, c_name AS text, 'person' AS category FROM customer
+ UNION ALL SELECT c_custkey * 10 + 1, 'EMP-' || lpad(CAST(c_custkey AS VARCHAR), 5, '0'), CASE WHEN c_custkey % 3 = 0 THEN 'reference' ELSE 'customer-id' END FROM customer
+ UNION ALL SELECT c_custkey * 10 + 2, c_mktsegment || ' (' || CAST(c_nationkey AS VARCHAR) || ')', 'other' FROM customer
+ UNION ALL SELECT c_custkey * 10 + 3, substr(c_mktsegment, 1, 1) || '/' || CAST(c_nationkey % 10 AS VARCHAR), 'other' FROM customer
+ UNION ALL SELECT c_custkey * 10 + 4, lower(c_mktsegment) || '.' || CAST(c_custkey AS VARCHAR) || '@x', 'email' FROM customer"""
+
+
+@query(f"""WITH r AS ({_BY_HAND}), v AS (SELECT text AS value, min(seq) AS seq, arg_min(category, seq) AS category FROM r WHERE length(text) BETWEEN 3 AND 80 GROUP BY 1),
+ k AS (SELECT *, regexp_extract_all(value, '[0-9]+|[A-Za-z]+|[ ]+|.') AS t FROM v),
+ s AS (SELECT *, array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN 'd' WHEN regexp_matches(x, '^[A-Za-z]') THEN 'l' WHEN x[1] = ' ' THEN 's' ELSE 's:' || x END), '|') AS signature FROM k),
+ n AS (SELECT signature, category, count(*) AS n, min(seq) AS seq FROM s GROUP BY 1, 2),
+ b AS (SELECT signature, arg_min(category, (-n, seq)) AS category, CAST(sum(n) AS BIGINT) AS support FROM n GROUP BY 1 HAVING sum(n) >= 3),
+ f AS (SELECT signature, arg_min(value, seq) AS first FROM s GROUP BY 1),
+ u AS (SELECT signature, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM s),
+ h AS (SELECT signature, i, max(j) AS c FROM (SELECT signature, i, j, count(DISTINCT substr(x, 1, j)) AS d, bool_and(length(x) >= j) AS long FROM u, (SELECT unnest(range(81)) AS j) GROUP BY 1, 2, 3) WHERE d = 1 AND long GROUP BY 1, 2),
+ p AS (SELECT signature, i, count(DISTINCT x) = 1 AS same, min(length(x)) AS lo, max(length(x)) AS hi, any_value(x) AS x, bool_and(regexp_full_match(x, '[A-Z]+')) AS up, bool_and(regexp_full_match(x, '[a-z]+')) AS down, bool_and(regexp_full_match(x, '[0-9]+')) AS d, bool_and(regexp_full_match(x, '[A-Za-z]+')) AS l FROM u GROUP BY 1, 2),
+ q AS (SELECT signature, i, same, lo, d, l, CASE WHEN d THEN c ELSE 0 END AS c, substr(x, 1, c) AS head, x, CASE WHEN d THEN lo - c ELSE lo END AS a, CASE WHEN d THEN hi - c ELSE hi END AS z, CASE WHEN d THEN substr(x, 1, c) || '\\d' WHEN up THEN '[A-Z]' WHEN down THEN '[a-z]' ELSE '[A-Za-z]' END AS cls FROM p JOIN h USING (signature, i)),
+ o AS (SELECT signature, string_agg(CASE WHEN x[1] = ' ' THEN '\\s+' WHEN NOT (d OR l) THEN regexp_replace(x, '([.()])', '\\\\\\1') WHEN same THEN x ELSE cls || CASE WHEN a = z AND a = 1 THEN '' WHEN a = z THEN '{{' || a || '}}' ELSE '{{' || a || ',' || z || '}}' END END, '' ORDER BY i) AS pattern,
+  string_agg(CASE WHEN d AND NOT same THEN head || repeat('x', greatest(1, a)) ELSE x END, '' ORDER BY i) AS shown, sum(CASE WHEN (d OR l) AND same THEN lo ELSE c END) AS literal, bool_or(d) AS digits, sum(lo) AS least, bool_or(l AND NOT same) AS vary FROM q GROUP BY 1)
+SELECT signature, pattern, category, support, CASE WHEN vary THEN first ELSE shown END AS display FROM b JOIN o USING (signature) JOIN f USING (signature) WHERE literal >= 2 OR digits AND least >= 6""")
+def learned_shapes(spark, d):
+    rows = spark.sql(_BY_HAND.replace("FROM customer", "FROM {customer}").replace("VARCHAR", "STRING"), customer=table(spark, d, "customer"))
+    return rules.learn_shapes(rows.withColumns({"type": F.lit("text"), "source": F.lit("user"), "status": F.lit("accepted")}))
+
+
 @query(f"""WITH {_GOLD}, a AS (SELECT category, count(*) AS labels, count(*) FILTER (WHERE o) AS overlap, count(*) FILTER (WHERE x) AS exact, grouping(category) AS z FROM l GROUP BY GROUPING SETS ((category), ())),
  b AS (SELECT category, count(*) AS detections, count(*) FILTER (WHERE correct) AS correct, grouping(category) AS z FROM f GROUP BY GROUPING SETS ((category), ()))
 SELECT a.category, labels, overlap, exact, detections, correct, round(correct / detections, 4) AS "precision", round(overlap / labels, 4) AS overlap_recall FROM a JOIN b ON a.z = b.z AND a.category IS NOT DISTINCT FROM b.category""")

@@ -166,3 +166,45 @@ def test_rules_reach_later_documents(spark, tmp_path):
     finally:
         q.stop()
     assert [(r.doc_id, r.status, r.text) for r in seen] == [(1, "accepted", "Jo")]
+
+
+@pytest.mark.parametrize(
+    "values, want",
+    [
+        (["EMP-00123", "EMP-00456", "EMP-00789"], [("EMP-00\\d{3}", "EMP-00xxx")]),
+        (["KD-1", "KD-22", "AB-333"], []),
+        (["A 12", "A 123", "A 129"], [("A\\s+12\\d{0,1}", "A 12x")]),
+        (["a1b-22222", "é1c-33333", "z1d-44444"], [("\\p{L}1[a-z]-\\d{5}", "a1b-22222")]),
+        (["a", "b", None, ""], []),
+        (["x|1111", "x|2222", "x|2222"], []),
+    ],
+)
+def test_shapes_keep_what_never_varies(spark, values, want):
+    import regex
+
+    df = spark.createDataFrame([(i, "text", "user", "accepted", v, "x") for i, v in enumerate(values)], "seq int, type string, source string, status string, text string, category string")
+    got = [(r.pattern, r.display) for r in rules.learn_shapes(df).collect()]
+    assert got == want
+    assert all(regex.fullmatch(p, v) for p, _ in got for v in values)
+    known = spark.createDataFrame([(p,) for p, _ in want], "pattern string")
+    assert rules.learn_shapes(df, known=known).count() == 0
+    assert rules.learn_shapes(df.withColumn("source", F.lit("rule"))).count() == 0
+
+
+def test_scores_by_category_and_cutoff(spark):
+    pages = spark.createDataFrame([(1, "call Anna  Berg now, x@y.zz or  z")], "doc_id long, text string")
+    gold = spark.createDataFrame([(1, 5, 15, "person"), (1, 21, 27, "email"), (1, 31, 33, "person")], "doc_id long, start int, end int, category string")
+    found = spark.createDataFrame([(1, 5, 19, "person", 0.9), (1, 5, 9, "person", 0.8), (1, 21, 27, "person", 0.6), (1, 28, 30, "email", 0.7), (1, 0, 4, None, 0.9)], "doc_id long, start int, end int, category string, confidence double")
+    lures = spark.createDataFrame([(1, 27, 30), (1, 21, 22)], "doc_id long, start int, end int")
+    labels, kept = scoring.score_documents(pages, gold, found, negatives=lures)
+    assert {r.start: (r.covered, r.overlap, r.exact, r.strict) for r in labels.collect()} == {5: (True, True, False, True), 21: (True, True, True, False), 31: (False, False, False, False)}
+    assert {r.start: (r.value, r.correct, r.strict, r.negative) for r in kept.collect()} == {5: ("anna berg now", True, True, False), 21: ("x@y.zz", True, False, False), 28: ("or", False, False, True)}
+    every = scoring.aggregate(labels, kept).where("category is null").first()
+    assert (every.precision, every.strict_precision, every.recall, every.strict_recall, every.negative_hits) == (0.6667, 0.3333, 0.6667, 0.3333, 1)
+    nothing = scoring.aggregate(labels, kept.where("false")).where("category is null").first()
+    assert (nothing.precision, nothing.recall, nothing.f1) == (None, 0.6667, None)
+    assert scoring.aggregate(labels.where("false"), kept.where("false")).count() == 0
+    at = {r.cutoff: (r.detections, r.precision, r.recall) for r in scoring.by_cutoff(pages, gold, found).collect()}
+    assert at == {0.5: (3, 0.6667, 0.6667), 0.7: (2, 0.5, 0.3333), 0.8: (1, 1.0, 0.3333), 0.9: (1, 1.0, 0.3333)}
+    unsure = found.withColumn("confidence", F.when(F.col("start") > 5, F.col("confidence")))
+    assert scoring.by_cutoff(pages, gold, unsure).count() == 0
