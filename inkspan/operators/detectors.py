@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import checksums, fixed
@@ -88,11 +88,16 @@ def detect_text(text: str, languages: Sequence[str] = ("en",), detectors: Sequen
     return [dict(zip(keys, s, strict=True)) for s in resolve_overlaps(found)]
 
 
+def text_languages(text: Column) -> Column:
+    """The language of a whole document's text as an array; all four where it cannot be told."""
+    guess = guess_language(text)
+    return F.when(guess["detected"], F.array(guess["language"])).otherwise(F.array(*map(F.lit, fixed.LANGUAGES)))
+
+
 def detect(pages: DataFrame, detectors: Sequence[str] | None = None, languages: str | None = None) -> DataFrame:
-    """Detections of pages (doc_id, page, text). languages: a column of language codes (arrays); by default English for
-    every page, and the page's own language, or all four where it cannot be told."""
-    guess = guess_language(F.col("text"))
-    own = F.col(languages) if languages else F.when(guess["detected"], F.array(guess["language"])).otherwise(F.array(*map(F.lit, fixed.LANGUAGES)))
+    """Detections of pages (doc_id, page, text). languages: a column of language codes (arrays), such as their document's
+    ``text_languages``; by default English for every page, and the page's own language, or all four where it cannot be told."""
+    own = F.col(languages) if languages else text_languages(F.col("text"))
     names = list(detectors) if detectors is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,20 +48,26 @@ def _lines(text: str) -> list[str]:
     return re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z", text)
 
 
-def paginate(docs: DataFrame, most: int = PAGE_CHARS) -> DataFrame:
-    """doc_id, page (from 1), page_start, text; every document has a page. Texts over 8,000,000 characters are refused."""
+def paginate(docs: DataFrame, most: int = PAGE_CHARS, keep: str | None = None) -> DataFrame:
+    """doc_id, page (from 1), page_start, text and, if named, a column that pages take from their document; every document
+    has a page. Texts over 8,000,000 characters are refused."""
+    extra = [] if keep is None else [keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows, own = [], []
+            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if len(text or "") > MAX_CHARS:
                     raise ValueError(f"document {doc} has over {MAX_CHARS} characters")
-                rows += [(doc, i + 1, s, t) for i, (t, s) in enumerate(paginate_text(text or "", most))]
+                pages = paginate_text(text or "", most)
+                rows += [(doc, n + 1, s, t) for n, (t, s) in enumerate(pages)]
+                own += [i] * len(pages)
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "page", "page_start", "text"])
+            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, *(b.column(2).take(pa.array(own, pa.int64())) for _ in extra)], names=["doc_id", "page", "page_start", "text", *extra])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, page int, page_start int, text string")
+    kinds = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in extra)
+    return docs.select(F.col("doc_id").cast("long"), "text", *extra).mapInArrow(run, "doc_id long, page int, page_start int, text string" + kinds)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])))

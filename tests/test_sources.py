@@ -89,3 +89,13 @@ def test_one_bad_document_leaves_the_others(spark):
     known = spark.createDataFrame([], "parent_id long, part_path string")
     assert [(r.parent_id, r.part_path) for r in markup.expand_mailboxes(boxes, known).collect()] == [(2, "msg-1")]
     assert [(r.parent_id, r.reason) for r in markup.refused_mailboxes(boxes).collect()] == [(1, f"over {markup.MAX_MESSAGES} messages")]
+
+
+def test_pages_take_their_documents_language(spark):
+    from inkspan.operators import detectors
+
+    german = "Der Mann und die Frau sind nicht mit dem Hund auf der Straße, und das ist für die Kinder ein Problem.\n" * 40
+    docs = spark.createDataFrame([(1, german + "12 345\n"), (2, None)], "doc_id long, text string").withColumn("languages", detectors.text_languages(F.col("text")))
+    pages = text.paginate(docs, most=400, keep="languages").collect()
+    assert {tuple(r.languages) for r in pages if r.doc_id == 1} == {("de",)} and sum(r.doc_id == 1 for r in pages) > 5
+    assert [(r.page, len(r.languages)) for r in pages if r.doc_id == 2] == [(1, 4)]
