@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from .common import chunks, materialize, table, whole_text
 CAPACITY, END = 2048, 0
 #: Pieces of a shard, islands of a shard, rounds with migration between them, chromosomes of an island, offspring a round.
 SHARD, ISLANDS, ROUNDS, POPULATION, OFFSPRING = 16_384, 2, 2, 4, 12
-#: Memoised words per Python worker; the memo starts afresh when full.
-MEMO = 500_000
+#: Memoised words per Python worker, and characters of one at most: some 150 MB in all. The memo starts afresh when full.
+MEMO, MEMO_CHARS = 500_000, 64
 #: A word of letters whose lower case and composition do not depend on what is around them, with a stop or comma.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
 #: White space other than 0x09-0x0D and 0x20: libraries differ on it, so such texts are encoded in one call.
@@ -64,7 +65,9 @@ class WordTokenizer:
             if len(self.core) >= MEMO:
                 self.core.clear()
             word = "".join(map(self.alphabet.__getitem__, letters.encode()))
-            ids = self.core[letters] = np.array([t.id for t in self.tk.model.tokenize(word)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.tk.model.tokenize(word)], "<u4").tobytes()
+            if len(letters) <= MEMO_CHARS:
+                self.core[letters] = ids
         return ids
 
     def __call__(self, text: str) -> bytes:
@@ -74,19 +77,18 @@ class WordTokenizer:
         memo = self.memo
         got = list(map(memo.get, words))
         if None in got:
-            new = list({w for w, g in zip(words, got, strict=True) if g is None})
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(words))
-            odd = []
-            for w in new:
+            odd, fresh = [], {}
+            for w in {w for w, g in zip(words, got, strict=True) if g is None}:
                 if m := PLAIN.fullmatch(w):
-                    memo[w] = self.plain(m[1].lower()) + self.stops[m[2]]
+                    fresh[w] = self.plain(m[1].lower()) + self.stops[m[2]]
                 else:
                     odd.append(w)
             for w, e in zip(odd, self.tk.encode_batch(odd, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-            got = [memo[w] for w in words]
+                fresh[w] = np.array(e.ids, "<u4").tobytes()
+            got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
+            if len(memo) + len(fresh) > MEMO:
+                memo.clear()
+            memo.update((w, ids) for w, ids in islice(fresh.items(), MEMO) if len(w) <= MEMO_CHARS)
         return b"".join(got)
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import chunks, lists, table, whole_text
 
 MARK = "▁"
-#: Memoised segments per Python worker; the memo starts afresh when full.
-MEMO = 300_000
+#: Memoised segments per Python worker, and characters of one at most: some 100 MB in all. The memo starts afresh when full.
+MEMO, MEMO_CHARS = 300_000, 64
 SCHEMA = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
 
 
@@ -134,14 +135,14 @@ class Codec:
         memo = self.memo
         got = list(map(memo.get, parts))
         if None in got:
-            new = list({p for p, g in zip(parts, got, strict=True) if g is None})
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(parts))
+            new, fresh = list({p for p, g in zip(parts, got, strict=True) if g is None}), {}
             for p, ids in zip(new, self.sp.encode([p[1:] for p in new], num_threads=1), strict=True):
                 # a lone mark has no text left for the library's dummy prefix
-                memo[p] = np.array(ids if len(p) > 1 else [self.sp.piece_to_id(MARK)], np.int32).tobytes()
-            got = [memo[p] for p in parts]
+                fresh[p] = np.array(ids if len(p) > 1 else [self.sp.piece_to_id(MARK)], np.int32).tobytes()
+            got = [fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)]
+            if len(memo) + len(fresh) > MEMO:
+                memo.clear()
+            memo.update((p, ids) for p, ids in islice(fresh.items(), MEMO) if len(p) <= MEMO_CHARS)
         return np.frombuffer(b"".join(got), np.int32)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -95,3 +95,12 @@ def test_crossover_saves_sequences_where_best_fit_does_not():
     pool = [pk.first_fits(lengths, rng, 1000, 0.02 * k) for k in range(8)]
     after, _, _ = pk.evolve(0, 0, lengths, pool, 1, 1000, 400)
     assert pk.fitness(lengths, after[0], 1000)[0] < min(pk.fitness(lengths, g, 1000)[0] for g in pool)
+
+
+def test_memo_is_bounded_by_characters():
+    tk, mine = Tokenizer.from_file(PATH), pk.WordTokenizer(PATH)
+    rng = random.Random(5)
+    for t in ["".join(rng.choices("abcdef0123456789+/=", k=1_000_000)), "".join(rng.choices("abcde", k=100_000)), "short words"]:
+        assert np.frombuffer(mine(t), "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids
+    for memo in (mine.memo, mine.core):
+        assert max(map(len, memo)) <= pk.MEMO_CHARS and sum(len(k) + len(v) for k, v in memo.items()) < 10_000

@@ -128,3 +128,11 @@ def test_query_against_the_library_on_whole_texts(spark, sf):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_memo_is_bounded_by_characters():
+    c, sp = sc.Codec(open(PATH, "rb").read()), spm.SentencePieceProcessor(model_file=PATH)
+    rng = random.Random(5)
+    for t in ["".join(rng.choices("abcdef0123456789+/=", k=1_000_000)), "short words " + "x" * 65, "short words"]:
+        assert c.segment(t).tolist() == sp.encode(t)
+    assert c.memo and max(map(len, c.memo)) <= sc.MEMO_CHARS and sum(len(k) + len(v) for k, v in c.memo.items()) < 10_000
