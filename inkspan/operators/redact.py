@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from inkspan.functions import fixed
 from inkspan.functions.text import known_category, normalize_value, ws_trim
 
+from .matching import sweep, value_places
 from .spans import merged_runs
 
 
@@ -82,27 +83,22 @@ def cut_text(pages: DataFrame, ranges: DataFrame, keys: Sequence[str], label: st
 
 def redact_cells(cells: DataFrame, orders: DataFrame, values: DataFrame, label: str = fixed.LABEL) -> DataFrame:
     """cells (doc_id, row, col, value) with redacted: by whole column (never the header row), row or cell, else each
-    accepted value (doc_id, value) swept out of the field, longest first. orders: doc_id, type, row, col. Empty stays."""
+    accepted value (doc_id, value, replacement if there) swept out of the field. orders: doc_id, type, row, col. Empty stays."""
     o = orders.select("doc_id", "type", F.col("row").alias("_r"), F.col("col").alias("_c"))
     hit = F.expr("(type = 'column' and _c = col and row > 1) or (type = 'row' and _r = row) or (type = 'cell' and _r = row and _c = col)")
     whole = cells.join(o, "doc_id").where(hit).select("doc_id", "row", "col").distinct().withColumn("_all", F.lit(True))
-    lists = values.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("_vs"))
-    rows = cells.join(whole, ["doc_id", "row", "col"], "left").join(lists, "doc_id", "left")
-    quoted = lambda v: F.concat(F.lit("(?iu)\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    none = F.array().cast("array<struct<n:int,value:string>>")
-    swept = F.aggregate(F.coalesce("_vs", none), F.col("value"), lambda s, v: F.regexp_replace(s, quoted(v["value"]), F.lit(label)))
-    return rows.withColumn("redacted", F.when(F.length(F.coalesce("value", F.lit(""))) == 0, F.col("value")).when(F.col("_all"), F.lit(label)).otherwise(swept)).drop("_all", "_vs")
+    rows = sweep(cells.join(whole, ["doc_id", "row", "col"], "left"), values, "value", label, "_swept")
+    return rows.withColumn("redacted", F.when(F.length(F.coalesce("value", F.lit(""))) == 0, F.col("value")).when(F.col("_all"), F.lit(label)).otherwise(F.col("_swept"))).drop("_all", "_swept")
 
 
 def verify(output: DataFrame, values: DataFrame, own: DataFrame | None = None, least: int = fixed.SEARCHED_LENGTH) -> DataFrame:
     """doc_id, value: accepted values of ``least`` characters or more still in the output (doc_id, text), whatever the case.
     A document's own surrogates (doc_id, surrogate) are blanked first. An empty result lets an export pass."""
-    out = output.select("doc_id", F.lower("text").alias("_t"))
+    out = output.select("doc_id", "text")
     if own is not None:
-        lists = own.where("surrogate is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("surrogate").alias("n"), F.lower("surrogate").alias("s"))), asc=False).alias("_own"))
-        out = out.join(lists, "doc_id", "left").withColumn("_t", F.expr("aggregate(coalesce(_own, array()), _t, (t, x) -> replace(t, x.s, repeat(' ', x.n)))")).drop("_own")
+        out = sweep(out, own.where("surrogate is not null").select("doc_id", F.col("surrogate").alias("value"), F.lit(" ").alias("replacement")), to="_t").select("doc_id", F.col("_t").alias("text"))
     v = values.where(F.length("value") >= least).select("doc_id", "value").distinct()
-    return out.join(v, "doc_id").where(F.contains("_t", F.lower("value"))).select("doc_id", "value").distinct()
+    return value_places(out, v, every=True).select("doc_id", "value").distinct()
 
 
 class ExportVerificationError(RuntimeError):

@@ -9,11 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from inkspan.functions.text import normalize_value, stands_alone
 
+from .matching import value_places
+
 #: Values that an automaton, which every task holds, may have; more are joined by their documents.
 BROADCAST_VALUES = 100_000
 
@@ -140,20 +141,16 @@ def automaton_hits(pages: DataFrame, values: DataFrame, most: int = BROADCAST_VA
     return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text").mapInArrow(run, "doc_id long, page int, value string, start int, end int")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _finds(text: pd.Series, value: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "end": b} for a, b in find_all(t or "", v or "")] for t, v in zip(text, value, strict=True)])
-
-
 def expand_occurrences(detections: DataFrame, pages: DataFrame, confidence: float = 0.9, standalone: bool = True) -> DataFrame:
-    """All places of each document's everywhere-values in all pages of the document; a value is looked for once."""
+    """All places of each document's everywhere-values in all pages of the document; each page is passed over once."""
     values = detections.where("everywhere").withColumn("_norm", normalize_value(F.col("text"))).where("_norm != ''")
-    values = values.groupBy("doc_id", "_norm").agg(F.min_by("text", "seq").alias("value"), F.min_by("category", "seq").alias("category"), F.min_by("reason", "seq").alias("reason"))
-    hit = values.join(pages.select("doc_id", "page", F.col("text").alias("_text")), "doc_id").where(F.contains(F.lower("_text"), F.lower("value")))
-    rows = hit.withColumn("_at", F.explode(_finds("_text", "value"))).withColumn("start", F.col("_at.start")).withColumn("end", F.col("_at.end"))
+    values = values.groupBy("doc_id", "_norm").agg(F.min_by("text", "seq").alias("value"), F.min("seq").alias("seq"), F.min_by("category", "seq").alias("category"), F.min_by("reason", "seq").alias("reason"))
+    about = F.to_json(F.struct("category", "reason"))
+    rows = value_places(pages.select("doc_id", "page", F.col("text").alias("_text")), values, "_text", about, alone=True)
     if standalone:
         rows = rows.where(stands_alone(F.col("_text"), F.col("start"), F.col("end")))
-    return rows.select("doc_id", "page", "category", F.lit(confidence).alias("confidence"), "start", "end", F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "reason", F.lit(True).alias("everywhere"))
+    about = F.from_json("payload", "category string, reason string")
+    return rows.select("doc_id", "page", about["category"].alias("category"), F.lit(confidence).alias("confidence"), "start", "end", F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), about["reason"].alias("reason"), F.lit(True).alias("everywhere"))
 
 
 _SEAM = re.compile(r"[ \t]*,?[ \t]*\n?[ \t]*\Z")
