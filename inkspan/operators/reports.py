@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import percentiles
+
 
 def export_report(redactions: DataFrame) -> DataFrame:
     """doc_id, category, n, methods and sources of accepted redactions, the most frequent category first (rank)."""
@@ -67,10 +69,8 @@ def neighbours(rows: DataFrame, group: str, ident: str, *order: str) -> DataFram
 
 
 def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
-    """The value of rank floor(share * n), from 0, without interpolation."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
-    return ranked.where(F.col("_i") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(*keys, F.col("v").alias(f"p{round(share * 100)}"))
+    """The value of rank floor(share * n), from 0, without interpolation; nulls have no rank."""
+    return percentiles(rows, keys, value, [share])
 
 
 def free_slots(leases: DataFrame, slots: int, now: Column) -> DataFrame:

@@ -12,11 +12,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from inkspan.functions import fixed
 from inkspan.functions.text import normalize_value
 
+from .ranks import percentiles
 from .spans import expand_occurrences, overlap_join
 
 PLACE = ["doc_id", "page"]
@@ -174,13 +174,10 @@ def expansion_by_repeat(entities: DataFrame) -> DataFrame:
 def throughput(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, documents, calls, documents a minute, tokens a minute, p95 (nearest rank) from calls (doc_id, at, ms, tokens)."""
     k = list(keys)
-    w = Window.partitionBy(*k)
-    ranked = calls.withColumn("_i", F.row_number().over(w.orderBy("ms")) - 1).withColumn("_n", F.count("*").over(w))
     minutes = F.greatest((F.max(F.unix_millis(F.col("at").cast("timestamp"))) - F.min(F.unix_millis(F.col("at").cast("timestamp")))) / 60000.0, F.lit(1 / 60.0))
-    return ranked.groupBy(*k).agg(
-        F.count_distinct("doc_id").alias("documents"), F.count("*").alias("calls"), F.round(F.count_distinct("doc_id") / minutes, 4).alias("documents_per_minute"), F.round(F.sum("tokens") / minutes, 4).alias("tokens_per_minute"),
-        F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * 0.95), F.col("_n") - 1), F.col("ms"))).alias("p95_ms"),
-    )
+    counts = calls.groupBy(*k).agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("calls"), F.round(F.count_distinct("doc_id") / minutes, 4).alias("documents_per_minute"), F.round(F.sum("tokens") / minutes, 4).alias("tokens_per_minute"))
+    ranks = percentiles(calls, k, "ms", [0.95]).select(*(F.col(c).alias(f"_{c}") for c in k), F.col("p95").alias("p95_ms"))
+    return counts.join(ranks, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in k], "left").drop(*(f"_{c}" for c in k))
 
 
 # Words that a preset's name may not hold.

@@ -249,18 +249,18 @@ class _Document:
         self.bom = self.bom or mark
         return (*placed, self.row, self.col)
 
-    def end(self) -> tuple:
+    def end(self, most: int | None) -> tuple:
         """(rows, columns, columns left out, line end, byte-order mark, whether the last row has a line end, why it is refused) of the whole document."""
         closed = self.last in ("\r", "\n")
         rows, widest = self.row, self.widest
         if self.chars and not closed:
             rows, widest = rows + 1, max(widest, self.col + 1)
         trailing = closed and self.bytes != (self.total or 0) + 1 if self.total is not None else bool(self.chars) and closed
-        reason = "not valid UTF-8" if not self.valid else "control characters" if self.control else "a quoted field is never closed" if self.state == QUOTED else f"over {MAX_ROWS} rows" if rows > MAX_ROWS else None
+        reason = "not valid UTF-8" if not self.valid else "control characters" if self.control else "a quoted field is never closed" if self.state == QUOTED else f"over {most} rows" if most is not None and rows > most else None
         return rows, min(widest, MAX_COLUMNS), max(0, widest - MAX_COLUMNS), self.eol or "\n", self.bom, trailing, reason
 
 
-def _places(summaries: DataFrame) -> DataFrame:
+def _places(summaries: DataFrame, most: int | None) -> DataFrame:
     """The pieces with where they start, and on each document's last piece what the document is."""
     kind = summaries.schema["doc_id"].dataType.simpleString()
     fields = [("seq", pa.int64()), ("state", pa.int32()), ("row", pa.int64()), ("col", pa.int64()), ("tail", pa.int64()), ("after", pa.int32()), ("end_row", pa.int64()), ("end_col", pa.int64()), ("rows", pa.int64()), ("columns", pa.int32()), ("left_out", pa.int64()), ("eol", pa.string()), ("bom", pa.bool_()), ("trailing", pa.bool_()), ("reason", pa.string())]
@@ -272,7 +272,7 @@ def _places(summaries: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 if doc is None or r["doc_id"] != doc.doc:
                     if waiting:
-                        out.append((*waiting, *doc.end()))
+                        out.append((*waiting, *doc.end(most)))
                     doc, waiting = _Document(r["doc_id"]), None
                 if waiting:
                     out.append((*waiting, *[None] * 7))
@@ -280,7 +280,7 @@ def _places(summaries: DataFrame) -> DataFrame:
             yield batch(out, b.schema)
             schema = b.schema
         if waiting:
-            yield batch([(*waiting, *doc.end())], schema)
+            yield batch([(*waiting, *doc.end(most))], schema)
 
     def batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[]] * 16
@@ -297,11 +297,12 @@ def _placed(pieces: DataFrame, places: DataFrame) -> DataFrame:
 
 class Grids:
     """Delimited texts in pieces, walked once: ``grids`` (doc_id, rows, columns, left_out, eol, bom, trailing, reason), one row per
-    document, where reason says why it is refused and left_out how many columns lie past the 2,048th; ``cells``."""
+    document, where reason says why it is refused and left_out how many columns lie past the 2,048th; ``cells``. ``most``: rows that a
+    document may have; None is no limit."""
 
-    def __init__(self, pieces: DataFrame, delimiter: str = ","):
+    def __init__(self, pieces: DataFrame, delimiter: str = ",", most: int | None = MAX_ROWS):
         self.pieces, self.delimiter = pieces, delimiter
-        self.places = kept(_places(_summaries(pieces, delimiter)), "places")
+        self.places = kept(_places(_summaries(pieces, delimiter), most), "places")
         self.grids = self.places.where("rows is not null").select("doc_id", "rows", "columns", "left_out", "eol", "bom", "trailing", "reason")
 
     def cells(self) -> DataFrame:
@@ -332,7 +333,7 @@ class Grids:
                 yield end_row, end_col, *next(walk(text[tail:], FIELD, stop))[:2]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.bool_())
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.bool_())
             for b in batches:
                 for i in range(b.num_rows):
                     seq, text, state, row, col, tail, after, end_row, end_col = (b.column(c)[i].as_py() for c in range(1, 10))
@@ -344,7 +345,7 @@ class Grids:
                         same = pa.array([b.column(0)[i].as_py()] * len(own), b.schema.field(0).type), pa.array([seq] * len(own), pa.int64())
                         yield pa.RecordBatch.from_arrays([*same, *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "seq", "row", "col", "value", "quoted"])
 
-        return rows.select("doc_id", "seq", "text", "state", "row", "col", "tail", "after", "end_row", "end_col").mapInArrow(run, f"doc_id {kind}, seq long, row int, col int, value string, quoted boolean")
+        return rows.select("doc_id", "seq", "text", "state", "row", "col", "tail", "after", "end_row", "end_col").mapInArrow(run, f"doc_id {kind}, seq long, row long, col int, value string, quoted boolean")
 
 
 def openings(text: str) -> Iterator[tuple[int, int, bool, bool]]:
@@ -362,7 +363,7 @@ def openings(text: str) -> Iterator[tuple[int, int, bool, bool]]:
 class Mailboxes:
     """Mailboxes in pieces of whole lines: ``refused`` (doc_id, reason) and ``messages``."""
 
-    def __init__(self, pieces: DataFrame, most: int = MAX_MESSAGES):
+    def __init__(self, pieces: DataFrame, most: int | None = MAX_MESSAGES):
         kind = pieces.schema["doc_id"].dataType.simpleString()
         extra = [c if c in pieces.columns else F.lit(None).cast("long").alias(c) for c in ("total", "n_bytes")]
         self.pieces = pieces.where("text != ''").select("doc_id", F.col("seq").cast("long"), "text", *extra)
@@ -390,7 +391,8 @@ class Mailboxes:
         added = F.col("_field").isNull() & (F.col("_bytes") == F.col("total") + 1)
         self.places = kept(each.select("doc_id", "seq", "opened", "base", F.col("_blank").alias("blank"), F.col("_next").alias("next"), F.coalesce(added, F.lit(False)).alias("added")), "mailboxes")
         total = self.places.groupBy("doc_id").agg(F.sum("opened").alias("n"))
-        self.refused = total.where((F.col("n") > most) | (F.col("n") == 0)).select("doc_id", F.when(F.col("n") == 0, "no messages").otherwise(f"over {most} messages").alias("reason"))
+        many = F.lit(False) if most is None else F.col("n") > most
+        self.refused = total.where(many | (F.col("n") == 0)).select("doc_id", F.when(F.col("n") == 0, "no messages").otherwise(f"over {most} messages").alias("reason"))
 
     def messages(self) -> DataFrame:
         """doc_id, message (from 1), from_line, text: without the blank line that ends a message, and with one ``>`` taken off
