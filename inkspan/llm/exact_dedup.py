@@ -112,10 +112,12 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that stay; a row repeated with id and text stays once. Rows meet the index by id and
-    digest, so a large group of copies does not meet in one task."""
-    at = F.coalesce(F.col("keep_id").cast("string"), F.lit(""))
-    kept = build_index(docs).buckets.select(at.alias("_at"), F.col("text_sha256").alias("_of"))
+    """The documents, all columns, that stay by what their probes of the index find; a row repeated with id and text stays
+    once. Probes carry ids and keys; texts meet what stays by id and digest, so a large group of copies does not meet in one
+    task."""
+    at = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    found = build_index(docs).probe(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = found.select(at.alias("_at"), F.col("text_sha256").alias("_of")).distinct()
     rows = docs.withColumns({"_at": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_of": F.sha2(normalised(whole_text()), 256)})
     return rows.join(kept, ["_at", "_of"], "left_semi").dropDuplicates(["_at", "_of"]).drop("_at", "_of")
 

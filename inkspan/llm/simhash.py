@@ -14,9 +14,12 @@ values that the shard's pivot does not reach are streamed past every part. A tas
 that it finds, never all pairs; connected components then give the groups. Trees are built by whoever owns the shard
 rather than sent to every machine, since what all of them would hold grows with the corpus.
 
-Defined cases: null texts are empty; texts without words have fingerprint 0 and link like any other; texts are never
-cut; a null id never names a group unless all its ids are null; repeated rows share their group; an empty table gives
-an empty result; extra columns do not pass.
+Near copies by similarity are decided by the exact Jaccard similarity of sets of shingles; their fingerprints, of sets too,
+find the candidates (``similar_groups``).
+
+Defined cases: null texts are empty; texts without words have fingerprint 0 and link like any other (as near copies they
+are one class); texts are never cut; a null id never names a group unless all its ids are null; repeated rows share
+their group; an empty table gives an empty result; extra columns do not pass, but all pass ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lists, materialize, table, whole_text
+from .common import components, join_salted, lists, materialize, table, whole_text
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Near copies by similarity: shingles of five words, eight words of 64 bits. Texts of Jaccard similarity 0.8 and equal
@@ -66,27 +69,60 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def simhash(text: str, words: int = WORDS, parts: int = 1) -> np.ndarray:
-    """``parts`` words of 64 bits; a bit is set if it is set in over half of the shingles' XXH64 (further words: of hashes
-    made from it)."""
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, in order and in pieces; bytes: A-Z only, split at 0x20 and 0x09-0x0D."""
     from xxhash import xxh64_intdigest
 
-    own = text.encode().lower().split()  # bytes: A-Z only, split at 0x20 and 0x09-0x0D
-    if not own:
-        return np.zeros(parts, np.uint64)
-    n = max(1, len(own) - words + 1)
-    ones = np.zeros((parts, 64), np.int64)
+    own = text.encode().lower().split()
+    n = max(1, len(own) - words + 1) if own else 0
     for i in range(0, n, 8192):
         part = own[i : i + 8192 + words - 1]
         shingles = map(b" ".join, zip(*(part[j:] for j in range(words)), strict=False)) if len(own) >= words else [b" ".join(own)]
-        h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)[None]
+        yield np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def majority(pieces: Iterator[np.ndarray], parts: int = 1) -> np.ndarray:
+    """``parts`` words of 64 bits; a bit is set if it is set in over half of the hashes (further words: of hashes made from
+    them). No hashes: zero."""
+    ones, n = np.zeros((parts, 64), np.int64), 0
+    for h in pieces:
+        n += len(h)
+        h = h[None]
         if parts > 1:
             h = np.concatenate([h, (h ^ (h >> np.uint64(31))) * _MIX[1:parts, None]])
             h[1:] ^= h[1:] >> np.uint64(29)
             h[1:] *= _MIX[0]
             h[1:] ^= h[1:] >> np.uint64(32)
         ones += bit_counts(h)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0] if n else np.zeros(parts, np.uint64)
+
+
+def simhash(text: str, words: int = WORDS, parts: int = 1) -> np.ndarray:
+    """The majority of the text's shingles, repeats included."""
+    return majority(shingle_hashes(text, words), parts)
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct hashes, in order of size."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def signatures(docs: DataFrame, words: int = NEAR_WORDS, parts: int = PARTS) -> DataFrame:
+    """doc_id, mark (XXH64 of the text), fp (of the set of shingles), s1, s2 (128 bits of that set), size (of it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, sums = [], []
+            for t in b.column(2):
+                h = shingle_set(t.as_py(), words)
+                fp.append(majority((h[i : i + 8192] for i in range(0, len(h), 8192)), parts).view(np.int64))
+                mixed = (h ^ (h >> np.uint64(29))) * _MIX[0]
+                sums.append((h.sum(dtype=np.uint64), (mixed ^ (mixed >> np.uint64(32))).sum(dtype=np.uint64), len(h)))
+            s1, s2, n = (np.array(x, np.uint64).view(np.int64) for x in zip(*sums, strict=True)) if sums else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(fp, pa.int64()), *map(pa.array, (s1, s2, n))], names=["doc_id", "mark", "fp", "s1", "s2", "size"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()).alias("mark"), whole_text().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fp array<long>, s1 long, s2 long, size long")
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, parts: int = 1) -> DataFrame:
@@ -203,6 +239,60 @@ def forest_links(member: np.ndarray, member_group: np.ndarray, query: np.ndarray
     return far, label[far]
 
 
+def forest_pairs(member: np.ndarray, member_group: np.ndarray, member_class: np.ndarray, query: np.ndarray, query_group: np.ndarray, query_class: np.ndarray, radius: int, every: bool, done: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius, as indices into members and queries, between rows of different classes. ``every``: all of
+    them; else as many as connect what all of them connect."""
+    n = len(member)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tree = BKForest(member, member_group)
+    held = np.flatnonzero(np.isin(query_group, member_group))
+    _, label = np.unique(np.r_[member_class, query_class[held]], return_inverse=True)
+    # a label is the least index of its class within the group
+    group = np.r_[member_group, query_group[held]]
+    _, first, label = np.unique(np.stack([group, label], 1), axis=0, return_index=True, return_inverse=True)
+    label = first[label.ravel()]
+    values, start = np.concatenate([member, query[held]]), np.repeat(tree.starts, np.diff(np.r_[tree.starts, n]))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        x, y = label[a], label[b]
+        new = x != y
+        if not every:
+            _, keep = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0, return_index=True)
+            new &= np.isin(np.arange(len(a)), keep)
+        if new.any():
+            out.append((a[new], b[new]))
+            if not every:
+                _union(label, a[new], b[new])
+
+    if not every:  # what a pivot reaches is compared with it alone
+        tried = np.zeros(n, bool)
+        for _ in range(3):
+            free = np.flatnonzero((label[:n] == np.arange(n)) & ~tried)
+            pivot = np.full(n, n)
+            np.minimum.at(pivot, start[free], free)
+            tried[pivot[pivot < n]] = True
+            pivot = pivot[start]
+            some = np.flatnonzero((pivot < n) & (pivot != np.arange(n)))
+            some = some[distance(member[some], member[pivot[some]]) <= radius]
+            take(some, pivot[some])
+    size = np.bincount(label[:n], minlength=n + len(held))[: n + len(held)]
+    largest, top = np.zeros(n, np.int64), np.full(n, n + len(held))
+    np.maximum.at(largest, start, size[label[:n]])
+    heads = np.flatnonzero(size[label[:n]] == largest[start])
+    np.minimum.at(top, start[heads], label[heads])
+    own = np.flatnonzero((label[:n] != top[start]) & (True if done is None else ~done))
+    index = np.r_[own, n + np.arange(len(held))]
+    for q, at in tree.search(values[index], tree.root(np.r_[member_group[own], query_group[held]]), radius):
+        take(index[q], at)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    back = np.r_[np.arange(n), n + held]
+    return back[a], back[b]
+
+
 def exact_tables(n: int, radius: int = RADIUS, most: int = SHARD // 8) -> list[list[int]]:
     """Tables for 64 bits: all choices of m - radius of m blocks, with the least m that leaves about ``most`` of n random
     values in a shard."""
@@ -235,21 +325,22 @@ def routes(values: np.ndarray, tables: Sequence[Sequence[int]]) -> np.ndarray:
     for k, positions in enumerate(tables):
         own = np.packbits(bits[:, positions], axis=1, bitorder="little")
         own = np.pad(own, ((0, 0), (0, 8 - own.shape[1]))) if own.shape[1] < 8 else own
-        out[:, k] = (np.ascontiguousarray(own).view(np.uint64)[:, 0] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        step = np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        out[:, k] = (np.ascontiguousarray(own).view(np.uint64)[:, 0] + step) * np.uint64(0xD6E8FEB86659FD93)
     return out.view(np.int64)
 
 
-def links(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard: int = SHARD) -> DataFrame:
-    """(a, b): links that connect all distinct values (node long, fp array of longs) that lie within the radius and share
-    the bits of a table; not all pairs."""
+def _shards(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard: int, every: bool = False) -> DataFrame:
+    """(route, part, query, node, class, fp), the rows of a shard's part together, members before queries. ``every``: all
+    values are shown to all parts of a split shard, also those that its pivot reaches."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 own = b.slice(i, 4096)
-                yield pa.RecordBatch.from_arrays([*own.columns, lists(list(routes(_matrix(own.column(1)), tables)), pa.int64())], names=["node", "fp", "routes"])
+                yield pa.RecordBatch.from_arrays([*own.columns, lists(list(routes(_matrix(own.column(2)), tables)), pa.int64())], names=["node", "class", "fp", "routes"])
 
-    routed = values.select("node", "fp").mapInArrow(name, "node long, fp array<long>, routes array<long>").select("node", "fp", F.explode("routes").alias("route"))
+    routed = values.select("node", "class", "fp").mapInArrow(name, "node long, class long, fp array<long>, routes array<long>").select("node", "class", "fp", F.explode("routes").alias("route"))
     big = routed.groupBy("route").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where(F.col("n") > shard)
     big = materialize(big.select("route", F.ceil(F.col("n") / shard).cast("int").alias("parts"), "pivot"), "shards")
     big = F.broadcast(big) if big.count() <= BROADCAST_SHARDS else big
@@ -257,16 +348,22 @@ def links(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     apart = F.expr("aggregate(zip_with(fp, pivot, (x, y) -> bit_count(x ^ y)), 0, (s, d) -> s + d)")
     # what the shard's pivot reaches is linked through it and stays in its own part; the pivot is known to every part
-    at = F.when((F.col("parts") > 1) & ((apart > radius) | (apart == 0)), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    shown = (F.col("parts") > 1) if every else (F.col("parts") > 1) & ((apart > radius) | (apart == 0))
+    at = F.when(shown, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
     rows = rows.withColumn("own", own).withColumn("part", F.explode(at)).withColumn("query", (F.col("part") != F.col("own")).cast("int"))
-    rows = rows.select("route", "part", "query", "node", "fp").repartition("route", "part").sortWithinPartitions("route", "part", "query", "fp")
+    return rows.select("route", "part", "query", "node", "class", "fp").repartition("route", "part").sortWithinPartitions("route", "part", "query", "fp")
+
+
+def _searched(rows: DataFrame, search) -> DataFrame:
+    """(a, b): what ``search`` finds in each part, given members' and queries' values, groups, classes and whether members
+    have been searched before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(route, part, query, node, fp, done) -> pa.RecordBatch:
+        def solve(route, part, query, node, kind, fp, done) -> pa.RecordBatch:
             group = np.cumsum(np.r_[False, (route[1:] != route[:-1]) | (part[1:] != part[:-1])])
             m = query == 0
             names = np.r_[node[m], node[~m]]
-            a, b = forest_links(fp[m], group[m], fp[~m], group[~m], radius, done[m])
+            a, b = search(fp[m], group[m], kind[m], fp[~m], group[~m], kind[~m], done[m])
             return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
 
         held: list[tuple[np.ndarray, ...]] = []
@@ -275,8 +372,8 @@ def links(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard
             return tuple(map(np.concatenate, zip(*held, strict=True)))
 
         for b in batches:
-            route, part, query, node = (b.column(i).to_numpy() for i in range(4))
-            held.append((route, part, query, node, _matrix(b.column(4)), np.zeros(len(route), bool)))
+            route, part, query, node, kind = (b.column(i).to_numpy() for i in range(5))
+            held.append((route, part, query, node, kind, _matrix(b.column(5)), np.zeros(len(route), bool)))
             if sum(len(x[0]) for x in held) < BUFFER:
                 continue
             now = gathered()
@@ -287,7 +384,7 @@ def links(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard
             if tail[2][-1]:  # its members are all here: search what has come, hold the members
                 yield solve(*tail)
                 own = tail[2] == 0
-                tail = (*(x[own] for x in tail[:5]), np.ones(int(own.sum()), bool))
+                tail = (*(x[own] for x in tail[:6]), np.ones(int(own.sum()), bool))
             held = [tail] if len(tail[0]) else []
         if held:
             yield solve(*gathered())
@@ -295,6 +392,21 @@ def links(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard
     return rows.mapInArrow(run, "a long, b long")
 
 
+def links(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard: int = SHARD) -> DataFrame:
+    """(a, b): links that connect all distinct values (node long, fp array of longs) that lie within the radius and share
+    the bits of a table; not all pairs."""
+    rows = _shards(values.withColumn("class", F.lit(0).cast("long")), radius, tables, shard)
+    return _searched(rows, lambda m, mg, _, q, qg, __, done: forest_links(m, mg, q, qg, radius, done))
+
+
+def pairs_within(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard: int = SHARD, every: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs of values (node, class, fp) of different classes within the radius that share a table's bits:
+    all, or as many as connect the same."""
+    rows = _shards(values, radius, tables, shard, every)
+    found = _searched(rows, lambda m, mg, mc, q, qg, qc, done: forest_pairs(m, mg, mc, q, qg, qc, radius, every, done))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _groups(own: DataFrame, radius: int, tables, shard: int) -> DataFrame:
     """doc_id, fp, component_id for documents (doc_id, fp) with the tables for a number of values."""
     values = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "values")
@@ -312,18 +424,73 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, shard
     return _groups(own, radius, lambda n: exact_tables(n, radius), shard)
 
 
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """pairs with ok: whether the sets of shingles have that Jaccard similarity, exactly. Sets are made for the documents of
+    the pairs only; pairs whose sizes rule it out need none."""
+    pairs = materialize(pairs, "pairs")
+    size = nodes.select("node", "size")
+    both = pairs.join(size.withColumnsRenamed({"node": "a", "size": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "size": "nb"}), "b")
+    both = materialize(both.withColumn("near", F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9), "sized")
+    near = both.where("near").select("a", "b")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(ends, "node").select("node", "doc_id", "mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), lists([shingle_set(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.int64())], names=["node", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("_mark"), whole_text().alias("text"))
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark"))).dropDuplicates(["node"])
+    sets = materialize(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "sets")
+    left = join_salted(near, sets.withColumnsRenamed({"node": "a", "shingles": "_sa"}), "a", by="b")  # a hub has very many partners
+    same = F.size(F.array_intersect("_sa", "_sb"))
+    checked = join_salted(left, sets.withColumnsRenamed({"node": "b", "shingles": "_sb"}), "b", by="a").withColumn("_same", same)
+    ok = F.col("_same") >= (F.size("_sa") + F.size("_sb") - F.col("_same")) * similarity - 1e-9
+    return materialize(checked.select("a", "b", ok.alias("ok")).unionByName(both.where("not near").select("a", "b", F.lit(False).alias("ok"))), "checked")
+
+
 def similar_groups(docs: DataFrame, words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, parts: int = PARTS, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp (``parts`` words), component_id, for near copies by similarity of their shingles."""
-    own = materialize(fingerprints(docs, words, parts), "simhash")
-    return _groups(own, radius, lambda n: drawn_tables(n, 64 * parts, similarity), shard)
+    """doc_id, mark, component_id, component_mark: near copies by similarity of their sets of shingles. Fingerprints find
+    candidates, exact Jaccard similarity decides, and only what it confirms links.
+
+    First as many candidates are checked as connect all that lie within the radius. Where one fails, the groups that it was
+    to join may still have a link elsewhere: all pairs between such groups are then checked too. A class of equal sets is one
+    node. The component's document is the one with the smallest id (and mark), a null id last."""
+    own = materialize(signatures(docs, words, parts), "signatures")
+    best = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")
+    nodes = own.groupBy("s1", "s2").agg(F.min("fp").alias("fp"), F.min(best).alias("best"), F.max("size").alias("size"))
+    nodes = materialize(nodes.select("s1", "s2", "fp", "size", F.col("best.doc_id").alias("doc_id"), F.col("best.mark").alias("mark"), F.monotonically_increasing_id().alias("node")), "nodes")
+    # sets of one fingerprint meet its first set only; if that fails, they are searched like any others
+    values = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")).withColumn("class", F.col("node")), "values")
+    alike = nodes.select("fp", F.col("node").alias("b")).join(values.select("fp", F.col("node").alias("a")), "fp").where("a != b").select("a", "b")
+    tables = drawn_tables(values.count(), 64 * parts, similarity)
+    checked = confirmed(pairs_within(values, radius, tables, shard).unionByName(alike), nodes, docs, words, similarity)
+    good = checked.where("ok").select("a", "b")
+    reach = components(good)
+    failed = checked.where("not ok")
+    if not failed.isEmpty():
+        label = materialize(nodes.select("node", "fp").join(reach, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("class")), "classes")
+        met = failed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node").select("class").distinct()
+        open_ = materialize(label.join(met, "class"), "open")
+        tables = drawn_tables(open_.count(), 64 * parts, similarity)
+        rest = pairs_within(open_, radius, tables, shard, every=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        more = confirmed(rest, nodes, docs, words, similarity).where("ok").select("a", "b")
+        reach = components(good.unionByName(more))
+    named = reach.join(nodes.select("node", best.alias("best")), "node").groupBy("component").agg(F.min("best").alias("first"))
+    classes = reach.join(named, "component").select("node", "first")
+    classes = nodes.join(classes, "node", "left").select("s1", "s2", F.coalesce("first", best).alias("first"))
+    return own.join(materialize(classes, "classes"), ["s1", "s2"]).select("doc_id", "mark", F.col("first.doc_id").alias("component_id"), F.col("first.mark").alias("component_mark"))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """The documents, all columns, whose id names their group: one of each group of near copies (five-word shingles,
-    similarity of 0.8, unless groups are given)."""
+    """The documents, all columns, that name their group: one of each group of near copies (five-word shingles, exact
+    similarity of 0.8, unless groups are given); rows repeated with id and text stay once."""
     groups = similar_groups(docs) if groups is None else groups
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("component_mark"))).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).distinct()
+    key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
+    rows = docs.withColumns({"_key": key(F.col("doc_id")), "_mark": F.xxhash64(whole_text())})
+    kept = kept.select(key(F.col("_id")).alias("_key"), F.col("_of").alias("_mark"))
+    return rows.join(kept, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).drop("_key", "_mark")
 
 
 def hex_of(fp: Column) -> Column:

@@ -9,7 +9,7 @@ import corpus_pipeline as cp
 from inkspan.llm import language_id, pii, simhash
 
 from .test_packing import check
-from .test_simhash import groups
+from .test_simhash import jaccard_components, shingles
 
 
 def test_against_brute_force(spark, tmp_path):
@@ -26,20 +26,14 @@ def test_against_brute_force(spark, tmp_path):
     for d, t in docs.items():
         seen.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), d)
     docs = {d: docs[d] for d in seen.values()}
-    # near copies: five-word shingles, 512 bits, every pair of fingerprints compared
-    by = {}
-    for d, t in docs.items():
-        by.setdefault(int.from_bytes(simhash.simhash(t, 5, 8).tobytes(), "little"), []).append(d)
-    classes = [own for f, own in by.items()]
-    for g in groups(list(by), simhash.NEAR_RADIUS):
-        classes.append([d for f in g for d in by[f]])
-    drop = {d for own in classes for d in own if d != min(own)}
-    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in docs.items() if (w := t.lower().split())}
-    for d in sets:  # and so by the exact similarity
-        for e in sets:
-            if e < d and len(sets[d] & sets[e]) >= 0.85 * len(sets[d] | sets[e]):
-                assert any(d in own and e in own for own in classes)
-    docs = {d: t for d, t in docs.items() if d not in drop}
+    # near copies by the exact similarity of every pair: what goes has a link to what stays, and hardly any link is missed
+    want, pairs = jaccard_components({d: shingles(t) for d, t in docs.items()})
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()}
+    assert set(got) == set(docs) and all(want[d] == want[c] for d, c in got.items())
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs) and pairs
+    docs = {d: t for d, t in docs.items() if got[d] == d}
+    assert {d for d in want if want[d] == d} <= set(docs)  # of each true group the smallest stays
 
     staged = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, f in cp.STAGES[:-1]:

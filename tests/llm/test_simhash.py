@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from inkspan.llm import simhash as sh
@@ -103,33 +104,99 @@ def test_tables_are_exact_for_any_number_of_values():
             assert any(not apart & set(t) for t in tables)
 
 
+def jaccard_components(sets, least=0.8):
+    """Components of the documents (id: set) whose sets have the similarity, every pair compared; and the similar pairs."""
+    up = {d: d for d in sets}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    order = sorted(sets)
+    alike = lambda a, b: len(a & b) >= least * len(a | b) - 1e-9
+    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if alike(sets[a], sets[b])]
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: root(d) for d in sets}, pairs
+
+
+def shingles(text, n=5):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def check_near(got, texts, recall):
+    """Groups join only what exact links join, and hold nearly all exact links."""
+    want, pairs = jaccard_components({d: shingles(t) for d, t in texts.items()})
+    assert all(want[d] == want[c] and c <= d for d, c in got.items())  # no link below the similarity
+    met = sum(got[a] == got[b] for a, b in pairs)
+    assert met >= recall * len(pairs) and pairs, (met, len(pairs))
+
+
+def edited(rng, words, base, share):
+    own = list(base)
+    for i in rng.sample(range(len(own)), max(1, int(share * len(own)))):
+        own[i] = rng.choice(words)
+    return own
+
+
 def test_near_copies_by_similarity(spark):
-    """All pairs of Jaccard 0.85 or more of five-word shingles link, nearly all from 0.8; texts below 0.6 do not."""
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
     texts = []
     for _ in range(60):
         base = rng.choices(words, k=rng.randrange(60, 400))
-        texts.append(base)
-        for share in (0.01, 0.02, 0.03, 0.06, 0.12):
-            own = list(base)
-            for i in rng.sample(range(len(own)), max(1, int(share * len(own)))):
-                own[i] = rng.choice(words)
-            texts.append(own)
-    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        texts += [base, *(edited(rng, words, base, share) for share in (0.01, 0.02, 0.03, 0.04, 0.06, 0.12))]
+    texts += [rng.choices(words[:9], k=400) for _ in range(6)] + [["la"] * n for n in (5, 6, 50)] + [["x"], ["x", "y"], ["X"], [], [" "]]
+    texts = dict(enumerate(" ".join(t) for t in texts))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in sh.similar_groups(docs).collect()}
-    found = {True: [], False: []}
-    for i in range(len(texts)):
-        for j in range(i - i % 6, i):
-            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-            if s >= 0.8:
-                found[s >= 0.85].append(got[i] == got[j])
-    assert len(found[True]) > 30 and all(found[True]) and sum(found[False]) >= 0.8 * len(found[False])
-    assert all(got[i] // 6 == i // 6 for i in got)
-    assert len({got[i] for i in range(5, 360, 6)} & {got[i] for i in range(0, 360, 6)}) < 6
-    kept = {r.doc_id for r in sh.keep_one(docs).collect()}
-    assert kept == {i for i in got if got[i] == i}
+    check_near(got, texts, 0.95)
+    assert {r.doc_id for r in sh.keep_one(docs).collect()} == {i for i in got if got[i] == i}
+
+
+@pytest.mark.parametrize("shard", [sh.SHARD, 6])
+def test_groups_around_the_threshold(spark, shard):
+    """Copies of one text at distances around the threshold: candidates fail, and the groups meet through others."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
+    base = rng.choices(words, k=300)
+    texts = {i: " ".join(edited(rng, words, base, 0.005 + 0.002 * (i % 12))) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_near({r.doc_id: r.component_id for r in sh.similar_groups(docs, shard=shard).collect()}, texts, 0.97)
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_forest_pairs(every):
+    rng = np.random.Generator(np.random.PCG64(4))
+    base = rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
+    flips = lambda: (rng.random((12, 8)) < 0.5) * (np.uint64(1) << rng.integers(0, 63, (12, 8), dtype=np.uint64))
+    values = np.concatenate([b ^ flips() for b in base])
+    rng.shuffle(values)
+    group, kind = np.repeat([3, 9], [50, 22]), np.arange(72) % 30
+    a, b = sh.forest_pairs(values[:40], group[:40], kind[:40], values[40:50], group[40:50], kind[40:50], 8, every)
+    c, d = sh.forest_pairs(values[50:], group[50:], kind[50:], values[:0], group[:0], kind[:0], 8, every)
+    got = {(min(x, y), max(x, y)) for x, y in [*zip(a, b), *zip(c + 50, d + 50)]}
+    far = lambda x, y: int(np.bitwise_count(values[x] ^ values[y]).sum())
+    want = {(x, y) for x in range(72) for y in range(x + 1, 72) if group[x] == group[y] and kind[x] != kind[y] and far(x, y) <= 8 and not (40 <= x < 50 and 40 <= y < 50)}
+    assert got <= want and want
+    if every:
+        assert got == want
+    up = list(range(72))
+    root = lambda x: x if up[x] == x else root(up[x])
+    for x, y in got | {(x, y) for x in range(72) for y in range(x) if group[x] == group[y] and kind[x] == kind[y]}:
+        up[root(x)] = root(y)
+    assert all(root(x) == root(y) for x, y in want)
+
+
+def test_near_copies_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text, 1), (None, text + " more", 2), (None, text, 3), (4, "other words that stay here for now", 4), (4, "other words that stay here for now", 5), (7, None, 6), (6, "", 7)]
+    kept = sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string, mark int")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(4, "other words that stay here for now"), (6, "")]
+    assert len([r for r in kept if r.doc_id is None]) == 1
+    assert sh.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_wide_links_equal_brute_force(spark):
