@@ -24,7 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies by similarity: five-word shingles, 0.8 or more."""
+    """Near copies: sets of five-word shingles of an exact Jaccard similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 
