@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspan.operators import compare, matching, provenance, ranks
-from inkspan.sources import splits
+from inkspan.sources import atoms, splits
 
 from .catalog import query, table
 
@@ -122,3 +122,14 @@ def order_provenance(spark, d):
     table(spark, d, "orders").createOrReplaceTempView("_orders_of_provenance")
     nodes = spark.sql(_NODES.replace("FROM orders", "FROM _orders_of_provenance"))
     return provenance.provenance(nodes).drop("place")
+
+
+@query("SELECT page_id, CAST(0 AS BIGINT) AS left_over FROM pages")
+def redacted_sources(spark, d):
+    """Pages whose words of eight letters and more are cut out of the HTML, read again: how many of them are left."""
+    docs = table(spark, d, "pages").select(c("page_id").alias("doc_id"), "html")
+    text = docs.select("doc_id", atoms.html_atoms("html")["text"].alias("text"))
+    words = text.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([a-z]{8,})"))).alias("value")).distinct()
+    again = atoms.redact_html(docs, words, label="[X]").select("doc_id", atoms.html_atoms("redacted")["text"].alias("text"))
+    left = matching.value_places(again, words).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.select("doc_id").join(left, "doc_id", "left").select(c("doc_id").alias("page_id"), F.coalesce("n", F.lit(0)).alias("left_over"))
