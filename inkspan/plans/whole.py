@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from inkspan.operators import compare, matching, provenance, ranks
+from inkspan.operators import compare, matching, paging, provenance, ranks, upkeep
 from inkspan.sources import atoms, splits
+from inkspan.tables import shared_folder
 
 from .catalog import query, table
 
@@ -133,3 +136,42 @@ def redacted_sources(spark, d):
     again = atoms.redact_html(docs, words, label="[X]").select("doc_id", atoms.html_atoms("redacted")["text"].alias("text"))
     left = matching.value_places(again, words).groupBy("doc_id").agg(F.count("*").alias("n"))
     return docs.select("doc_id").join(left, "doc_id", "left").select(c("doc_id").alias("page_id"), F.coalesce("n", F.lit(0)).alias("left_over"))
+
+
+_HITS = "SELECT '{0}' AS rule_id, doc_id, '{3}' AS category, len(regexp_extract_all(text, '(?i){2}')) AS n FROM documents WHERE lang = '{1}'"
+_LIVE = [("r1", "en", "ing", "other"), ("r2", "de", "und", "person"), ("r5", "es", "que", "other")]
+
+
+@query(f"SELECT rule_id, doc_id, category, CAST(n AS BIGINT) AS n FROM ({' UNION ALL '.join(_HITS.format(*r) for r in _LIVE)}) WHERE n > 0")
+def upkept_rules(spark, d):
+    """Three epochs of changes to rules of batches (languages), half of the documents arriving in the last one."""
+    docs = table(spark, d, "documents").where("lang is not null and doc_id is not null")
+    held, pages = docs.select("doc_id", c("lang").alias("batch_id")), docs.select("doc_id", F.lit(1).alias("page"), "text")
+    state = upkeep.BatchRules(spark, f"{shared_folder(spark)}/batch-rules-{uuid.uuid4().hex}")
+
+    def changes(*rows):
+        own = [(seq, op, rule, f.get("batch_id"), *(f.get(k) for k in upkeep.FIELDS)) for seq, op, rule, f in rows]
+        return spark.createDataFrame(own, upkeep.CHANGES)
+
+    early, late = held.where("doc_id % 2 = 0"), held.where("doc_id % 2 = 1")
+    state.apply(1, changes((1, "create", "r1", {"batch_id": "en", "pattern": "the"}), (2, "create", "r2", {"batch_id": "de", "pattern": "und"}), (3, "create", "r4", {"batch_id": "en", "pattern": "of"})), early, pages)
+    state.apply(2, changes((4, "update", "r1", {"pattern": "ing"}), (5, "update", "r2", {"enabled": False}), (6, "remove", "r4", {}), (7, "create", "r5", {"batch_id": "es", "pattern": "que"})), early, pages)
+    state.apply(3, changes((8, "update", "r2", {"enabled": True, "category": "person"})), held, pages, late)
+    return state.rows().groupBy("rule_id", "doc_id", "category").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_orderdate IS NOT NULL), n AS (SELECT CAST(ceil(count(*) / 6.0) AS BIGINT) AS size FROM e)
+SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // size AS page FROM e, n""")
+def paged_orders(spark, d):
+    """Six pages by keyset, each behind the last row of the one before."""
+    rows = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate").where("o_orderdate is not null")
+    size, keys, out, cursor = -(-rows.count() // 6), ["o_orderdate", "o_orderkey"], None, None
+    for page in range(6):
+        own = (rows if cursor is None else rows.where(paging.after(keys, cursor))).orderBy(*keys).limit(size)
+        ends = own.agg(F.max(F.struct(*keys)).alias("m")).first().m
+        now = own.select("o_orderkey", F.lit(page).cast("long").alias("page"))
+        out = now if out is None else out.unionByName(now)
+        if ends is None:
+            break
+        cursor = list(ends)
+    return out
