@@ -55,6 +55,27 @@ _DIGIT = re.compile("[0-9]")
 _NEEDS = {"email-address": ("@",), "link-with-token": ("://",), "credential": ("_", "-", "AKIA", "AIza")}
 
 
+_LOCAL = frozenset(c for c in map(chr, range(0x3000)) if re.match(r"(?i:[A-Z0-9._%+-])", c))
+_DOMAIN = re.compile(r"(?i:@[A-Z0-9.-]+\.[A-Z]{2,})")
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the address pattern, searched outwards from each @: long unbroken text is passed over once."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at)):
+            yield start, m.end()
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
+
+
+def _places(name: str, source: str, text: str) -> Iterator[tuple[int, int]]:
+    return _addresses(text) if name == "email-address" else (m.span() for m in _pattern(source).finditer(text))
+
+
 def resolve_overlaps(spans: list[tuple]) -> list[tuple]:
     """Greedy: by confidence, length and order of discovery; what overlaps a kept span goes. spans: (start, end,
     confidence, order, ...); the result is ordered by start."""
@@ -78,12 +99,12 @@ def detect_text(text: str, languages: Sequence[str] = ("en",), detectors: Sequen
         if name == "street-address":
             sources += [fixed.STREETS[k] for k in languages if k in fixed.STREETS]
         for source in sources:
-            for m in _pattern(source).finditer(text):
-                s, a = m[0], m.start()
+            for a, end in _places(name, source, text):
+                s = text[a:end]
                 if not s.strip() or name in _CHECKS and not _CHECKS[name](s) or label and not labelled(label, text, a, languages):
                     continue
                 sure = fixed.DOUBTFUL_PHONE if name == "phone-number" and labelled("documentNumber", text, a, languages) else confidence
-                found.append((a, m.end(), sure, len(found), name, category, s, reason, everywhere))
+                found.append((a, end, sure, len(found), name, category, s, reason, everywhere))
     keys = ("start", "end", "confidence", "order", "detector", "category", "text", "reason", "everywhere")
     return [dict(zip(keys, s, strict=True)) for s in resolve_overlaps(found)]
 
@@ -96,9 +117,11 @@ def text_languages(text: Column) -> Column:
 
 def detect(pages: DataFrame, detectors: Sequence[str] | None = None, languages: str | None = None) -> DataFrame:
     """Detections of pages (doc_id, page, text). languages: a column of language codes (arrays), such as their document's
-    ``text_languages``; by default English for every page, and the page's own language, or all four where it cannot be told."""
-    own = F.col(languages) if languages else text_languages(F.col("text"))
+    ``text_languages``; by default English for every page, and the page's own language, or all four where it cannot be told.
+    Languages are not looked at where no detector that is asked for depends on them."""
     names = list(detectors) if detectors is not None else None
+    needed = any(only or label or name in ("phone-number", "street-address") for name, _, _, _, only, label, _ in fixed.DETECTORS if names is None or name in names)
+    own = F.array(F.lit("en")) if not needed else F.col(languages) if languages else text_languages(F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("detector", pa.string()), ("category", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("reason", pa.string()), ("everywhere", pa.bool_()), ("seq", pa.int32())])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,41 @@ def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, share: float)
     return percentiles(rows, keys, value, [share])
 
 
+# Why a document is not in a batch's export.
+SKIP_REASONS = ["not-ready", "cancelled", "verification-failed", "rate-limited", "archive-full", "export-failed", "container", "failed", "empty-container"]
+
+
+def batch_outcomes(documents: DataFrame, removed: DataFrame, left: DataFrame, by: str = "batch_id") -> DataFrame:
+    """by, section, key, documents, values: the report of an export for each batch, counts only.
+
+    documents (batch, doc_id, reason: null if included, else one of ``SKIP_REASONS``: others end the job); removed (doc_id,
+    category, style, method, count) and left (doc_id, count: rejected or undecided) of included documents; what is said of
+    skipped ones does not count. Sections: included, skipped (by reason), category, style, not-removed, reversible (documents
+    with tokenised or encrypted values) and pseudonymised."""
+    known = F.when(F.col("reason").isNull() | F.col("reason").isin(*SKIP_REASONS), F.col("reason")).otherwise(F.raise_error(F.concat(F.lit("no reason to skip: "), "reason")))
+    docs = documents.select(by, "doc_id", known.alias("reason"))
+    inside = docs.where("reason is null").select(by, "doc_id")
+    own = inside.join(removed, "doc_id")
+    totals = own.groupBy(by, "doc_id").agg(F.sum("count").alias("n"))
+
+    def section(df: DataFrame, name: str, key, values) -> DataFrame:
+        keys = [by] if key is None else [by, F.col(key).alias("key")]
+        out = df.groupBy(*keys).agg(F.count_distinct("doc_id").alias("documents"), values.cast("long").alias("values"))
+        out = out.withColumn("key", F.lit(None).cast("string")) if key is None else out
+        return out.select(by, F.lit(name).alias("section"), F.col("key").cast("string"), "documents", "values")
+
+    total, none = F.coalesce(F.sum("count"), F.lit(0)), F.lit(0)
+    parts = [
+        section(inside.join(totals.select("doc_id", "n"), "doc_id", "left"), "included", None, F.coalesce(F.sum("n"), F.lit(0))),
+        section(docs.where("reason is not null"), "skipped", "reason", F.max(none)),
+        section(own, "category", "category", total), section(own, "style", "style", total),
+        section(inside.join(left, "doc_id"), "not-removed", None, total),
+        section(own.where("method in ('tokenize', 'encrypt') and count > 0"), "reversible", None, total),
+        section(own.where("method = 'pseudonymize' and count > 0"), "pseudonymised", None, total),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def free_slots(leases: DataFrame, slots: int, now: Column) -> DataFrame:
     """Slots from 1 to ``slots`` that no live lease (slot, expires) holds."""
     every = leases.sparkSession.range(1, slots + 1).select(F.col("id").cast("int").alias("slot"))

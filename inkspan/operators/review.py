@@ -12,11 +12,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from inkspan.functions import fixed
 from inkspan.functions.text import normalize_value
 
 from .ranks import percentiles
+from .rules import MAX_LENGTH, PatternError, compile_pattern
 from .spans import expand_occurrences, overlap_join
 
 PLACE = ["doc_id", "page"]
@@ -188,25 +190,74 @@ FORBIDDEN = [
 
 
 def preset_problems(presets: DataFrame) -> DataFrame:
-    """id, word: presets whose id, label or summary claims what a search cannot achieve."""
+    """id, word: presets whose id, label, summary or looks_for (if there) claims what a search cannot achieve."""
     words = F.array(*map(F.lit, FORBIDDEN))
-    said = F.lower(F.concat_ws(" ", "id", "label", "summary"))
+    said = F.lower(F.concat_ws(" ", *(c for c in ("id", "label", "summary", "looks_for") if c in presets.columns)))
     return presets.select("id", F.explode(words).alias("word"), said.alias("_s")).where(F.contains("_s", "word")).select("id", "word")
 
 
-def import_rules(spark, path: str, existing: DataFrame, cap: int = 200) -> DataFrame:
-    """Rules of a versioned JSON file without those that exist (folded pattern, kind, flags), the oldest first up to what
-    the cap leaves."""
-    rule = "array<struct<pattern:string,kind:string,match_case:boolean,whole_word:boolean,category:string>>"
-    rows = spark.read.schema(f"version int, rules {rule}").option("multiLine", True).json(path).where("version = 1").select(F.posexplode("rules").alias("seq", "r")).select("seq", "r.*")
-    key = [F.regexp_replace(F.trim("pattern"), r"\s+", " ").alias("_p"), "kind", "match_case", "whole_word"]
-    new = rows.select("*", key[0]).dropDuplicates(["_p", "kind", "match_case", "whole_word"]).join(existing.select(*key), ["_p", "kind", "match_case", "whole_word"], "left_anti")
-    return new.drop("_p").orderBy("seq").limit(max(0, cap - existing.count()))
+#: Rules that an owner has at most, and a file.
+RULE_CAP = 200
+
+
+class RuleFileError(ValueError):
+    pass
+
+
+@F.pandas_udf(T.StringType())
+def pattern_problem(pattern: pd.Series, kind: pd.Series, match_case: pd.Series, whole_word: pd.Series) -> pd.Series:
+    """Why a pattern does not compile; null if it does."""
+
+    def problem(*spec) -> str | None:
+        try:
+            compile_pattern(*spec)
+        except PatternError as e:
+            return str(e)
+
+    return pd.Series([problem(p, k, bool(m), bool(w)) for p, k, m, w in zip(pattern, kind, match_case, whole_word, strict=True)], dtype=object)
+
+
+def sorted_entries(entries: DataFrame, existing: DataFrame) -> DataFrame:
+    """entries (seq, pattern, kind, match_case, whole_word, category, enabled) with outcome: invalid (problem says why),
+    duplicate (of an existing rule or an earlier entry: the same kind, pattern, options and category) or new."""
+    key = ["kind", "pattern", "match_case", "whole_word", "category"]
+    rows = entries.withColumn("problem", pattern_problem("pattern", "kind", "match_case", "whole_word"))
+    known = existing.select(*(F.coalesce(k, F.lit(False)).alias(k) if k in ("match_case", "whole_word") else k for k in key)).distinct().withColumn("_known", F.lit(True))
+    first = F.min(F.when(F.col("problem").isNull(), F.col("seq"))).over(Window.partitionBy(*key))
+    rows = rows.withColumn("_first", first).join(F.broadcast(known), key, "left")
+    outcome = F.when(F.col("problem").isNotNull(), "invalid").when(F.col("_known") | (F.col("_first") < F.col("seq")), "duplicate").otherwise("new")
+    return rows.select("seq", *key, "enabled", "problem", outcome.alias("outcome"))
+
+
+def read_rule_file(spark, path: str) -> DataFrame:
+    """Entries of a versioned JSON file. RuleFileError where it is of another version, has more rules than an owner may, or an
+    entry without kind, pattern or category, or one that is too long."""
+    rule = "array<struct<pattern:string,kind:string,match_case:boolean,whole_word:boolean,category:string,enabled:boolean>>"
+    file = spark.read.schema(f"version int, rules {rule}").option("multiLine", True).json(path)
+    said = file.select("version", F.size("rules").alias("n")).collect()  # a row a file
+    if len(said) != 1 or said[0].version != 1 or said[0].n is None or not 0 <= said[0].n <= RULE_CAP:
+        raise RuleFileError("not a file of rules")
+    rows = file.select(F.posexplode("rules").alias("seq", "r")).select("seq", "r.*")
+    bad = ~F.coalesce(F.col("kind").isin("literal", "regex") & F.length("pattern").between(1, MAX_LENGTH) & F.length("category").between(1, 60), F.lit(False))
+    if not rows.where(bad).isEmpty():
+        raise RuleFileError("an entry is not a rule")
+    fills = {"match_case": False, "whole_word": False, "enabled": True}
+    return rows.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in fills.items()})
+
+
+def import_rules(spark, path: str, existing: DataFrame, cap: int = RULE_CAP) -> DataFrame:
+    """The new rules of a file. All of them or none: RuleFileError where they and the existing ones are over the cap.
+    ``sorted_entries`` of ``read_rule_file`` also says what is a duplicate and what is invalid, and why."""
+    rows = sorted_entries(read_rule_file(spark, path), existing).where("outcome = 'new'")
+    if (n := existing.count() + rows.count()) > cap:
+        raise RuleFileError(f"{n} rules, {cap} at most")
+    return rows.drop("outcome", "problem").orderBy("seq")
 
 
 def export_rules(rules: DataFrame) -> DataFrame:
     """One row: the rules as the JSON that import_rules reads; over 200 are refused."""
-    r = F.struct("pattern", "kind", "match_case", "whole_word", "category")
+    enabled = F.coalesce(F.col("enabled"), F.lit(True)) if "enabled" in rules.columns else F.lit(True)
+    r = F.struct("pattern", "kind", "match_case", "whole_word", "category", enabled.alias("enabled"))
     if rules.limit(201).count() > 200:
         raise ValueError("over 200 rules")
     return rules.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.sort_array(F.collect_list(r)).alias("rules"))).alias("value"))

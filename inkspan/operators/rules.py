@@ -134,21 +134,6 @@ def diff_matches(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, k, "full").where("_a is null or _b is null").select(*k, F.when(F.col("_a").isNull(), "gained").otherwise("lost").alias("change"))
 
 
-def learn_pattern(values: DataFrame, least: int = 3) -> DataFrame:
-    """owner keys, signature, pattern, category, support: expressions generalised from at least ``least`` distinct values
-    of one shape (letters, digits and separators by run), with the most common category (the first by name on ties). Looser
-    than ``learn_shapes``, which keeps what never varies."""
-    v = F.trim("value")
-    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\p{Nd}", "9")
-    signature = F.regexp_replace(F.regexp_replace(F.regexp_replace(runs, "A+", "A"), "a+", "a"), "9+", "9")
-    rows = values.withColumn("_v", v).withColumn("signature", signature).withColumn("_digits", F.length(F.regexp_replace(v, r"\P{Nd}", ""))).where("_digits > 0")
-    by = rows.groupBy("signature", "category").agg(F.count("*").alias("n"), F.collect_set("_v").alias("_vs"))
-    best = by.groupBy("signature").agg(F.max_by("category", F.struct("n", F.expr("-ascii(category)"))).alias("category"), F.size(F.array_distinct(F.flatten(F.collect_list("_vs")))).alias("support"))
-    shape = F.regexp_replace(F.col("signature"), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(shape, "A", "[A-Z]+"), r"(?<![\[A-Z-])a(?![-z])", "[a-z]+"), "9", "[0-9]+")
-    return best.where(F.col("support") >= least).select("signature", F.concat(F.lit("^"), pattern, F.lit("$")).alias("pattern"), "category", "support")
-
-
 def _escaped(c: Column) -> Column:
     return F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 

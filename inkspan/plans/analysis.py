@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.operators import detectors, redact, spans
-from inkspan.sources.text import paginate
+from inkspan.sources.text import read_pages
 
 COLUMNS = ["doc_id", "page", "category", "confidence", "start", "end", "text", "reason", "everywhere"]
 
@@ -14,8 +14,9 @@ COLUMNS = ["doc_id", "page", "category", "confidence", "start", "end", "text", "
 def analyze(docs: DataFrame, model: DataFrame | None = None, preset: str = "everything", verdicts: DataFrame | None = None) -> DataFrame:
     """Detections of documents (doc_id, text) by page: patterns, a model's rows (COLUMNS), every place of what is global,
     without repeats, neighbours of both origins joined; a page is read in its document's language. Verdicts (doc_id, page, start, end, sensitive, new_confidence) settle
-    the shaky ones first. Redactions made of them are suggested, never accepted."""
-    pages = paginate(docs.select("doc_id", "text", detectors.text_languages(F.col("text")).alias("languages")), keep="languages")
+    the shaky ones first. Redactions made of them are suggested, never accepted. Documents
+    over the limit of ``read_pages``, which names them, have none, and the others go on."""
+    pages, _ = read_pages(docs.select("doc_id", "text", detectors.text_languages(F.col("text")).alias("languages")), keep="languages")
     found = detectors.narrow(detectors.detect(pages, languages="languages"), preset)
     if verdicts is not None:
         shaky, solid = detectors.split_by_confidence(found)

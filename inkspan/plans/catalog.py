@@ -516,9 +516,10 @@ def visible_html(spark, d):
 
 @query()
 def detections(spark, d):
-    """All detectors over pages of text, occurrences of what is global, without repeats."""
-    pages = txt.paginate(table(spark, d, "documents"))
-    found = detectors.detect(pages).select("doc_id", "page", "category", "confidence", "start", "end", "text", "reason", "everywhere", "seq")
+    """All detectors over pages of text in their document's language, occurrences of what is global, without repeats."""
+    docs = table(spark, d, "documents").select("doc_id", "text", detectors.text_languages(c("text")).alias("languages"))
+    pages, _ = txt.read_pages(docs, keep="languages")
+    found = detectors.detect(pages, languages="languages").select("doc_id", "page", "category", "confidence", "start", "end", "text", "reason", "everywhere", "seq")
     more = spans.expand_occurrences(found, pages).withColumn("seq", F.lit(1 << 20))
     return spans.dedupe(found.unionByName(more)).drop("seq")
 

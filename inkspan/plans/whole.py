@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from inkspan.operators import compare, matching, paging, provenance, ranks, upkeep
+from inkspan.operators import compare, matching, paging, provenance, ranks, reports, upkeep
 from inkspan.sources import atoms, splits
 from inkspan.tables import shared_folder
 
@@ -175,3 +175,26 @@ def paged_orders(spark, d):
             break
         cursor = list(ends)
     return out
+
+
+_REASON = "CASE WHEN o_orderkey % 13 < 9 THEN [" + ", ".join(f"'{r}'" for r in reports.SKIP_REASONS) + "][CAST(o_orderkey % 13 + 1 AS INT)] END"
+
+
+@query(f"""WITH d AS (SELECT o_custkey % 20 AS batch_id, o_orderkey AS doc_id, {_REASON} AS reason FROM orders), i AS (SELECT * FROM d WHERE reason IS NULL),
+  o AS (SELECT i.batch_id, i.doc_id, l_returnflag AS category, l_linestatus AS style, CASE l_linenumber % 4 WHEN 0 THEN 'mask' WHEN 1 THEN 'tokenize' WHEN 2 THEN 'pseudonymize' ELSE 'remove' END AS method, CAST(l_quantity AS BIGINT) AS n FROM i JOIN lineitem ON l_orderkey = i.doc_id),
+  t AS (SELECT doc_id, sum(n) AS n FROM o GROUP BY 1)
+SELECT batch_id, 'included' AS section, NULL AS key, count(DISTINCT i.doc_id) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS "values" FROM i LEFT JOIN t ON i.doc_id = t.doc_id GROUP BY 1
+UNION ALL SELECT batch_id, 'skipped', reason, count(DISTINCT doc_id), 0 FROM d WHERE reason IS NOT NULL GROUP BY 1, 3
+UNION ALL SELECT batch_id, 'category', category, count(DISTINCT doc_id), CAST(sum(n) AS BIGINT) FROM o GROUP BY 1, 3
+UNION ALL SELECT batch_id, 'style', style, count(DISTINCT doc_id), CAST(sum(n) AS BIGINT) FROM o GROUP BY 1, 3
+UNION ALL SELECT batch_id, 'not-removed', NULL, count(DISTINCT doc_id), CAST(sum(doc_id % 3) AS BIGINT) FROM i WHERE doc_id % 2 = 0 GROUP BY 1
+UNION ALL SELECT batch_id, 'reversible', NULL, count(DISTINCT doc_id), CAST(sum(n) AS BIGINT) FROM o WHERE method = 'tokenize' AND n > 0 GROUP BY 1
+UNION ALL SELECT batch_id, 'pseudonymised', NULL, count(DISTINCT doc_id), CAST(sum(n) AS BIGINT) FROM o WHERE method = 'pseudonymize' AND n > 0 GROUP BY 1""")
+def batch_outcomes(spark, d):
+    """The export report of batches of orders, lines as what was removed, with all nine reasons."""
+    reason = F.when(c("o_orderkey") % 13 < 9, F.element_at(F.array(*map(F.lit, reports.SKIP_REASONS)), (c("o_orderkey") % 13 + 1).cast("int")))
+    docs = table(spark, d, "orders").select((c("o_custkey") % 20).alias("batch_id"), c("o_orderkey").alias("doc_id"), F.when(c("o_orderkey") % 13 < 9, reason).alias("reason"))
+    method = F.element_at(F.array(*map(F.lit, ("mask", "tokenize", "pseudonymize", "remove"))), (c("l_linenumber") % 4 + 1).cast("int"))
+    removed = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), c("l_returnflag").alias("category"), c("l_linestatus").alias("style"), method.alias("method"), c("l_quantity").cast("long").alias("count"))
+    left = docs.where("doc_id % 2 = 0").select("doc_id", (c("doc_id") % 3).alias("count"))
+    return reports.batch_outcomes(docs, removed, left)

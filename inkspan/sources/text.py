@@ -168,10 +168,10 @@ def read_grids(docs: DataFrame, delimiter: str = ",") -> tuple[DataFrame, DataFr
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("doc_id", "reason")
 
 
-def read_pages(docs: DataFrame, most: int = PAGE_CHARS) -> tuple[DataFrame, DataFrame]:
+def read_pages(docs: DataFrame, most: int = PAGE_CHARS, keep: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, refused): pages as of ``paginate``; documents over its limit as doc_id, reason."""
     long = F.coalesce(F.length("text"), F.lit(0)) > MAX_CHARS
-    return paginate(docs.where(~long), most), docs.where(long).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(f"over {MAX_CHARS} characters").alias("reason"))
+    return paginate(docs.where(~long), most, keep), docs.where(long).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(f"over {MAX_CHARS} characters").alias("reason"))
 
 
 def write_rows(cells: DataFrame, delimiter: str = ",", value: str = "value") -> DataFrame:

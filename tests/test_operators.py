@@ -66,11 +66,6 @@ def test_recall_interval_has_all_rounds(spark, sf):
     assert catalog.QUERIES["recall_interval"](spark, sf).first() == want != few
 
 
-def test_learning_a_shape(spark):
-    df = spark.createDataFrame([("KD-1", "customer-id"), ("KD-22", "customer-id"), ("AB-333", "other"), ("x", "other")], "value string, category string")
-    assert rules.learn_pattern(df).collect() == [("A-9", "^[A-Z]+-[0-9]+$", "customer-id", 3)]
-
-
 RED = "doc_id long, seq long, type string, text string, category string, method string, status string, source string"
 
 
