@@ -123,15 +123,20 @@ def is_person_reference(header: str) -> bool:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("header", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())])))
 def reference_cells(text: pd.Series) -> pd.Series:
-    """Filled cells of table columns in a text whose header names a person's reference."""
+    """Filled cells of table columns in a text whose header names a person's reference. A cell in quotes may hold the
+    separator; its bounds are those within the quotes, and a doubled quote is one."""
+    quoted = {sep: re.compile(rf'[ ]*"((?:[^"]|"")*)"[ ]*(?={re.escape(sep)}|\Z)|([^{re.escape(sep)}]*)') for sep in "\t|;,"}
 
     def cells(line: str, at: int, sep: str) -> list[tuple[str, int, int]]:
-        out = []
-        for part in line.split(sep):
-            value = part.strip()
-            a = at + len(part) - len(part.lstrip())
-            out.append((value, a, a + len(value)))
-            at += len(part) + len(sep)
+        out, i = [], 0
+        while i <= len(line):
+            m = quoted[sep].match(line, i)
+            k = 1 if m[1] is not None else 2
+            a, value = at + m.start(k), m[k]
+            if k == 2:
+                a, value = a + len(value) - len(value.lstrip()), value.strip()
+            out.append((value.replace('""', '"') if k == 1 else value, a, a + len(value)))
+            i = m.end() + len(sep)
         return out
 
     def find(t: str) -> list[dict]:

@@ -103,6 +103,32 @@ def find_matches(rules: DataFrame, pages: DataFrame, max_matches: int | None = N
     return hits.join(bad.select(F.col("rule_id").alias("_rule"), F.col("doc_id").alias("_doc")), same, "left_anti").drop("failed"), failures
 
 
+def find_cell_matches(rules: DataFrame, cells: DataFrame) -> DataFrame:
+    """rule_id, doc_id, row, col, text, category: cells (doc_id, row, col, value) that a rule is found in, each once, as a
+    cell is redacted as a whole. text is a literal's pattern, or the first that an expression matched."""
+    rows = rules.select("rule_id", "kind", "pattern", "match_case", "whole_word", "category").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise PatternError(f"over {MAX_RULES} rules")
+    specs = sorted((r.rule_id, r.category, r.pattern, r.kind, bool(r.match_case), bool(r.whole_word)) for r in rows)
+    for _, _, *spec in specs:
+        compile_pattern(*spec)
+    shared = cells.sparkSession.sparkContext.broadcast(specs)
+    kinds = pa.schema([("rule_id", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("col", pa.int32()), ("text", pa.string()), ("category", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [(rule, category, spec, compile_pattern(*spec)) for rule, category, *spec in shared.value]
+        for b in batches:
+            out = []
+            for doc, row, col, value in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                for rule, category, spec, p in made if value else ():
+                    if m := next((m for m in p.finditer(value) if m.end() > m.start()), None):
+                        out.append((rule, doc, row, col, spec[0] if spec[1] == "literal" else m[0], category))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], schema=kinds)
+
+    own = cells.select(F.col("doc_id").cast("long"), F.col("row").cast("long"), F.col("col").cast("int"), "value")
+    return own.mapInArrow(run, "rule_id string, doc_id long, row long, col int, text string, category string")
+
+
 def to_redactions(matches: DataFrame) -> DataFrame:
     """What a rule writes: accepted, from a rule, sure."""
     return matches.withColumns({"status": F.lit("accepted"), "source": F.lit("rule"), "confidence": F.lit(1.0), "type": F.lit("text")})

@@ -12,8 +12,7 @@ from inkspan.functions.text import normalize_value
 
 from .spans import covered_labels, fold_contained, overlap_join
 
-#: The confidences that quality is also told at.
-CUTOFFS = (0.5, 0.7, 0.8, 0.9)
+CUTOFFS = fixed.CUTOFFS
 
 
 def score_documents(pages: DataFrame, gold: DataFrame, detections: DataFrame, cutoff: float | None = None, negatives: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -55,6 +54,20 @@ def _found(pages: DataFrame, gold: DataFrame, kept: DataFrame, negatives: DataFr
     return found.join(pages.select("doc_id", F.col("text").alias("_text")), "doc_id", "left").withColumn("value", value).drop("_text")
 
 
+def tallies(pages: DataFrame, gold: DataFrame, detections: DataFrame, known: Sequence[str] = tuple(fixed.CATEGORIES)) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, detections, merged, false_positives), (category, unscored)): how many detections of known categories stand
+    after folding, how many were folded into one around them, how many of those that stand touch no label; and how many
+    there are of each category that is not known, which are in no other figure. Documents without detections have zeros."""
+    scored = detections.where(F.col("category").isin(*known))
+    kept = _fold(scored)
+    found = _found(pages, gold, kept, None)
+    n = scored.groupBy("doc_id").agg(F.count("*").alias("_all"))
+    stand = found.groupBy("doc_id").agg(F.count("*").alias("detections"), F.count_if(~F.col("correct")).alias("false_positives"))
+    out = pages.select("doc_id").distinct().join(n, "doc_id", "left").join(stand, "doc_id", "left").fillna(0, ["_all", "detections", "false_positives"])
+    others = detections.where(~F.coalesce(F.col("category").isin(*known), F.lit(False))).groupBy("category").agg(F.count("*").alias("unscored"))
+    return out.select("doc_id", "detections", (F.col("_all") - F.col("detections")).alias("merged"), "false_positives"), others
+
+
 def by_cutoff(pages: DataFrame, gold: DataFrame, detections: DataFrame, cutoffs: Sequence[float] = CUTOFFS) -> DataFrame:
     """cutoff, detections, precision, recall: detections are folded first, then those of a confidence count; a label is
     covered by all of that confidence, folded or not. No rows if a confidence is missing."""

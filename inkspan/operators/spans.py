@@ -153,6 +153,17 @@ def expand_occurrences(detections: DataFrame, pages: DataFrame, confidence: floa
     return rows.select("doc_id", "page", about["category"].alias("category"), F.lit(confidence).alias("confidence"), "start", "end", F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), about["reason"].alias("reason"), F.lit(True).alias("everywhere"))
 
 
+def expand_cells(detections: DataFrame, cells: DataFrame, confidence: float = 0.9) -> DataFrame:
+    """Cells (doc_id, row, col, value) that hold a document's everywhere-values, once for each value, as whole cells: doc_id,
+    row, col, category, confidence, text (the value as it was first found), reason, everywhere."""
+    values = detections.where("everywhere").withColumn("_norm", normalize_value(F.col("text"))).where("_norm != ''")
+    values = values.groupBy("doc_id", "_norm").agg(F.min_by("text", "seq").alias("value"), F.min("seq").alias("seq"), F.min_by("category", "seq").alias("category"), F.min_by("reason", "seq").alias("reason"))
+    about = F.to_json(F.struct("category", "reason", F.col("value").alias("text")))
+    rows = value_places(cells.select("doc_id", "row", "col", F.col("value").alias("_text")), values, "_text", about).select("doc_id", "row", "col", "payload").distinct()
+    a = F.from_json("payload", "category string, reason string, text string")
+    return rows.select("doc_id", "row", "col", a["category"].alias("category"), F.lit(confidence).alias("confidence"), a["text"].alias("text"), a["reason"].alias("reason"), F.lit(True).alias("everywhere"))
+
+
 _SEAM = re.compile(r"[ \t]*,?[ \t]*\n?[ \t]*\Z")
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.operators import compare, matching, paging, provenance, ranks, reports, upkeep
+from inkspan.operators import compare, matching, paging, provenance, ranks, reports, rules, spans, upkeep
 from inkspan.sources import atoms, splits
 from inkspan.tables import shared_folder
 
@@ -198,3 +200,26 @@ def batch_outcomes(spark, d):
     removed = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), c("l_returnflag").alias("category"), c("l_linestatus").alias("style"), method.alias("method"), c("l_quantity").cast("long").alias("count"))
     left = docs.where("doc_id % 2 = 0").select("doc_id", (c("doc_id") % 3).alias("count"))
     return reports.batch_outcomes(docs, removed, left)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS doc_id, c_custkey AS row, 1 AS col, c_name AS value FROM customer UNION ALL SELECT c_nationkey, c_custkey, 2, c_mktsegment FROM customer)
+SELECT 'r1' AS rule_id, doc_id, row, col, 'buil' AS text, 'other' AS category FROM c WHERE contains(lower(value), 'buil')
+UNION ALL SELECT 'r2', doc_id, row, col, regexp_extract(value, '0[0-9]7'), 'customer-id' FROM c WHERE regexp_matches(value, '0[0-9]7')
+UNION ALL SELECT 'r3', doc_id, row, col, 'MACHINERY', 'other' FROM c WHERE value = 'MACHINERY'""")
+def rule_cells(spark, d):
+    """Rules over cells, each cell once a rule: a literal, an expression, and a whole word in its own case."""
+    t = table(spark, d, "customer")
+    cells = reduce(DataFrame.unionByName, (t.select(c("c_nationkey").alias("doc_id"), c("c_custkey").alias("row"), F.lit(i + 1).alias("col"), c(n).alias("value")) for i, n in enumerate(("c_name", "c_mktsegment"))))
+    own = [("r1", "literal", "buil", False, False, "other"), ("r2", "regex", "0[0-9]7", True, False, "customer-id"), ("r3", "literal", "MACHINERY", True, True, "other")]
+    return rules.find_cell_matches(spark.createDataFrame(own, "rule_id string, kind string, pattern string, match_case boolean, whole_word boolean, category string"), cells).withColumn("doc_id", c("doc_id").cast("int"))
+
+
+@query("""WITH v AS (SELECT DISTINCT c_nationkey AS doc_id, lower(c_mktsegment) AS v FROM customer WHERE c_custkey % 10 = 0), c AS (SELECT c_nationkey AS doc_id, c_custkey AS row, 1 AS col, c_name AS value FROM customer UNION ALL SELECT c_nationkey, c_custkey, 2, 'of ' || lower(c_mktsegment) || 's' FROM customer)
+SELECT c.doc_id, row, col, v AS text FROM c JOIN v ON c.doc_id = v.doc_id AND contains(lower(value), v)""")
+def value_cells(spark, d):
+    """Cells that hold a value found elsewhere in their document, within longer words too."""
+    t = table(spark, d, "customer")
+    found = t.where("c_custkey % 10 = 0").select(c("c_nationkey").alias("doc_id"), c("c_mktsegment").alias("text"), F.lit("other").alias("category"), F.lit("").alias("reason"), F.lit(True).alias("everywhere"), c("c_custkey").alias("seq"))
+    values = ((1, c("c_name")), (2, F.concat(F.lit("of "), F.lower("c_mktsegment"), F.lit("s"))))
+    cells = reduce(DataFrame.unionByName, (t.select(c("c_nationkey").alias("doc_id"), c("c_custkey").alias("row"), F.lit(i).alias("col"), v.alias("value")) for i, v in values))
+    return spans.expand_cells(found, cells).select("doc_id", "row", "col", F.lower("text").alias("text"))
