@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.operators import compare, matching, paging, provenance, ranks, reports, rules, spans, upkeep
+from inkspan.operators import compare, matching, paging, provenance, ranks, records, reports, rules, spans, upkeep
 from inkspan.sources import atoms, splits
 from inkspan.tables import shared_folder
 
@@ -223,3 +223,43 @@ def value_cells(spark, d):
     values = ((1, c("c_name")), (2, F.concat(F.lit("of "), F.lower("c_mktsegment"), F.lit("s"))))
     cells = reduce(DataFrame.unionByName, (t.select(c("c_nationkey").alias("doc_id"), c("c_custkey").alias("row"), F.lit(i).alias("col"), v.alias("value")) for i, v in values))
     return spans.expand_cells(found, cells).select("doc_id", "row", "col", F.lower("text").alias("text"))
+
+
+@query("""WITH r AS (SELECT l_orderkey % 500 AS doc_id, l_orderkey * 10 + l_linenumber AS seq, l_returnflag AS category, CASE WHEN l_linenumber < 6 THEN ' P  ' || l_partkey % 40 END AS text, ['suggested', 'accepted', 'rejected'][l_suppkey % 3 + 1] AS status, l_linenumber AS page FROM lineitem)
+SELECT doc_id, category || '|' || CASE WHEN text IS NULL THEN lower(category) ELSE lower(regexp_replace(trim(text), ' +', ' ', 'g')) END AS key, count(*) AS count, count(*) FILTER (WHERE status = 'suggested') AS suggested, count(*) FILTER (WHERE status = 'accepted') AS accepted,
+  count(*) FILTER (WHERE status = 'rejected') AS rejected, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages, arg_min(coalesce(text, category), seq) AS text FROM r GROUP BY 1, 2""")
+def suggestion_groups(spark, d):
+    """Lines as redactions of five hundred documents, grouped by value and category."""
+    status = F.element_at(F.array(*map(F.lit, records.STATUSES)), (c("l_suppkey") % 3 + 1).cast("int"))
+    text = F.when(c("l_linenumber") < 6, F.concat(F.lit(" P  "), (c("l_partkey") % 40).cast("string")))
+    rows = table(spark, d, "lineitem").select((c("l_orderkey") % 500).alias("doc_id"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("seq"), c("l_returnflag").alias("category"), text.alias("text"), status.alias("status"), F.lit("ai").alias("source"), F.lit(0.5).alias("confidence"), F.lit("").alias("reason"), c("l_linenumber").alias("page"))
+    out = records.suggestions(rows, None)
+    return out.select("doc_id", "key", "count", *records.STATUSES, F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "text")
+
+
+@query("""WITH w AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY 1), o AS (SELECT o_custkey, count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS redactions FROM orders LEFT JOIN w ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT c_custkey AS rule_id, coalesce(documents, 0) AS documents, coalesce(redactions, 0) AS redactions FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
+def rule_overview(spark, d):
+    """Customers as rules, their orders as copies in documents, some lines as what the copies wrote."""
+    copies = table(spark, d, "orders").select(c("o_orderkey").alias("copy_id"), c("o_custkey").alias("rule_id"))
+    wrote = table(spark, d, "lineitem").where("l_linenumber > 2").select(c("l_orderkey").alias("copy_id"))
+    return records.batch_overview(table(spark, d, "customer").select(c("c_custkey").alias("rule_id")), copies, wrote)
+
+
+@query("""WITH n AS (SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS i FROM orders) WHERE i = 1)
+SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM n)
+UNION ALL SELECT o_custkey, 'order ' || o_orderkey, o_totalprice FROM n WHERE o_orderkey % 4 <> 0""")
+def changed_rows(spark, d):
+    """Customers after a change by each of their orders, every fourth a deletion; the last one counts."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    op = F.when(c("o_orderkey") % 4 == 0, "delete").otherwise("upsert")
+    changes = table(spark, d, "orders").select(c("o_custkey").alias("c_custkey"), F.concat(F.lit("order "), c("o_orderkey").cast("string")).alias("c_name"), c("o_totalprice").alias("c_acctbal"), op.alias("op"), c("o_orderkey").alias("seq"))
+    return records.changed(rows, changes, "c_custkey")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_type = 'click' THEN 'face' ELSE 'region' END WHEN event_id % 3 = 0 AND user_id % 4 <> 0 AND event_id % 7 <> 0 THEN 'cell' ELSE 'text' END AS type FROM events""")
+def detection_types(spark, d):
+    """Events as detections, with boxes, whole and partial addresses of cells."""
+    box = F.when(c("event_id") % 5 == 0, F.struct(F.lit(1.0).alias("x")))
+    kind = records.detection_type(F.when(c("event_type") == "click", "face").otherwise("other"), box, F.when(c("event_id") % 3 == 0, "Data"), c("user_id") % 4, F.when(c("event_id") % 7 != 0, c("event_id")))
+    return table(spark, d, "events").select("event_id", kind.alias("type"))
