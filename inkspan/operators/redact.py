@@ -12,6 +12,7 @@ from inkspan.functions import fixed
 from inkspan.functions.text import known_category, normalize_value, ws_trim
 
 from .matching import sweep, value_places
+from .records import RASTER
 from .spans import merged_runs
 
 
@@ -127,6 +128,35 @@ def restore(output: DataFrame, vaults: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", F.when(F.col("restored_text") == F.col("text"), "nothing").otherwise("ok")).drop("_e")
 
 
+def restore_documents(output: DataFrame, vaults: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """output (doc_id, kind, text) with restored_text, outcome, restored and unresolved: what stands for values put back, in one
+    pass over a text. vaults (doc_id, vault) as ``vault`` makes them; keys (doc_id, key): of inline ciphertexts.
+
+    outcome: unsupported-format (a picture), no-key (ciphertexts without a key, or none of what there is could be read),
+    nothing-to-restore, or ok; only with ok the text changes. A ciphertext that the key does not open stays as it is and is
+    unresolved. What the vault names and the text has not is no failure; a surrogate must be there in its own case."""
+    kind = "struct<entries:array<struct<surrogate:string,method:string,value:string>>>"
+    entries = vaults.select("doc_id", F.explode(F.from_json("vault", kind)["entries"]).alias("e")).where("e.method = 'tokenize'").select("doc_id", F.col("e.surrogate").alias("value"), F.col("e.value").alias("replacement"))
+    found = output.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(ENC\[[A-Za-z0-9_-]+\])")))).alias("value"))
+    if keys is None:
+        inline = found.select("doc_id", "value", F.lit(None).cast("string").alias("replacement"), F.lit(False).alias("_keyed"))
+    else:
+        body = F.unbase64(F.translate(F.regexp_extract("value", r"\AENC\[([A-Za-z0-9_-]+)\]\z", 1), "-_", "+/"))
+        opened = F.try_aes_decrypt(body, F.col("key"), F.lit("GCM")).cast("string")
+        inline = found.join(keys.select("doc_id", "key"), "doc_id", "left").select("doc_id", "value", F.when(F.col("key").isNotNull(), opened).alias("replacement"), F.col("key").isNotNull().alias("_keyed"))
+    about = inline.groupBy("doc_id").agg((~F.bool_and("_keyed")).alias("_locked"), F.count_if(F.col("replacement").isNull()).alias("unresolved"))
+    values = inline.where("replacement is not null").select("doc_id", "value", "replacement").unionByName(entries)
+    values = values.join(output.select("doc_id", F.col("text").alias("_t")), "doc_id").where(F.contains("_t", "value")).select("doc_id", "value", "replacement")
+    values = values.dropDuplicates(["doc_id", "value"])
+    n = values.groupBy("doc_id").agg(F.count("*").alias("restored"))
+    rows = sweep(output, values, to="_restored").join(about, "doc_id", "left").join(n, "doc_id", "left").fillna(0, ["unresolved", "restored"])
+    locked, some = F.coalesce("_locked", F.lit(False)), F.col("restored") > 0
+    outcome = F.when(F.col("kind").isin(*RASTER), "unsupported-format").when(locked, "no-key").when(some, "ok").when(F.col("unresolved") > 0, "no-key").otherwise("nothing-to-restore")
+    rows = rows.withColumn("outcome", outcome)
+    fine = F.col("outcome") == "ok"
+    return rows.select(*output.columns, F.when(fine, F.col("_restored")).otherwise(F.col("text")).alias("restored_text"), "outcome", F.when(fine, F.col("restored")).otherwise(0).alias("restored"), "unresolved")
+
+
 def variant_names(variants: DataFrame) -> DataFrame:
     """variants (doc_id, seq, base, extension) with file_name: ties within a document get -2, -3 and so on."""
     n = F.row_number().over(Window.partitionBy("doc_id", "base", "extension").orderBy("seq"))

@@ -20,6 +20,31 @@ def export_report(redactions: DataFrame) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "category")))
 
 
+def export_counts(redactions: DataFrame, documents: DataFrame, method: Column, region_style: Column | None = None) -> DataFrame:
+    """doc_id, section, key, count: what an export's report counts, never a value.
+
+    redactions (doc_id, status, category, source, boxed), documents (doc_id, kind, narrowed: whether only a preset's
+    categories were looked for). Sections: removed (by category; unknown ones are other), style (removed; in pictures solid,
+    or ``region_style`` where there is a box), method and source of accepted ones; rejected and undecided by category, which are
+    still in the export; note: weaker-style (blur or pixelate), narrowed, still-present, reversible, with their counts."""
+    from inkspan.functions.text import known_category
+
+    rows = redactions.join(documents.select("doc_id", "kind"), "doc_id")
+    style = F.when(F.col("kind") != "image", "removed").when(F.col("boxed"), F.lit("solid") if region_style is None else region_style).otherwise("solid")
+    rows = rows.select("doc_id", "status", "source", known_category(F.col("category")).alias("category"), style.alias("style"), method.alias("method"))
+    accepted = F.col("status") == "accepted"
+    left = F.when(F.col("status") == "rejected", "rejected").when(F.col("status") == "suggested", "undecided")
+    facts = F.array(
+        F.struct(F.when(accepted, F.lit("removed")).otherwise(left).alias("section"), F.col("category").alias("key")),
+        *(F.struct(F.when(accepted, n).alias("section"), F.col(n).alias("key")) for n in ("style", "method", "source")),
+        F.struct(F.when(accepted & F.col("style").isin("blur", "pixelate"), "note").alias("section"), F.lit("weaker-style").alias("key")),
+        F.struct(F.when(accepted & F.col("method").isin("tokenize", "encrypt"), "note").alias("section"), F.lit("reversible").alias("key")),
+        F.struct(F.when(left.isNotNull(), "note").alias("section"), F.lit("still-present").alias("key")),
+    )
+    counts = rows.select("doc_id", F.explode(facts).alias("f")).where("f.section is not null").groupBy("doc_id", F.col("f.section").alias("section"), F.col("f.key").alias("key")).agg(F.count("*").alias("count"))
+    return counts.unionByName(documents.where("narrowed").select("doc_id", F.lit("note").alias("section"), F.lit("narrowed").alias("key"), F.lit(1).cast("long").alias("count")))
+
+
 def leaking_reports(reports: DataFrame, values: DataFrame, least: int = 4) -> DataFrame:
     """doc_id, value of accepted values that a report (doc_id, report) repeats."""
     v = values.where(F.length("value") >= least)

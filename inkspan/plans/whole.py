@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.operators import compare, matching, paging, provenance, ranks, records, reports, rules, spans, upkeep
+from inkspan.operators import compare, matching, paging, provenance, ranks, records, redact, reports, rules, spans, upkeep
 from inkspan.sources import atoms, splits
 from inkspan.tables import shared_folder
 
@@ -263,3 +263,38 @@ def detection_types(spark, d):
     box = F.when(c("event_id") % 5 == 0, F.struct(F.lit(1.0).alias("x")))
     kind = records.detection_type(F.when(c("event_type") == "click", "face").otherwise("other"), box, F.when(c("event_id") % 3 == 0, "Data"), c("user_id") % 4, F.when(c("event_id") % 7 != 0, c("event_id")))
     return table(spark, d, "events").select("event_id", kind.alias("type"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS k, o_orderkey % 7 AS form FROM orders)
+SELECT k AS doc_id, CASE WHEN form IN (1, 5, 6) THEN 'see Ann ' || k || ' and Ann ' || k || CASE form WHEN 1 THEN '' WHEN 5 THEN ' with Bob ' || k ELSE ' with ENC[AAAA]' END || '.'
+  WHEN form = 4 THEN 'see PERSON_001 and person_001.' WHEN form = 2 THEN 'see nobody.' ELSE 'see PERSON_001 and PERSON_001' || CASE form WHEN 3 THEN ' with ENC[AAAA]' ELSE '' END || '.' END AS restored_text,
+  CASE form WHEN 0 THEN 'unsupported-format' WHEN 3 THEN 'no-key' WHEN 2 THEN 'nothing-to-restore' WHEN 4 THEN 'nothing-to-restore' ELSE 'ok' END AS outcome,
+  CAST(CASE form WHEN 1 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 0 END AS BIGINT) AS restored, CAST(CASE WHEN form IN (3, 6) THEN 1 ELSE 0 END AS BIGINT) AS unresolved FROM t""")
+def restored_documents(spark, d):
+    """Exports of orders: pictures, without a key, with a wrong ciphertext, with a vault of something else, or whole."""
+    k, form = c("o_orderkey"), c("o_orderkey") % 7
+    key = F.substring(F.md5(k.cast("string")), 1, 16).cast("binary")
+    cipher = F.aes_encrypt(F.concat(F.lit("Bob "), k.cast("string")), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("000000000000").cast("binary"))
+    inline = F.concat(F.lit(" with ENC["), F.regexp_replace(F.translate(F.base64(cipher), "+/", "-_"), "[=\\r\\n]", ""), F.lit("]"))
+    text = F.when(form == 2, "see nobody.").when(form == 4, "see PERSON_001 and person_001.").otherwise(F.concat(F.lit("see PERSON_001 and PERSON_001"), F.when(form == 5, inline).when(form.isin(3, 6), " with ENC[AAAA]").otherwise(""), F.lit(".")))
+    o = table(spark, d, "orders")
+    out = o.select(k.alias("doc_id"), F.when(form == 0, "pdf").otherwise("txt").alias("kind"), text.alias("text"))
+    entry = F.struct(F.when(form == 4, "PERSON_009").otherwise("PERSON_001").alias("surrogate"), F.lit("tokenize").alias("method"), F.lit("person").alias("category"), F.concat(F.lit("Ann "), k.cast("string")).alias("value"))
+    vaults = o.select(k.alias("doc_id"), F.to_json(F.struct(F.lit(1).alias("version"), F.array(entry).alias("entries"))).alias("vault"))
+    return redact.restore_documents(out, vaults, o.where(form.isin(5, 6)).select(k.alias("doc_id"), key.alias("key"))).drop("kind", "text")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc_id, ['accepted', 'accepted', 'rejected', 'suggested'][l_suppkey % 4 + 1] AS status, CASE WHEN l_linenumber = 3 THEN 'other' ELSE ['person', 'email', 'phone'][l_partkey % 3 + 1] END AS category, ['ai', 'user', 'rule'][l_linenumber % 3 + 1] AS source,
+    CASE WHEN l_orderkey % 5 <> 0 THEN 'removed' WHEN l_linenumber % 2 = 0 THEN 'blur' ELSE 'solid' END AS style, CASE WHEN l_partkey % 6 = 0 THEN 'tokenize' ELSE 'mask' END AS method FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT doc_id, CASE status WHEN 'accepted' THEN 'removed' WHEN 'rejected' THEN 'rejected' ELSE 'undecided' END AS section, category AS key, count(*) AS count FROM r GROUP BY 1, 2, 3
+UNION ALL SELECT doc_id, 'style', style, count(*) FROM r WHERE status = 'accepted' GROUP BY 1, 3 UNION ALL SELECT doc_id, 'method', method, count(*) FROM r WHERE status = 'accepted' GROUP BY 1, 3
+UNION ALL SELECT doc_id, 'source', source, count(*) FROM r WHERE status = 'accepted' GROUP BY 1, 3 UNION ALL SELECT doc_id, 'note', 'weaker-style', count(*) FROM r WHERE status = 'accepted' AND style = 'blur' GROUP BY 1
+UNION ALL SELECT doc_id, 'note', 'reversible', count(*) FROM r WHERE status = 'accepted' AND method = 'tokenize' GROUP BY 1 UNION ALL SELECT doc_id, 'note', 'still-present', count(*) FROM r WHERE status <> 'accepted' GROUP BY 1
+UNION ALL SELECT o_orderkey, 'note', 'narrowed', 1 FROM orders WHERE o_orderkey % 9 = 0""")
+def export_sections(spark, d):
+    """Lines as redactions of orders: counts by category, style, method and source, what is left, and notes."""
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    docs = table(spark, d, "orders").select(c("o_orderkey").alias("doc_id"), F.when(c("o_orderkey") % 5 == 0, "image").otherwise("txt").alias("kind"), (c("o_orderkey") % 9 == 0).alias("narrowed"))
+    category = F.when(c("l_linenumber") == 3, "martian").otherwise(pick(("person", "email", "phone"), c("l_partkey") % 3))
+    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), pick(("accepted", "accepted", "rejected", "suggested"), c("l_suppkey") % 4).alias("status"), category.alias("category"), pick(("ai", "user", "rule"), c("l_linenumber") % 3).alias("source"), (c("l_linenumber") % 2 == 0).alias("boxed"), (c("l_partkey") % 6 == 0).alias("kept"))
+    return reports.export_counts(rows, docs, F.when(c("kept"), "tokenize").otherwise("mask"), F.lit("blur"))
