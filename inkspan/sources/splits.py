@@ -213,15 +213,17 @@ def _summaries(pieces: DataFrame, delimiter: str) -> DataFrame:
     names = ["doc_id", "seq", "valid", "control", "size", "total", "n_bytes", "bom", "ends", "breaks", "maps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()))
         for b in batches:
+            rows = []
             for i in range(b.num_rows):
                 text, valid = b.column(2)[i].as_py() or "", b.column(3)[i].as_py()
                 nl = text.find("\n")
                 breaks = "" if nl < 0 else "?" if nl == 0 else "\r\n" if text[nl - 1] == "\r" else "\n"
-                row = [valid, bool(CONTROL.search(text)), len(text), b.column(4)[i].as_py(), b.column(5)[i].as_py(), text[:1] == BOM, text[-1:], breaks]
                 flat = [v for m in maps(text, stop) for v in m]
-                kinds = (pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *(pa.array([v], t) for v, t in zip(row, kinds, strict=True)), pa.array([flat], pa.list_(pa.int64()))], names=names)
+                rows.append((valid, bool(CONTROL.search(text)), len(text), b.column(4)[i].as_py(), b.column(5)[i].as_py(), text[:1] == BOM, text[-1:], breaks, flat))
+            columns_ = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns_, kinds, strict=True))], names=names)
 
     return pieces.select("doc_id", F.col("seq").cast("long"), "text", *columns).mapInArrow(run, f"doc_id {kind}, seq long, valid boolean, control boolean, size long, total long, n_bytes long, bom boolean, ends string, breaks string, maps array<long>")
 
@@ -335,15 +337,25 @@ class Grids:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.bool_())
             for b in batches:
+                at, own = [], []
+
+                def made(b=b) -> pa.RecordBatch:
+                    places = pa.array(at, pa.int64())
+                    r, c, *rest = zip(*own, strict=True) if own else [[]] * 4
+                    columns = ([x + 1 for x in r], [x + 1 for x in c], *rest)
+                    return pa.RecordBatch.from_arrays([b.column(0).take(places), b.column(1).take(places).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "seq", "row", "col", "value", "quoted"])
+
                 for i in range(b.num_rows):
-                    seq, text, state, row, col, tail, after, end_row, end_col = (b.column(c)[i].as_py() for c in range(1, 10))
+                    text, state, row, col, tail, after, end_row, end_col = (b.column(c)[i].as_py() for c in range(2, 10))
                     found = parts(text or "", state, row, col, tail, after, end_row, end_col) if edges else whole(text or "", state, row, col)
                     found = (f for f in found if f[1] < MAX_COLUMNS)
-                    while own := list(islice(found, 50_000)):
-                        r, c, *rest = zip(*own, strict=True)
-                        columns = ([x + 1 for x in r], [x + 1 for x in c], *rest)
-                        same = pa.array([b.column(0)[i].as_py()] * len(own), b.schema.field(0).type), pa.array([seq] * len(own), pa.int64())
-                        yield pa.RecordBatch.from_arrays([*same, *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "seq", "row", "col", "value", "quoted"])
+                    while some := list(islice(found, 50_000)):
+                        own += some
+                        at += [i] * len(some)
+                        if len(own) >= 50_000:
+                            yield made()
+                            at, own = [], []
+                yield made()
 
         return rows.select("doc_id", "seq", "text", "state", "row", "col", "tail", "after", "end_row", "end_col").mapInArrow(run, f"doc_id {kind}, seq long, row long, col int, value string, quoted boolean")
 
