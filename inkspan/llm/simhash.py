@@ -239,9 +239,10 @@ def forest_links(member: np.ndarray, member_group: np.ndarray, query: np.ndarray
     return far, label[far]
 
 
-def forest_pairs(member: np.ndarray, member_group: np.ndarray, member_class: np.ndarray, query: np.ndarray, query_group: np.ndarray, query_class: np.ndarray, radius: int, every: bool, done: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest_pairs(member: np.ndarray, member_group: np.ndarray, member_class: np.ndarray, query: np.ndarray, query_group: np.ndarray, query_class: np.ndarray, radius: int, every: bool, done: np.ndarray | None = None, keep=None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within the radius, as indices into members and queries, between rows of different classes. ``every``: all of
-    them; else as many as connect what all of them connect."""
+    them; else as many as connect what all of them connect. ``keep(a, b)``: which of the pairs to give; they are sorted out as
+    they are found, so that what is held follows what is given."""
     n = len(member)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -254,17 +255,20 @@ def forest_pairs(member: np.ndarray, member_group: np.ndarray, member_class: np.
     label = first[label.ravel()]
     values, start = np.concatenate([member, query[held]]), np.repeat(tree.starts, np.diff(np.r_[tree.starts, n]))
     out: list[tuple[np.ndarray, np.ndarray]] = []
+    back = np.r_[np.arange(n), n + held]
 
     def take(a: np.ndarray, b: np.ndarray) -> None:
         x, y = label[a], label[b]
         new = x != y
         if not every:
-            _, keep = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0, return_index=True)
-            new &= np.isin(np.arange(len(a)), keep)
+            _, first_ = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0, return_index=True)
+            new &= np.isin(np.arange(len(a)), first_)
         if new.any():
-            out.append((a[new], b[new]))
+            a, b = a[new], b[new]
             if not every:
-                _union(label, a[new], b[new])
+                _union(label, a, b)
+            given = slice(None) if keep is None else keep(back[a], back[b])
+            out.append((a[given], b[given]))
 
     if not every:  # what a pivot reaches is compared with it alone
         tried = np.zeros(n, bool)
@@ -289,7 +293,6 @@ def forest_pairs(member: np.ndarray, member_group: np.ndarray, member_class: np.
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    back = np.r_[np.arange(n), n + held]
     return back[a], back[b]
 
 
@@ -354,16 +357,27 @@ def _shards(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], sha
     return rows.select("route", "part", "query", "node", "class", "fp").repartition("route", "part").sortWithinPartitions("route", "part", "query", "fp")
 
 
-def _searched(rows: DataFrame, search) -> DataFrame:
+def first_shared(x: np.ndarray, y: np.ndarray, tables: Sequence[Sequence[int]]) -> np.ndarray:
+    """For pairs of values the name of the first shard that both go to."""
+    out = np.zeros(len(x), np.int64)
+    for i in range(0, len(x), 4096):
+        a, b = routes(x[i : i + 4096], tables), routes(y[i : i + 4096], tables)
+        out[i : i + 4096] = a[np.arange(len(a)), (a == b).argmax(axis=1)]
+    return out
+
+
+def _searched(rows: DataFrame, search, tables: Sequence[Sequence[int]] | None = None) -> DataFrame:
     """(a, b): what ``search`` finds in each part, given members' and queries' values, groups, classes and whether members
-    have been searched before."""
+    have been searched before. tables: a pair counts in the first shard that both values go to, which connects them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(route, part, query, node, kind, fp, done) -> pa.RecordBatch:
             group = np.cumsum(np.r_[False, (route[1:] != route[:-1]) | (part[1:] != part[:-1])])
             m = query == 0
             names = np.r_[node[m], node[~m]]
-            a, b = search(fp[m], group[m], kind[m], fp[~m], group[~m], kind[~m], done[m])
+            values, at = np.concatenate([fp[m], fp[~m]]), np.r_[route[m], route[~m]]
+            keep = None if tables is None else lambda a, b: first_shared(values[a], values[b], tables) == at[a]
+            a, b = search(fp[m], group[m], kind[m], fp[~m], group[~m], kind[~m], done[m], keep)
             return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
 
         held: list[tuple[np.ndarray, ...]] = []
@@ -396,14 +410,14 @@ def links(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard
     """(a, b): links that connect all distinct values (node long, fp array of longs) that lie within the radius and share
     the bits of a table; not all pairs."""
     rows = _shards(values.withColumn("class", F.lit(0).cast("long")), radius, tables, shard)
-    return _searched(rows, lambda m, mg, _, q, qg, __, done: forest_links(m, mg, q, qg, radius, done))
+    return _searched(rows, lambda m, mg, _, q, qg, __, done, ___: forest_links(m, mg, q, qg, radius, done))
 
 
 def pairs_within(values: DataFrame, radius: int, tables: Sequence[Sequence[int]], shard: int = SHARD, every: bool = False) -> DataFrame:
     """(a, b), a < b: pairs of values (node, class, fp) of different classes within the radius that share a table's bits:
     all, or as many as connect the same."""
     rows = _shards(values, radius, tables, shard, every)
-    found = _searched(rows, lambda m, mg, mc, q, qg, qc, done: forest_pairs(m, mg, mc, q, qg, qc, radius, every, done))
+    found = _searched(rows, lambda m, mg, mc, q, qg, qc, done, keep: forest_pairs(m, mg, mc, q, qg, qc, radius, every, done, keep), tables)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

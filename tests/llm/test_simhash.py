@@ -190,6 +190,26 @@ def test_forest_pairs(every):
     assert all(root(x) == root(y) for x, y in want)
 
 
+def test_pairs_come_once_and_connect(spark):
+    """Of values that share many tables no pair is given twice, and what all pairs connect stays connected."""
+    rng = random.Random(2)
+    base = [rng.getrandbits(512) for _ in range(4)]
+    values = sorted({b ^ sum(1 << i for i in rng.sample(range(512), rng.choice([0, 3, 30, 70]))) for b in base for _ in range(40)})
+    split = lambda v: [(x - (1 << 64) if x >> 63 else x) for x in ((v >> (64 * k)) & ((1 << 64) - 1) for k in range(8))]
+    df = spark.createDataFrame([(i, i, split(v)) for i, v in enumerate(values)], "node long, class long, fp array<long>")
+    tables = sh.drawn_tables(len(values))
+    for shard, every in ((sh.SHARD, False), (sh.SHARD, True), (9, False), (9, True)):
+        rows = sh._searched(sh._shards(df, sh.NEAR_RADIUS, tables, shard, every), lambda m, mg, mc, q, qg, qc, done, keep, every=every: sh.forest_pairs(m, mg, mc, q, qg, qc, sh.NEAR_RADIUS, every, done, keep), tables)
+        got = [tuple(sorted(r)) for r in rows.collect()]
+        assert every or shard == 9 or len(got) < 4 * len(values)
+        near = {p for p in set(got) if (values[p[0]] ^ values[p[1]]).bit_count() <= sh.NEAR_RADIUS}
+        assert near == set(got)
+        found = {}
+        for r in sh.components(sh.pairs_within(df, sh.NEAR_RADIUS, tables, shard, every)).collect():
+            found.setdefault(r.component, set()).add(values[r.node])
+        assert {frozenset(g) for g in found.values()} == groups(values, sh.NEAR_RADIUS)
+
+
 def test_near_copies_without_ids(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(None, text, 1), (None, text + " more", 2), (None, text, 3), (4, "other words that stay here for now", 4), (4, "other words that stay here for now", 5), (7, None, 6), (6, "", 7)]
