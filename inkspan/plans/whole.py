@@ -126,7 +126,7 @@ def order_provenance(spark, d):
     """Roots, paths and folders of a forest over the orders, with chains, orphans and cycles."""
     table(spark, d, "orders").createOrReplaceTempView("_orders_of_provenance")
     nodes = spark.sql(_NODES.replace("FROM orders", "FROM _orders_of_provenance"))
-    return provenance.provenance(nodes).drop("place")
+    return provenance.provenance(nodes, place=False)
 
 
 @query("SELECT page_id, CAST(0 AS BIGINT) AS left_over FROM pages")

@@ -25,8 +25,35 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later plan reads."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def kept_at(df: DataFrame, what: str, *by: str) -> str:
+    """The path of a Parquet table of the rows in the shared folder, in folders by the columns named. What was shuffled for
+    it goes when it is written."""
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before) if before is not None else spark.conf.unset(clean)
+    return path
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """The rows, written once to a Parquet table in the shared folder and read back; whoever owns it clears it later."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(kept_at(df, what))

@@ -46,3 +46,15 @@ def test_equals_a_walk(spark):
     got = {r.id: (r.root, r.path, r.level) for r in pv.provenance(spark.createDataFrame(rows, KIND)).collect()}
     assert got == want
     assert pv.provenance(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_cycles_do_not_grow_and_tables_go(spark, tmp_path, monkeypatch):
+    F = pv.F
+    monkeypatch.setattr("inkspan.tables.shared_folder", lambda spark: f"file://{tmp_path}")
+    chain = spark.range(300).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    ring = spark.range(1000, 1500).select("id", (F.lit(1000) + (F.col("id") - 1000 + 1) % 2).alias("parent"))
+    nodes = chain.unionByName(ring).select("id", "parent", F.concat(F.lit("p"), F.xxhash64("id").cast("string")).alias("part"), F.lit("a.eml").alias("name"), F.lit("mbox").alias("kind"), F.col("id").cast("int").alias("seq"))
+    got = {r.id: (r.outcome, r.level) for r in pv.provenance(nodes, place=False).select("id", "outcome", "level").collect()}
+    assert got[299] == ("part", 299) and got[0] == ("root", 0)
+    assert {got[i] for i in range(1000, 1500)} == {("cycle", None)}
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1_000_000
