@@ -133,9 +133,10 @@ def order_provenance(spark, d):
 def redacted_sources(spark, d):
     """Pages whose words of eight letters and more are cut out of the HTML, read again: how many of them are left."""
     docs = table(spark, d, "pages").select(c("page_id").alias("doc_id"), "html")
-    text = docs.select("doc_id", atoms.html_atoms("html")["text"].alias("text"))
+    read = atoms.read_html(docs)
+    text = read.select("doc_id", c("_h.text").alias("text"))
     words = text.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([a-z]{8,})"))).alias("value")).distinct()
-    again = atoms.redact_html(docs, words, label="[X]").select("doc_id", atoms.html_atoms("redacted")["text"].alias("text"))
+    again = atoms.read_html(atoms.redact_html(docs, words, label="[X]", read=read), "redacted").select("doc_id", c("_h.text").alias("text"))
     left = matching.value_places(again, words).groupBy("doc_id").agg(F.count("*").alias("n"))
     return docs.select("doc_id").join(left, "doc_id", "left").select(c("doc_id").alias("page_id"), F.coalesce("n", F.lit(0)).alias("left_over"))
 

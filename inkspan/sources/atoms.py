@@ -24,16 +24,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from inkspan.batches import pieces
 from inkspan.functions import fixed
 from inkspan.operators.matching import value_places
 from inkspan.operators.spans import merged_runs, overlap_join
+from inkspan.tables import kept
 
 from .markup import _RTF, ATTRIBUTES, BLOCKS, HIDDEN, RTF_DEPTH, RTF_SKIPPED, RTF_SYMBOLS, encode_entities
 
 _TAG = re.compile(r"<(/?)\s*([a-zA-Z][a-zA-Z0-9]*)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
-_RUN = re.compile(r"[ \t\r\n\f]+|[^ \t\r\n\f]+")
+_MARKUP = re.compile("[<&]")
+#: White space that is not one space as it stands; a single one is like any other character.
+_RUN = re.compile(r"[ \t\r\n\f]{2,}|[\t\r\n\f]")
 
 
 class Writer:
@@ -101,12 +105,12 @@ def html_map(source: str) -> tuple[str, np.ndarray, np.ndarray, list[tuple[str,
                 at += 1
             continue
         if source[at] != "<":
-            end = min(x for x in (source.find("<", at), source.find("&", at), n) if x >= 0)
+            end = m.start() if (m := _MARKUP.search(source, at)) else n
             for m in _RUN.finditer(source, at, end):
-                if m.group()[0] in " \t\r\n\f":
-                    out.whole(" ", m.start(), m.end())
-                else:
-                    out.literal(m.group(), m.start())
+                out.literal(source[at : m.start()], at)
+                out.whole(" ", m.start(), m.end())
+                at = m.end()
+            out.literal(source[at:end], at)
             at = end
             continue
         comment = source.startswith("<!--", at)
@@ -287,10 +291,25 @@ def rtf_escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\{}])", r"\\$1")
 
 
-def redact_html(docs: DataFrame, values: DataFrame, source: str = "html", label: str = fixed.LABEL, to: str = "redacted") -> DataFrame:
+def read_html(docs: DataFrame, source: str = "html") -> DataFrame:
+    """doc_id and _h (text, atoms, attributes) of docs, as a table: several plans take them, and the reading is what costs."""
+    place = [("start", pa.int32()), ("end", pa.int32())]
+    atom = pa.struct([("kind", pa.string()), ("text_start", pa.int32()), ("text_end", pa.int32()), *place])
+    kind = pa.struct([("text", pa.string()), ("atoms", pa.list_(atom)), ("attributes", pa.list_(pa.struct([("value", pa.string()), *place])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            rows = html_atoms.func(pd.Series(b.column(1).to_pylist(), dtype=object)).to_dict("records")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["doc_id", "_h"])
+
+    schema = docs.select("doc_id", html_atoms(source).alias("_h")).schema
+    return kept(docs.select("doc_id", source).mapInArrow(run, schema), "html")
+
+
+def redact_html(docs: DataFrame, values: DataFrame, source: str = "html", label: str = fixed.LABEL, to: str = "redacted", read: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, source) with all places of their own values (doc_id, value, replacement if there) cut out of the HTML: of
-    its text through the atoms, and of attributes that carry text."""
-    read = docs.select("doc_id", html_atoms(source).alias("_h"))
+    its text through the atoms, and of attributes that carry text. read: ``read_html`` of the docs, where it is there."""
+    read = read_html(docs, source) if read is None else read
     payload = F.col("replacement") if "replacement" in values.columns else F.lit(None).cast("string")
     found = value_places(read.select("doc_id", F.col("_h.text").alias("text")), values, payload=payload).select("doc_id", "start", "end", F.col("payload").alias("replacement"))
     ranges = source_ranges(found, read.select("doc_id", F.col("_h.atoms").alias("atoms")), label)
