@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.batches import pieces
 from inkspan.functions import checksums, fixed
 from inkspan.functions.text import guess_language
 
@@ -125,7 +126,7 @@ def detect(pages: DataFrame, detectors: Sequence[str] | None = None, languages:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("detector", pa.string()), ("category", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("reason", pa.string()), ("everywhere", pa.bool_()), ("seq", pa.int32())])
-        for b in batches:
+        for b in pieces(batches, 2):
             rows = []
             for doc, page, text, langs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 for i, d in enumerate(detect_text(text, langs, names)):
