@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkspan.batches import pieces
 from inkspan.functions.text import SPACE, sample_around, ws_trim
 
 MAX_LENGTH = 500
@@ -74,7 +75,7 @@ def find_matches(rules: DataFrame, pages: DataFrame, max_matches: int | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [(rule, category, compile_pattern(*spec)) for rule, category, *spec in shared.value]
-        for b in batches:
+        for b in pieces(batches, 2):
             out = []
             for doc, page, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for rule, category, p in made:
@@ -117,7 +118,7 @@ def find_cell_matches(rules: DataFrame, cells: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [(rule, category, spec, compile_pattern(*spec)) for rule, category, *spec in shared.value]
-        for b in batches:
+        for b in pieces(batches, 3):
             out = []
             for doc, row, col, value in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 for rule, category, spec, p in made if value else ():
