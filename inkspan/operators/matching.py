@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.batches import cut, pieces
 from inkspan.functions import fixed
 
 #: Texts of a document that one task searches, about; documents of more go to several parts.
@@ -83,9 +84,9 @@ def apart(hits: Sequence[tuple[int, int, str, str | None]]) -> list[tuple[int, i
     return out
 
 
-def _together(texts: DataFrame, values: DataFrame, text: str, payload: Column | None) -> DataFrame:
+def _together(texts: DataFrame, values: DataFrame, text: str, payload: Column | None, keep: Sequence[str] | None = None) -> DataFrame:
     """Values (kind 0) and texts (kind 1) of a document in one partition, values first."""
-    rows = texts.select("doc_id", F.struct(*texts.columns).alias("_row"), F.col(text).alias("_text"))
+    rows = texts.select("doc_id", F.struct(*(texts.columns if keep is None else keep)).alias("_row"), F.col(text).alias("_text"))
     order = F.col("seq").cast("long") if "seq" in values.columns else F.lit(0).cast("long")
     own = values.select("doc_id", F.col("value").alias("_text"), (F.lit(None) if payload is None else payload).cast("string").alias("_payload"), order.alias("_order")).where("_text != ''")
     large = rows.groupBy("doc_id").count().where(F.col("count") > TEXTS).select(F.col("doc_id").alias("_doc"), F.ceil(F.col("count") / TEXTS).cast("int").alias("_parts"))
@@ -102,7 +103,7 @@ def _pass(both: DataFrame, every: bool, find, names: Sequence[tuple[str, pa.Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, entries, matcher = None, [], None
-        for b in batches:
+        for b in pieces(batches, 4):
             docs, parts, kinds, _, texts, payloads = (b.column(i).to_pylist() for i in range(6))
             at, out = [], []
             for i, own in enumerate(zip(docs, parts, strict=True)):
@@ -115,18 +116,22 @@ def _pass(both: DataFrame, every: bool, find, names: Sequence[tuple[str, pa.Data
                 found = find(matcher, texts[i])
                 at += [i] * len(found)
                 out += found
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(6).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, names, strict=True))], names=["_row", *(n for n, _ in names)])
+            for start, end in cut([len(texts[i] or "") for i in at]):  # each place has a copy of its row
+                columns = zip(*out[start:end], strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(6).take(pa.array(at[start:end], pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, names, strict=True))], names=["_row", *(n for n, _ in names)])
 
     return both.mapInArrow(run, f"_row {both.schema['_row'].dataType.simpleString()}, {schema}")
 
 
-def value_places(texts: DataFrame, values: DataFrame, text: str = "text", payload: Column | None = None, every: bool = False, alone: bool = False) -> DataFrame:
-    """texts' columns with value, start, end and payload for each place of a document's own values (doc_id, value and, if
-    there, seq). ``every``: a row for each value of a folded form; ``alone``: places of one value do not overlap."""
+def value_places(texts: DataFrame, values: DataFrame, text: str = "text", payload: Column | None = None, every: bool = False, alone: bool = False, keep: Sequence[str] | None = None, once: bool = False) -> DataFrame:
+    """texts' columns (those of ``keep``, if it is there) with value, start, end and payload for each place of a document's own values (doc_id, value and, if
+    there, seq). ``every``: a row for each value of a folded form; ``alone``: places of one value do not overlap;
+    ``once``: of each value only the first place in a text."""
     find = (lambda m, t: [(v, s, e, p) for s, e, v, p in apart(m.find(t))]) if alone else (lambda m, t: [(v, s, e, p) for s, e, v, p in m.find(t)])
+    if once:
+        find = lambda m, t: [(v, s, e, p) for v, (s, e, p) in {v: (s, e, p) for s, e, v, p in reversed(m.find(t))}.items()]
     names = [("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("payload", pa.string())]
-    out = _pass(_together(texts, values, text, payload), every, find, names, "value string, start int, end int, payload string")
+    out = _pass(_together(texts, values, text, payload, keep), every, find, names, "value string, start int, end int, payload string")
     return out.select("_row.*", "value", "start", "end", "payload")
 
 

@@ -99,7 +99,7 @@ def verify(output: DataFrame, values: DataFrame, own: DataFrame | None = None, l
     if own is not None:
         out = sweep(out, own.where("surrogate is not null").select("doc_id", F.col("surrogate").alias("value"), F.lit(" ").alias("replacement")), to="_t").select("doc_id", F.col("_t").alias("text"))
     v = values.where(F.length("value") >= least).select("doc_id", "value").distinct()
-    return value_places(out, v, every=True).select("doc_id", "value").distinct()
+    return value_places(out, v, every=True, keep=["doc_id"], once=True).select("doc_id", "value").distinct()
 
 
 class ExportVerificationError(RuntimeError):
