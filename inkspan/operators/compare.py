@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # What counts as white space.
 SPACES = [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+_FILLED = np.ones(0x110000, bool)
+_FILLED[SPACES] = False
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +41,18 @@ def _clipped(spans: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     return runs(x[:, 0], x[:, 1])
 
 
+def hides(labels: np.ndarray, r: tuple[np.ndarray, np.ndarray], full: np.ndarray) -> np.ndarray:
+    """Whether disjoint ranges hold all characters that are not white space of each label (start, end): ``full`` says which
+    characters those are."""
+    n = len(full)
+    edges = np.zeros(n + 1, np.int8)
+    edges[r[0]] += 1
+    edges[r[1]] -= 1
+    bare = np.r_[0, np.cumsum(full & (np.cumsum(edges)[:n] == 0))]
+    start, end = np.clip(labels, 0, n).T
+    return bare[np.maximum(start, end)] == bare[start]
+
+
 def compared(pages: DataFrame, gold: DataFrame, first: DataFrame, second: DataFrame, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, category, a, b): whether either run hides all but white space of each label; (doc_id, both, either): hidden
     characters without white space). Texts (doc_id, text); labels (doc_id, start, end, category); runs (doc_id, start, end).
@@ -60,15 +74,12 @@ def compared(pages: DataFrame, gold: DataFrame, first: DataFrame, second: DataFr
             for i in range(batch.num_rows):
                 text, g, a, b = (batch.column(c)[i].as_py() for c in range(1, 5))
                 codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-                filled = np.r_[0, np.cumsum(~np.isin(codes, SPACES))]
+                full = _FILLED[codes]
+                filled = np.r_[0, np.cumsum(full)]
                 a, b = (_clipped(x, len(codes)) for x in (a, b))
                 count = lambda r, filled=filled: int((filled[r[1]] - filled[r[0]]).sum())
-
-                def covers(s: dict, r: tuple, n: int = len(codes), filled=filled, count=count) -> bool:
-                    own = _clipped([s], n)
-                    return count(overlaps(own, r)) == count(own)
-
-                pairs.append([{"category": s["category"], "a": covers(s, a), "b": covers(s, b)} for s in g])
+                at = np.array([(s["start"], s["end"]) for s in g], np.int64).reshape(-1, 2)
+                pairs.append([{"category": s["category"], "a": x, "b": y} for s, x, y in zip(g, hides(at, a, full).tolist(), hides(at, b, full).tolist(), strict=True)])
                 both.append(count(overlaps(a, b)))
                 either.append(count(a) + count(b) - both[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pairs, pa.list_(pair)), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["doc_id", "pairs", "both", "either"])

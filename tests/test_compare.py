@@ -37,3 +37,18 @@ def test_summary(spark):
     assert rows["other"].kappa is None and rows["other"].observed == 1.0 and rows["person"].redacted_jaccard is None
     none = compare.run_agreement(pages, gold.limit(0), a.limit(0), b.limit(0)).collect()
     assert [(r.category, r.labels, r.observed, r.kappa, r.redacted_jaccard) for r in none] == [(None, 0, None, None, None)]
+
+
+def test_hidden_labels_are_those_whose_common_parts_count_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(0, 40))
+        full = rng.random(n) < 0.7
+        filled = np.r_[0, np.cumsum(full)]
+        r = compare._clipped([{"start": s, "end": s + k} for s, k in zip(rng.integers(-3, 40, 5).tolist(), rng.integers(-1, 9, 5).tolist(), strict=True)], n)
+        labels = np.array([(s, s + k) for s, k in zip(rng.integers(-5, 45, 6).tolist(), rng.integers(-2, 12, 6).tolist(), strict=True)])
+        count = lambda x, filled=filled: int((filled[x[1]] - filled[x[0]]).sum())
+        own = [compare._clipped([{"start": s, "end": e}], n) for s, e in labels.tolist()]
+        assert compare.hides(labels, r, full).tolist() == [count(compare.overlaps(o, r)) == count(o) for o in own]
