@@ -87,12 +87,22 @@ def resolve_overlaps(spans: list[tuple]) -> list[tuple]:
     return sorted(kept, key=lambda s: s[0])
 
 
+@lru_cache(None)
+def _chosen(names: tuple[str, ...] | None) -> list[tuple]:
+    return [d for d in fixed.DETECTORS if names is None or d[0] in names]
+
+
 def detect_text(text: str, languages: Sequence[str] = ("en",), detectors: Sequence[str] | None = None) -> list[dict]:
     """Detections of one text, without overlaps."""
+    keys = ("start", "end", "confidence", "order", "detector", "category", "text", "reason", "everywhere")
+    return [dict(zip(keys, s, strict=True)) for s in _detected(text, languages, _chosen(None if detectors is None else tuple(detectors)))]
+
+
+def _detected(text: str, languages: Sequence[str], chosen: Sequence[tuple]) -> list[tuple]:
     found: list[tuple] = []
     digit = bool(_DIGIT.search(text))
-    for name, category, confidence, everywhere, only, label, reason in fixed.DETECTORS:
-        if detectors is not None and name not in detectors or only and only not in languages:
+    for name, category, confidence, everywhere, only, label, reason in chosen:
+        if only and only not in languages:
             continue
         if not (any(x in text for x in _NEEDS[name]) if name in _NEEDS else digit):
             continue
@@ -106,8 +116,7 @@ def detect_text(text: str, languages: Sequence[str] = ("en",), detectors: Sequen
                     continue
                 sure = fixed.DOUBTFUL_PHONE if name == "phone-number" and labelled("documentNumber", text, a, languages) else confidence
                 found.append((a, end, sure, len(found), name, category, s, reason, everywhere))
-    keys = ("start", "end", "confidence", "order", "detector", "category", "text", "reason", "everywhere")
-    return [dict(zip(keys, s, strict=True)) for s in resolve_overlaps(found)]
+    return resolve_overlaps(found) if len(found) > 1 else found
 
 
 def text_languages(text: Column) -> Column:
@@ -126,11 +135,12 @@ def detect(pages: DataFrame, detectors: Sequence[str] | None = None, languages:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("detector", pa.string()), ("category", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("reason", pa.string()), ("everywhere", pa.bool_()), ("seq", pa.int32())])
+        chosen = _chosen(None if names is None else tuple(names))
         for b in pieces(batches, 2):
             rows = []
             for doc, page, text, langs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for i, d in enumerate(detect_text(text, langs, names)):
-                    rows.append((doc, page, d["detector"], d["category"], d["confidence"], d["start"], d["end"], d["text"], d["reason"], d["everywhere"], i))
+                for i, (start, end, confidence, _, name, category, s, reason, everywhere) in enumerate(_detected(text, langs, chosen)):
+                    rows.append((doc, page, name, category, confidence, start, end, s, reason, everywhere, i))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], schema=kinds)
 
     return pages.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text", own.alias("languages")).mapInArrow(run, SCHEMA)

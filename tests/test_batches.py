@@ -51,3 +51,11 @@ def test_read_html_is_what_the_column_says(spark):
     docs = spark.createDataFrame([(1, "<p title='t'>A &amp; b<br>c  d</p>"), (2, None), (3, "")], "doc_id long, html string")
     want = {r.doc_id: r._h for r in docs.select("doc_id", atoms.html_atoms("html").alias("_h")).collect()}
     assert {r.doc_id: r._h for r in atoms.read_html(docs).collect()} == want
+
+
+def test_asked_detectors_are_chosen_once_and_find_the_same():
+    body = "call +34 600 111 222 or a@b.example"
+    chosen = detectors._chosen(("email-address",))
+    assert [d[0] for d in chosen] == ["email-address"] and detectors._chosen(("email-address",)) is chosen
+    one = [d for d in detectors.detect_text(body) if d["detector"] == "email-address"]
+    assert [(d["start"], d["end"]) for d in detectors.detect_text(body, detectors=["email-address"])] == [(d["start"], d["end"]) for d in one] == [(24, 35)]
