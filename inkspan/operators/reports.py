@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from .ranks import percentiles
 
+#: Redactions and documents that a task counts, about: it holds up to seven counts for each.
+COUNTED = 200_000
+
 
 def export_report(redactions: DataFrame) -> DataFrame:
     """doc_id, category, n, methods and sources of accepted redactions, the most frequent category first (rank)."""
@@ -26,10 +29,12 @@ def export_counts(redactions: DataFrame, documents: DataFrame, method: Column, r
     redactions (doc_id, status, category, source, boxed), documents (doc_id, kind, narrowed: whether only a preset's
     categories were looked for). Sections: removed (by category; unknown ones are other), style (removed; in pictures solid,
     or ``region_style`` where there is a box), method and source of accepted ones; rejected and undecided by category, which are
-    still in the export; note: weaker-style (blur or pixelate), narrowed, still-present, reversible, with their counts."""
+    still in the export; note: weaker-style (blur or pixelate), narrowed, still-present, reversible, with their counts.
+    Rows are dealt to as many tasks as there are times ``COUNTED`` of them, whatever the session's partitions."""
     from inkspan.functions.text import known_category
 
-    rows = redactions.join(documents.select("doc_id", "kind"), "doc_id")
+    parts = 1 + (redactions.count() + documents.count()) // COUNTED
+    rows = redactions.repartition(parts, "doc_id").join(documents.select("doc_id", "kind").repartition(parts, "doc_id"), "doc_id")
     style = F.when(F.col("kind") != "image", "removed").when(F.col("boxed"), F.lit("solid") if region_style is None else region_style).otherwise("solid")
     rows = rows.select("doc_id", "status", "source", known_category(F.col("category")).alias("category"), style.alias("style"), method.alias("method"))
     accepted = F.col("status") == "accepted"

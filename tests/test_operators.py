@@ -203,3 +203,13 @@ def test_scores_by_category_and_cutoff(spark):
     assert at == {0.5: (3, 0.6667, 0.6667), 0.7: (2, 0.5, 0.3333), 0.8: (1, 1.0, 0.3333), 0.9: (1, 1.0, 0.3333)}
     unsure = found.withColumn("confidence", F.when(F.col("start") > 5, F.col("confidence")))
     assert scoring.by_cutoff(pages, gold, unsure).count() == 0
+
+
+def test_export_counts_are_dealt_by_rows_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(reports, "COUNTED", 1_000, raising=False)
+    rows = spark.range(8_000).select((F.col("id") % 2_000).alias("doc_id"), F.lit("accepted").alias("status"), F.lit("person").alias("category"), F.lit("ai").alias("source"), F.lit(False).alias("boxed"))
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("txt").alias("kind"), F.lit(False).alias("narrowed"))
+    out = reports.export_counts(rows, docs, F.lit("mask"))
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 8_000 and max(tasks) < 1_600  # 2,000 and more in one of four tasks
+    assert out.groupBy("section", "key").agg(F.sum("count")).count() == 4 and out.where("count != 4").count() == 0
