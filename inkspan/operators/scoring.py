@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import fixed
 from inkspan.functions.text import normalize_value
 
-from .spans import covered_labels, fold_contained, overlap_join
+from .spans import cover, covered_labels, fold_contained, touching, with_blanks
 
 CUTOFFS = fixed.CUTOFFS
 
@@ -27,12 +27,11 @@ def score_documents(pages: DataFrame, gold: DataFrame, detections: DataFrame, cu
     detections = detections.where("category is not null")
     if cutoff is not None:
         detections = detections.where(F.coalesce("confidence", F.lit(0.0)) >= cutoff)
-    k = ["doc_id", "start", "end", "category"]
     kept = _fold(detections)
-    labels = covered_labels(gold, kept.select("doc_id", "start", "end"), pages, ["doc_id"]).withColumnRenamed("strict", "exact")
-    own = covered_labels(gold.select(*k).distinct(), detections.select(*k), pages, ["doc_id"], ["category"])
-    own = own.select(*(F.col(c).alias(f"_{c}") for c in k), F.col("covered").alias("strict"))
-    labels = labels.join(own, [labels[c].eqNullSafe(own[f"_{c}"]) for c in k], "left").drop(*(f"_{c}" for c in k))
+    labels = cover(with_blanks(gold, pages, ["doc_id"]), kept, ["doc_id"])
+    labels = labels.select(*gold.columns, "_blank", "_known", F.col("overlap").alias("_overlap"), F.col("strict").alias("exact"), F.col("covered").alias("_covered"))
+    labels = cover(labels, detections, ["doc_id", "category"])
+    labels = labels.select(*gold.columns, F.col("_overlap").alias("overlap"), "exact", F.col("_covered").alias("covered"), F.col("covered").alias("strict"))
     return labels, _found(pages, gold, kept, negatives)
 
 
@@ -41,15 +40,15 @@ def _fold(detections: DataFrame) -> DataFrame:
 
 
 def _found(pages: DataFrame, gold: DataFrame, kept: DataFrame, negatives: DataFrame | None) -> DataFrame:
-    k = ["doc_id", "start", "end", "category"]
-    hit = overlap_join(kept.select(*k), gold.select(*k), ["doc_id"])
-    right = hit.groupBy(*k).agg(F.bool_or(F.col("category").eqNullSafe(F.col("r_category"))).alias("strict")).withColumn("correct", F.lit(True))
-    found = kept.join(right, k, "left").fillna(False, ["strict", "correct"])
+    def touched(spans: DataFrame, others: DataFrame, name: str, *same: str) -> DataFrame:
+        out = touching(spans, others, ["doc_id", *same])
+        return out.select(*spans.columns, (F.col("touched") & F.col("doc_id").isNotNull()).alias(name))
+
+    found = touched(touched(kept, gold, "strict", "category"), gold, "correct")
     if negatives is None:
         found = found.withColumn("negative", F.lit(False))
     else:
-        lure = overlap_join(kept.select(*k), negatives.select("doc_id", "start", "end"), ["doc_id"]).select(*k).distinct().withColumn("_lure", F.lit(True))
-        found = found.join(lure, k, "left").withColumn("negative", ~F.col("correct") & F.coalesce("_lure", F.lit(False))).drop("_lure")
+        found = touched(found, negatives, "_lure").withColumn("negative", ~F.col("correct") & F.col("_lure")).drop("_lure")
     value = normalize_value(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")))
     return found.join(pages.select("doc_id", F.col("text").alias("_text")), "doc_id", "left").withColumn("value", value).drop("_text")
 

@@ -82,23 +82,63 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return hit if how == "left_semi" else left.join(hit, [left[c].eqNullSafe(hit[c]) for c in left.columns], "left_anti")
 
 
+def touching(spans: DataFrame, others: DataFrame, keys: Sequence[str], blank: str | None = None) -> DataFrame:
+    """spans with touched, equal and hidden: whether others of the same keys (null with null) share a character with each, one
+    that is not empty has its bounds, and they hide it whole, together with the ranges of ``blank``, a column of arrays of
+    (start, end) that the spans of the same keys have.
+
+    No pairs: starts and ends of a group are passed once in order, with how many are open. A span is told at its end by the
+    last place before it that is bare, or covered. An empty span touches what it lies strictly within, as in ``overlap``."""
+    k, end, probe, start, point, blank_end, blank_start = list(keys), 0, 1, 2, 3, 4, 5
+    event = lambda at, since, kind: F.struct(at.cast("long").alias("_at"), since.cast("long").alias("_from"), F.lit(kind).alias("_kind"))
+    s, e = F.col("start"), F.col("end")
+    own = event(e, s, probe)
+    if blank:
+        ranges = F.transform(blank, lambda r: F.array(event(r["end"], r["start"], blank_end), event(r["start"], r["start"], blank_start)))
+        own = F.explode(F.concat(F.array(own), F.coalesce(F.flatten(ranges), F.array().cast("array<struct<_at:bigint,_from:bigint,_kind:int>>"))))
+    rows = spans.select("*", own.alias("_e")).select(*spans.columns, "_e.*", F.lit(True).alias("_own"))
+    ends = F.when(e > s, F.array(event(e, s, end), event(s, s, start))).when(e == s, F.array(event(e, s, point)))
+    rows = rows.unionByName(others.select(*k, F.explode(ends).alias("_e")).select(*k, "_e.*", F.lit(False).alias("_own")), allowMissingColumns=True)
+    w = Window.partitionBy(*k).orderBy("_at", "_from", "_kind")
+    before, kind = w.rowsBetween(Window.unboundedPreceding, -1), F.col("_kind")
+    step = F.when(kind == start, 1).when(kind == end, -1).otherwise(0)
+    blank_step = F.when(kind == blank_start, 1).when(kind == blank_end, -1).otherwise(0)
+    last = lambda c: F.last(F.when(kind == end, F.col(c)), True).over(before)
+    rows = rows.withColumns({"_open": F.coalesce(F.sum(step).over(before), F.lit(0)), "_blanks": F.coalesce(F.sum(blank_step).over(before), F.lit(0)), "_last": F.max("_at").over(before), "_point": F.max(F.when(kind == point, F.col("_at"))).over(before), "_a": last("_at"), "_f": last("_from")})
+    moved = F.col("_last").isNull() | (F.col("_at") > F.col("_last"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_until": F.max(F.when(moved & (F.col("_open") > 0), F.col("_at"))).over(upto), "_bare": F.max(F.when(moved & (F.col("_open") + F.col("_blanks") == 0), F.col("_at"))).over(upto)})
+    no = F.lit(False)
+    touched = F.when(e > s, F.coalesce(F.col("_until") > s, no) | F.coalesce(F.col("_point") > s, no)).when(e == s, F.col("_open") > 0).otherwise(False)
+    equal = F.coalesce((F.col("_a") == e) & (F.col("_f") == s), no)
+    hidden = F.coalesce((e <= s) | (F.col("_bare") <= s), F.lit(True))
+    return rows.where(F.col("_own") & (kind == probe)).select(*spans.columns, touched.alias("touched"), equal.alias("equal"), hidden.alias("hidden"))
+
+
+def with_blanks(labels: DataFrame, pages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """labels with _blank, the ranges of each that are white space or behind its page's end (null: none), and _known, whether
+    there is a text."""
+    body, size = F.col("_body"), F.col("end") - F.col("start")
+    out = labels.join(pages.select(*keys, F.col("text").alias("_text")), list(keys), "left")
+    out = out.select(*labels.columns, F.substring(F.col("_text"), F.col("start") + 1, size).alias("_body"))
+    span = lambda a, b: F.struct((F.col("start") + a).alias("start"), (F.col("start") + b).alias("end"))
+    white = F.filter(F.transform(F.split(body, ""), lambda x, i: F.when(x.rlike(r"\s"), span(i, i + 1))), lambda r: r.isNotNull())
+    behind = F.array(span(F.length(body), size))
+    blank = F.when(body.rlike(r"\s") & (F.length(body) < size), F.concat(white, behind)).when(body.rlike(r"\s"), white).when(F.length(body) < size, behind)
+    return out.select(*labels.columns, blank.alias("_blank"), body.isNotNull().alias("_known"))
+
+
+def cover(labels: DataFrame, detections: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What ``covered_labels`` gives, for labels ``with_blanks`` and detections of the same keys; those two columns stay."""
+    out = touching(labels, detections.select(*keys, "start", "end").where("end > start"), keys, "_blank")
+    some = F.col("_known") & F.coalesce(F.col("end") > F.col("start"), F.lit(False))
+    return out.select(*labels.columns, (some & F.col("touched")).alias("overlap"), F.col("equal").alias("strict"), (~F.col("_known") | F.col("hidden")).alias("covered"))
+
+
 def covered_labels(labels: DataFrame, detections: DataFrame, pages: DataFrame, keys: Sequence[str], same: Sequence[str] = ()) -> DataFrame:
     """labels (keys, start, end) with overlap, strict and covered: whether detections touch, equal, or hide all but white
     space of each. Only detections that agree in the columns ``same`` (null with null) count; pages have the keys alone."""
-    p, k = list(keys), [*keys, *same]
-    pairs = overlap_join(labels.select(*k, "start", "end").distinct(), detections.select(*k, "start", "end"), k)
-    cut = pairs.select(*k, F.col("start").alias("_s"), F.col("end").alias("_e"), F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), (F.col("start") == F.col("r_start")).alias("_a"), (F.col("end") == F.col("r_end")).alias("_b"))
-    ranges = merge_ranges(cut.select(*k, "_s", "_e", "start", "end"), [*k, "_s", "_e"])
-    text = pages.select(*p, F.col("text").alias("_text"))
-    found = ranges.join(text, p).groupBy(*k, "_s", "_e").agg(F.sum(F.length(F.regexp_replace(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")), r"\s", ""))).alias("_hid"))
-    strict = cut.groupBy(*k, "_s", "_e").agg(F.bool_or(F.col("_a") & F.col("_b")).alias("strict"))
-    out = labels.join(text, p, "left")
-    out = out.withColumn("_all", F.length(F.regexp_replace(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")), r"\s", ""))).drop("_text")
-    for df in (found, strict):
-        df = df.select(*(F.col(c).alias(f"_k_{c}") for c in k), "_s", "_e", *(c for c in ("_hid", "strict") if c in df.columns))
-        on = [out[c].eqNullSafe(df[f"_k_{c}"]) for c in k] + [out["start"] == df["_s"], out["end"] == df["_e"]]
-        out = out.join(df, on, "left").drop(*df.columns[: len(k) + 2])
-    return out.select(*labels.columns, F.col("_hid").isNotNull().alias("overlap"), F.coalesce("strict", F.lit(False)).alias("strict"), (F.coalesce("_hid", F.lit(0)) >= F.coalesce("_all", F.lit(0))).alias("covered"))
+    return cover(with_blanks(labels, pages, keys), detections, [*keys, *same]).drop("_blank", "_known")
 
 
 def find_all(text: str, value: str) -> list[tuple[int, int]]:

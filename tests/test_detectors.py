@@ -104,3 +104,16 @@ def test_overlap_join_and_cover(spark):
         assert sp.overlap_join(labels, found, ["doc_id"], "left_anti", width).collect() == [(1, 35, 43)]
     got = {r.start: (r.overlap, r.strict, r.covered) for r in sp.covered_labels(labels, found, pages, ["doc_id"]).collect()}
     assert got == {5: (True, False, True), 20: (True, True, True), 35: (False, False, False)}
+
+
+def test_touching_is_what_pairs_say(spark):
+    rows = lambda n, step: [(i % 3 or None, i * step % 17, i * step % 17 + i % 5) for i in range(n)]
+    kind = "doc_id long, start int, end int"
+    spans, others = rows(60, 7), rows(40, 5)
+    got = sp.touching(spark.createDataFrame(spans, kind), spark.createDataFrame(others, kind), ["doc_id"]).collect()
+    assert sorted(map(str, ((r.doc_id, r.start, r.end) for r in got))) == sorted(map(str, spans))
+    for r in got:
+        own = [(a, b) for d, a, b in others if d == r.doc_id]
+        assert r.touched == any(a < r.end and r.start < b for a, b in own)
+        assert r.equal == (r.end > r.start and (r.start, r.end) in own)
+        assert r.hidden == all(any(a <= p < b for a, b in own) for p in range(r.start, r.end))

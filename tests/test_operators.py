@@ -213,3 +213,13 @@ def test_export_counts_are_dealt_by_rows_whatever_the_partitions(spark, monkeypa
     tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(tasks) == 8_000 and max(tasks) < 1_600  # 2,000 and more in one of four tasks
     assert out.groupBy("section", "key").agg(F.sum("count")).count() == 4 and out.where("count != 4").count() == 0
+
+
+def test_cost_of_labels_and_detections_makes_no_pairs(spark, sf):
+    import contextlib
+    import io
+
+    df = catalog.missed_cost(spark, sf)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        df.explain()
+    assert plan.getvalue().count("Exchange hashpartitioning") <= 10 and "_bin" not in plan.getvalue()  # 33 with pairs
